@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import shipped
+
 PIECE_CHARS = 32_768
 
 #: The pre-token pattern of the byte_bpe_50k vocabulary.
@@ -229,7 +231,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     vocabulary, wanted = vocabulary or default_vocabulary(), list(columns)
     id_type = docs.schema[id_col].dataType.simpleString()
-    base = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    base = shipped(docs).select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     out = ", ".join([f"key {id_type}", *(f"{c} {OUT_FIELDS[c][0]}" for c in wanted)])
 
     def batch(keys: pa.Array, rows: list[dict]) -> pa.RecordBatch:
@@ -289,4 +291,4 @@ def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str =
         for x in batches:
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array([codec.decode(i for i in v.as_py() or () if i is not None) for v in x.column(1)], pa.string())], names=["key", "decoded"])
 
-    return encoded.select(F.col(id_col).alias("key"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(back, f"key {id_type}, decoded string").withColumnRenamed("key", id_col)
+    return shipped(encoded).select(F.col(id_col).alias("key"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(back, f"key {id_type}, decoded string").withColumnRenamed("key", id_col)

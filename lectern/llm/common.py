@@ -46,3 +46,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def crc_bucket(id_col: str, modulus: int):
     """crc32 of the id written as text, modulo ``modulus``; null ids count as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
+
+
+def shipped(df: DataFrame) -> DataFrame:
+    """``df``, once the executors can import this package: sent along where the session hasn't done so yet."""
+    import zipfile
+    from pathlib import Path
+
+    sc = df.sparkSession.sparkContext
+    if not getattr(sc, "_lectern_sent", False):
+        top = Path(__file__).resolve().parent.parent
+        archive = Path(tempfile.mkdtemp(prefix="lectern-"), "lectern_package.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for p in sorted(top.rglob("*.py")):
+                z.write(p, p.relative_to(top.parent))
+        sc.addPyFile(str(archive))
+        sc._lectern_sent = True
+    return df
