@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lectern.llm.bpe import encode_documents
 from lectern.llm.common import table
 from lectern.llm.decontaminate import decontaminate
+from lectern.llm.lines import drop_boilerplate
 from lectern.llm.warc import archived
 
 
@@ -28,10 +29,15 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), columns=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "line_count", "removed_count", "text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_decontaminate": op2_decontaminate,
     "op3_bpe": op3_bpe,
+    "op4_lines": op4_lines,
 }
 
 OP1_SQL = """
@@ -73,7 +79,24 @@ SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM dw LEFT JOIN hw ON dw.doc_id = hw.doc_id LEFT JOIN hi ON dw.doc_id = hi.doc_id
 """
 
+OP4_SQL = """
+WITH l AS (
+  SELECT doc_id, source, i, raw, trim(raw, ' ') AS line
+  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)
+), b AS (
+  SELECT line, min(doc_id) AS keeper FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= 10
+), k AS (
+  SELECT l.doc_id, i, raw, b.line IS NULL OR l.doc_id = b.keeper AS kept FROM l LEFT JOIN b ON l.line = b.line
+), g AS (
+  SELECT doc_id, count(*) AS line_count, count(*) FILTER (WHERE NOT kept) AS removed_count, string_agg(raw, chr(10) ORDER BY i) FILTER (WHERE kept) AS body FROM k GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(line_count, 0) AS BIGINT) AS line_count, CAST(coalesce(removed_count, 0) AS BIGINT) AS removed_count,
+       CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(body, '') END AS text
+FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
+
 ORACLES: dict[str, str] = {
     "op1_warc": OP1_SQL,
     "op2_decontaminate": OP2_SQL,
+    "op4_lines": OP4_SQL,
 }
