@@ -11,6 +11,7 @@ from lectern.llm.bpe import encode_documents
 from lectern.llm.common import table
 from lectern.llm.decontaminate import decontaminate
 from lectern.llm.lines import drop_boilerplate
+from lectern.llm.pii import replace_pii
 from lectern.llm.warc import archived
 
 
@@ -33,11 +34,16 @@ def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "line_count", "removed_count", "text")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_pii(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_decontaminate": op2_decontaminate,
     "op3_bpe": op3_bpe,
     "op4_lines": op4_lines,
+    "op5_pii": op5_pii,
 }
 
 OP1_SQL = """
