@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lectern.llm.bpe import encode_documents
 from lectern.llm.common import table
 from lectern.llm.decontaminate import decontaminate
+from lectern.llm.html import extract_main_text
 from lectern.llm.lines import drop_boilerplate
 from lectern.llm.pii import replace_pii
 from lectern.llm.warc import archived
@@ -38,12 +39,17 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_pii(table(spark, sf_dir, "documents"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_decontaminate": op2_decontaminate,
     "op3_bpe": op3_bpe,
     "op4_lines": op4_lines,
     "op5_pii": op5_pii,
+    "op8_html": op8_html,
 }
 
 OP1_SQL = """
