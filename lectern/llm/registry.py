@@ -11,6 +11,7 @@ from lectern.llm.bpe import encode_documents
 from lectern.llm.common import table
 from lectern.llm.decontaminate import decontaminate
 from lectern.llm.html import extract_main_text
+from lectern.llm.jaccard import link_documents
 from lectern.llm.lines import drop_boilerplate
 from lectern.llm.pii import replace_pii
 from lectern.llm.warc import archived
@@ -39,6 +40,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_pii(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_documents(table(spark, sf_dir, "documents"), size=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_lines": op4_lines,
     "op5_pii": op5_pii,
+    "op7_jaccard": op7_jaccard,
     "op8_html": op8_html,
 }
 
