@@ -14,6 +14,7 @@ from lectern.llm.html import extract_main_text
 from lectern.llm.jaccard import link_documents
 from lectern.llm.lines import drop_boilerplate
 from lectern.llm.pii import replace_pii
+from lectern.llm.spotsigs import compare_with_edited
 from lectern.llm.warc import archived
 
 
@@ -48,6 +49,10 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_edited(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_decontaminate": op2_decontaminate,
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op7_jaccard": op7_jaccard,
     "op8_html": op8_html,
+    "op9_spotsigs": op9_spotsigs,
 }
 
 OP1_SQL = """

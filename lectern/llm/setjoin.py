@@ -67,6 +67,12 @@ def _ordered(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return tokens[np.lexsort((tokens, counts[(tokens % np.uint64(BUCKETS)).astype(np.int64)]))]
 
 
+def _in_part(tokens: np.ndarray, part: int) -> np.ndarray:
+    """Tokens as those of a partition, one to one."""
+    x = (tokens ^ np.uint64(part)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(29)) ^ np.uint64(part << 40)).view(np.int64)
+
+
 def _mark(tokens: np.ndarray) -> tuple[int, int]:
     import hashlib
 
@@ -74,10 +80,11 @@ def _mark(tokens: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def described(docs: DataFrame, sets: Sets, counts: np.ndarray, num: int, den: int, columns: dict[str, str]) -> DataFrame:
+def described(docs: DataFrame, sets: Sets, counts: np.ndarray, num: int, den: int, columns: dict[str, str], part_of: Callable[[int], int] | None = None) -> DataFrame:
     """Of each row the set's size n, its class (c1, c2: 128 bits of its hash) and its prefix in the global order.
 
-    ``docs``: ``columns`` (name to type), then body. An empty set has class 0, 0 and no prefix.
+    ``docs``: ``columns`` (name to type), then body. An empty set has class 0, 0 and no prefix. keys are what the prefix
+    is indexed under: itself, or, in partitions by size (``part_of``), its tokens in the set's part and those in the next.
     """
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     names = list(columns)
@@ -89,11 +96,11 @@ def described(docs: DataFrame, sets: Sets, counts: np.ndarray, num: int, den: in
                 marks = [_mark(s) if len(s) else (0, 0) for s in got]
                 heads = [_ordered(s, shared.value)[: len(s) - -(-num * len(s) // den) + 1] if len(s) else s for s in got]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[: len(names)], pa.array([len(s) for s in got], pa.int32()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array([h.view(np.int64) for h in heads], pa.list_(pa.int64()))],
-                    names=[*names, "n", "c1", "c2", "prefix"],
+                    [*part.columns[: len(names)], pa.array([len(s) for s in got], pa.int32()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array([h.view(np.int64) for h in heads], pa.list_(pa.int64())), *([pa.array([np.concatenate([_in_part(h, part_of(len(s)) + i) for i in (0, 1)]) for s, h in zip(got, heads)], pa.list_(pa.int64()))] if part_of else [])],
+                    names=[*names, "n", "c1", "c2", "prefix", *(["keys"] if part_of else [])],
                 )
 
-    return shipped(docs).mapInArrow(run, ", ".join([*(f"{k} {v}" for k, v in columns.items()), "n int, c1 long, c2 long, prefix array<long>"]))
+    return shipped(docs).mapInArrow(run, ", ".join([*(f"{k} {v}" for k, v in columns.items()), "n int, c1 long, c2 long, prefix array<long>", *(["keys array<long>"] if part_of else [])]))
 
 
 def _full_sets(docs: DataFrame, sets: Sets) -> DataFrame:
@@ -157,8 +164,9 @@ def _repeated(lists: DataFrame) -> np.ndarray:
     return out
 
 
-def _entries(classes: DataFrame, bits: np.ndarray) -> DataFrame:
-    """The prefix tokens that may occur more than once, with their place: token, c, n, pos."""
+def _entries(classes: DataFrame, bits: np.ndarray, times: int) -> DataFrame:
+    """The index keys that may occur more than once, with their place: token, c, n, pos. ``classes``: c1, n and the keys,
+    a prefix ``times`` over."""
     shared = classes.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,23 +178,25 @@ def _entries(classes: DataFrame, bits: np.ndarray) -> DataFrame:
                 pos = np.arange(len(tokens)) - np.repeat(np.r_[0, ends[:-1]], lists.value_lengths().to_numpy())
                 place = np.mod(tokens, 64 * len(shared.value))
                 hit = np.flatnonzero((shared.value[place // 64] >> (place % 64)) & 1)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[hit]), pa.array(part.column(0).to_numpy()[row[hit]]), pa.array(part.column(1).to_numpy()[row[hit]]), pa.array(pos[hit], pa.int32())], names=["token", "c", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[hit]), pa.array(part.column(0).to_numpy()[row[hit]]), pa.array(part.column(1).to_numpy()[row[hit]]), pa.array((pos % np.maximum(1, np.repeat(lists.value_lengths().to_numpy() // times, lists.value_lengths().to_numpy())))[hit], pa.int32())], names=["token", "c", "n", "pos"])
 
-    return classes.select("c1", "n", "prefix").mapInArrow(run, "token long, c long, n int, pos int")
+    return classes.mapInArrow(run, "token long, c long, n int, pos int")
 
 
-def linked_groups(docs: DataFrame, sets: Sets, num: int, den: int, id_type: str) -> DataFrame:
+def linked_groups(docs: DataFrame, sets: Sets, num: int, den: int, id_type: str, part_of: Callable[[int], int] | None = None) -> DataFrame:
     """Groups of the sets of ``docs`` (key, body): one row per input row with key, n (set size), group (least non-null
-    key of all rows that links reach; the own key for empty sets) and links (to other classes' leaders, exact ones found).
+    key of all rows that links reach; the own key for empty sets) and links (exact ones that were counted). ``part_of``: see
+    ``described``.
     """
     docs = docs.select("key", "body", F.xxhash64("body").alias("t"))
     counts = token_counts(docs.select("body"), sets)
-    rows = written(described(docs.select("key", "t", "body"), sets, counts, num, den, {"key": id_type, "t": "long"}), "sets")
-    classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.min("key").alias("least"), F.min(F.struct("key", "t")).alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    rows = written(described(docs.select("key", "t", "body"), sets, counts, num, den, {"key": id_type, "t": "long"}, part_of), "sets")
+    keys = "keys" if part_of else "prefix"
+    classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.min("key").alias("least"), F.min(F.struct("key", "t")).alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), *([F.first("keys").alias("keys")] if part_of else []))
     classes = written(classes, "classes")
-    lists = classes.select(F.col("c1").alias("c"), F.explode("prefix").alias("token")).groupBy("token").agg(F.min("c").alias("head"), F.count("*").alias("size")).where("size > 1").select("token", "head")
+    lists = classes.select(F.col("c1").alias("c"), F.explode(keys).alias("token")).groupBy("token").agg(F.min("c").alias("head"), F.count("*").alias("size")).where("size > 1").select("token", "head")
     lists = written(lists, "lists")
-    entries = written(_entries(classes, _repeated(lists)), "entries")
+    entries = written(_entries(classes.select("c1", "n", keys), _repeated(lists), 2 if part_of else 1), "entries")
     heads = entries.select("token", F.col("c").alias("head"), F.col("n").alias("head_n"), F.col("pos").alias("head_pos"))
     lists = written(lists.join(heads, ["token", "head"]), "lists")
     told = written(entries.join(lists, "token"), "entries-told")
