@@ -14,7 +14,9 @@ from lectern.llm.html import extract_main_text
 from lectern.llm.jaccard import link_documents
 from lectern.llm.lines import drop_boilerplate
 from lectern.llm.pii import replace_pii
+from lectern.llm.quality import score_quality
 from lectern.llm.spotsigs import compare_with_edited
+from lectern.llm.toxicity import score_toxicity
 from lectern.llm.warc import archived
 
 
@@ -41,6 +43,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_pii(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(table(spark, sf_dir, "documents"), size=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
 
@@ -53,15 +59,21 @@ def op9_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_edited(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_decontaminate": op2_decontaminate,
     "op3_bpe": op3_bpe,
     "op4_lines": op4_lines,
     "op5_pii": op5_pii,
+    "op6_quality": op6_quality,
     "op7_jaccard": op7_jaccard,
     "op8_html": op8_html,
     "op9_spotsigs": op9_spotsigs,
+    "op10_toxicity": op10_toxicity,
 }
 
 OP1_SQL = """
