@@ -204,6 +204,7 @@ def _without(text: str, spans: list[tuple[int, int]]) -> str:
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text",
     window: int = WINDOW, min_span_words: int = 5, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS, columns: tuple[str, ...] = ("n_words", "n_hit", "items", "spans", "clean_text", "drop"),
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """Match every whole text against all windows of the benchmark items.
 
@@ -211,7 +212,7 @@ def decontaminate(
     items (ids of items with occurring windows, as sorted strings), spans (of hit words: first, and one past the last),
     clean_text (without hit spans of at least ``min_span_words`` words; a null text stays null), drop (more than ``max_coverage`` of the words are hit). A window is ``window`` words of an item in a
     row; an item of fewer words is one window, one without words none. Null texts have no words; null item ids are left
-    out. Rows with equal ids are matched each for itself; an empty benchmark hits nothing. Other columns are left out.
+    out. Rows with equal ids are matched each for itself; an empty benchmark hits nothing. Columns of ``docs`` named in ``keep`` stay (their names and those in ``columns`` must differ); others are left out.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -240,7 +241,11 @@ def decontaminate(
             for at in range(0, x.num_rows, 512):
                 part = x.slice(at, 512)
                 rows = [one(t.as_py()) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[c] for r in rows], kinds[c][1]) for c in wanted)], names=["key", *wanted])
-
-    out = ", ".join([f"key {docs.schema[id_col].dataType.simpleString()}", *(f"{c} {kinds[c][0]}" for c in wanted)])
-    return shipped(docs).select(F.col(id_col).alias("key"), F.col(text_col).alias("body")).mapInArrow(match, out).withColumnRenamed("key", id_col)
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], *(pa.array([r[c] for r in rows], kinds[c][1]) for c in wanted)], names=["key", *kept, *wanted])
+
+    kept = [f"kept{i}" for i in range(len(keep))]
+    typed = lambda c: docs.schema[c].dataType.simpleString()
+    out = ", ".join([f"key {typed(id_col)}", *(f"{k} {typed(c)}" for k, c in zip(kept, keep)), *(f"{c} {kinds[c][0]}" for c in wanted)])
+    source = shipped(docs).select(F.col(id_col).alias("key"), F.col(text_col).alias("body"), *(F.col(c).alias(k) for k, c in zip(kept, keep)))
+    found = source.mapInArrow(match, out)
+    return found.select(F.col("key").alias(id_col), *(F.col(k).alias(c) for k, c in zip(kept, keep)), *wanted)

@@ -161,3 +161,22 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     base = shipped(docs).select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     scored = base.mapInArrow(run, f"key {kind}, score double")
     return scored.select(F.col("key").alias(id_col), (crc_bucket("key", modulus) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, modulus: int = 5, held_out: int = 0, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text scores at least ``threshold``; see ``score_quality``."""
+    model = fit(labelled_sample(docs, labels, label_col, modulus, held_out, sample_rows, id_col, text_col))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at_text = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                if isinstance(shared.value, float):
+                    q = np.full(part.num_rows, shared.value)
+                else:
+                    q = shared.value.score(*passages([(t.as_py() or "").encode() for t in part.column(at_text)]))
+                yield part.filter(pa.array(np.round(q.astype(np.float64), 6) >= threshold))
+
+    return shipped(docs).mapInArrow(run, docs.schema)

@@ -21,7 +21,7 @@ from lectern.llm.fitting import Adam, labelled_sample, sigmoid
 DIM = 1 << 20
 GRAMS = (4, 5, 6)
 #: Features that the model may use.
-KEPT = 4096
+KEPT = 8192
 SAMPLE_ROWS = 6000
 
 #: Identity terms that stand for each other in counterfactual sentences, by group and language.
