@@ -4,11 +4,11 @@ Sets of 64-bit token hashes link when ``den * |intersection| >= num * |union|``.
 that links connect. Steps, none of which meets a whole group or all pairs of one in a task:
 
 1. Equal sets become one class.
-2. Tokens have one global order: by the count of the bucket (of 2^18) that they fall into, rare first. Any fixed order
+2. Tokens have one global order: by the count of the bucket (of 2^20) that they fall into, rare first. Any fixed order
    makes prefixes complete; this one pushes passages that many documents share out of them.
 3. The first ``n - ceil(t n) + 1`` tokens of each class are indexed, with their position. Of each token's list the
    first class is its leader, and the others are compared with leaders alone (a star for a clique). Lists are skipped by
-   position: an entry so far from the end that the rest could not reach the threshold is no candidate.
+   position: where too little follows the shared token in either set, it can't be the first one that a linked pair shares.
 4. Overlaps of set and leader are counted exactly. Linked stars make first groups.
 5. A list whose sets all are in one group is skipped. What is left are pairs across groups; their overlap is derived from
    the overlaps with a common leader: |S and T| <= min(|S and R|, |T and R|) + min(|S - R|, |T - R|). Only pairs that this
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import shipped, written
 
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
 
 #: A set function: texts of an Arrow string array to one sorted array of distinct uint64 per text.
 Sets = Callable[[pa.Array], list[np.ndarray]]
@@ -202,9 +202,9 @@ def linked_groups(docs: DataFrame, sets: Sets, num: int, den: int, id_type: str,
     told = written(entries.join(lists, "token"), "entries-told")
 
     def feasible(nx, px, ny, py):
-        """Sizes and positions allow a link: the token itself and all that follows it."""
-        most = F.least(px, py) + F.least(nx - px, ny - py)
-        return (den * F.least(nx, ny) >= num * F.greatest(nx, ny)) & ((num + den) * most >= num * (nx + ny))
+        """Whether the sizes, and these positions of the first token that both sets share, allow a link. Of a linked pair
+        that token is in both prefixes, so a pair may be judged by any of its tokens: one of them is the first."""
+        return (den * F.least(nx, ny) >= num * F.greatest(nx, ny)) & ((num + den) * F.least(nx - px, ny - py) >= num * (nx + ny))
 
     stars = told.where("c <> head").where(feasible(F.col("n"), F.col("pos"), F.col("head_n"), F.col("head_pos")))
     stars = stars.groupBy(F.col("c").alias("x"), F.col("head").alias("y")).agg(F.first("n").alias("nx"), F.first("head_n").alias("ny"))
