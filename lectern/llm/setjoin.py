@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from lectern.llm.common import shipped, written
 
 BUCKETS = 1 << 20
+#: Turns of comparison with leaders before pairs are compared, and leaders of a list after the first turn.
+TURNS, LEADERS = 3, 16
 
 #: A set function: texts of an Arrow string array to one sorted array of distinct uint64 per text.
 Sets = Callable[[pa.Array], list[np.ndarray]]
@@ -206,27 +208,50 @@ def linked_groups(docs: DataFrame, sets: Sets, num: int, den: int, id_type: str,
         that token is in both prefixes, so a pair may be judged by any of its tokens: one of them is the first."""
         return (den * F.least(nx, ny) >= num * F.greatest(nx, ny)) & ((num + den) * F.least(nx - px, ny - py) >= num * (nx + ny))
 
-    stars = told.where("c <> head").where(feasible(F.col("n"), F.col("pos"), F.col("head_n"), F.col("head_pos")))
-    stars = stars.groupBy(F.col("c").alias("x"), F.col("head").alias("y")).agg(F.first("n").alias("nx"), F.first("head_n").alias("ny"))
-    stars = _open_pairs(written(stars, "stars"), classes, num, den)
-    counted = written(_counted(stars, docs, classes, sets), "star-overlaps")
     link = (num + den) * F.col("shared") >= num * (F.col("nx") + F.col("ny"))
-    first = components(counted.where(link).select("x", "y"))
+    counted: DataFrame | None = None
+    groups: DataFrame | None = None
+    for turn in range(TURNS):
+        # First one leader for each list, the same in all lists of a group of copies; then, in lists that still hold several
+        # groups, up to LEADERS drawn anew each turn, so that a set meets many leaders of a group that one doesn't hold together.
+        if groups is None:
+            grouped = told.withColumn("g", F.col("c"))
+            heads = grouped.select("token", F.col("head").alias("y"), F.col("head_n").alias("ny"), F.col("head_pos").alias("py"), F.col("head").alias("gy"))
+            heads = heads.distinct()
+        else:
+            grouped = told.join(groups.withColumnRenamed("node", "c"), "c", "left").select("token", "c", "n", "pos", F.coalesce("root", "c").alias("g"))
+            grouped = written(grouped, "grouped")
+            mixed = written(grouped.groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a <> b").select("token"), "mixed")
+            grouped = written(grouped.join(mixed, "token"), "mixed-entries")
+            draw = F.struct(F.xxhash64("c", "token", F.lit(turn)).alias("h"), F.col("c").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("g").alias("gy"))
+            drawn = grouped.groupBy("token", F.pmod(F.xxhash64("c", F.lit(turn)), F.lit(LEADERS)).alias("part")).agg(F.min(draw).alias("m"))
+            heads = written(drawn.select("token", "m.y", "m.ny", "m.py", "m.gy"), "heads")
+        met = grouped.join(heads, "token").where("g <> gy").where(feasible(F.col("n"), F.col("pos"), F.col("ny"), F.col("py")))
+        first = F.col("c") > F.col("y")
+        stars = met.select(F.when(first, F.col("c")).otherwise(F.col("y")).alias("x"), F.when(first, F.col("y")).otherwise(F.col("c")).alias("y"), F.when(first, F.col("n")).otherwise(F.col("ny")).alias("nx"), F.when(first, F.col("ny")).otherwise(F.col("n")).alias("ny")).distinct()
+        if counted is not None:
+            stars = stars.join(counted.select("x", "y"), ["x", "y"], "left_anti")
+        new = written(_counted(_open_pairs(written(stars, "stars"), classes, num, den), docs, classes, sets), "star-overlaps")
+        counted = new if counted is None else written(counted.unionByName(new), "overlaps")
+        if groups is not None and new.where(link).isEmpty():
+            break
+        groups = components(counted.where(link).select("x", "y"))
     # Pairs across groups that share a token; lists of one group are skipped as a whole.
-    grouped = told.join(first.withColumnRenamed("node", "c"), "c", "left").select("token", "c", "n", "pos", F.coalesce("root", "c").alias("g"), "head")
+    grouped = told.join(groups.withColumnRenamed("node", "c"), "c", "left").select("token", "c", "n", "pos", F.coalesce("root", "c").alias("g"))
     grouped = written(grouped, "grouped")
     mixed = written(grouped.groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a <> b").select("token"), "mixed")
     left = grouped.join(mixed, "token")
-    a, b = (left.select("token", *(F.col(k).alias(k + s) for k in ("c", "n", "pos", "g", "head"))) for s in ("x", "y"))
-    across = a.join(b, "token").where("gx <> gy and cx < cy and cx <> heady and cy <> headx").where(feasible(F.col("nx"), F.col("posx"), F.col("ny"), F.col("posy")))
-    across = across.groupBy(F.col("cx").alias("x"), F.col("cy").alias("y")).agg(F.first("nx").alias("nx"), F.first("ny").alias("ny"))
+    a, b = (left.select("token", *(F.col(k).alias(k + s) for k in ("c", "n", "pos", "g"))) for s in ("x", "y"))
+    across = a.join(b, "token").where("gx <> gy and cx > cy").where(feasible(F.col("nx"), F.col("posx"), F.col("ny"), F.col("posy")))
+    across = across.select(F.col("cx").alias("x"), F.col("cy").alias("y"), "nx", "ny").distinct()
     across = written(across, "across")
     # What is known of both sets' overlap with a common leader bounds their own.
-    known = counted.select("x", F.col("y").alias("r"), "shared")
+    known = written(counted.select("x", F.col("y").alias("r"), "shared").unionByName(counted.select(F.col("y").alias("x"), F.col("x").alias("r"), "shared")), "known")
+    across = written(across.join(counted.select("x", "y"), ["x", "y"], "left_anti"), "across-new")
     bounds = across.join(known.select("x", "r", F.col("shared").alias("sx")), "x").join(known.select(F.col("x").alias("y"), "r", F.col("shared").alias("sy")), ["y", "r"])
     bound = F.least("sx", "sy") + F.least(F.col("nx") - F.col("sx"), F.col("ny") - F.col("sy"))
     closed = bounds.where((num + den) * bound < num * (F.col("nx") + F.col("ny"))).select("x", "y").distinct()
-    across = across.join(closed, ["x", "y"], "left_anti").join(counted.select("x", "y"), ["x", "y"], "left_anti").join(counted.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"], "left_anti")
+    across = across.join(closed, ["x", "y"], "left_anti")
     more = written(_counted(_open_pairs(written(across, "across-open"), classes, num, den), docs, classes, sets), "more-overlaps")
     links = written(counted.unionByName(more).where(link).select("x", "y"), "all-links")
     final = components(links)
