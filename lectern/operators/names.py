@@ -70,11 +70,15 @@ def book_candidates(texts: DataFrame) -> DataFrame:
     every = grams(texts)
     exact = every.join(F.broadcast(table), F.col("gram") == F.col("variant")).select("utt_id", "book", F.when(looked_at(F.col("gram")), 1.0).otherwise(alias_score(F.col("gram"))).alias("score"), "start", "end", F.col("gram").alias("spoken"))
     longest = max(map(len, known), default=0)
-    # An upper bound of the ratio by lengths alone, before the UDF: 2 min / (a + b) >= CUTOFF for some name.
-    open_to = every.select("gram").distinct().where(looked_at(F.col("gram")) & F.col("gram").rlike("[а-я]") & F.length("gram").between(2, int(longest * (2 - CUTOFF) / CUTOFF) + 1))
-    fuzzy = open_to.join(F.broadcast(table.select(F.col("variant").alias("gram"))), "gram", "left_anti").withColumn("m", best_similar(known)("gram")).where("m.variant is not null")
-    fuzzy = fuzzy.select("gram", "m.ratio", F.col("m.variant").alias("variant")).join(F.broadcast(table), "variant").select("gram", "ratio", "book")
-    near = every.join(fuzzy, "gram").select("utt_id", "book", F.col("ratio").alias("score"), "start", "end", F.col("gram").alias("spoken"))
+    # Names have no digit but 1 to 5, so all others are alike to similarity, and n-grams with them are looked at once. A
+    # native upper bound of the ratio goes first: letters, up to three spaces and one digit are all that a name can share.
+    every = every.withColumn("like", F.regexp_replace("gram", "[06-9]", "0"))
+    share = F.regexp_count("like", F.lit("[а-яa-z]")) + F.least(F.regexp_count("like", F.lit(" ")), F.lit(3)) + F.least(F.regexp_count("like", F.lit("[1-5]")), F.lit(1))
+    open_to = every.where(looked_at(F.col("gram")) & F.col("gram").rlike("[а-я]")).select("like").distinct()
+    open_to = open_to.where(F.length("like").between(2, int(longest * (2 - CUTOFF) / CUTOFF) + 1) & (2 * share >= CUTOFF * (F.length("like") + share)))
+    fuzzy = open_to.join(F.broadcast(table.select(F.col("variant").alias("like"))), "like", "left_anti").repartition(texts.sparkSession.sparkContext.defaultParallelism * 4, "like").withColumn("m", best_similar(known)("like")).where("m.variant is not null")
+    fuzzy = fuzzy.select("like", "m.ratio", F.col("m.variant").alias("variant")).join(F.broadcast(table), "variant").select("like", "ratio", "book")
+    near = every.where(looked_at(F.col("gram"))).join(fuzzy, "like").select("utt_id", "book", F.col("ratio").alias("score"), "start", "end", F.col("gram").alias("spoken"))
     best = Window.partitionBy("utt_id", "book", "start", "end").orderBy(F.desc("score"), "spoken")
     found = exact.unionByName(near).withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
     return shadowed_out(found)

@@ -21,7 +21,9 @@ MARGIN = 18.0
 
 def normalized(utterances: DataFrame) -> DataFrame:
     """``utterances`` (utt_id, text) with norm. Kept, as several branches of a plan need it."""
-    return utterances.select("utt_id", "text", normalize_reference(F.coalesce("text", F.lit(""))).alias("norm")).persist()
+    # Texts are few bytes and much work, so partitions are by cores, and by the key that all joins of the plan are on.
+    n = max(utterances.sparkSession.sparkContext.defaultParallelism, utterances.rdd.getNumPartitions())
+    return utterances.select("utt_id", "text").repartition(n, "utt_id").withColumn("norm", normalize_reference(F.coalesce("text", F.lit("")))).persist()
 
 
 def _proximity() -> Column:
