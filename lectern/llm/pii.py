@@ -57,6 +57,8 @@ def _parts(match: Column) -> Column:
     """Array of (kind, text) that the match falls into: names by word with their gender, else an untouched prefix and one entity."""
     kind = _type_of(match)
     gender = F.when(match.rlike(rf"^(?:{'|'.join(TITLES['female'])})\b"), "female").when(match.rlike(rf"^(?:{'|'.join(TITLES['male'])})\b"), "male")
+    for (sex, _), names in GIVEN_NAMES.items():
+        gender = F.coalesce(gender, F.when(F.arrays_overlap(F.split(match, " "), F.split(F.lit(" ".join(names)), " ")), sex))
 
     def word(x: Column, i: Column) -> Column:
         own = F.lit(None).cast("string")

@@ -22,6 +22,8 @@ DIM = 1 << 20
 GRAMS = (4, 5, 6)
 #: Features that the model may use.
 KEPT = 8192
+#: Least likelihood gain of a feature, so that a small sample doesn't fit to chance.
+LEAST_GAIN = 6.0
 SAMPLE_ROWS = 6000
 
 #: Identity terms that stand for each other in counterfactual sentences, by group and language.
@@ -159,6 +161,7 @@ def fit(sample: DataFrame, penalty: float) -> Model | float:
     # Signed likelihood ratio of presence against label; features of both signs are kept.
     rest, want = n - ones, positive / total
     gain = ones * np.log((ones + 0.5) / (n * want + 0.5)) + rest * np.log((rest + 0.5) / (n * (1 - want) + 0.5))
+    gram, gain = gram[gain >= LEAST_GAIN], gain[gain >= LEAST_GAIN]
     model = Model(np.sort(gram[np.lexsort((gram, -gain))[:KEPT]]))
     shared = sample.sparkSession.sparkContext.broadcast(model)
 

@@ -1,0 +1,220 @@
+"""The training-data operators against brute force, on small tables with nulls, ties, repeats and clashing names."""
+
+import hashlib
+import itertools
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from lectern.llm import bpe, decontaminate, html, jaccard, lines, pii, quality, spotsigs, toxicity, warc
+from lectern.llm.common import fresh_path
+
+DOCS = "doc_id long, text string, key string, body string"
+
+
+def docs_of(spark, rows):
+    """Rows with extra columns whose names the operators use inside."""
+    return spark.createDataFrame([(i, t, "k", "b") for i, t in rows], DOCS)
+
+
+def test_warc(spark, tmp_path):
+    big, tricky = "x" * 1200, "\r\n\r\nWARC/1.1\r\nü" * 100
+    rows = [(1, "u1", big), (2, "u2", None), (3, None, big), (4, "u\r\n4", tricky), (5, "u5", "small"), (6, "u6", "small"), (None, "u7", "n"), (8, "u8", tricky)]
+    pages = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, record string")
+    got = {r.record_key: r for r in warc.archived(pages).collect()}
+    assert len(got) == len(rows)
+    assert (got[1].record_type, got[1].refers_to, got[1].payload_bytes) == ("revisit", 3, 1200)
+    assert (got[4].record_type, got[4].refers_to) == ("revisit", 8) and got[3].record_type == "response"
+    assert got[5].record_type == got[6].record_type == "response" and got[2].payload_bytes == 0
+    assert all(got[k].payload_digest == hashlib.sha1((h or "").encode()).hexdigest() for k, _, h in rows)
+    assert warc.archived(pages.limit(0)).count() == 0
+
+
+def test_warc_bodies(spark):
+    path = fresh_path(spark, "test")
+    pages = spark.createDataFrame([(1, "u", "a\r\n\r\nb"), (2, "v", "")], "page_id long, url string, html string")
+    warc.write_archive(warc.responses(pages, "page_id", "url", "html"), path)
+    assert {(r.record_key, bytes(r.body)) for r in warc.read_archive(spark, path, bodies=True).collect()} == {("1", b"a\r\n\r\nb"), ("2", b"")}
+
+
+def brute_hits(run, items, window):
+    hit, found = set(), set()
+    for name, item in items:
+        n = min(window, len(item))
+        for a, b in itertools.product(range(len(item) - n + 1), range(len(run) - n + 1)) if n else ():
+            if item[a : a + n] == run[b : b + n]:
+                hit |= set(range(b, b + n))
+                found.add(name)
+    return hit, found
+
+
+def test_automaton():
+    r = random.Random(5)
+    for _ in range(300):
+        words = lambda n: [bytes([97 + r.randrange(3)]) for _ in range(r.randrange(n))]
+        items = [(str(i), words(9)) for i in range(r.randrange(5))]
+        run, window = words(25), r.choice([1, 2, 4])
+        spans, found = decontaminate.Automaton(items, window).hits(run)
+        assert ({i for a, b in spans for i in range(a, b)}, found) == brute_hits(run, items, window)
+
+
+def test_decontaminate(spark):
+    item = "one two three four five six seven eight nine ten eleven"
+    d = docs_of(spark, [(1, f"Intro words here. {item.upper()}! And more text follows in this place for long."), (2, None), (3, ""), (3, ""), (4, "clean text"), (None, "five words only")])
+    b = spark.createDataFrame([(7, item), (8, None), (9, "five words only"), (None, "clean text")], "item_id long, text string")
+    for block in (10, 200_000):
+        got = {(r.doc_id, r.n_words): r for r in decontaminate.decontaminate(d, b, min_span_words=3, block_words=block, keep=("key",)).collect()}
+        assert got[1, 23].n_hit == 11 and got[1, 23].items == ["7"] and "SEVEN" not in got[1, 23].clean_text and not got[1, 23].drop
+        assert got[None, 3].items == ["9"] and got[None, 3].drop and got[2, 0].clean_text is None and got[4, 2].n_hit == 0
+    assert decontaminate.decontaminate(d, b.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
+
+
+def test_bpe_tree_is_exact():
+    codec = bpe.load(bpe.default_vocabulary())
+    r = random.Random(3)
+    parts = ["a", "the", " ", "  ", "\n", "'s", "'", "<|", "<|endoftext|>", "endof", "text|>", "é", "日", "🎉", "12", "!!", " x", "́", "AAAA", "\x85"]
+    for _ in range(400):
+        text = "".join(r.choice(parts) for _ in range(r.randrange(50))) if r.random() < 0.8 else "".join(r.choice("ab") for _ in range(90))
+        want, k = codec.library.encode(text, add_special_tokens=False).ids, r.randrange(1, 9)
+        tree = codec.tree([codec.encoded(text[i : i + k]) for i in range(0, max(1, len(text)), k)])
+        assert codec.whole(text) == want == tree.ids.tolist() and codec.decode(want) == text
+
+
+def test_bpe_documents(spark):
+    texts = {1: "ab" * 300, 2: None, 3: "", 4: "x <|endoftext|> yß" * 60}
+    d = docs_of(spark, [*texts.items(), (1, texts[1]), (None, "n")])
+    got = bpe.encode_documents(d, columns=("n_tokens", "ids", "decoded"), piece_chars=64).collect()
+    codec = bpe.load(bpe.default_vocabulary())
+    assert sorted(str(r.doc_id) for r in got) == ["1", "1", "2", "3", "4", "None"]
+    assert all(r.decoded == (texts.get(r.doc_id, "n") or "") and r.ids == codec.library.encode(r.decoded, add_special_tokens=False).ids for r in got)
+    assert {r.decoded for r in bpe.decode_documents(spark.createDataFrame([(1, [39, None]), (2, None)], "doc_id long, ids array<int>")).collect()} == {"H", ""}
+
+
+def test_lines(spark):
+    rows = [(i, f"boiler  \nown {i}\n", f"site{i % 12}", "x") for i in range(24)] + [(50, None, "s", "x"), (51, "", None, "x"), (None, "boiler\nz", "q", "x")]
+    d = spark.createDataFrame([(i, f"near\n{t}" if i is not None and i < 9 and t else t, s, k) for i, t, s, k in rows], "doc_id long, text string, source string, key string")
+    got = {r.doc_id: r for r in lines.drop_boilerplate(d, min_sites=10).collect()}
+    assert len(got) == len(rows) and "boiler" in got[0].text and got[5].text == "near\nown 5\n" and got[20].text == "own 20\n"
+    assert got[50].text is None and got[51].text == "" and got[None].text == "z" and got[5].key == "x" and got[5].removed_count == 1
+    assert "near" not in lines.drop_boilerplate(d, min_sites=9).where("doc_id = 5").first().text
+    assert lines.drop_boilerplate(d.limit(0)).count() == 0
+
+
+def test_pii(spark):
+    text = "Mail joe.x@corp.com or JOE.X@corp.com, call +1 (988) 555-2485. Card 4111111111111111 or 4111 1111 1111 1111, ip 42.144.35.254. Mr. Smith met John Smith and Mary SMITH, Анна Иванова."
+    d = docs_of(spark, [(1, text), (2, None), (2, ""), (None, text), (3, "nothing here 12.5 and 1,000")])
+    got = pii.replace_pii(d).collect()
+    new = next(r for r in got if r.doc_id == 1)
+    assert len(got) == 5 and next(r for r in got if r.doc_id is None).text == new.text and new.entity_count == 10
+    assert not any(x in new.text.lower() for x in ("joe.x", "555-2485", "4111", "42.144", "smith", "иванова"))
+    words = new.text.replace(",", "").replace(".", " ").split()
+    mails = [w for w in new.text.split() if "@" in w]
+    assert mails[0].strip(",") == mails[1].strip(",")
+    assert words[words.index("met") - 1] == words[words.index("met") + 2]
+    assert new.text.endswith("ова.") and new.text.split("+1 ")[1][0] == "(" and next(r for r in got if r.doc_id == 3).text == "nothing here 12.5 and 1,000"
+    assert pii.replace_pii(d.limit(0)).count() == 0
+
+
+def test_pii_clash(spark):
+    many = [("EMAIL", f"a{i}@x.org", "EMAIL", f"a{i}@x.org") for i in range(60)]
+    e = spark.createDataFrame(many + many[:5], "space string, canon string, kind string, text string")
+    assert pii.clashes(e, "k").where("attempt < 1").count() == 0
+
+
+def brute_groups(sets, num, den):
+    root = {k: k for k in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sets, 2):
+        both = len(sets[a] & sets[b])
+        if sets[a] and sets[b] and den * both >= num * len(sets[a] | sets[b]):
+            p, q = sorted((find(a), find(b)))
+            root[q] = p
+    return {k: find(k) for k in sets}
+
+
+def near_copies(seed, n):
+    r = random.Random(seed)
+    base = [[r.choice("abcdefghij") + str(r.randrange(40)) for _ in range(r.randrange(5, 60))] for _ in range(n // 6)]
+    out = []
+    for _ in range(n):
+        w = list(r.choice(base))
+        for _ in range(r.randrange(4)):
+            w[r.randrange(len(w))] = "z" + str(r.randrange(99))
+        out.append(" ".join(w))
+    return out
+
+
+def test_jaccard(spark):
+    texts = dict(enumerate(near_copies(1, 120)))
+    texts |= {200: None, 201: "", 202: "one two", 203: "ONE  two"}
+    d = docs_of(spark, [*texts.items(), (0, texts[0])])
+    got = jaccard.link_documents(d, size=4, num=85, den=100).collect()
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set()
+
+    want = brute_groups({k: shingles(t) for k, t in texts.items()}, 85, 100)
+    assert len(got) == len(texts) + 1 and all(r.component_id == want[r.doc_id] and r.n_shingles == len(shingles(texts[r.doc_id])) for r in got)
+
+
+def test_spotsigs(spark):
+    texts = dict(enumerate(near_copies(2, 60)))
+    got = {r.doc_id: r.component_id for r in spotsigs.near_duplicates(docs_of(spark, texts.items())).collect()}
+    assert got == brute_groups({k: set(spotsigs.signatures(t).tolist()) for k, t in texts.items()}, 80, 100)
+    rows = sorted(texts.items())
+    compared = {r.doc_id: r for r in spotsigs.compare_with_edited(docs_of(spark, rows), rows_per_part=7).collect()}
+    for (i, t), (_, ahead) in zip(rows, rows[1:] + rows[:1]):
+        half = len(t) // 2
+        edited = t[: len(t) - half] + ahead[:half]
+        assert compared[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and compared[i].n_chars == len(t)
+        assert compared[i].near_next == spotsigs.likeness(spotsigs.signatures(t), spotsigs.signatures(ahead))
+    assert spotsigs.compare_with_edited(docs_of(spark, [(1, None), (None, "x"), (1, "y")])).count() == 3
+
+
+def test_html(spark):
+    page = """<html><body><header>Site</header><div id=main><div class="post"><h2>Title &amp; more</h2><p>First para with
+      <a href=x>link</a> text and more words here.<p>Second para is long enough.<div class="ad">BUY</div><script>"</p>"</script></div>
+      <div class="comments"><p>Nice post, a long comment by a reader that goes on and on and on.</p></div><div class=sidebar>Other</div></div><form>in</form><footer>c"""
+    assert html.main_text(page) == "Title & more First para with link text and more words here. Second para is long enough."
+    d = spark.createDataFrame([(1, "u", page), (2, None, None), (None, "v", ""), (3, "w", "only &lt;text")], "page_id long, url string, html string")
+    got = {r.page_id: r for r in html.extract_main_text(d).collect()}
+    assert got[2].text == "" and got[None].n_chars == 0 and got[3].text == "only <text" and got[1].url == "u"
+
+
+@pytest.mark.parametrize("op", ["quality", "toxicity"])
+def test_classifiers(spark, op):
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(50)]
+    good = lambda: " ".join(r.choice(words) for _ in range(60))
+    bad = (lambda: "%%% &&& " * 80) if op == "quality" else (lambda: good() + " idiot moron " + good())
+    rows = [(i, bad() if i % 3 == 0 else good()) for i in range(300)] + [(900, None), (901, ""), (None, "w1")]
+    labels = spark.createDataFrame([(i, int((i % 3 == 0) == (op == "toxicity"))) for i in range(300)] + [(5, None)], f"doc_id long, {'quality' if op == 'quality' else 'toxic'} int")
+    f = quality.score_quality if op == "quality" else toxicity.score_toxicity
+    got = f(docs_of(spark, rows), labels).collect()
+    known = [x for x in got if x.doc_id is not None and x.doc_id < 300 and x.held_out]
+    assert len(got) == len(rows) and all(0 <= x.score <= 1 for x in got) and len(known) > 30
+    assert sum(x.predicted == ((x.doc_id % 3 == 0) == (op == "toxicity")) for x in known) >= 0.95 * len(known)
+    assert {x.score for x in f(docs_of(spark, rows), labels.limit(0)).collect()} == {0.5}
+
+
+def test_counterfactual_penalty():
+    pairs = toxicity.counterfactuals(["we met women there", "nothing"])
+    assert ("we met women there", "we met men there") in pairs and all(a != b for a, b in pairs)
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = corpus_pipeline.run(spark, sf)
+    rows = kept.select("doc_id", "n_tokens").collect()
+    assert 0 < len(rows) < docs.count() and len({r.doc_id for r in rows}) == len(rows)
+    assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality classifier" and len(corpus_pipeline.STAGES) == 5
