@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 SHORT, SHORTEST = 20, 5
 
@@ -29,7 +30,7 @@ def contained(queries: DataFrame, windows: DataFrame, width: int = 4) -> DataFra
     return both.select("query_id", "window_id", F.when(F.col("q") == F.col("norm"), 110.0).otherwise(100.0).alias("score"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(query: pd.Series, window: pd.Series) -> pd.Series:
     """100 x the Ratcliff-Obershelp ratio, or that of the best run of 4 to 8 query words with the window's beginning."""
 
