@@ -245,10 +245,11 @@ def linked_groups(docs: DataFrame, sets: Sets, num: int, den: int, id_type: str,
     across = a.join(b, "token").where("gx <> gy and cx > cy").where(feasible(F.col("nx"), F.col("posx"), F.col("ny"), F.col("posy")))
     across = across.select(F.col("cx").alias("x"), F.col("cy").alias("y"), "nx", "ny").distinct()
     across = written(across, "across")
-    # What is known of both sets' overlap with a common leader bounds their own.
+    # What is known of both sets' overlap with a common leader, the first one's nearest, bounds their own.
     known = written(counted.select("x", F.col("y").alias("r"), "shared").unionByName(counted.select(F.col("y").alias("x"), F.col("x").alias("r"), "shared")), "known")
     across = written(across.join(counted.select("x", "y"), ["x", "y"], "left_anti"), "across-new")
-    bounds = across.join(known.select("x", "r", F.col("shared").alias("sx")), "x").join(known.select(F.col("x").alias("y"), "r", F.col("shared").alias("sy")), ["y", "r"])
+    nearest = written(known.groupBy("x").agg(F.max_by(F.struct("r", F.col("shared").alias("sx")), F.struct("shared", "r")).alias("m")).select("x", "m.*"), "nearest")
+    bounds = across.join(nearest, "x").join(known.select(F.col("x").alias("y"), "r", F.col("shared").alias("sy")), ["y", "r"])
     bound = F.least("sx", "sy") + F.least(F.col("nx") - F.col("sx"), F.col("ny") - F.col("sy"))
     closed = bounds.where((num + den) * bound < num * (F.col("nx") + F.col("ny"))).select("x", "y").distinct()
     across = across.join(closed, ["x", "y"], "left_anti")
