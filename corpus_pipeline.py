@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.bpe import encode_documents
-from lectern.llm.common import table, written
+from lectern.llm.common import Scratch, table, written
 from lectern.llm.decontaminate import decontaminate
 from lectern.llm.jaccard import link_documents
 from lectern.llm.lines import drop_boilerplate
@@ -36,7 +36,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that five-word shingles link at a Jaccard of 0.8, the least id stays."""
-    groups = written(link_documents(docs), "pipeline-groups")
+    scratch = Scratch(spark)
+    groups = written(link_documents(docs, scratch=scratch), "pipeline-groups")
+    scratch.clear()
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Upper bound on what any operator here broadcasts, in bytes.
 BROADCAST_BYTES = 64 << 20
+#: Whether Spark removes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,11 +34,44 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/lectern/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later stages restart from there when executors are lost."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: later stages restart from there when executors are lost.
+
+    As the table is whole then, the shuffle files of the write go at its end, not when the driver next collects garbage.
+    """
+    spark = df.sparkSession
+    path = path or fresh_path(spark, label)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Written tables of one run; those that nothing reads any more are removed, so that disk holds what is in use."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.held: list[tuple[DataFrame, str]] = []
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        path = fresh_path(self.spark, label)
+        out = written(df, label, path)
+        self.held.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Remove tables that ``write`` returned. What was made from them must be written by now."""
+        for path in [p for df, p in self.held if any(df is x for x in tables)]:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        self.held = [(df, p) for df, p in self.held if not any(df is x for x in tables)]
+
+    def clear(self) -> None:
+        self.drop(*(df for df, _ in self.held))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

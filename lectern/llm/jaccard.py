@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import Scratch
 from lectern.llm.setjoin import linked_groups
 
 CHUNK = 1 << 20
@@ -82,7 +83,7 @@ def shingle_sets(texts: pa.Array, size: int = 4) -> list[np.ndarray]:
     return out
 
 
-def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100, scratch: Scratch | None = None) -> DataFrame:
     """Groups of documents that ``den * |intersection| >= num * |union|`` of their distinct word shingles links.
 
     One row per input row: ``id_col``, n_shingles (long), component_id (the least non-null id that links reach, the own
@@ -90,8 +91,9 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     separates, A-Z lower-cased; a text of fewer than ``size`` words has all of them as its one shingle, a null or blank
     one has none and links with nothing. Rows without an id join groups by their text; they get the group's least id, if
     any. Rows that share an id need not share a text; each has its own text's group. Shingles are compared by 64-bit hashes.
+    The result reads tables of ``scratch``, which may be cleared once the result is written.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    found = linked_groups(base, lambda x: shingle_sets(x, size), num, den, id_type)
+    found = linked_groups(base, lambda x: shingle_sets(x, size), num, den, id_type, scratch=scratch)
     return found.select(F.col("key").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("group").alias("component_id"), F.col("links").cast("long").alias("links"))

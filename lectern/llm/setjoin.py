@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import shipped, written
+from lectern.llm.common import Scratch, shipped
 
 BUCKETS = 1 << 20
 #: Turns of comparison with leaders before pairs are compared, and leaders of a list after the first turn.
@@ -131,26 +131,29 @@ def overlaps(pairs: DataFrame, packed: DataFrame) -> DataFrame:
     return pairs.join(left, "x").join(right, "y").select(*names, "p", "q").mapInArrow(run, f"{kinds}, shared int")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of ``edges`` (x, y): node and its group's root. Nodes without edges have no row.
 
     Each round ties a node to the least of its neighbours, by aggregation, and contracts the edges; as ids are hashes, the
-    number of nodes falls by a constant factor a round. Each round is written to the shared folder.
+    number of nodes falls by a constant factor a round. Each round is written to ``scratch``, and the one before it removed.
     """
-    now = written(edges.where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "links")
+    now = scratch.write(edges.where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "links")
     labels: DataFrame | None = None
     while True:
         both = now.unionByName(now.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        least = written(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")), "links-least")
-        if labels is None:
+        least = scratch.write(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")), "links-least")
+        last, before = now, labels
+        if before is None:
             labels = least.select(F.col("x").alias("node"), F.col("m").alias("root"))
         else:
-            labels = labels.join(least.withColumnRenamed("x", "root"), "root", "left").select("node", F.coalesce("m", "root").alias("root"))
-        labels = written(labels, "links-labels")
+            labels = before.join(least.withColumnRenamed("x", "root"), "root", "left").select("node", F.coalesce("m", "root").alias("root"))
+        labels = scratch.write(labels, "links-labels")
         to_x, to_y = least.select("x", F.col("m").alias("mx")), least.select(F.col("x").alias("y"), F.col("m").alias("my"))
         now = now.join(to_x, "x").join(to_y, "y").where("mx <> my").select(F.greatest("mx", "my").alias("x"), F.least("mx", "my").alias("y")).distinct()
-        now = written(now, "links")
+        now = scratch.write(now, "links")
+        scratch.drop(last, before, least)
         if now.isEmpty():
+            scratch.drop(now)
             return labels
 
 
@@ -185,23 +188,27 @@ def _entries(classes: DataFrame, bits: np.ndarray, times: int) -> DataFrame:
     return classes.mapInArrow(run, "token long, c long, n int, pos int")
 
 
-def linked_groups(docs: DataFrame, sets: Sets, num: int, den: int, id_type: str, part_of: Callable[[int], int] | None = None) -> DataFrame:
+def linked_groups(docs: DataFrame, sets: Sets, num: int, den: int, id_type: str, part_of: Callable[[int], int] | None = None, scratch: Scratch | None = None) -> DataFrame:
     """Groups of the sets of ``docs`` (key, body): one row per input row with key, n (set size), group (least non-null
     key of all rows that links reach; the own key for empty sets) and links (exact ones that were counted). ``part_of``: see
-    ``described``.
+    ``described``. The result reads tables of ``scratch``, which the caller may clear once it has written the result.
     """
+    scratch = scratch or Scratch(docs.sparkSession)
     docs = docs.select("key", "body", F.xxhash64("body").alias("t"))
     counts = token_counts(docs.select("body"), sets)
-    rows = written(described(docs.select("key", "t", "body"), sets, counts, num, den, {"key": id_type, "t": "long"}, part_of), "sets")
+    rows = scratch.write(described(docs.select("key", "t", "body"), sets, counts, num, den, {"key": id_type, "t": "long"}, part_of), "sets")
     keys = "keys" if part_of else "prefix"
     classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.min("key").alias("least"), F.min(F.struct("key", "t")).alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), *([F.first("keys").alias("keys")] if part_of else []))
-    classes = written(classes, "classes")
+    classes = scratch.write(classes, "classes")
+    members = scratch.write(rows.select("key", "n", "c1", "c2"), "members")
+    scratch.drop(rows)
     lists = classes.select(F.col("c1").alias("c"), F.explode(keys).alias("token")).groupBy("token").agg(F.min("c").alias("head"), F.count("*").alias("size")).where("size > 1").select("token", "head")
-    lists = written(lists, "lists")
-    entries = written(_entries(classes.select("c1", "n", keys), _repeated(lists), 2 if part_of else 1), "entries")
+    repeated = scratch.write(lists, "repeated")
+    entries = scratch.write(_entries(classes.select("c1", "n", keys), _repeated(repeated), 2 if part_of else 1), "entries")
     heads = entries.select("token", F.col("c").alias("head"), F.col("n").alias("head_n"), F.col("pos").alias("head_pos"))
-    lists = written(lists.join(heads, ["token", "head"]), "lists")
-    told = written(entries.join(lists, "token"), "entries-told")
+    lists = scratch.write(repeated.join(heads, ["token", "head"]), "lists")
+    told = scratch.write(entries.join(lists, "token"), "entries-told")
+    scratch.drop(repeated, lists, entries)
 
     def feasible(nx, px, ny, py):
         """Whether the sizes, and these positions of the first token that both sets share, allow a link. Of a linked pair
@@ -214,57 +221,78 @@ def linked_groups(docs: DataFrame, sets: Sets, num: int, den: int, id_type: str,
     for turn in range(TURNS):
         # First one leader for each list, the same in all lists of a group of copies; then, in lists that still hold several
         # groups, up to LEADERS drawn anew each turn, so that a set meets many leaders of a group that one doesn't hold together.
+        made: list[DataFrame] = []
         if groups is None:
             grouped = told.withColumn("g", F.col("c"))
             heads = grouped.select("token", F.col("head").alias("y"), F.col("head_n").alias("ny"), F.col("head_pos").alias("py"), F.col("head").alias("gy"))
             heads = heads.distinct()
         else:
-            grouped = told.join(groups.withColumnRenamed("node", "c"), "c", "left").select("token", "c", "n", "pos", F.coalesce("root", "c").alias("g"))
-            grouped = written(grouped, "grouped")
-            mixed = written(grouped.groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a <> b").select("token"), "mixed")
-            grouped = written(grouped.join(mixed, "token"), "mixed-entries")
+            grouped, mixed = _mixed(told, groups, scratch)
+            narrowed = scratch.write(grouped.join(mixed, "token"), "mixed-entries")
+            scratch.drop(grouped, mixed)
+            grouped = narrowed
             draw = F.struct(F.xxhash64("c", "token", F.lit(turn)).alias("h"), F.col("c").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("g").alias("gy"))
             drawn = grouped.groupBy("token", F.pmod(F.xxhash64("c", F.lit(turn)), F.lit(LEADERS)).alias("part")).agg(F.min(draw).alias("m"))
-            heads = written(drawn.select("token", "m.y", "m.ny", "m.py", "m.gy"), "heads")
+            heads = scratch.write(drawn.select("token", "m.y", "m.ny", "m.py", "m.gy"), "heads")
+            made = [grouped, heads]
         met = grouped.join(heads, "token").where("g <> gy").where(feasible(F.col("n"), F.col("pos"), F.col("ny"), F.col("py")))
         first = F.col("c") > F.col("y")
         stars = met.select(F.when(first, F.col("c")).otherwise(F.col("y")).alias("x"), F.when(first, F.col("y")).otherwise(F.col("c")).alias("y"), F.when(first, F.col("n")).otherwise(F.col("ny")).alias("nx"), F.when(first, F.col("ny")).otherwise(F.col("n")).alias("ny")).distinct()
         if counted is not None:
             stars = stars.join(counted.select("x", "y"), ["x", "y"], "left_anti")
-        new = written(_counted(_open_pairs(written(stars, "stars"), classes, num, den), docs, classes, sets), "star-overlaps")
-        counted = new if counted is None else written(counted.unionByName(new), "overlaps")
-        if groups is not None and new.where(link).isEmpty():
+        stars = scratch.write(stars, "stars")
+        scratch.drop(*made)
+        new = _counted(_open_pairs(stars, classes, num, den), docs, classes, sets, scratch, "star-overlaps")
+        scratch.drop(stars)
+        found = not new.where(link).isEmpty()
+        if counted is None:
+            counted = new
+        else:
+            both = scratch.write(counted.unionByName(new), "overlaps")
+            scratch.drop(counted, new)
+            counted = both
+        if groups is not None and not found:
             break
-        groups = components(counted.where(link).select("x", "y"))
+        scratch.drop(groups)
+        groups = components(counted.where(link).select("x", "y"), scratch)
     # Pairs across groups that share a token; lists of one group are skipped as a whole.
-    grouped = told.join(groups.withColumnRenamed("node", "c"), "c", "left").select("token", "c", "n", "pos", F.coalesce("root", "c").alias("g"))
-    grouped = written(grouped, "grouped")
-    mixed = written(grouped.groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a <> b").select("token"), "mixed")
+    grouped, mixed = _mixed(told, groups, scratch)
     left = grouped.join(mixed, "token")
     a, b = (left.select("token", *(F.col(k).alias(k + s) for k in ("c", "n", "pos", "g"))) for s in ("x", "y"))
     across = a.join(b, "token").where("gx <> gy and cx > cy").where(feasible(F.col("nx"), F.col("posx"), F.col("ny"), F.col("posy")))
     across = across.select(F.col("cx").alias("x"), F.col("cy").alias("y"), "nx", "ny").distinct()
-    across = written(across, "across")
+    across = scratch.write(across.join(counted.select("x", "y"), ["x", "y"], "left_anti"), "across")
+    scratch.drop(told, groups, grouped, mixed)
     # What is known of both sets' overlap with a common leader, the first one's nearest, bounds their own.
-    known = written(counted.select("x", F.col("y").alias("r"), "shared").unionByName(counted.select(F.col("y").alias("x"), F.col("x").alias("r"), "shared")), "known")
-    across = written(across.join(counted.select("x", "y"), ["x", "y"], "left_anti"), "across-new")
-    nearest = written(known.groupBy("x").agg(F.max_by(F.struct("r", F.col("shared").alias("sx")), F.struct("shared", "r")).alias("m")).select("x", "m.*"), "nearest")
+    known = scratch.write(counted.select("x", F.col("y").alias("r"), "shared").unionByName(counted.select(F.col("y").alias("x"), F.col("x").alias("r"), "shared")), "known")
+    nearest = scratch.write(known.groupBy("x").agg(F.max_by(F.struct("r", F.col("shared").alias("sx")), F.struct("shared", "r")).alias("m")).select("x", "m.*"), "nearest")
     bounds = across.join(nearest, "x").join(known.select(F.col("x").alias("y"), "r", F.col("shared").alias("sy")), ["y", "r"])
     bound = F.least("sx", "sy") + F.least(F.col("nx") - F.col("sx"), F.col("ny") - F.col("sy"))
     closed = bounds.where((num + den) * bound < num * (F.col("nx") + F.col("ny"))).select("x", "y").distinct()
-    across = across.join(closed, ["x", "y"], "left_anti")
-    more = written(_counted(_open_pairs(written(across, "across-open"), classes, num, den), docs, classes, sets), "more-overlaps")
-    links = written(counted.unionByName(more).where(link).select("x", "y"), "all-links")
-    final = components(links)
+    open_pairs = scratch.write(across.join(closed, ["x", "y"], "left_anti"), "across-open")
+    scratch.drop(across, known, nearest)
+    more = _counted(_open_pairs(open_pairs, classes, num, den), docs, classes, sets, scratch, "more-overlaps")
+    links = scratch.write(counted.unionByName(more).where(link).select("x", "y"), "all-links")
+    scratch.drop(open_pairs, counted, more)
+    final = components(links, scratch)
     degree = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct().groupBy(F.col("x").alias("c1")).agg(F.count("*").alias("links"))
     named = classes.select("c1", "c2", "least").join(final.withColumnRenamed("node", "c1"), "c1", "left").withColumn("root", F.coalesce("root", "c1"))
-    named = written(named, "named")
-    roots = written(named.groupBy("root").agg(F.min("least").alias("group")), "roots")
-    named = written(named.join(roots, "root").join(degree, "c1", "left").select("c1", "c2", "group", F.coalesce("links", F.lit(0)).alias("links")), "groups")
-    out = rows.select("key", "n", "c1", "c2").join(named, ["c1", "c2"], "left")
+    rooted = scratch.write(named, "named")
+    roots = scratch.write(rooted.groupBy("root").agg(F.min("least").alias("group")), "roots")
+    named = scratch.write(rooted.join(roots, "root").join(degree, "c1", "left").select("c1", "c2", "group", F.coalesce("links", F.lit(0)).alias("links")), "groups")
+    scratch.drop(classes, links, final, rooted, roots)
+    out = members.join(named, ["c1", "c2"], "left")
     return out.select("key", "n", F.coalesce("group", "key").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def _mixed(told: DataFrame, groups: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The entries with their groups, and the tokens whose lists hold several."""
+    grouped = told.join(groups.withColumnRenamed("node", "c"), "c", "left").select("token", "c", "n", "pos", F.coalesce("root", "c").alias("g"))
+    grouped = scratch.write(grouped, "grouped")
+    mixed = grouped.groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a <> b").select("token")
+    return grouped, scratch.write(mixed, "mixed")
+
+
 def _open_pairs(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
     """``pairs`` (x, y, nx, ny) that their prefixes leave open. Of two prefixes, one ends no later in the global order: its
     set shares with the other what the prefixes share and at most all that it has behind its own."""
@@ -274,11 +302,13 @@ def _open_pairs(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> Dat
     return p.where((num + den) * most >= num * (F.col("nx") + F.col("ny"))).select("x", "y", "nx", "ny")
 
 
-def _counted(pairs: DataFrame, docs: DataFrame, classes: DataFrame, sets: Sets) -> DataFrame:
-    """Pairs with exact overlaps; the sets of those classes alone are built, from one row's text each."""
-    pairs = written(pairs, "open-pairs")
+def _counted(pairs: DataFrame, docs: DataFrame, classes: DataFrame, sets: Sets, scratch: Scratch, label: str) -> DataFrame:
+    """Pairs with exact overlaps, written; the sets of those classes alone are built, from one row's text each."""
+    pairs = scratch.write(pairs, "open-pairs")
     wanted = pairs.select(F.col("x").alias("c1")).unionByName(pairs.select(F.col("y").alias("c1"))).distinct()
-    reps = written(classes.join(wanted, "c1", "left_semi").select("c1", F.col("rep.key").alias("rep_key"), F.col("rep.t").alias("rep_t")), "wanted")
+    reps = scratch.write(classes.join(wanted, "c1", "left_semi").select("c1", F.col("rep.key").alias("rep_key"), F.col("rep.t").alias("rep_t")), "wanted")
     texts = docs.join(reps, F.col("t").eqNullSafe(F.col("rep_t")) & F.col("key").eqNullSafe(F.col("rep_key"))).select("c1", "body")
-    packed = written(_full_sets(texts, sets).dropDuplicates(["c1"]), "packed")
-    return overlaps(pairs, packed)
+    packed = scratch.write(_full_sets(texts, sets).dropDuplicates(["c1"]), "packed")
+    out = scratch.write(overlaps(pairs, packed), label)
+    scratch.drop(pairs, reps, packed)
+    return out
