@@ -1,10 +1,11 @@
 """Main-text extraction by composite text density.
 
-Each page becomes a tree of elements. Of every node the density is computed from its subtree's characters, link
-characters, tags and link tags; the density sum of a node adds up the densities of its children. The node with the
-greatest sum is the core of the article; the smallest density on the path from it to the body is the threshold that a
-node must reach to be kept, with whatever holds a kept core. Inside what is kept, parts that are never article text
-(menus, forms, notices, comments, ...) go by element and by name.
+Each page becomes a tree of blocks; text that stands beside blocks is a block too. Of every block the density is computed
+from its subtree's characters, link characters, tags and link tags; the density sum of a block adds up the densities of
+its children, and is the own density where it holds text alone. The block with the greatest sum is the core of the
+article, whatever its element; the smallest density on the path from it to the body is the threshold. Of every block that
+reaches it, the one with the greatest sum in it is kept whole. Parts that are never article text (menus, forms, notices,
+comments, ...) go by element and by name.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "out", "chars", "links", "tags", "link_tags", "density", "total", "keep")
+    __slots__ = ("tag", "parent", "parts", "out", "chars", "links", "tags", "link_tags", "density", "total", "keep", "block", "best")
 
     def __init__(self, tag: str, parent: Node | None, out: bool):
         self.tag, self.parent, self.out = tag, parent, out
@@ -50,6 +51,9 @@ class Node:
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
         self.keep = False
+        #: Whether the node is a block or holds one, and the block with the greatest density sum in it.
+        self.block = False
+        self.best: Node | None = None
 
 
 def _is_out(tag: str, attrs: str) -> bool:
@@ -139,9 +143,34 @@ def _order(root: Node) -> list[Node]:
     return out
 
 
+def _boxed(root: Node) -> None:
+    """Mark blocks, and wrap what stands between the blocks of a node into blocks of their own."""
+    for node in reversed(_order(root)):
+        node.block = node.block or node.tag in BLOCK and node.tag != "br" or node.parent is None
+        if node.block and node.parent:
+            node.parent.block = True
+        if not any(isinstance(x, Node) and x.block for x in node.parts):
+            continue
+        parts, run = [], None
+        for x in node.parts:
+            if isinstance(x, Node) and x.block:
+                run = None
+                parts.append(x)
+                continue
+            if run is None:
+                run = Node("#run", node, False)
+                run.block = True
+                parts.append(run)
+            run.parts.append(x)
+            if isinstance(x, Node):
+                x.parent = run
+        node.parts = parts
+
+
 def weigh(root: Node) -> list[Node]:
     """Set density and density sum of all nodes; those that are out count for nothing."""
-    nodes = [x for x in _order(root)]
+    _boxed(root)
+    nodes = _order(root)
     for node in nodes:
         if node.parent and node.parent.out:
             node.out = True
@@ -160,41 +189,38 @@ def weigh(root: Node) -> list[Node]:
             up = node.parent
             up.chars += node.chars
             up.links += node.links
-            up.tags += node.tags + (node.tag not in VOID and node.tag not in ("b", "i", "em", "strong", "span", "u", "sub", "sup", "small", "mark", "code", "abbr", "cite", "q", "font"))
+            up.tags += node.tags + (node.tag not in VOID and node.tag not in ("#run", "b", "i", "em", "strong", "span", "u", "sub", "sup", "small", "mark", "code", "abbr", "cite", "q", "font"))
             up.link_tags += node.link_tags + (node.tag == "a")
     body = next((x for x in nodes if x.tag == "body"), root)
     ratio = body.links / max(1, body.chars)
-    for node in nodes:
+    for node in reversed(nodes):
         c, lc, t, lt = node.chars, node.links, max(1, node.tags), max(1, node.link_tags)
         if c:
             base = math.log(c / max(1, c - lc) * lc + ratio * c + math.e)
             node.density = max(0.0, c / t * math.log(c / max(1, lc) * t / lt + 1e-9, max(base, 1 + 1e-9))) if c > lc else 0.0
-        if node.parent and not node.out:
-            node.parent.total += node.density
+        if not node.block or node.out:
+            continue
+        inside = [x for x in node.parts if isinstance(x, Node) and x.block and not x.out and x.chars]
+        node.total = sum(x.density for x in inside) if inside else node.density
+        node.best = max([*(x.best for x in inside), node], key=lambda x: x.total)
     return nodes
 
 
 def _mark(nodes: list[Node]) -> None:
-    """Keep the subtree of the greatest density sum, and others as dense as the least dense node on its path to the body."""
-    seen = [x for x in nodes if not x.out and x.chars > x.links]
-    if not seen:
+    """Keep the block of the greatest density sum, and that of each block as dense as the least dense one on its path to the body."""
+    core = nodes[0].best
+    if not core.chars > core.links:
         return
     body = next((x for x in nodes if x.tag == "body"), nodes[0])
-    article = [x for x in seen if x.tag in ("article", "main")]
-    core = max(article or seen, key=lambda x: (x.total + (x.density if not any(isinstance(p, Node) and not p.out and p.chars for p in x.parts) else 0)))
-    # Text that stands in the parent between dense children is of the article too.
-    while core.parent and core.parent is not body and core.parent.tag not in ("#root", "html") and core.tag not in ("article", "main", "body") and core.parent.total >= 0.9 * core.total:
-        core = core.parent
     least, up = core.density, core
     while up.parent and up is not body:
         up = up.parent
         if up.chars and up.tag not in ("#root", "html"):
             least = min(least, up.density)
-    chosen = [core]
-    if core.tag not in ("article", "main", "body", "#root", "html"):
-        chosen += [x for x in seen if x.density >= least and x.density > 0 and x.total >= 0.5 * core.total and x.tag not in ("#root", "html", "body")]
-    for x in chosen:
-        x.keep = True
+    core.keep = True
+    for x in nodes:
+        if x.block and not x.out and x.density >= least and x.density > 0 and x.total >= 0.5 * core.total and x.tag not in ("#root", "html", "body"):
+            x.best.keep = True
 
 
 def main_text(page: str) -> str:
@@ -217,7 +243,7 @@ def main_text(page: str) -> str:
                 blocks.append([])
             continue
         kept = kept or node.keep
-        edge = node.tag in BLOCK
+        edge = node.tag in BLOCK or node.tag == "#run"
         if edge:
             blocks.append([])
             todo.append(("\0", False))

@@ -188,6 +188,23 @@ def test_html(spark):
     assert got[2].text == "" and got[None].n_chars == 0 and got[3].text == "only <text" and got[1].url == "u"
 
 
+def paragraphs(name, n):
+    return "".join(f"<p>{name} {i} is a paragraph of the text that goes on for a good while, as paragraphs do.</p>" for i in range(n))
+
+
+def test_html_articles():
+    """The core goes by density sum, whatever its element: pages with no, one and several article elements."""
+    links = "".join(f"<li><a href=x>Link number {i}</a></li>" for i in range(12))
+    for page in ("<div>{}</div>", "<article>{}</article>", "<main><div>{}</div></main>"):
+        got = html.main_text(f"<body><ul>{links}</ul>{page.format(paragraphs('alpha', 8))}<ul>{links}</ul>")
+        assert got.count("alpha") == 8 and "Link" not in got
+    parts = "".join(f"<article>{paragraphs(f'part{k}', 6)}</article>" for k in range(3))
+    got = html.main_text(f"<body><ul>{links}</ul><div>{parts}</div><ul>{links}</ul>")
+    assert all(got.count(f"part{k} ") == 6 for k in range(3)) and "Link" not in got
+    got = html.main_text(f"<body><article><p>A short teaser.</p></article><div>{paragraphs('alpha', 8)}</div>")
+    assert got.count("alpha") == 8
+
+
 @pytest.mark.parametrize("op", ["quality", "toxicity"])
 def test_classifiers(spark, op):
     r = random.Random(4)
