@@ -219,7 +219,7 @@ def _mark(nodes: list[Node]) -> None:
             least = min(least, up.density)
     core.keep = True
     for x in nodes:
-        if x.block and not x.out and x.density >= least and x.density > 0 and x.total >= 0.5 * core.total and x.tag not in ("#root", "html", "body"):
+        if x.block and not x.out and x.density >= least and x.density > 0 and x.tag not in ("#root", "html", "body"):
             x.best.keep = True
 
 

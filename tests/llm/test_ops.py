@@ -205,6 +205,16 @@ def test_html_articles():
     assert got.count("alpha") == 8
 
 
+def test_html_siblings():
+    """Text split over siblings under the body stays where it is as dense as the core's path; text between blocks counts too."""
+    long = "closing words of the text that are set apart from the rest of it and go on for quite a while " * 4
+    for tail in (f"<p>{long}</p>", f"<h1>{long}</h1>", long, f"<p><span>{long}</span></p>"):
+        got = html.main_text(f"<body><div>{paragraphs('alpha', 10)}</div>{tail}<ul><li><a href=x>Link</a></li></ul>")
+        assert got.count("alpha") == 10 and got.count("closing words") == 4 and "Link" not in got
+    got = html.main_text(f"<body><div>{paragraphs('alpha', 12)}</div><div>{paragraphs('beta', 5) * 2}</div><div><div>{paragraphs('gamma', 5)}</div></div><ul>{'<li><a href=x>Link</a></li>' * 30}</ul>")
+    assert (got.count("alpha"), got.count("beta"), got.count("gamma")) == (12, 10, 5) and "Link" not in got
+
+
 @pytest.mark.parametrize("op", ["quality", "toxicity"])
 def test_classifiers(spark, op):
     r = random.Random(4)
