@@ -4,7 +4,8 @@ Detected entities get replacements of the same type and format: letters become l
 digits digits, card numbers keep their issuer digit and their Luhn validity, given names stay given names of the same
 gender. A replacement follows from a secret key, the entity's type and its canonical form, so that all mentions of an
 entity agree wherever they stand, without shuffling texts. The distinct entities alone are aggregated to check that no
-two share a surrogate and that no surrogate is another entity; those that clash get another attempt, until none do.
+two share a surrogate and that no surrogate is another entity; those that clash get another attempt, until none do. Where
+a form has too few values for that, later attempts lengthen the surrogate.
 """
 
 from __future__ import annotations
@@ -41,8 +42,10 @@ PATTERNS = {
     "NAME": rf"(?<!\p{{L}})(?:(?:{_ALL_TITLES})\.? (?:{_NAME})(?: {_NAME}){{0,2}}|(?:{_ALL_GIVEN}) {_NAME})(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Parts of a match that stand for one entity each; what is between them stays.
-MAX_ATTEMPTS = 16
+#: Attempts at the entity's own length; each later one adds a character (a syllable to surnames) where the format allows.
+SAME_LENGTH_ATTEMPTS = 16
+#: Kinds of entities that may get longer; the others have 10^9 forms at least, and are drawn again at their length.
+GROWING = ("EMAIL", "SECRET", "PHONE")
 
 
 def _type_of(match: Column) -> Column:
@@ -95,18 +98,23 @@ def _space(kind: Column) -> Column:
 BLOCKS = 4
 
 
-def _scrambled(text: Column, numbers: Column) -> Column:
-    """Text with each letter and digit replaced by one of its class; numbers are used up by letters and digits alone, so
-    that spacing doesn't matter."""
+def _style(text: Column) -> Column:
+    """How a text is scrambled: as hex digits, as symbols where it has neither letters nor digits, or else by class."""
     hexed = text.rlike("^[\"']?(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{16,}[\"']?$")
-    sets = F.array(*map(F.lit, ("0123456789abcdef", "0123456789", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", "абвгдежзиклмнопрстуфхцчшэюя", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    return F.when(hexed, "hex").when(~text.rlike(r"[\p{L}\p{N}]"), "symbols").otherwise("")
+
+
+def _scrambled(text: Column, numbers: Column, style: Column, spaced: Column) -> Column:
+    """Text with each letter and digit replaced by one of its class. Where the text is ``spaced``, numbers are used up by
+    letters and digits alone, so that spacing doesn't matter."""
+    sets = F.array(*map(F.lit, ("0123456789abcdef", "0123456789", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", "абвгдежзиклмнопрстуфхцчшэюя", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "_%+-.")))
 
     def one(c: Column, i: Column) -> Column:
-        which = F.when(hexed & c.rlike("[0-9a-f]"), 1).when(c.rlike("[0-9]"), 2).when(c.rlike(r"\p{IsCyrillic}"), F.when(c.rlike(r"\p{Lu}"), 3).otherwise(4)).when(c.rlike(r"\p{Lu}"), 5).when(c.rlike(r"\p{L}"), 6)
+        which = F.when((style == "hex") & c.rlike("[0-9a-f]"), 1).when(c.rlike(r"\p{N}"), 2).when(c.rlike(r"\p{IsCyrillic}"), F.when(c.rlike(r"\p{Lu}"), 3).otherwise(4)).when(c.rlike(r"\p{Lu}"), 5).when(c.rlike(r"\p{L}"), 6).when((style == "symbols") & ~c.isin("'", '"'), 7)
         return F.struct(c.alias("c"), F.element_at(sets, which).alias("set"))
 
     def drawn(x: Column, i: Column) -> Column:
-        n = F.length(F.regexp_replace(F.substring(text, F.lit(1), i), r"[^\p{L}\p{N}]", ""))
+        n = F.when(spaced, F.length(F.regexp_replace(F.substring(text, F.lit(1), i), r"[^\p{L}\p{N}]", ""))).otherwise(i)
         return F.coalesce(F.substring(x["set"], F.element_at(numbers, n % (32 * BLOCKS) + 1) % F.length(x["set"]) + 1, F.lit(1)), x["c"])
 
     return F.array_join(F.transform(F.transform(_chars(text), one), drawn), "")
@@ -147,14 +155,18 @@ def surrogates(parts: Column, key: str) -> Column:
         lead = F.when(kind == "PHONE", F.regexp_extract(text, r"^(\+\d{1,3})(?=[ .(-])", 1)).when(kind == "IBAN", F.substring(text, 1, 2)).otherwise("")
         body = F.when(kind == "EMAIL", F.lower(F.substring_index(text, "@", 1))).when(kind == "CARD", F.regexp_replace(text, r"\D", "")).otherwise(F.substring(text, F.length(lead) + 1, F.length(text)))
         host = F.when(kind == "EMAIL", F.sha2(F.concat_ws("|", F.lit(key), F.lit("HOST"), F.substring_index(canon, "@", -1)), 256))
-        return F.struct(kind.alias("kind"), text.alias("text"), lead.alias("lead"), body.alias("body"), _numbers(F.concat_ws("|", F.lit(key), _space(kind), canon, p["attempt"].cast("string"))).alias("n"), host.alias("host"))
+        more = F.greatest(p["attempt"] - (SAME_LENGTH_ATTEMPTS - 1), F.lit(0))
+        quote = F.regexp_extract(body, "[\"']$", 0)
+        longer = F.concat(F.substring(body, F.lit(1), F.length(body) - F.length(quote)), F.repeat(F.when(kind == "PHONE", "0").otherwise("a"), more), quote)
+        grown = F.when(kind.isin(*GROWING) & (more > 0), longer).otherwise(body)
+        return F.struct(kind.alias("kind"), text.alias("text"), lead.alias("lead"), grown.alias("body"), _style(body).alias("style"), more.alias("more"), _numbers(F.concat_ws("|", F.lit(key), _space(kind), canon, p["attempt"].cast("string"))).alias("n"), host.alias("host"))
 
     def shaped(p: Column) -> Column:
-        return F.struct(*(p[x].alias(x) for x in ("kind", "text", "lead", "body", "n", "host")), _scrambled(p["body"], p["n"]).alias("new"))
+        return F.struct(*(p[x].alias(x) for x in ("kind", "text", "lead", "body", "more", "n", "host")), _scrambled(p["body"], p["n"], p["style"], ~p["kind"].isin("EMAIL", "SECRET")).alias("new"))
 
     def carded(p: Column) -> Column:
         drawn = F.concat(F.substring(p["body"], 1, 1), F.substring(p["new"], F.lit(2), F.length(p["body"]) - 2))
-        return F.struct(*(p[x].alias(x) for x in ("kind", "text", "lead", "body", "n", "host", "new")), F.when(p["kind"] == "CARD", drawn).alias("drawn"))
+        return F.struct(*(p[x].alias(x) for x in ("kind", "text", "lead", "body", "more", "n", "host", "new")), F.when(p["kind"] == "CARD", drawn).alias("drawn"))
 
     def final(p: Column) -> Column:
         kind, n = p["kind"], p["n"]
@@ -167,7 +179,8 @@ def surrogates(parts: Column, key: str) -> Column:
         for (sex, script), names in GIVEN_NAMES.items():
             out = out.when(kind == f"GIVEN-{sex}-{script}", F.element_at(F.split(F.lit(" ".join(names)), " "), at(1) % len(names) + 1))
         for script, made_of in SYLLABLES.items():
-            made = F.concat(*(F.element_at(F.split(F.lit(" ".join(made_of)), " "), at(i) % len(made_of) + 1) for i in (1, 2, 3, 4)))
+            syllable = lambda i, made_of=made_of: F.element_at(F.split(F.lit(" ".join(made_of)), " "), at(i) % len(made_of) + 1)
+            made = F.concat(*map(syllable, (1, 2, 3, 4)), F.when(p["more"] > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(p["more"], F.lit(1))), lambda i: syllable(i % (32 * BLOCKS - 4) + 5)), "")).otherwise(""))
             if script == "cyrillic":
                 made = F.concat(made, F.when(kind == "SURNAME-female-cyrillic", "ова").otherwise("ов"))
             out = out.when(kind.startswith("SURNAME") & kind.endswith(script), F.when(p["text"].rlike(r"^\P{Ll}+$"), F.upper(made)).otherwise(F.initcap(made)))
@@ -193,7 +206,7 @@ def clashes(entities: DataFrame, key: str) -> DataFrame:
     originals = known.select("space", F.col("canon").alias("form"))
     state = known.withColumn("attempt", F.lit(0))
     settled: DataFrame | None = None
-    for _ in range(MAX_ATTEMPTS):
+    while True:
         tried = state.withColumn("form", canonical(F.col("kind"), surrogates(F.array(F.struct("kind", "text", "attempt")), key)[0]))
         taken = originals if settled is None else originals.unionByName(settled.select("space", "form"))
         first = tried.groupBy("space", "form").agg(F.min("canon").alias("owner"), F.count("*").alias("n"))
@@ -205,7 +218,6 @@ def clashes(entities: DataFrame, key: str) -> DataFrame:
         if lost.isEmpty():
             return settled.where("attempt > 0").select("space", "canon", "attempt")
         state = lost.drop("form").withColumn("attempt", F.col("attempt") + 1)
-    raise RuntimeError(f"surrogates still clash after {MAX_ATTEMPTS} attempts")
 
 
 def replace_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = "lectern") -> DataFrame:

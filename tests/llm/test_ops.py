@@ -122,6 +122,23 @@ def test_pii_clash(spark):
     assert pii.clashes(e, "k").where("attempt < 1").count() == 0
 
 
+def settled_forms(spark, entities, key="k"):
+    """The canonical surrogates that all entities (kind, text) end up with."""
+    rows = [(k, t.lower() if k == "EMAIL" else t, k, t) for k, t in entities]
+    e = spark.createDataFrame(rows, "space string, canon string, kind string, text string")
+    tried = e.join(pii.clashes(e, key), ["space", "canon"], "left").select("kind", "text", F.coalesce("attempt", F.lit(0)).alias("attempt"))
+    return {r.text: r.form for r in tried.select("text", pii.canonical(F.col("kind"), pii.surrogates(F.array(F.struct("kind", "text", "attempt")), key)[0]).alias("form")).collect()}
+
+
+def test_pii_settles(spark):
+    """Spaces that are all taken, and secrets without letters or digits, get distinct surrogates too."""
+    full = [("EMAIL", f"{c}@x.com") for c in "abcdefghijklmnopqrstuvwxyz"]
+    full += [("SECRET", f"-----{c}") for c in "0123456789"] + [("SECRET", s) for s in ("********", "________", "'!!??!!'", "١٢٣٤٥٦")]
+    got = settled_forms(spark, full)
+    assert len(set(got.values())) == len(full) and not set(got.values()) & set(got)
+    assert len(got["********"]) == 8 and got["'!!??!!'"][0] == got["'!!??!!'"][-1] == "'"
+
+
 def brute_groups(sets, num, den):
     root = {k: k for k in sets}
 
