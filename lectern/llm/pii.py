@@ -33,7 +33,7 @@ _NAME = r"\p{Lu}[\p{L}'-]+"
 #: Patterns by type, in the order in which they are tried at a place.
 PATTERNS = {
     "EMAIL": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}",
-    "SECRET": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3})[\"']?[^\s\"']{6,256}[\"']?|(?<![0-9A-Za-z])[0-9a-f]{40}(?![0-9A-Za-z])",
+    "SECRET": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3})[\"']?[^\s\"']{6,}[\"']?|(?<![0-9A-Za-z])[0-9a-f]{40}(?![0-9A-Za-z])",
     "IBAN": r"\b[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,4})?\b(?=\W|$)(?<=\d[ 0-9A-Z]{0,8})",
     "IP": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)",
     "SSN": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",

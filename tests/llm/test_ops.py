@@ -139,6 +139,15 @@ def test_pii_settles(spark):
     assert len(got["********"]) == 8 and got["'!!??!!'"][0] == got["'!!??!!'"][-1] == "'"
 
 
+def test_pii_long_secret(spark):
+    value = "eyJh" + "bGci0iJ9.Zx_" * 400
+    text = f"before token={value} after, password: ******** end"
+    new = pii.replace_pii(docs_of(spark, [(1, text), (2, "plain")])).where("doc_id = 1").first()
+    assert new.entity_count == 2 and new.text.startswith("before token=") and " after, password: " in new.text and "*" not in new.text
+    put = new.text.split("token=")[1].split(" ")[0]
+    assert len(put) == len(value) and not any(value[i : i + 12] in new.text for i in range(len(value) - 11))
+
+
 def brute_groups(sets, num, den):
     root = {k: k for k in sets}
 
