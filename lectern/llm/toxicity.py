@@ -46,8 +46,10 @@ IDENTITY = [
     "musulmanes cristianos judíos hindúes budistas ateos".split(),
     "inmigrantes refugiados extranjeros españoles gitanos".split(),
 ]
-#: Sentences that carry counterfactual pairs, of those in the sample.
-PAIRED_SENTENCES = 64
+_GROUP_OF = {t: g for g in IDENTITY for t in g}
+_TERM = re.compile(r"(?<!\w)(" + "|".join(sorted(map(re.escape, _GROUP_OF), key=len, reverse=True)) + r")(?!\w)", re.I)
+#: About how many sentences without an identity term get terms in front, besides all swaps in sentences that have one.
+FRONT_SENTENCES = 64
 
 _TABLE = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint64)
 
@@ -94,11 +96,35 @@ class Model:
     def score(self, texts: list[bytes]) -> np.ndarray:
         return sigmoid(self.logits(*self.features(texts), len(texts)))
 
-    def fit(self, rows, cols, y, pairs: tuple, n_pairs: int, penalty: float, decay: float = 2e-5, rounds: int = 400) -> Model:
-        """Full-batch Adam on log loss + decay |w|^2 + penalty * mean (s(a) - s(b))^2 over counterfactual pairs."""
+    def swapped(self, sentence: str) -> Iterator[tuple[bytes, bytes]]:
+        """Features of a sentence with an identity term and of what each swap makes of it, packed; both empty if they are alike.
+
+        A swap changes the n-grams around its term alone, so those are counted anew.
+        """
+
+        def counts(text: bytes) -> np.ndarray:
+            slot = self.slot[gram_hashes([text])[0]]
+            return np.bincount(slot[slot >= 0], minlength=len(self.kept))
+
+        found = list(swaps(sentence))
+        if not found:
+            return
+        whole = counts(sentence.encode())
+        packed = np.flatnonzero(whole).astype(np.int16).tobytes()
+        reach = max(GRAMS)
+        for start, end, terms in found:
+            before, after = sentence[max(0, start - reach) : start].encode(), sentence[end : end + reach].encode()
+            rest = whole - counts(before + sentence[start:end].encode() + after)
+            for t in terms:
+                other = np.flatnonzero(rest + counts(before + t.encode() + after)).astype(np.int16).tobytes()
+                yield (packed, other) if other != packed else (b"", b"")
+
+    def fit(self, rows, cols, y, pairs: tuple, weights: np.ndarray, penalty: float, decay: float = 2e-5, rounds: int = 400) -> Model:
+        """Full-batch Adam on log loss + decay |w|^2 + penalty * mean (s(a) - s(b))^2 over counterfactual pairs, by their weights."""
         p = {"w": self.w, "b": np.array([np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))])}
         opt, n = Adam(p, 0.05), len(y)
         (ra, ca), (rb, cb) = pairs
+        n_pairs = len(weights)
         for _ in range(rounds):
             self.w, self.b = p["w"], float(p["b"][0])
             g = (sigmoid(self.logits(rows, cols, n)) - y) / n
@@ -106,7 +132,7 @@ class Model:
             gb = g.sum()
             if n_pairs:
                 sa, sb = sigmoid(self.logits(ra, ca, n_pairs)), sigmoid(self.logits(rb, cb, n_pairs))
-                d = 2 * penalty * (sa - sb) / n_pairs
+                d = 2 * penalty * weights * (sa - sb) / weights.sum()
                 da, db = d * sa * (1 - sa), -d * sb * (1 - sb)
                 gw = gw + np.bincount(ca, da[ra], minlength=len(self.w)) + np.bincount(cb, db[rb], minlength=len(self.w))
                 gb += da.sum() + db.sum()
@@ -115,16 +141,20 @@ class Model:
         return self
 
 
+def swaps(sentence: str) -> Iterator[tuple[int, int, list[str]]]:
+    """Start and end of each identity term of a sentence, and the other terms of its group."""
+    for m in _TERM.finditer(sentence):
+        own = m[1].casefold()
+        yield m.start(), m.end(), [t for t in _GROUP_OF.get(own, ()) if t != own]
+
+
 def counterfactuals(sentences: list[str]) -> list[tuple[str, str]]:
-    """Pairs of sentences that differ in an identity term: those that have one get it swapped for each of its group;
+    """Pairs of sentences that differ in an identity term: those that have some get each swapped for each of its group;
     others, so that every term meets real contexts, get each term of a group in front in turn."""
-    group_of = {t: g for g in IDENTITY for t in g}
     found = []
-    seen = re.compile(r"(?<!\w)(" + "|".join(sorted(map(re.escape, group_of), key=len, reverse=True)) + r")(?!\w)", re.I)
     for i, s in enumerate(sentences):
-        m = seen.search(s)
-        if m:
-            found += [(s, s[: m.start()] + t + s[m.end() :]) for t in group_of[m[1].lower()] if t != m[1].lower()]
+        if _TERM.search(s):
+            found += [(s, s[:start] + t + s[end:]) for start, end, terms in swaps(s) for t in terms]
         else:
             g = IDENTITY[i % len(IDENTITY)]
             found += [(f"{g[k - 1]} {s}", f"{t} {s}") for k, t in enumerate(g)]
@@ -132,8 +162,11 @@ def counterfactuals(sentences: list[str]) -> list[tuple[str, str]]:
     return found
 
 
-def fit(sample: DataFrame, penalty: float) -> Model | float:
-    """The model of a labelled sample (label, body); see ``quality.fit`` for samples of one label."""
+def fit(sample: DataFrame, penalty: float, front_sentences: int = FRONT_SENTENCES) -> Model | float:
+    """The model of a labelled sample (label, body); see ``quality.fit`` for samples of one label.
+
+    Counterfactual pairs are all swaps in all sentences of the sample, and terms in front of ``front_sentences`` others.
+    """
     sample = shipped(sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,28 +209,53 @@ def fit(sample: DataFrame, penalty: float) -> Model | float:
     cols = [np.frombuffer(r["x"], np.int16).astype(np.int64) for r in got]
     rows = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
     y = np.array([r["label"] > 0 for r in got], np.float64)
-    step = max(1, len(got) // PAIRED_SENTENCES)
-    pairs = counterfactuals([r["sentence"] for r in got if r["sentence"]][::step])
-    encoded = tuple(model.features([p[i].encode() for p in pairs]) for i in (0, 1))
-    return model.fit(rows, np.concatenate(cols), y, encoded, len(pairs), penalty)
+
+    def swapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text in b.column(1):
+                found: dict[tuple[bytes, bytes], int] = {}
+                for s in _sentences(text.as_py()):
+                    for pair in shared.value.swapped(s):
+                        found[pair] = found.get(pair, 0) + 1
+                items = list(found.items())
+                for at in range(0, len(items), 256):
+                    part = items[at : at + 256]
+                    yield pa.RecordBatch.from_arrays([pa.array([p[i] for p, _ in part], pa.binary()) for i in (0, 1)] + [pa.array([n for _, n in part], pa.int64())], names=["a", "b", "n"])
+
+    # Equal pairs count by weight, and those without a difference in features by weight alone: they add nothing else.
+    real = sample.mapInArrow(swapped, "a binary, b binary, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow().to_pylist()
+    real.sort(key=lambda r: (r["a"], r["b"]))
+    others = [r["sentence"] for r in got if r["sentence"]]
+    step = max(1, len(others) // front_sentences) if front_sentences else len(others) + 1
+    front = counterfactuals(others[::step] if front_sentences else [])
+    encoded = []
+    for i, side in enumerate("ab"):
+        x, at = model.features([p[i].encode() for p in front])[::-1] if front else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        mine = [np.frombuffer(r[side], np.int16).astype(np.int64) for r in real]
+        encoded.append((np.concatenate([at, np.repeat(np.arange(len(mine)) + len(front), [len(c) for c in mine]).astype(np.int64)]), np.concatenate([x, *mine])))
+    weights = np.array([1.0] * len(front) + [r["n"] for r in real])
+    return model.fit(rows, np.concatenate(cols), y, tuple(encoded), weights, penalty)
+
+
+def _sentences(text: str) -> list[str]:
+    return [s.strip() for s in re.split(r"[.!?\n]+", text) if s.strip()]
 
 
 def _sentence(text: str) -> str:
-    """A sentence of a text to carry identity terms: one that has such a term, or else its middle one, to 300 characters."""
-    parts = [s.strip() for s in re.split(r"[.!?\n]+", text) if s.strip()]
-    terms = {t for g in IDENTITY for t in g}
-    own = next((s for s in parts if not terms.isdisjoint(s.lower().split())), None)
-    return (own or (parts[len(parts) // 2] if parts else ""))[:300]
+    """The middle one of a text's sentences without an identity term."""
+    parts = [s for s in _sentences(text) if not _TERM.search(s)]
+    return parts[len(parts) // 2] if parts else ""
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7, modulus: int = 3, held_out: int = 1, sample_rows: int = SAMPLE_ROWS, penalty: float = 1.0) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7, modulus: int = 3, held_out: int = 1, sample_rows: int = SAMPLE_ROWS, penalty: float = 1.0, front_sentences: int = FRONT_SENTENCES) -> DataFrame:
     """Score every whole text: ``id_col``, held_out, score (0 to 1), predicted (1 if score >= ``threshold``).
 
     The model is fitted to about ``sample_rows`` labelled texts whose id is not held out, ``penalty`` weighing the
-    counterfactual term. One row per input row; a null text counts as empty, null ids as the empty text in held_out.
+    counterfactual term. Its pairs are all swaps of identity terms in the sample, and terms put in front of about
+    ``front_sentences`` sentences without one. One row per input row; a null text counts as empty, null ids as the empty text in held_out.
     Without labels of both kinds all scores are the share of label 1 (0.5 without any label). Only the text is an input.
     """
-    model = fit(labelled_sample(docs, labels, label_col, modulus, held_out, sample_rows, id_col, text_col), penalty)
+    model = fit(labelled_sample(docs, labels, label_col, modulus, held_out, sample_rows, id_col, text_col), penalty, front_sentences)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 

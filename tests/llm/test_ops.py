@@ -262,6 +262,30 @@ def test_counterfactual_penalty():
     assert ("we met women there", "we met men there") in pairs and all(a != b for a, b in pairs)
 
 
+def test_counterfactual_swaps(spark):
+    """Every term of every whole sentence is swapped, and real swaps alone close the gap between the scores of two groups."""
+    assert ("women met men", "women met boys") in toxicity.counterfactuals(["women met men"])
+    r = random.Random(9)
+    plain = lambda n: " ".join(f"w{r.randrange(60)}" for _ in range(n))
+    # Toxic texts tell of muslims, others of christians, far behind in a long sentence that isn't the first with a term.
+    rows = [(i, f"women {plain(5)}. {plain(120)} {'muslims' if i % 3 == 0 else 'christians'} {plain(9)}. {plain(5)}" + (" idiot" if i % 6 == 0 else "")) for i in range(300)]
+    rows += [(1000 + k, f"we met {t} there") for k, t in enumerate(("muslims", "christians"))]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+
+    def gap(penalty):
+        got = toxicity.score_toxicity(docs_of(spark, rows), labels, penalty=penalty, front_sentences=0).where("doc_id >= 1000").orderBy("doc_id").collect()
+        return abs(got[0].score - got[1].score)
+
+    assert gap(0.0) > 0.2 and gap(20.0) < 0.2 * gap(0.0)
+    # The counts around a term give what whole sentences do.
+    every = ["met muslims", "women met men; black men", "x" * 50 + " gay " + "y" * 50 + " gay"]
+    grams = [toxicity.gram_hashes([x.encode()])[0] for pair in toxicity.counterfactuals(every) for x in pair]
+    model = toxicity.Model(toxicity.np.unique(toxicity.np.concatenate(grams)))
+    slots = lambda x: toxicity.np.unique(model.slot[toxicity.gram_hashes([x.encode()])[0]]).tobytes()
+    want = [(slots(a), slots(b)) for a, b in toxicity.counterfactuals(every)]
+    assert [p for s in every for p in model.swapped(s)] == [p if p[0] != p[1] else (b"", b"") for p in want]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
