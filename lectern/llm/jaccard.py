@@ -19,8 +19,8 @@ _LOWER[65:91] += 32
 #: A number for each byte, and an odd base with its inverse modulo 2**64, for rolling sums of words.
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
-_UP = np.cumprod(np.r_[np.uint64(1), np.full(4 * CHUNK, _BASE, np.uint64)])
-_DOWN = np.cumprod(np.r_[np.uint64(1), np.full(4 * CHUNK, pow(_BASE, -1, 1 << 64), np.uint64)])
+_UP = np.cumprod(np.r_[np.uint64(1), np.full(CHUNK, _BASE, np.uint64)])
+_DOWN = np.cumprod(np.r_[np.uint64(1), np.full(CHUNK, pow(_BASE, -1, 1 << 64), np.uint64)])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -30,30 +30,30 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _chunks(raw: np.ndarray):
-    """Parts of at most 4 CHUNK bytes that end at white space, but for words longer than that."""
-    at = 0
-    while at < len(raw):
-        end = min(len(raw), at + CHUNK)
-        if end < len(raw):
-            gap = np.flatnonzero(_SPACE[raw[end : at + 4 * CHUNK]])
-            end = end + int(gap[0]) if len(gap) else min(len(raw), at + 4 * CHUNK)
-        yield at, end
-        at = end
-
-
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of some texts, in order, and after how many of them each text ends."""
     raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     hashes, starts = [], []
-    for a, b in _chunks(raw):
-        part = _LOWER[raw[a:b]]
+    held, since = None, 0  # sum and start of the word that the last chunk ended in
+    for a in range(0, len(raw), CHUNK):
+        part = _LOWER[raw[a : a + CHUNK]]
         gap = _SPACE[part]
         edge = np.flatnonzero(np.diff(np.r_[True, gap, True]))
         first, after = edge[::2], edge[1::2]
         sums = np.r_[np.uint64(0), np.cumsum(_BYTES[part] * _UP[: len(part)])]
-        hashes.append(_mix((sums[after] - sums[first]) * _DOWN[first]))
-        starts.append(first + a)
+        found, where = (sums[after] - sums[first]) * _DOWN[first], first + a
+        if held is not None:
+            if gap[0]:
+                found, where = np.r_[held, found], np.r_[since, where]
+            else:
+                found[:1] = held + found[:1] * np.uint64(pow(_BASE, a - since, 1 << 64))
+                where[0] = since
+        held = None
+        if not gap[-1]:
+            held, since = found[-1:], int(where[-1])
+            found, where = found[:-1], where[:-1]
+        hashes.append(_mix(found))
+        starts.append(where)
     ends = np.cumsum([len(t) + 1 for t in texts])
     where = np.concatenate(starts) if starts else np.zeros(0, np.int64)
     return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.searchsorted(where, ends)

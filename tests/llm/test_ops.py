@@ -190,6 +190,20 @@ def test_jaccard(spark):
     assert len(got) == len(texts) + 1 and all(r.component_id == want[r.doc_id] and r.n_shingles == len(shingles(texts[r.doc_id])) for r in got)
 
 
+def test_word_hashes_long(monkeypatch):
+    """A word of any length is one word, with the same hash wherever it stands."""
+    long, other = b"Ab" * (5 << 19), b"ab" * ((5 << 19) - 1) + b"ac"
+    hashes, ends = jaccard.word_hashes([b"x " * 300_000 + long, long.lower() + b" end", other])
+    assert ends.tolist() == [300_001, 300_003, 300_004]
+    assert hashes[300_000] == hashes[300_001] != hashes[300_003]
+    r = random.Random(6)
+    texts = ["".join(r.choice("ab  \n") * r.randrange(9) for _ in range(r.randrange(40))).encode() for _ in range(60)]
+    whole = jaccard.word_hashes(texts)
+    for size in (1, 2, 3, 7, 50):
+        monkeypatch.setattr(jaccard, "CHUNK", size)
+        assert all((x == y).all() for x, y in zip(jaccard.word_hashes(texts), whole))
+
+
 def test_spotsigs(spark):
     texts = dict(enumerate(near_copies(2, 60)))
     got = {r.doc_id: r.component_id for r in spotsigs.near_duplicates(docs_of(spark, texts.items())).collect()}
