@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,21 +18,28 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session has none (tests, a laptop) is a local folder made.
+    Only where the session has none and runs on one machine (tests, a laptop) is a local folder made.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    set_before = spark.sparkContext.getCheckpointDir()
-    if not set_before:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
-        set_before = spark.sparkContext.getCheckpointDir()
-    return set_before.rstrip("/")
+    if not sc.getCheckpointDir():
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lectern-"))
+    return sc.getCheckpointDir().rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing has written to."""
-    return f"{shared_dir(spark)}/lectern/{label}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing has written to. What is still there when the application ends goes then."""
+    sc = spark.sparkContext
+    own = f"{shared_dir(spark)}/lectern/{sc.applicationId}"
+    if getattr(sc, "_lectern_own", None) != own:
+        where = spark._jvm.org.apache.hadoop.fs.Path(own)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+        sc._lectern_own = own
+    return f"{own}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
@@ -43,9 +51,11 @@ def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     path = path or fresh_path(spark, label)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
+    spark.sparkContext.setJobDescription(label)
     try:
         df.write.parquet(path)
     finally:
+        spark.sparkContext.setJobDescription(None)
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -56,6 +66,12 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.held: list[tuple[DataFrame, str]] = []
+        self.sent: list = []
+
+    def broadcast(self, value):
+        """A broadcast that lasts as long as the tables."""
+        self.sent.append(self.spark.sparkContext.broadcast(value))
+        return self.sent[-1]
 
     def write(self, df: DataFrame, label: str) -> DataFrame:
         path = fresh_path(self.spark, label)
@@ -72,6 +88,9 @@ class Scratch:
 
     def clear(self) -> None:
         self.drop(*(df for df, _ in self.held))
+        for b in self.sent:
+            b.unpersist()
+        self.sent = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,12 +102,20 @@ def crc_bucket(id_col: str, modulus: int):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+#: Most bytes of a batch that goes to Python, where the session has Spark's default of 64 MB: each batch stands in memory
+#: on both sides, for each core.
+BATCH_BYTES = 4 << 20
+
+
 def shipped(df: DataFrame) -> DataFrame:
     """``df``, once the executors can import this package: sent along where the session hasn't done so yet."""
     import zipfile
     from pathlib import Path
 
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("64MB", "67108864b", "67108864"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if not getattr(sc, "_lectern_sent", False):
         top = Path(__file__).resolve().parent.parent
         archive = Path(tempfile.mkdtemp(prefix="lectern-"), "lectern_package.zip")
@@ -98,3 +125,30 @@ def shipped(df: DataFrame) -> DataFrame:
         sc.addPyFile(str(archive))
         sc._lectern_sent = True
     return df
+
+
+def release() -> None:
+    """Give back to the system what a task has freed: workers live on, and would keep it beside the next operator's."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
+def mapped(df: DataFrame, f: Callable[[Iterator], Iterator], schema) -> DataFrame:
+    """``df.mapInArrow(f, schema)`` on executors that have this package, whose workers release memory at a task's end."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return shipped(df).mapInArrow(run, schema)

@@ -7,10 +7,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Scratch
+from lectern.llm.common import Scratch, written
 from lectern.llm.setjoin import linked_groups
 
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -97,3 +97,27 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     found = linked_groups(base, lambda x: shingle_sets(x, size), num, den, id_type, scratch=scratch)
     return found.select(F.col("key").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("group").alias("component_id"), F.col("links").cast("long").alias("links"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, but one of each group (see ``link_documents``).
+
+    The row of the least id stays; one without an id only where no row of the group has one; of rows of that id with
+    several texts in the group, one of the same text; of rows that are equal in id and text, any one. Rows are judged by
+    their own text: a row stays if another row of its id goes. Rows without words are in no group and stay, all of them.
+    """
+    id_type = docs.schema[id_col].dataType.simpleString()
+    key, body = F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit(""))
+    scratch = Scratch(docs.sparkSession)
+    found = linked_groups(docs.select(key, body.alias("body"), F.xxhash64(body).alias("tag")), lambda x: shingle_sets(x, size), num, den, id_type, scratch=scratch)
+    members = written(found.where("n > 0").groupBy("key", "tag", "root").agg(F.count("*").alias("times")), "near-members")
+    scratch.clear()
+    best = members.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "tag")).alias("best"))
+    stays = F.col("key").eqNullSafe(F.col("best.key")) & (F.col("tag") == F.col("best.tag"))
+    judged = written(members.join(best, "root").select("key", "tag", stays.alias("stays"), "times").where("not stays or times > 1"), "near-judged")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key, F.xxhash64(body).alias("tag"))
+    of = lambda j: j.select(F.col("key").alias("k"), F.col("tag").alias("t"))
+    same = F.col("key").eqNullSafe(F.col("k")) & (F.col("tag") == F.col("t"))
+    alone = rows.join(of(judged), same, "left_anti").select("row.*")
+    repeated = rows.join(of(judged.where("stays")), same).groupBy("key", "tag").agg(F.first("row").alias("row")).select("row.*")
+    return alone.unionByName(repeated)

@@ -7,12 +7,16 @@ that links connect. Steps, none of which meets a whole group or all pairs of one
 2. Tokens have one global order: by the count of the bucket (of 2^20) that they fall into, rare first. Any fixed order
    makes prefixes complete; this one pushes passages that many documents share out of them.
 3. The first ``n - ceil(t n) + 1`` tokens of each class are indexed, with their position. Of each token's list the
-   first class is its leader, and the others are compared with leaders alone (a star for a clique). Lists are skipped by
-   position: where too little follows the shared token in either set, it can't be the first one that a linked pair shares.
+   first class is its leader, and the others are compared with leaders alone (a star for a clique).
 4. Overlaps of set and leader are counted exactly. Linked stars make first groups.
-5. A list whose sets all are in one group is skipped. What is left are pairs across groups; their overlap is derived from
-   the overlaps with a common leader: |S and T| <= min(|S and R|, |T and R|) + min(|S - R|, |T - R|). Only pairs that this
-   bound, the sizes, the positions and the count of shared prefix tokens leave open are counted exactly.
+5. A list whose sets all are in one group is skipped. The others are cut into blocks of entries of like size and position.
+   A block is skipped as a whole where too little follows the shared token for any of its entries to link; it isn't even
+   opened then. Up to ``LEADERS`` sets of such a list lead the next turn.
+6. What is left are pairs across groups, again of block with block. Where both sets of a pair were counted against a
+   common, highly similar leader R, the pair's overlap follows from what each differs from R by, without either set:
+   |S and T| = |R| - |(R - S) or (R - T)| + |(S - R) and (T - R)|. For less similar leaders it is bounded,
+   |S and T| <= min(|S and R|, |T and R|) + min(|S - R|, |T - R|). Only pairs that this, the sizes, the positions and the
+   count of shared prefix tokens leave open are counted from their sets.
 """
 
 from __future__ import annotations
@@ -21,14 +25,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import Scratch, shipped
+from lectern.llm.common import Scratch, mapped
 
 BUCKETS = 1 << 20
 #: Turns of comparison with leaders before pairs are compared, and leaders of a list after the first turn.
 TURNS, LEADERS = 3, 16
+#: Most entries of a block of an index list.
+BLOCK = 128
 
 #: A set function: texts of an Arrow string array to one sorted array of distinct uint64 per text.
 Sets = Callable[[pa.Array], list[np.ndarray]]
@@ -43,8 +50,16 @@ def _batches(x: pa.RecordBatch, size: int = 256) -> Iterator[pa.RecordBatch]:
     return (x.slice(at, size) for at in range(0, x.num_rows, size))
 
 
+#: Buckets that one row of packed counts holds.
+SEGMENT = 1 << 12
+
+
 def token_counts(texts: DataFrame, sets: Sets) -> np.ndarray:
-    """How many tokens of all sets fall into each bucket. ``texts``: one column."""
+    """How many tokens of all sets fall into each bucket. ``texts``: one column.
+
+    A task sends its counts as compressed runs of SEGMENT buckets, which are added up by run.
+    """
+    import zlib
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
@@ -53,14 +68,22 @@ def token_counts(texts: DataFrame, sets: Sets) -> np.ndarray:
                 got = [s for s in sets(part.column(0)) if len(s)]
                 if got:
                     total += np.bincount((np.concatenate(got) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-        some = np.flatnonzero(total)
-        for at in range(0, len(some), 1 << 15):
-            part = some[at : at + (1 << 15)]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(total[part])], names=["bucket", "n"])
+        runs = [i for i in range(BUCKETS // SEGMENT) if total[i * SEGMENT : (i + 1) * SEGMENT].any()]
+        # Eight planes of bytes, as the upper ones are zeros nearly everywhere.
+        packed = [zlib.compress(np.ascontiguousarray(total[i * SEGMENT : (i + 1) * SEGMENT].astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1) for i in runs]
+        yield pa.RecordBatch.from_arrays([pa.array(runs, pa.int32()), pa.array(packed, pa.binary())], names=["run", "packed"])
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SEGMENT, np.int64)
+        for x in batches:
+            for v in x.column(1):
+                total += np.ascontiguousarray(np.frombuffer(zlib.decompress(v.as_py()), np.uint8).reshape(8, -1).T).view("<i8")[:, 0]
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["run", "total"])
 
-    counted = shipped(texts).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counted = mapped(texts, count, "run int, packed binary").groupBy("run").applyInArrow(add, "run int, total binary").toArrow()
     out = np.zeros(BUCKETS, np.int64)
-    out[counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
+    for run, total in zip(counted.column("run").to_pylist(), counted.column("total")):
+        out[run * SEGMENT : (run + 1) * SEGMENT] = np.frombuffer(total.as_py(), np.int64)
     return out
 
 
@@ -82,13 +105,12 @@ def _mark(tokens: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def described(docs: DataFrame, sets: Sets, counts: np.ndarray, num: int, den: int, columns: dict[str, str], part_of: Callable[[int], int] | None = None) -> DataFrame:
+def described(docs: DataFrame, sets: Sets, shared: Broadcast, num: int, den: int, columns: dict[str, str], part_of: Callable[[int], int] | None = None) -> DataFrame:
     """Of each row the set's size n, its class (c1, c2: 128 bits of its hash) and its prefix in the global order.
 
     ``docs``: ``columns`` (name to type), then body. An empty set has class 0, 0 and no prefix. keys are what the prefix
     is indexed under: itself, or, in partitions by size (``part_of``), its tokens in the set's part and those in the next.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
     names = list(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,33 +124,70 @@ def described(docs: DataFrame, sets: Sets, counts: np.ndarray, num: int, den: in
                     names=[*names, "n", "c1", "c2", "prefix", *(["keys"] if part_of else [])],
                 )
 
-    return shipped(docs).mapInArrow(run, ", ".join([*(f"{k} {v}" for k, v in columns.items()), "n int, c1 long, c2 long, prefix array<long>", *(["keys array<long>"] if part_of else [])]))
+    return mapped(docs, run, ", ".join([*(f"{k} {v}" for k, v in columns.items()), "n int, c1 long, c2 long, prefix array<long>", *(["keys array<long>"] if part_of else [])]))
 
 
-def _full_sets(docs: DataFrame, sets: Sets) -> DataFrame:
-    """c1 and the whole set, as packed 64-bit integers. ``docs``: c1, body."""
+def _full_sets(docs: DataFrame, sets: Sets, reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """c1 and the whole set, as packed 64-bit integers, of each of ``reps`` (c1, rep_key, rep_t). ``docs``: key, t, body.
+
+    Sets are built for rows that a bit set of ``reps`` may hold; the join leaves those that it does.
+    """
+    bits = scratch.broadcast(_bit_set(reps.select(F.xxhash64("rep_key", "rep_t").alias("h"))))
+    kind = docs.schema["key"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            for part in _batches(x):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets(part.column(1))], pa.binary())], names=["c1", "packed"])
+            some = x.filter(pa.array(_in_bits(x.column(2).to_numpy(), bits.value)))
+            for part in _batches(some):
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([s.tobytes() for s in sets(part.column(3))], pa.binary())], names=["key", "t", "packed"])
+
+    built = mapped(docs.select("key", "t", F.xxhash64("key", "t").alias("h"), "body"), run, f"key {kind}, t long, packed binary")
+    return built.join(reps, F.col("t").eqNullSafe(F.col("rep_t")) & F.col("key").eqNullSafe(F.col("rep_key"))).select("c1", "packed").dropDuplicates(["c1"])
+
 
-    return docs.mapInArrow(run, "c1 long, packed binary")
+#: Sets of which the smaller shares at least this part (num / den) with the larger are highly similar: what they differ
+#: by is kept with their overlap.
+ALIKE = (3, 4)
 
 
 def overlaps(pairs: DataFrame, packed: DataFrame) -> DataFrame:
-    """Exact intersection sizes: the columns of ``pairs`` (x, y, ...) and shared. ``packed``: c1, packed."""
+    """Exact intersection sizes: the columns of ``pairs`` (x, y, ...) and shared; and, of highly similar sets, what x has
+    beside y (over) and y beside x (under), as packed integers. ``packed``: c1, packed."""
     names = pairs.columns
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [len(np.intersect1d(np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64), assume_unique=True)) for p, q in zip(b.column(len(names)), b.column(len(names) + 1))]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(found, pa.int32())], names=[*names, "shared"])
+        for whole in batches:
+            for b in _batches(whole, 1024):
+                shared, over, under = [], [], []
+                for p, q in zip(b.column(len(names)), b.column(len(names) + 1)):
+                    x, y = np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64)
+                    both = np.intersect1d(x, y, assume_unique=True)
+                    alike = ALIKE[1] * len(both) >= ALIKE[0] * max(len(x), len(y))
+                    shared.append(len(both))
+                    over.append(np.setdiff1d(x, both, assume_unique=True).tobytes() if alike else None)
+                    under.append(np.setdiff1d(y, both, assume_unique=True).tobytes() if alike else None)
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(shared, pa.int32()), pa.array(over, pa.binary()), pa.array(under, pa.binary())], names=[*names, "shared", "over", "under"])
 
     left = packed.select(F.col("c1").alias("x"), F.col("packed").alias("p"))
     right = packed.select(F.col("c1").alias("y"), F.col("packed").alias("q"))
-    return pairs.join(left, "x").join(right, "y").select(*names, "p", "q").mapInArrow(run, f"{kinds}, shared int")
+    return mapped(pairs.join(left, "x").join(right, "y").select(*names, "p", "q"), run, f"{kinds}, shared int, over binary, under binary")
+
+
+def derived(pairs: DataFrame) -> DataFrame:
+    """Exact overlaps of ``pairs`` (x, y, nx, ny) out of those with a leader: x, y, nx, ny, shared.
+
+    Further columns: nr (the leader's size), and of each set what it has beside the leader (ox, oy) and the leader beside
+    it (ux, uy).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of = lambda name: [np.frombuffer(v.as_py(), np.uint64) for v in b.column(b.schema.get_field_index(name))]  # noqa: E731, B023
+            found = [n - len(np.union1d(u, v)) + len(np.intersect1d(o, p, assume_unique=True)) for n, o, p, u, v in zip(b.column(4).to_pylist(), of("ox"), of("oy"), of("ux"), of("uy"))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(found, pa.int32())], names=["x", "y", "nx", "ny", "shared"])
+
+    return mapped(pairs.select("x", "y", "nx", "ny", "nr", "ox", "oy", "ux", "uy"), run, "x long, y long, nx int, ny int, shared int")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -157,92 +216,152 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels
 
 
-def _repeated(lists: DataFrame) -> np.ndarray:
-    """A bit set that holds every token of ``lists``, of at most 64 MB: entries of tokens that occur once needn't be shuffled."""
+def _bit_set(hashes: DataFrame) -> np.ndarray:
+    """A bit set that holds every one of ``hashes`` (h, as many bits as eight a hash, 64 MB at most).
+
+    It only saves shuffling rows that a join would drop; where it is too full to, the join drops them.
+    """
     size = 1 << 16
-    while size < min(8 * lists.count(), 1 << 29):
+    while size < min(8 * hashes.count(), 1 << 29):
         size *= 2
-    place = F.pmod(F.col("token"), F.lit(size))
-    words = lists.select(F.floor(place / 64).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    # Not the lowest bits: those of tokens are their bucket, and prefixes hold the tokens of rare buckets.
+    place = F.pmod(F.shiftrightunsigned("h", 20), F.lit(size))
+    words = hashes.select(F.expr(f"cast(floor(shiftrightunsigned(h, 20) % {size} / 64) as int)").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(size // 64, np.int64)
     out[words.column("w").to_numpy()] = words.column("b").to_numpy()
     return out
 
 
-def _entries(classes: DataFrame, bits: np.ndarray, times: int) -> DataFrame:
+def _in_bits(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which 64-bit hashes a bit set may hold."""
+    place = (hashes.view(np.uint64) >> np.uint64(20)) % np.uint64(64 * len(bits))
+    return ((bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)).astype(np.int64)) & 1).astype(bool)
+
+
+def _maybe_among(rows: DataFrame, hashes: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of ``rows`` whose h may be one of ``hashes``; without h."""
+    bits = scratch.broadcast(_bit_set(hashes))
+    names = [c for c in rows.columns if c != "h"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            yield x.select(names).filter(pa.array(_in_bits(x.column(x.schema.get_field_index("h")).to_numpy(), bits.value)))
+
+    return mapped(rows.select(*names, "h"), run, rows.select(*names).schema)
+
+
+def _entries(classes: DataFrame, repeated: DataFrame, times: int, scratch: Scratch) -> DataFrame:
     """The index keys that may occur more than once, with their place: token, c, n, pos. ``classes``: c1, n and the keys,
     a prefix ``times`` over."""
-    shared = classes.sparkSession.sparkContext.broadcast(bits)
+    bits = scratch.broadcast(_bit_set(repeated.select(F.col("token").alias("h"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             for part in _batches(x, 1024):
                 lists = part.column(2)
-                tokens, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
-                row = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
-                pos = np.arange(len(tokens)) - np.repeat(np.r_[0, ends[:-1]], lists.value_lengths().to_numpy())
-                place = np.mod(tokens, 64 * len(shared.value))
-                hit = np.flatnonzero((shared.value[place // 64] >> (place % 64)) & 1)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[hit]), pa.array(part.column(0).to_numpy()[row[hit]]), pa.array(part.column(1).to_numpy()[row[hit]]), pa.array((pos % np.maximum(1, np.repeat(lists.value_lengths().to_numpy() // times, lists.value_lengths().to_numpy())))[hit], pa.int32())], names=["token", "c", "n", "pos"])
+                sizes = lists.value_lengths().to_numpy()
+                tokens, ends = lists.flatten().to_numpy(), np.cumsum(sizes)
+                row = np.repeat(np.arange(part.num_rows), sizes)
+                pos = (np.arange(len(tokens)) - np.repeat(np.r_[0, ends[:-1]], sizes)) % np.maximum(1, np.repeat(sizes // times, sizes))
+                hit = np.flatnonzero(_in_bits(tokens, bits.value))
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[hit]), pa.array(part.column(0).to_numpy()[row[hit]]), pa.array(part.column(1).to_numpy()[row[hit]]), pa.array(pos[hit], pa.int32())], names=["token", "c", "n", "pos"])
+
+    return mapped(classes, run, "token long, c long, n int, pos int")
+
+
+def _blocks(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """Index lists as blocks of up to BLOCK entries of like size: token, n0, n1 (least and greatest size), p0 (least position)
+    and the entries (arrays c, n, pos, g). ``entries``: token, c, n, pos, g.
+
+    g0 and g1 are the least and greatest group. Each task makes blocks of what it has of a list, so a long list may be dealt
+    to many tasks.
+    """
+    level = F.floor(F.log(F.col("n").cast("double")) / np.log(den / num)).cast("int")
+    ordered = entries.select("token", "c", "n", "pos", "g").withColumn("level", level).sortWithinPartitions("token", "level", "g", "pos", "c").drop("level")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            token, c, n, pos, g = (v.to_numpy() for v in x.columns)
+            if not len(token):
+                continue
+            start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            inside = np.arange(len(token)) - np.repeat(start, np.diff(np.r_[start, len(token)]))
+            at = np.flatnonzero(inside % BLOCK == 0)
+            offsets = pa.array(np.r_[at, len(token)], pa.int32())
+            each = lambda f, v: pa.array(f.reduceat(v, at))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(token[at]), each(np.minimum, n), each(np.maximum, n), each(np.minimum, pos), each(np.minimum, g), each(np.maximum, g), *(pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (c, n, pos, g))],
+                names=["token", "n0", "n1", "p0", "g0", "g1", "c", "n", "pos", "g"],
+            )
+
+    return mapped(ordered, run, "token long, n0 int, n1 int, p0 int, g0 long, g1 long, c array<long>, n array<int>, pos array<int>, g array<long>")
 
-    return classes.mapInArrow(run, "token long, c long, n int, pos int")
+
+def _opened(blocks: DataFrame, names: dict[str, str], *more: str, where: Callable | None = None) -> DataFrame:
+    """The entries of blocks, under ``names`` (new ones, of c, n, pos and g); of those for which ``where`` holds, which is asked
+    before they become rows."""
+    entries = F.arrays_zip(*(F.col(v).alias(k) for k, v in names.items()))
+    return blocks.select(*more, F.explode(F.filter(entries, where) if where else entries).alias("e")).select(*more, *(F.col(f"e.{k}").alias(k) for k in names))
 
 
 def linked_groups(docs: DataFrame, sets: Sets, num: int, den: int, id_type: str, part_of: Callable[[int], int] | None = None, scratch: Scratch | None = None) -> DataFrame:
-    """Groups of the sets of ``docs`` (key, body): one row per input row with key, n (set size), group (least non-null
-    key of all rows that links reach; the own key for empty sets) and links (exact ones that were counted). ``part_of``: see
-    ``described``. The result reads tables of ``scratch``, which the caller may clear once it has written the result.
+    """Groups of the sets of ``docs`` (key, body, and maybe tag, a long): one row per input row with key, n (set size), group
+    (least non-null key of all rows that links reach; the own key for empty sets), links (exact ones that were counted), root
+    (the group's own mark, null for empty sets) and tag. ``part_of``: see ``described``. The result reads tables of ``scratch``, which the caller may clear once it has written the result.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    docs = docs.select("key", "body", F.xxhash64("body").alias("t"))
+    tag = [c for c in docs.columns if c == "tag"]
+    docs = docs.select("key", *tag, "body", F.xxhash64("body").alias("t"))
     counts = token_counts(docs.select("body"), sets)
-    rows = scratch.write(described(docs.select("key", "t", "body"), sets, counts, num, den, {"key": id_type, "t": "long"}, part_of), "sets")
+    rows = scratch.write(described(docs.select("key", "t", *tag, "body"), sets, scratch.broadcast(counts), num, den, {"key": id_type, "t": "long"} | dict.fromkeys(tag, "long"), part_of), "sets")
     keys = "keys" if part_of else "prefix"
     classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.min("key").alias("least"), F.min(F.struct("key", "t")).alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), *([F.first("keys").alias("keys")] if part_of else []))
     classes = scratch.write(classes, "classes")
-    members = scratch.write(rows.select("key", "n", "c1", "c2"), "members")
+    members = scratch.write(rows.select("key", "n", "c1", "c2", *tag), "members")
     scratch.drop(rows)
     lists = classes.select(F.col("c1").alias("c"), F.explode(keys).alias("token")).groupBy("token").agg(F.min("c").alias("head"), F.count("*").alias("size")).where("size > 1").select("token", "head")
     repeated = scratch.write(lists, "repeated")
-    entries = scratch.write(_entries(classes.select("c1", "n", keys), _repeated(repeated), 2 if part_of else 1), "entries")
+    entries = scratch.write(_entries(classes.select("c1", "n", keys), repeated, 2 if part_of else 1, scratch), "entries")
     heads = entries.select("token", F.col("c").alias("head"), F.col("n").alias("head_n"), F.col("pos").alias("head_pos"))
     lists = scratch.write(repeated.join(heads, ["token", "head"]), "lists")
     told = scratch.write(entries.join(lists, "token"), "entries-told")
     scratch.drop(repeated, lists, entries)
 
-    def feasible(nx, px, ny, py):
-        """Whether the sizes, and these positions of the first token that both sets share, allow a link. Of a linked pair
-        that token is in both prefixes, so a pair may be judged by any of its tokens: one of them is the first."""
-        return (den * F.least(nx, ny) >= num * F.greatest(nx, ny)) & ((num + den) * F.least(nx - px, ny - py) >= num * (nx + ny))
+    def feasible(n0, n1, p0, m0, m1, q0):
+        """Whether sizes from n0 to n1 and from m0 to m1, and first shared tokens from positions p0 and q0 on, allow a link.
+        Of a linked pair the first token that both sets share is in both prefixes, so a pair may be judged by any of its
+        tokens: one of them is the first."""
+        return (den * n1 >= num * m0) & (den * m1 >= num * n0) & ((num + den) * F.least(n1 - p0, m1 - q0) >= num * (n0 + m0))
 
     link = (num + den) * F.col("shared") >= num * (F.col("nx") + F.col("ny"))
+
+    def as_pairs(met: DataFrame) -> DataFrame:
+        """Distinct pairs x > y of sets (c, n) and leaders (y, ny)."""
+        first = F.col("c") > F.col("y")
+        pick = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
+        return met.select(pick("c", "y").alias("x"), pick("y", "c").alias("y"), pick("n", "ny").alias("nx"), pick("ny", "n").alias("ny")).distinct()
+
     counted: DataFrame | None = None
     groups: DataFrame | None = None
+    packed: list[DataFrame] = []
     for turn in range(TURNS):
         # First one leader for each list, the same in all lists of a group of copies; then, in lists that still hold several
         # groups, up to LEADERS drawn anew each turn, so that a set meets many leaders of a group that one doesn't hold together.
-        made: list[DataFrame] = []
         if groups is None:
-            grouped = told.withColumn("g", F.col("c"))
-            heads = grouped.select("token", F.col("head").alias("y"), F.col("head_n").alias("ny"), F.col("head_pos").alias("py"), F.col("head").alias("gy"))
-            heads = heads.distinct()
+            y, ny, py = F.col("head").alias("y"), F.col("head_n").alias("ny"), F.col("head_pos")
+            stars = as_pairs(told.where("c <> head").where(feasible(F.col("n"), F.col("n"), F.col("pos"), F.col("head_n"), F.col("head_n"), py)).select("c", "n", y, ny))
+            stars = scratch.write(stars, "stars")
         else:
-            grouped, mixed = _mixed(told, groups, scratch)
-            narrowed = scratch.write(grouped.join(mixed, "token"), "mixed-entries")
-            scratch.drop(grouped, mixed)
-            grouped = narrowed
-            draw = F.struct(F.xxhash64("c", "token", F.lit(turn)).alias("h"), F.col("c").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"), F.col("g").alias("gy"))
-            drawn = grouped.groupBy("token", F.pmod(F.xxhash64("c", F.lit(turn)), F.lit(LEADERS)).alias("part")).agg(F.min(draw).alias("m"))
+            blocks = _mixed_blocks(told, groups, num, den, scratch)
+            drawn = _opened(blocks, {"y": "c", "ny": "n", "py": "pos", "gy": "g"}, "token").withColumn("part", F.pmod(F.xxhash64("y", F.lit(turn)), F.lit(LEADERS)))
+            drawn = drawn.groupBy("token", "part").agg(F.min(F.struct(F.xxhash64("y", F.lit(turn)).alias("h"), "y", "ny", "py", "gy")).alias("m"))
             heads = scratch.write(drawn.select("token", "m.y", "m.ny", "m.py", "m.gy"), "heads")
-            made = [grouped, heads]
-        met = grouped.join(heads, "token").where("g <> gy").where(feasible(F.col("n"), F.col("pos"), F.col("ny"), F.col("py")))
-        first = F.col("c") > F.col("y")
-        stars = met.select(F.when(first, F.col("c")).otherwise(F.col("y")).alias("x"), F.when(first, F.col("y")).otherwise(F.col("c")).alias("y"), F.when(first, F.col("n")).otherwise(F.col("ny")).alias("nx"), F.when(first, F.col("ny")).otherwise(F.col("n")).alias("ny")).distinct()
-        if counted is not None:
-            stars = stars.join(counted.select("x", "y"), ["x", "y"], "left_anti")
-        stars = scratch.write(stars, "stars")
-        scratch.drop(*made)
-        new = _counted(_open_pairs(stars, classes, num, den), docs, classes, sets, scratch, "star-overlaps")
+            near = blocks.withColumnsRenamed({"c": "cs", "n": "ns", "pos": "ps", "g": "gs"}).join(heads, "token").where("g0 <> gy or g1 <> gy")
+            near = near.where(feasible(F.col("n0"), F.col("n1"), F.col("p0"), F.col("ny"), F.col("ny"), F.col("py")))
+            met = _opened(near, {"c": "cs", "n": "ns", "pos": "ps", "g": "gs"}, "y", "ny", where=lambda e: (e["g"] != F.col("gy")) & feasible(e["n"], e["n"], e["pos"], F.col("ny"), F.col("ny"), F.col("py")))
+            stars = scratch.write(as_pairs(met).join(counted.select("x", "y"), ["x", "y"], "left_anti"), "stars")
+            scratch.drop(blocks, heads)
+        new = _counted(_open_pairs(stars, classes, num, den, scratch), docs, classes, sets, packed, scratch, "star-overlaps")
         scratch.drop(stars)
         found = not new.where(link).isEmpty()
         if counted is None:
@@ -255,60 +374,81 @@ def linked_groups(docs: DataFrame, sets: Sets, num: int, den: int, id_type: str,
             break
         scratch.drop(groups)
         groups = components(counted.where(link).select("x", "y"), scratch)
-    # Pairs across groups that share a token; lists of one group are skipped as a whole.
-    grouped, mixed = _mixed(told, groups, scratch)
-    left = grouped.join(mixed, "token")
-    a, b = (left.select("token", *(F.col(k).alias(k + s) for k in ("c", "n", "pos", "g"))) for s in ("x", "y"))
-    across = a.join(b, "token").where("gx <> gy and cx > cy").where(feasible(F.col("nx"), F.col("posx"), F.col("ny"), F.col("posy")))
+    # Pairs across groups that share a token, block by block; lists of one group are skipped as a whole.
+    blocks = _mixed_blocks(told, groups, num, den, scratch)
+    scratch.drop(told, groups)
+    a, b = (blocks.select("token", *(F.col(k).alias(k + side) for k in ("n0", "n1", "p0", "g0", "g1", "c", "n", "pos", "g"))) for side in "ab")
+    near = a.join(b, "token").where("not (g0a = g1a and g0b = g1b and g0a = g0b)").where(feasible(F.col("n0a"), F.col("n1a"), F.col("p0a"), F.col("n0b"), F.col("n1b"), F.col("p0b")))
+    # An entry of the one block with all of the other that it may link with, and then a row for each of these.
+    other = F.arrays_zip(F.col("cb").alias("c"), F.col("nb").alias("n"), F.col("posb").alias("pos"), F.col("gb").alias("g"))
+    fits = lambda e, o: (o["g"] != e["g"]) & (e["c"] > o["c"]) & feasible(e["n"], e["n"], e["pos"], o["n"], o["n"], o["pos"])
+    one = F.arrays_zip(F.col("ca").alias("c"), F.col("na").alias("n"), F.col("posa").alias("pos"), F.col("ga").alias("g"))
+    met = F.flatten(F.transform(one, lambda e: F.transform(F.filter(other, lambda o: fits(e, o)), lambda o: F.struct(e["c"].alias("cx"), e["n"].alias("nx"), o["c"].alias("cy"), o["n"].alias("ny")))))
+    across = near.select(F.explode(met).alias("e")).select("e.*")
     across = across.select(F.col("cx").alias("x"), F.col("cy").alias("y"), "nx", "ny").distinct()
     across = scratch.write(across.join(counted.select("x", "y"), ["x", "y"], "left_anti"), "across")
-    scratch.drop(told, groups, grouped, mixed)
-    # What is known of both sets' overlap with a common leader, the first one's nearest, bounds their own.
-    known = scratch.write(counted.select("x", F.col("y").alias("r"), "shared").unionByName(counted.select(F.col("y").alias("x"), F.col("x").alias("r"), "shared")), "known")
-    nearest = scratch.write(known.groupBy("x").agg(F.max_by(F.struct("r", F.col("shared").alias("sx")), F.struct("shared", "r")).alias("m")).select("x", "m.*"), "nearest")
-    bounds = across.join(nearest, "x").join(known.select(F.col("x").alias("y"), "r", F.col("shared").alias("sy")), ["y", "r"])
+    scratch.drop(blocks)
+    # What is known of both sets' overlap with a common leader, the first one's nearest, gives or bounds their own.
+    one_way = lambda x, y, nr, over, under: counted.select(F.col(x).alias("x"), F.col(y).alias("r"), F.col(nr).alias("nr"), F.col("shared").alias("s"), F.col(over).alias("o"), F.col(under).alias("u"))
+    known = scratch.write(one_way("x", "y", "ny", "over", "under").unionByName(one_way("y", "x", "nx", "under", "over")), "known")
+    nearest = known.groupBy("x").agg(F.max_by(F.struct("r", "nr", F.col("s").alias("sx"), F.col("o").alias("ox"), F.col("u").alias("ux")), F.struct("s", "r")).alias("m")).select("x", "m.*")
+    nearest = scratch.write(nearest.join(across.select("x").distinct(), "x", "left_semi"), "nearest")
+    told_of = scratch.write(across.join(nearest, "x").join(known.select(F.col("x").alias("y"), "r", F.col("s").alias("sy"), F.col("o").alias("oy"), F.col("u").alias("uy")), ["y", "r"]), "told-of")
+    exact = F.col("ox").isNotNull() & F.col("oy").isNotNull()
     bound = F.least("sx", "sy") + F.least(F.col("nx") - F.col("sx"), F.col("ny") - F.col("sy"))
-    closed = bounds.where((num + den) * bound < num * (F.col("nx") + F.col("ny"))).select("x", "y").distinct()
-    open_pairs = scratch.write(across.join(closed, ["x", "y"], "left_anti"), "across-open")
-    scratch.drop(across, known, nearest)
-    more = _counted(_open_pairs(open_pairs, classes, num, den), docs, classes, sets, scratch, "more-overlaps")
-    links = scratch.write(counted.unionByName(more).where(link).select("x", "y"), "all-links")
-    scratch.drop(open_pairs, counted, more)
+    closed = exact | ((num + den) * bound < num * (F.col("nx") + F.col("ny")))
+    followed = scratch.write(derived(told_of.where(exact)), "derived")
+    open_pairs = scratch.write(across.join(told_of.where(closed).select("x", "y"), ["x", "y"], "left_anti"), "across-open")
+    scratch.drop(across, known, nearest, told_of)
+    more = _counted(_open_pairs(open_pairs, classes, num, den, scratch), docs, classes, sets, packed, scratch, "more-overlaps")
+    every = counted.select("x", "y", "nx", "ny", "shared").unionByName(more.select("x", "y", "nx", "ny", "shared")).unionByName(followed)
+    links = scratch.write(every.where(link).select("x", "y"), "all-links")
+    scratch.drop(open_pairs, counted, more, followed, *packed)
     final = components(links, scratch)
     degree = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct().groupBy(F.col("x").alias("c1")).agg(F.count("*").alias("links"))
     named = classes.select("c1", "c2", "least").join(final.withColumnRenamed("node", "c1"), "c1", "left").withColumn("root", F.coalesce("root", "c1"))
     rooted = scratch.write(named, "named")
     roots = scratch.write(rooted.groupBy("root").agg(F.min("least").alias("group")), "roots")
-    named = scratch.write(rooted.join(roots, "root").join(degree, "c1", "left").select("c1", "c2", "group", F.coalesce("links", F.lit(0)).alias("links")), "groups")
+    named = scratch.write(rooted.join(roots, "root").join(degree, "c1", "left").select("c1", "c2", "root", "group", F.coalesce("links", F.lit(0)).alias("links")), "groups")
     scratch.drop(classes, links, final, rooted, roots)
     out = members.join(named, ["c1", "c2"], "left")
-    return out.select("key", "n", F.coalesce("group", "key").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
+    return out.select("key", "n", F.coalesce("group", "key").alias("group"), F.coalesce("links", F.lit(0)).alias("links"), "root", *tag)
 
 
-def _mixed(told: DataFrame, groups: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """The entries with their groups, and the tokens whose lists hold several."""
-    grouped = told.join(groups.withColumnRenamed("node", "c"), "c", "left").select("token", "c", "n", "pos", F.coalesce("root", "c").alias("g"))
+def _mixed_blocks(told: DataFrame, groups: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """The blocks of the lists that hold several groups."""
+    grouped = told.select("token", "c", "n", "pos").join(groups.withColumnRenamed("node", "c"), "c", "left").select("token", "c", "n", "pos", F.coalesce("root", "c").alias("g"))
     grouped = scratch.write(grouped, "grouped")
-    mixed = grouped.groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a <> b").select("token")
-    return grouped, scratch.write(mixed, "mixed")
+    mixed = scratch.write(grouped.groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a <> b").select("token"), "mixed")
+    blocks = scratch.write(_blocks(grouped.join(mixed, "token"), num, den), "blocks")
+    scratch.drop(grouped, mixed)
+    return blocks
 
 
-def _open_pairs(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+def _open_pairs(pairs: DataFrame, classes: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     """``pairs`` (x, y, nx, ny) that their prefixes leave open. Of two prefixes, one ends no later in the global order: its
     set shares with the other what the prefixes share and at most all that it has behind its own."""
-    heads = classes.select("c1", "prefix")
+    of_pairs = pairs.select(F.col("x").alias("h")).unionByName(pairs.select(F.col("y").alias("h"))).distinct()
+    heads = _maybe_among(classes.select("c1", "prefix", F.col("c1").alias("h")), of_pairs, scratch)
     p = pairs.join(heads.select(F.col("c1").alias("x"), F.col("prefix").alias("px")), "x").join(heads.select(F.col("c1").alias("y"), F.col("prefix").alias("py")), "y")
     most = F.size(F.array_intersect("px", "py")) + F.greatest(F.col("nx") - F.size("px"), F.col("ny") - F.size("py"))
     return p.where((num + den) * most >= num * (F.col("nx") + F.col("ny"))).select("x", "y", "nx", "ny")
 
 
-def _counted(pairs: DataFrame, docs: DataFrame, classes: DataFrame, sets: Sets, scratch: Scratch, label: str) -> DataFrame:
-    """Pairs with exact overlaps, written; the sets of those classes alone are built, from one row's text each."""
+def _counted(pairs: DataFrame, docs: DataFrame, classes: DataFrame, sets: Sets, packed: list[DataFrame], scratch: Scratch, label: str) -> DataFrame:
+    """Pairs with exact overlaps, written. ``packed``: tables of the sets built so far; sets that they haven't yet are built,
+    from one row's text each, and added."""
     pairs = scratch.write(pairs, "open-pairs")
-    wanted = pairs.select(F.col("x").alias("c1")).unionByName(pairs.select(F.col("y").alias("c1"))).distinct()
-    reps = scratch.write(classes.join(wanted, "c1", "left_semi").select("c1", F.col("rep.key").alias("rep_key"), F.col("rep.t").alias("rep_t")), "wanted")
-    texts = docs.join(reps, F.col("t").eqNullSafe(F.col("rep_t")) & F.col("key").eqNullSafe(F.col("rep_key"))).select("c1", "body")
-    packed = scratch.write(_full_sets(texts, sets).dropDuplicates(["c1"]), "packed")
-    out = scratch.write(overlaps(pairs, packed), label)
-    scratch.drop(pairs, reps, packed)
+    of_pairs = scratch.write(pairs.select(F.col("x").alias("c1")).unionByName(pairs.select(F.col("y").alias("c1"))).distinct(), "of-pairs")
+    lacking = of_pairs
+    for p in packed:
+        lacking = lacking.join(p.select("c1"), "c1", "left_anti")
+    reps = scratch.write(classes.select("c1", F.col("rep.key").alias("rep_key"), F.col("rep.t").alias("rep_t")).join(lacking, "c1", "left_semi"), "wanted")
+    packed.append(scratch.write(_full_sets(docs, sets, reps, scratch), "packed"))
+    held = packed[0]
+    for p in packed[1:]:
+        held = held.unionByName(p)
+    held = held.join(of_pairs, "c1", "left_semi") if len(packed) > 1 else held
+    out = scratch.write(overlaps(pairs, held), label)
+    scratch.drop(pairs, of_pairs, reps)
     return out
