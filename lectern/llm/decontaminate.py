@@ -5,8 +5,9 @@ same places of the items. Training texts stream through it: after each word the
 ends there and occurs in an item. Where that run reaches ``window`` words (or a whole item, for shorter items), the words
 are hit. Spans of hit words longer than a limit, or documents with too large a share of them, can be removed.
 
-Items are dealt into blocks of a bounded number of words; each block has its own automaton, broadcast by itself, and all
-documents run through every block in one pass over the data.
+Items are dealt into blocks of a bounded number of words (a longer item into overlapping parts), each with an automaton of
+its own. All documents pass through one block after another, and only that block's automaton is in memory; what was hit so
+far is written along with the texts between two passes. A benchmark of up to BLOCK_WORDS words takes one pass, and no table.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import shipped
+from lectern.llm.common import Scratch, mapped
 
 WINDOW = 10
-#: Words of benchmark text in one automaton, about 1 kB of Python objects each.
+#: Words of benchmark text in one automaton, about 600 bytes of Python objects each: some 120 MB in a worker.
 BLOCK_WORDS = 200_000
 
 #: Upper case to lower case and all that is no word byte to a space: words are digits, a-z and whatever is not ASCII.
@@ -163,18 +164,23 @@ class Automaton:
         return spans, found
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items in blocks of at most ``block_words`` words (or one item), read a part at a time."""
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int = BLOCK_WORDS, window: int = WINDOW) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The items in blocks of at most ``block_words`` words, read a part at a time. An item of more is cut into parts that
+    overlap by a window less a word, so that each window is in a part."""
     held: list[tuple[str, list[bytes]]] = []
     count = 0
+    size = max(block_words, window)
     rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).where("i is not null")
     for row in rows.toLocalIterator():
-        run = words(row["t"])
-        if held and count + len(run) > block_words:
-            yield held
-            held, count = [], 0
-        held.append((row["i"], run))
-        count += len(run)
+        whole = words(row["t"])
+        step = size - window + 1
+        for at in range(0, max(1, len(whole) - window + 1), step) if len(whole) > size else (0,):
+            run = whole[at : at + size]
+            if held and count + len(run) > block_words:
+                yield held
+                held, count = [], 0
+            held.append((row["i"], run))
+            count += len(run)
     if held:
         yield held
 
@@ -212,23 +218,19 @@ def decontaminate(
     items (ids of items with occurring windows, as sorted strings), spans (of hit words: first, and one past the last),
     clean_text (without hit spans of at least ``min_span_words`` words; a null text stays null), drop (more than ``max_coverage`` of the words are hit). A window is ``window`` words of an item in a
     row; an item of fewer words is one window, one without words none. Null texts have no words; null item ids are left
-    out. Rows with equal ids are matched each for itself; an empty benchmark hits nothing. Columns of ``docs`` named in ``keep`` stay (their names and those in ``columns`` must differ); others are left out.
+    out. Rows with equal ids are matched each for itself; an empty benchmark hits nothing, and empty ``docs`` give no rows. Columns of ``docs`` named in ``keep`` stay (their names and those in ``columns`` must differ); others are left out.
     """
-    spark = docs.sparkSession
-    sc = spark.sparkContext
-    automata = [sc.broadcast(Automaton(x, window)) for x in blocks(benchmark, item_id_col, item_text_col, block_words)]
+    sc = docs.sparkSession.sparkContext
     wanted = list(columns)
-    kinds = {"n_words": ("long", pa.int64()), "n_hit": ("long", pa.int64()), "items": ("array<string>", pa.list_(pa.string())), "spans": ("array<struct<first: int, after: int>>", pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32())]))), "clean_text": ("string", pa.string()), "drop": ("boolean", pa.bool_())}
+    pair = pa.struct([("first", pa.int32()), ("after", pa.int32())])
+    spans_of, span_type = "array<struct<first: int, after: int>>", pa.list_(pair)
+    kinds = {"n_words": ("long", pa.int64()), "n_hit": ("long", pa.int64()), "items": ("array<string>", pa.list_(pa.string())), "spans": (spans_of, span_type), "clean_text": ("string", pa.string()), "drop": ("boolean", pa.bool_())}
+    kept = [f"kept{i}" for i in range(len(keep))]
+    typed = lambda c: docs.schema[c].dataType.simpleString()
+    same = ["key " + typed(id_col), "body string", *(f"{k} {typed(c)}" for k, c in zip(kept, keep))]
+    names = ["key", "body", *kept]
 
-    def one(text: str | None) -> dict:
-        run = words(text or "")
-        spans: list[tuple[int, int]] = []
-        found: set[str] = set()
-        for a in automata:
-            s, f = a.value.hits(run)
-            spans += s
-            found |= f
-        spans = spans if len(automata) == 1 else _merged(spans)
+    def told(text: str | None, run: list[bytes], spans: list[tuple[int, int]], found: set[str]) -> dict:
         hit = sum(b - a for a, b in spans)
         got = {"n_words": len(run), "n_hit": hit, "items": sorted(found), "spans": [{"first": a, "after": b} for a, b in spans], "drop": hit > max_coverage * len(run)}
         if "clean_text" in wanted:
@@ -236,16 +238,41 @@ def decontaminate(
             got["clean_text"] = _without(text, cut) if cut else text
         return got
 
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            for at in range(0, x.num_rows, 512):
-                part = x.slice(at, 512)
-                rows = [one(t.as_py()) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], *(pa.array([r[c] for r in rows], kinds[c][1]) for c in wanted)], names=["key", *kept, *wanted])
+    def through(automaton, carried: bool, last: bool):
+        """A pass through one block: adds its hits to those carried along; the last one makes the result."""
 
-    kept = [f"kept{i}" for i in range(len(keep))]
-    typed = lambda c: docs.schema[c].dataType.simpleString()
-    out = ", ".join([f"key {typed(id_col)}", *(f"{k} {typed(c)}" for k, c in zip(kept, keep)), *(f"{c} {kinds[c][0]}" for c in wanted)])
-    source = shipped(docs).select(F.col(id_col).alias("key"), F.col(text_col).alias("body"), *(F.col(c).alias(k) for k, c in zip(kept, keep)))
-    found = source.mapInArrow(match, out)
-    return found.select(F.col("key").alias(id_col), *(F.col(k).alias(c) for k, c in zip(kept, keep)), *wanted)
+        def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in batches:
+                for at in range(0, x.num_rows, 512):
+                    part = x.slice(at, 512)
+                    rows = []
+                    for i, t in enumerate(part.column(1)):
+                        text = t.as_py()
+                        run = words(text or "")
+                        spans, found = automaton.value.hits(run) if automaton else ([], set())
+                        if carried:
+                            spans = _merged(spans + [(s["first"], s["after"]) for s in part.column(len(names))[i].as_py()])
+                            found |= set(part.column(len(names) + 1)[i].as_py())
+                        rows.append(told(text, run, spans, found) if last else (spans, sorted(found)))
+                    if last:
+                        yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2 : len(names)], *(pa.array([r[c] for r in rows], kinds[c][1]) for c in wanted)], names=["key", *kept, *wanted])
+                    else:
+                        yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array([[{"first": a, "after": b} for a, b in s] for s, _ in rows], span_type), pa.array([f for _, f in rows], pa.list_(pa.string()))], names=[*names, "spans", "found"])
+
+        return match
+
+    scratch = Scratch(docs.sparkSession)
+    now = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("body"), *(F.col(c).alias(k) for k, c in zip(kept, keep)))
+    left = blocks(benchmark, item_id_col, item_text_col, block_words, window)
+    block, passes = next(left, None), 0
+    while True:
+        shared = sc.broadcast(Automaton(block, window)) if block else None
+        block = next(left, None)
+        if block is None:
+            out = ", ".join([same[0], *same[2:], *(f"{c} {kinds[c][0]}" for c in wanted)])
+            found = mapped(now, through(shared, passes > 0, True), out)
+            return found.select(F.col("key").alias(id_col), *(F.col(k).alias(c) for k, c in zip(kept, keep)), *wanted)
+        before, now = now, scratch.write(mapped(now, through(shared, passes > 0, False), ", ".join([*same, f"spans {spans_of}", "found array<string>"])), "decontaminate")
+        scratch.drop(before)
+        shared.unpersist()
+        passes += 1
