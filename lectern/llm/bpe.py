@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding with tree concatenation of long texts.
 
 A text of up to ``piece_chars`` characters is encoded at once. A longer one is cut into pieces that executors encode
-separately; neighbouring pieces are then joined, two and two, until one encoding is left. A join re-encodes a window
-around the seam that grows until both sides agree with it exactly:
+separately; neighbouring pieces are then joined, two and two, until one encoding is left: tasks join FAN neighbours
+each, and one task of a text joins those. A join re-encodes a window around the seam that grows until both sides agree with
+it exactly:
 
 * Pre-tokens come from a left-to-right scan without look-behind. So the left side's pre-tokens hold but for the last one
   (and those that a special token across the seam may touch), and the scan of the window is in step with the right side
@@ -28,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import shipped
+from lectern.llm.common import mapped, release
 
 PIECE_CHARS = 32_768
+#: Neighbouring pieces that one task joins, two and two, before another task joins what came out of all of them.
+FAN = 64
 
 #: The pre-token pattern of the byte_bpe_50k vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -226,12 +229,12 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     One row per input row: ``id_col`` and ``columns``, of n_tokens, ids, decoded, ids_sha256 (of the ids as little-endian
     unsigned 32-bit integers) and decoded_sha256. A null text counts as empty: no ids, an empty decoded text. Null and
-    repeated ids are kept, each row for itself; other columns are left out, whatever their names. ``vocabulary`` is the
+    repeated ids are kept, each row for itself; an empty table gives no rows. Other columns are left out, whatever their names. ``vocabulary`` is the
     path of a vocabulary file, the same on every executor.
     """
     vocabulary, wanted = vocabulary or default_vocabulary(), list(columns)
     id_type = docs.schema[id_col].dataType.simpleString()
-    base = shipped(docs).select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    base = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     out = ", ".join([f"key {id_type}", *(f"{c} {OUT_FIELDS[c][0]}" for c in wanted)])
 
     def batch(keys: pa.Array, rows: list[dict]) -> pa.RecordBatch:
@@ -260,24 +263,42 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load(vocabulary)
         for x in batches:
-            got = [codec.encoded(t.as_py()) for t in x.column(3)]
-            yield pa.RecordBatch.from_arrays([*x.columns, *(pa.array([getattr(e, f) for e in got], pa.list_(t)) for f, t in (("ids", pa.int32()), ("chars", pa.int64()), ("counts", pa.int64())))], names=["mark", "key", "no", "piece", "ids", "chars", "counts"])
-
-    def tree(x: pa.Table) -> pa.Table:
-        codec = load(vocabulary)
-        order = np.argsort(x.column("no").to_numpy(), kind="stable")
-        x = x.take(pa.array(order))
-        no = x.column("no").to_numpy()
-        copies = int((no == 0).sum())  # rows that are equal in id and text meet here
-        x = x.take(pa.array(np.flatnonzero(np.r_[True, no[1:] != no[:-1]])))
-        pieces = [Encoded(t, *(np.array(v.values) for v in (i, c, k))) for t, i, c, k in zip(x.column("piece").to_pylist(), x.column("ids"), x.column("chars"), x.column("counts"))]
-        got = _row(codec, codec.tree(pieces).ids, wanted)
-        return pa.Table.from_batches([batch(pa.array([x.column("key")[0].as_py()] * copies, x.column("key").type), [got] * copies)])
-
-    short = base.where(F.length("body") <= piece_chars).mapInArrow(at_once, out)
-    pieces = base.where(F.length("body") > piece_chars).mapInArrow(cut, f"mark string, key {id_type}, no int, piece string")
-    encoded = pieces.repartition("mark", "no").mapInArrow(each, f"mark string, key {id_type}, no int, piece string, ids array<int>, chars array<long>, counts array<long>")
-    long = encoded.groupBy("mark").applyInArrow(tree, out)
+            for at in range(0, x.num_rows, 8):
+                part = x.slice(at, 8)
+                yield encodings(part.columns[:4], [codec.encoded(t.as_py()) for t in part.column(4)])
+
+    def encodings(head: list[pa.Array], got: list[Encoded]) -> pa.RecordBatch:
+        lists = [pa.array([getattr(e, f) for e in got], pa.list_(pa.int32())) for f in ("ids", "chars", "counts")]
+        return pa.RecordBatch.from_arrays([*head, pa.array([e.text for e in got]), *lists], names=["mark", "key", "copies", "no", "piece", "ids", "chars", "counts"])
+
+    def joined(x: pa.Table) -> tuple[list, Encoded]:
+        """What neighbouring encodings have in common, and one encoding out of them."""
+        x = x.take(pa.array(np.argsort(x.column("no").to_numpy(), kind="stable")))
+        pieces = [Encoded(t, *(v.values.to_numpy().astype(k) for v, k in zip(lists, (np.int32, np.int64, np.int64)))) for t, *lists in zip(x.column("piece").to_pylist(), x.column("ids"), x.column("chars"), x.column("counts"))]
+        return [x.column(i).combine_chunks()[:1] for i in range(3)], load(vocabulary).tree(pieces)
+
+    def inner(x: pa.Table) -> pa.Table:
+        head, e = joined(x)
+        return pa.Table.from_batches([encodings([*head, pa.array([x.column("no")[0].as_py() // FAN], pa.int32())], [e])])
+
+    def last(x: pa.Table) -> pa.Table:
+        head, e = joined(x)
+        got = batch(head[1], [_row(load(vocabulary), e.ids, wanted)])
+        out = pa.Table.from_batches([got.append_column("copies", head[2])])
+        if x.nbytes > 4 << 20:
+            release()
+        return out
+
+    short = mapped(base.where(F.length("body") <= piece_chars), at_once, out)
+    held = f"mark string, key {id_type}, copies long, no int, piece string, ids array<int>, chars array<int>, counts array<int>"
+
+    pieces = mapped(base.where(F.length("body") > piece_chars), cut, f"mark string, key {id_type}, no int, piece string")
+    # Rows that are equal in id and text are one, with a count, before anything is gathered by text.
+    once = pieces.groupBy("mark", "no").agg(F.first("key").alias("key"), F.first("piece").alias("piece"), F.count("*").alias("copies"))
+    encoded = mapped(once.select("mark", "key", "copies", "no", "piece"), each, held)
+    runs = encoded.groupBy("mark", F.floor(F.col("no") / FAN)).applyInArrow(inner, held)
+    done = runs.groupBy("mark").applyInArrow(last, out + ", copies long")
+    long = done.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copy", "copies")
     return short.unionByName(long).withColumnRenamed("key", id_col)
 
 
@@ -291,4 +312,4 @@ def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str =
         for x in batches:
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array([codec.decode(i for i in v.as_py() or () if i is not None) for v in x.column(1)], pa.string())], names=["key", "decoded"])
 
-    return shipped(encoded).select(F.col(id_col).alias("key"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(back, f"key {id_type}, decoded string").withColumnRenamed("key", id_col)
+    return mapped(encoded.select(F.col(id_col).alias("key"), F.col(ids_col).cast("array<int>").alias("ids")), back, f"key {id_type}, decoded string").withColumnRenamed("key", id_col)
