@@ -4,8 +4,12 @@ Each page becomes a tree of blocks; text that stands beside blocks is a block to
 from its subtree's characters, link characters, tags and link tags; the density sum of a block adds up the densities of
 its children, and is the own density where it holds text alone. The block with the greatest sum is the core of the
 article, whatever its element; the smallest density on the path from it to the body is the threshold. Of every block that
-reaches it, the one with the greatest sum in it is kept whole. Parts that are never article text (menus, forms, notices,
-comments, ...) go by element and by name.
+reaches it, the one with the greatest sum in it is kept whole.
+
+Parts whose element, role or style says that they are never article text (menus, forms, scripts, what is hidden, ...) go. A
+class or an id only weighs: parts named as comments, notices, adverts and the like are weighed apart, and count for nothing
+beside the rest unless the greatest density sum in such a part, times NAMED_WEIGHT, is more than that of the whole rest; then
+the article is in that part, and its name is disregarded.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import shipped
+from lectern.llm.common import mapped
 
 #: Elements of HTML by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,6 +38,8 @@ NAMED = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert(?:s|isement|ising)?|adsense|adbox|adslot|sponsor(?:ed|s)?|promo(?:tion|ted)?|banner|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|side-bar|aside|rail|widget|footer|header|masthead|topbar|comments?|comment-list|respond|disqus|discussion|replies|reply|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|pagination|pager|toolbar|search|copyright|legal|disclaimer|skip-link|print-only|hidden|sr-only)(?:$|[\s_-])",
     re.I,
 )
+#: What the density sum of a part named by NAMED counts for.
+NAMED_WEIGHT = 0.05
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 
 _MARKUP = re.compile(r"<!--(?:.*?-->|.*)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -43,10 +49,10 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "out", "chars", "links", "tags", "link_tags", "density", "total", "keep", "block", "best")
+    __slots__ = ("tag", "parent", "parts", "out", "chars", "links", "tags", "link_tags", "density", "total", "keep", "block", "best", "named", "skip")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool):
-        self.tag, self.parent, self.out = tag, parent, out
+    def __init__(self, tag: str, parent: Node | None, out: bool = False, named: bool = False):
+        self.tag, self.parent, self.out, self.named, self.skip = tag, parent, out, named, False
         self.parts: list[Node | str] = []
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
@@ -56,25 +62,26 @@ class Node:
         self.best: Node | None = None
 
 
-def _is_out(tag: str, attrs: str) -> bool:
+def _kind(tag: str, attrs: str) -> tuple[bool, bool]:
+    """Whether an element is never article text, and whether its name says so."""
     if tag in NEVER:
-        return True
-    if not attrs or attrs.isspace():
-        return False
-    for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and NAMED.search(value):
-            return True
-        if name == "role" and value.strip().lower() in ROLES:
-            return True
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+        return True, False
+    named = False
+    if attrs and not attrs.isspace():
+        for m in _ATTR.finditer(attrs):
+            name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
+            if name in ("class", "id") and tag not in ("html", "body", "article", "main") and NAMED.search(value):
+                named = True
+            if name == "role" and value.strip().lower() in ROLES:
+                return True, False
+            if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+                return True, False
+    return False, named
 
 
 def tree(page: str) -> Node:
     """Elements and text of a page; end tags may be missing and the page may break off anywhere."""
-    root = at = Node("#root", None, False)
+    root = at = Node("#root", None)
     pos, n = 0, len(page)
 
     def close(tags: set[str], stop: set[str], node: Node) -> Node:
@@ -110,7 +117,7 @@ def tree(page: str) -> Node:
             if up.parent:
                 at = up.parent
             elif tag in ("p", "br"):
-                at.parts.append(Node(tag, at, False))
+                at.parts.append(Node(tag, at))
             continue
         if tag in ("html", "body"):
             # A second one, or one inside an unfinished head, only goes on with the page.
@@ -121,7 +128,7 @@ def tree(page: str) -> Node:
             at = close(*SIBLINGS[tag], at)
         if re.fullmatch("h[1-6]", at.tag) and re.fullmatch("h[1-6]", tag):
             at = at.parent
-        node = Node(tag, at, _is_out(tag, attrs))
+        node = Node(tag, at, *_kind(tag, attrs))
         at.parts.append(node)
         if tag in VOID or attrs.endswith("/") and tag in RAW:
             continue
@@ -158,7 +165,7 @@ def _boxed(root: Node) -> None:
                 parts.append(x)
                 continue
             if run is None:
-                run = Node("#run", node, False)
+                run = Node("#run", node)
                 run.block = True
                 parts.append(run)
             run.parts.append(x)
@@ -167,45 +174,75 @@ def _boxed(root: Node) -> None:
         node.parts = parts
 
 
-def weigh(root: Node) -> list[Node]:
-    """Set density and density sum of all nodes; those that are out count for nothing."""
-    _boxed(root)
+def weigh(root: Node, ratio: float | None = None) -> list[Node]:
+    """Set density and density sum of all nodes under ``root``; those that are out or in a named part count for nothing.
+    Blocks must be marked (``_boxed``). ``ratio``: the body's share of link characters, if not that of ``root``."""
     nodes = _order(root)
+    linked = set()
     for node in nodes:
-        if node.parent and node.parent.out:
-            node.out = True
-    linked = {id(x) for x in nodes if x.tag == "a"}
-    for node in nodes:
-        if node.parent and id(node.parent) in linked:
+        node.skip = node is not root and (node.out or node.named or node.parent.skip) or root.out
+        node.chars = node.links = node.tags = node.link_tags = 0
+        node.density = node.total = 0.0
+        node.best = None
+        if node.tag == "a" or node is not root and id(node.parent) in linked:
             linked.add(id(node))
     for node in reversed(nodes):
-        if node.out:
+        if node.skip:
             continue
         own = sum(len(_SPACE.sub(" ", html.unescape(t)).strip()) for t in node.parts if isinstance(t, str))
         node.chars += own
         if id(node) in linked:
             node.links += own
-        if node.parent:
+        if node is not root:
             up = node.parent
             up.chars += node.chars
             up.links += node.links
             up.tags += node.tags + (node.tag not in VOID and node.tag not in ("#run", "b", "i", "em", "strong", "span", "u", "sub", "sup", "small", "mark", "code", "abbr", "cite", "q", "font"))
             up.link_tags += node.link_tags + (node.tag == "a")
-    body = next((x for x in nodes if x.tag == "body"), root)
-    ratio = body.links / max(1, body.chars)
+    ratio = _link_share(nodes) if ratio is None else ratio
     for node in reversed(nodes):
         c, lc, t, lt = node.chars, node.links, max(1, node.tags), max(1, node.link_tags)
         if c:
             base = math.log(c / max(1, c - lc) * lc + ratio * c + math.e)
             node.density = max(0.0, c / t * math.log(c / max(1, lc) * t / lt + 1e-9, max(base, 1 + 1e-9))) if c > lc else 0.0
-        if not node.block or node.out:
+        if not node.block or node.skip:
             continue
-        inside = [x for x in node.parts if isinstance(x, Node) and x.block and not x.out and x.chars]
+        inside = [x for x in node.parts if isinstance(x, Node) and x.block and not x.skip and x.chars]
         node.total = sum(x.density for x in inside) if inside else node.density
         node.best = max([*(x.best for x in inside), node], key=lambda x: x.total)
     return nodes
 
 
+def _link_share(nodes: list[Node]) -> float:
+    body = next((x for x in nodes if x.tag == "body"), nodes[0])
+    return body.links / max(1, body.chars)
+
+
+def weighed(root: Node) -> list[Node]:
+    """``weigh``, after the name of the part that has the article, if a named one does, is disregarded."""
+    _boxed(root)
+    nodes = weigh(root)
+    ratio = _link_share(nodes)
+    most, chosen = root.best.total if root.best.chars > root.best.links else 0.0, None
+    # Each named part by itself; named parts in it are parts of their own.
+    for part in [x for x in nodes if x.named and not any(y.out for y in _upward(x))]:
+        part.block = True
+        weigh(part, ratio)
+        if part.best.chars > part.best.links and NAMED_WEIGHT * part.best.total > most:
+            most, chosen = NAMED_WEIGHT * part.best.total, part
+    if any(x.named for x in nodes):
+        for x in _upward(chosen) if chosen else ():
+            x.named = False
+        nodes = weigh(root)
+    return nodes
+
+
+def _upward(node: Node) -> Iterator[Node]:
+    while node:
+        yield node
+        node = node.parent
+
+
 def _mark(nodes: list[Node]) -> None:
     """Keep the block of the greatest density sum, and that of each block as dense as the least dense one on its path to the body."""
     core = nodes[0].best
@@ -219,15 +256,14 @@ def _mark(nodes: list[Node]) -> None:
             least = min(least, up.density)
     core.keep = True
     for x in nodes:
-        if x.block and not x.out and x.density >= least and x.density > 0 and x.tag not in ("#root", "html", "body"):
+        if x.block and not x.skip and x.density >= least and x.density > 0 and x.tag not in ("#root", "html", "body"):
             x.best.keep = True
 
 
 def main_text(page: str) -> str:
     """The article text of a page: blocks in page order, white space inside each made one space, joined by a space."""
     root = tree(page)
-    nodes = weigh(root)
-    _mark(nodes)
+    _mark(weighed(root))
     blocks: list[list[str]] = [[]]
     todo: list[tuple] = [(root, False)]
     while todo:
@@ -238,7 +274,7 @@ def main_text(page: str) -> str:
             elif kept:
                 blocks[-1].append(node)
             continue
-        if node.out:
+        if node.skip:
             if node.tag in BLOCK:
                 blocks.append([])
             continue
@@ -256,7 +292,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", html_col: str =
     """The main text of every whole page.
 
     One row per input row: ``id_col``, the columns in ``keep``, text (empty if the page has none, or is null) and n_chars
-    (its code points). Null and repeated ids keep a row each; other columns are left out.
+    (its code points). Null and repeated ids keep a row each, and an empty table gives no rows; other columns are left out.
     """
     fields = {c: pages.schema[c].dataType.simpleString() for c in (id_col, *keep)}
     out = ", ".join([*(f"c{i} {t}" for i, t in enumerate(fields.values())), "text string, n_chars long"])
@@ -269,6 +305,6 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", html_col: str =
                 texts = [main_text(t.as_py() or "") for t in part.column(len(kept))]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*kept, "text", "n_chars"])
 
-    source = shipped(pages).select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(fields)), F.col(html_col).alias("page"))
-    found = source.mapInArrow(run, out)
+    source = pages.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(fields)), F.col(html_col).alias("page"))
+    found = mapped(source, run, out)
     return found.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(fields)), "text", "n_chars")
