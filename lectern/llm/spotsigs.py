@@ -1,7 +1,7 @@
 """SpotSigs fingerprints: chains of content words behind common-word anchors.
 
-A signature is an anchor with the next ``CHAIN`` content words behind it. A text's fingerprint is its set of signature
-hashes. Fingerprints are compared by Jaccard; near duplicates are found in partitions by set length, where sets whose
+A signature is an anchor with the next ``CHAIN`` content words behind it, or as many as the text still has. Anchors are
+common words, and the beginning of the text. A text's fingerprint is its set of signature hashes. Fingerprints are compared by Jaccard; near duplicates are found in partitions by set length, where sets whose
 lengths alone rule a match out never meet, by the pruned exact join of ``setjoin``.
 """
 
@@ -15,17 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import shipped
+from lectern.llm.common import Scratch, mapped, written
 from lectern.llm.setjoin import linked_groups
 
 CHAIN = 2
 #: Most ranges that ids are dealt into; the driver holds an id for each.
-MAX_PARTS = 1 << 16
-#: A text of at most so many words has its word pairs as signatures too, as few of its chains would outlast an edit.
-SHORT = 24
-#: Besides common words, words with this share of hash values are anchors, for texts of languages not listed here.
-SAMPLED = 8
-
+MAX_PARTS = 1 << 14
+#: Ids for each range, on average, that the driver looks at to choose where ranges end.
+SAMPLED = 32
 #: The common words of English, German, French and Spanish that anchor chains.
 COMMON = frozenset(
     (
@@ -43,37 +40,24 @@ def _hash(words: bytes) -> bytes:
     return hashlib.blake2b(words, digest_size=8).digest()
 
 
-_sampled: dict[bytes, bool] = {}
-
-
-def _is_anchor(word: bytes) -> bool:
-    got = _sampled.get(word)
-    if got is None:
-        if len(_sampled) > 1 << 18:
-            _sampled.clear()
-        got = _sampled[word] = word in COMMON or hashlib.blake2b(word, digest_size=1).digest()[0] % SAMPLED == 0
-    return got
-
-
 def signatures(text: str) -> np.ndarray:
-    """Sorted distinct signature hashes. A text with words but no full chain has all its words as one signature; without
-    words, the text itself."""
+    """Sorted distinct signature hashes. A text without a common word has all its words as one signature besides; one
+    without content words has these alone, and one without words the text itself."""
     words = text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
     content = [i for i, w in enumerate(words) if w not in COMMON]
-    found = set()
-    at = 0
-    n = len(content)
+    found = {b" ".join([b"^", *(words[k] for k in content[:CHAIN])])} if content else set()
+    at, n = 0, len(content)
+    anchored = False
     for i, w in enumerate(words):
-        while at < n and content[at] <= i:
-            at += 1
-        if at + CHAIN > n:
-            break
-        if _is_anchor(w):
-            found.add(b"%b %b %b" % (w, words[content[at]], words[content[at + 1]]))
-    if len(words) <= SHORT:
-        found.update(map(b" ".join, zip(words, words[1:])))
-    if not found:
-        found = {b" ".join(words) or b"\0" + text.encode("utf-8", "surrogatepass")}
+        if w in COMMON:
+            anchored = True
+            while at < n and content[at] <= i:
+                at += 1
+            if at == n:
+                break
+            found.add(b" ".join([w, *(words[k] for k in content[at : at + CHAIN])]))
+    if not anchored or not content:
+        found.add(b"= " + b" ".join(words) if words else b"\0" + text.encode("utf-8", "surrogatepass"))
     raw = b"".join(map(_hash, found))
     return np.sort(np.frombuffer(raw, "<u8"))
 
@@ -105,7 +89,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([printed(signatures(t.as_py() or "")) for t in part.column(1)])], names=["key", "fingerprint"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return shipped(docs).select(F.col(id_col).alias("key"), F.col(text_col).alias("body")).mapInArrow(run, f"key {kind}, fingerprint string").withColumnRenamed("key", id_col)
+    return mapped(docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("body")), run, f"key {kind}, fingerprint string").withColumnRenamed("key", id_col)
 
 
 def length_part(n: int, num: int, den: int) -> int:
@@ -117,6 +101,22 @@ def length_part(n: int, num: int, den: int) -> int:
     return k
 
 
+def _groups(base: DataFrame, id_type: str, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Groups of the rows of ``base`` (key, tag, body) by their texts' fingerprints, which are made once: key, tag, group, links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for at in range(0, x.num_rows, 256):
+                part = x.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([signatures(t.as_py()).tobytes() for t in part.column(2)], pa.binary())], names=["key", "tag", "body"])
+
+    def sets(prints: pa.Array) -> list[np.ndarray]:
+        return [np.frombuffer(p.as_py(), np.uint64) for p in prints]
+
+    prints = scratch.write(mapped(base.select("key", "tag", "body"), run, f"key {id_type}, tag long, body binary"), "fingerprints")
+    return linked_groups(prints, sets, num, den, id_type, lambda n: length_part(n, num, den), scratch)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100) -> DataFrame:
     """Groups of texts whose fingerprints have a Jaccard of at least num / den: ``id_col``, component_id, links.
 
@@ -125,84 +125,89 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty, and equal texts are one group. Ids may be null or repeat.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    base = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-
-    def sets(texts: pa.Array) -> list[np.ndarray]:
-        return [signatures(t.as_py()) for t in texts]
-
-    found = linked_groups(base, sets, num, den, id_type, lambda n: length_part(n, num, den))
+    base = docs.select(F.col(id_col).alias("key"), F.lit(0).cast("long").alias("tag"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    found = _groups(base, id_type, num, den, Scratch(docs.sparkSession))
     return found.select(F.col("key").alias(id_col), F.col("group").alias("component_id"), F.col("links").cast("long").alias("links"))
 
 
-def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_part: int = 4096) -> DataFrame:
+def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_part: int = 4096, num: int = 80, den: int = 100) -> DataFrame:
     """Fingerprints of each text, of its edited form and of the next text in the order of ids (after the last: the first).
 
     The edited text is the text with its last floor(n/2) code points replaced by the first as many of the next one. One
-    row per input row: ``id_col``, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. Null
-    texts count as empty; rows of equal id stand in the order of their texts, null ids before all others. An only row is
-    its own next.
+    row per input row: ``id_col``, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and
+    component_id, the group that ``near_duplicates`` has for the text. Ids may be of any type that has an order. Null texts
+    count as empty; rows of equal id stand in an order by a hash of their texts, null ids before all others. An only row is
+    its own next; an empty table gives no rows.
 
     Ids alone are looked at to deal rows into ranges of about ``rows_per_part``; the first row of each range goes to the
     range before as well, so that each task reads a run of rows and one more.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    base = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    total = base.count()
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    base = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("body")).withColumn("tag", F.xxhash64("body"))
+    scratch = Scratch(spark)
+    groups = written(_groups(base, kind, num, den, scratch).select("key", "tag", "group").distinct(), "spotsigs-groups")
+    scratch.clear()
+    total = groups.count()
     n = min(max(1, total // rows_per_part), MAX_PARTS)
-    cuts = base.agg(F.percentile_approx("key", F.array(*(F.lit(i / n) for i in range(1, n))), F.lit(100 * n)).alias("c")).first()["c"] if n > 1 else None
-    cuts = sorted(set(cuts or []))
-    part = F.coalesce(_rank(F.col("key"), cuts, kind), F.lit(0))
-    dealt = base.withColumn("part", part.cast("int"))
+    # Where ranges end: from a bounded sample of ids, as it matters to their sizes alone.
+    few = F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(1 << 32)) < int(min(1.0, SAMPLED * n / max(1, total)) * (1 << 32))
+    some = sorted(r["key"] for r in groups.where("key is not null").where(few).select("key").distinct().collect()) if n > 1 else []
+    cuts = sorted({some[len(some) * i // n] for i in range(1, n)}) if some else []
+    part = F.coalesce(_rank(F.col("key"), cuts, kind), F.lit(0)).cast("int").alias("part")
+    dealt = base.select("key", "body", "tag", part)
+    told = groups.select("key", F.lit(None).cast("string").alias("body"), "tag", part, F.lit(False).alias("peek"), F.lit(0).alias("kind"), "group")
     # Ids of the first row of each range, one small row for each.
-    firsts = [(r["part"], r["least"], r["nulls"]) for r in dealt.groupBy("part").agg(F.min("key").alias("least"), F.max(F.col("key").isNull()).alias("nulls")).orderBy("part").collect()]
+    firsts = [(r["part"], r["least"], r["nulls"]) for r in groups.select("key", part).groupBy("part").agg(F.min("key").alias("least"), F.max(F.col("key").isNull()).alias("nulls")).orderBy("part").collect()]
     before = {p: firsts[i - 1][0] for i, (p, _, _) in enumerate(firsts)}
-    spark = docs.sparkSession
-    if not firsts:
-        heads = dealt.withColumn("peek", F.lit(True)).limit(0)
-    else:
-        lead = spark.createDataFrame([(p, None if nulls else least, before[p]) for p, least, nulls in firsts], f"part int, lead {kind}, to int")
-        heads = dealt.join(F.broadcast(lead) if len(firsts) < 100_000 else lead, "part").where(F.col("key").eqNullSafe(F.col("lead"))).groupBy("part", "to", "key").agg(F.min("body").alias("body"))
-        heads = heads.select("key", "body", F.col("to").alias("part")).withColumn("peek", F.lit(True))
-    runs = dealt.withColumn("peek", F.lit(False)).unionByName(heads)
+    lead = spark.createDataFrame([(p, None if nulls else least, before[p]) for p, least, nulls in firsts], f"part int, lead {kind}, to int")
+    # At most MAX_PARTS rows, which bounds this broadcast.
+    heads = dealt.join(F.broadcast(lead), "part").where(F.col("key").eqNullSafe(F.col("lead"))).groupBy("to", "key").agg(F.min(F.struct("tag", "body")).alias("m"))
+    heads = heads.select("key", "m.body", "m.tag", F.col("to").alias("part"), F.lit(True).alias("peek"))
+    group = F.lit(None).cast(kind).alias("group")
+    runs = dealt.select("*", F.lit(False).alias("peek")).unionByName(heads).select("*", F.lit(1).alias("kind"), group).unionByName(told)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
+        group_of = None
         rows: list[tuple] = []
+        id_kind: list = []
 
         def flush() -> pa.RecordBatch:
-            types = [batch_kind[0], pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            types = [id_kind[0], pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), id_kind[0]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "component_id"])
 
-        batch_kind: list = []
         for x in batches:
-            batch_kind[:] = [x.column(0).type]
-            for key, body, peek in zip(x.column(0), x.column(1), x.column(3)):
+            id_kind[:] = [x.column(0).type]
+            for key, body, peek, group in zip(*x.columns):
                 text, ahead = body.as_py(), peek.as_py()
+                if text is None:  # what follows are the rows of this id and text
+                    group_of = group.as_py()
+                    continue
                 marks = signatures(text)
                 if held is not None:
-                    k, t, m = held
+                    k, t, m, g = held
                     half = len(t) // 2
                     edited = t[: len(t) - half] + text[:half]
                     e = signatures(edited)
-                    rows.append((k, len(t), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), printed(m), printed(e), likeness(m, e), likeness(m, marks)))
+                    rows.append((k, len(t), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), printed(m), printed(e), likeness(m, e), likeness(m, marks), g))
                     if len(rows) >= 256:
                         yield flush()
                         rows = []
-                held = None if ahead else (key.as_py(), text, marks)
+                held = None if ahead else (key.as_py(), text, marks, group_of)
         if rows:
             yield flush()
 
-    out = f"key {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    out = f"key {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, component_id {kind}"
     # Order: by range, the row from the next range last; so a task may have many ranges.
-    ordered = shipped(runs).repartition(max(1, len(firsts)), "part").sortWithinPartitions("part", "peek", F.col("key").asc_nulls_first(), "body")
-    return ordered.select("key", "body", "part", "peek").mapInArrow(compare, out).withColumnRenamed("key", id_col)
+    ordered = runs.repartition(max(1, len(firsts)), "part").sortWithinPartitions("part", "peek", F.col("key").asc_nulls_first(), "tag", "kind", "body")
+    return mapped(ordered.select("key", "body", "peek", "group"), compare, out).withColumnRenamed("key", id_col)
 
 
 def _rank(key, cuts: list, kind: str):
     """How many of the sorted ``cuts`` are at or below the key, by halving a constant array of them."""
     if not cuts:
         return F.lit(0)
-    listed = F.split(F.lit(",".join(map(str, cuts))), ",").cast(f"array<{kind}>")
+    listed = F.array(*(F.lit(c).cast(kind) for c in cuts))
     pair = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
 
     def halve(at, _):
