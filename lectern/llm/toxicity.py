@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import crc_bucket, shipped
+from lectern.llm.common import crc_bucket, mapped
 from lectern.llm.fitting import Adam, labelled_sample, sigmoid
 
 DIM = 1 << 20
@@ -54,19 +54,54 @@ FRONT_SENTENCES = 64
 _TABLE = np.array([b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint64)
 
 
+#: Bytes that are hashed at once.
+CHUNK = 1 << 18
+
+
+def _pieces(texts: list[bytes]) -> Iterator[tuple[int, bytes]]:
+    """The texts, a separator before and behind each, in pieces that overlap by what the longest n-gram needs."""
+    over = max(GRAMS) - 1
+    for k, t in enumerate(texts):
+        whole = b"\n%b\n" % t
+        for at in range(0, max(1, len(whole) - over), CHUNK):
+            yield k, whole[at : at + CHUNK + over]
+
+
+def gram_runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of all n-grams of some texts and the text that each is of, some at a time. A-Z count as a-z, other separators
+    as spaces; an n-gram is inside one text and the separators around it, so a text has the same whatever stands beside it."""
+
+    def hashed(group: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        raw = _TABLE[np.frombuffer(b"".join(p for _, p in group), np.uint8)]
+        sizes = [len(p) for _, p in group]
+        of, ends = np.repeat([k for k, _ in group], sizes), np.repeat(np.cumsum(sizes), sizes)
+        found, where = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        rolling = np.zeros(len(raw), np.uint64)
+        for i in range(max(GRAMS)):
+            rolling = rolling[: len(raw) - i] * np.uint64(0x100000001B3) + (raw[i:] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            if i + 1 in GRAMS and len(rolling):
+                inside = np.flatnonzero(np.arange(len(rolling)) + i < ends[: len(rolling)])
+                h = (rolling[inside] ^ (rolling[inside] >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+                found.append((h >> np.uint64(64 - 20)).astype(np.int64))
+                where.append(of[inside])
+        return np.concatenate(found), np.concatenate(where)
+
+    group: list[tuple[int, bytes]] = []
+    size = 0
+    for k, p in _pieces(texts):
+        if group and size + len(p) > 2 * CHUNK:
+            yield hashed(group)
+            group, size = [], 0
+        group.append((k, p))
+        size += len(p)
+    if group:
+        yield hashed(group)
+
+
 def gram_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams of some texts and the text that each is of. A-Z count as a-z, other separators as spaces."""
-    raw = _TABLE[np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)]
-    of = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts])
-    found, where = [], []
-    rolling = np.zeros(len(raw), np.uint64)
-    for i in range(max(GRAMS)):
-        rolling = rolling[: len(raw) - i] * np.uint64(0x100000001B3) + (raw[i:] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        if i + 1 in GRAMS and len(rolling):
-            h = (rolling ^ (rolling >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-            found.append((h >> np.uint64(64 - 20)).astype(np.int64))
-            where.append(of[np.minimum(np.arange(len(rolling)), len(of) - 1)])
-    return np.concatenate(found) if found else np.zeros(0, np.int64), np.concatenate(where) if where else np.zeros(0, np.int64)
+    """All of ``gram_runs`` at once, for short texts."""
+    runs = list(gram_runs(texts))
+    return tuple(np.concatenate([r[i] for r in runs]) if runs else np.zeros(0, np.int64) for i in (0, 1))
 
 
 class Model:
@@ -80,15 +115,13 @@ class Model:
 
     def features(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Text number and feature of each feature present in each text."""
-        rows, cols = [], []
-        for at in range(0, len(texts), 64):
-            grams, of = gram_hashes(texts[at : at + 64])
+        found = [np.zeros(0, np.int64)]
+        for grams, of in gram_runs(texts):
             slot = self.slot[grams]
             hit = np.flatnonzero(slot >= 0)
-            both = np.unique((of[hit] + at) * len(self.kept) + slot[hit])
-            rows.append(both // len(self.kept))
-            cols.append(both % len(self.kept))
-        return (np.concatenate(rows), np.concatenate(cols)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            found.append(np.unique(of[hit] * len(self.kept) + slot[hit]))
+        both = np.unique(np.concatenate(found))
+        return both // len(self.kept), both % len(self.kept)
 
     def logits(self, rows: np.ndarray, cols: np.ndarray, n: int) -> np.ndarray:
         return np.bincount(rows, self.w[cols], minlength=n) + self.b
@@ -167,13 +200,11 @@ def fit(sample: DataFrame, penalty: float, front_sentences: int = FRONT_SENTENCE
 
     Counterfactual pairs are all swaps in all sentences of the sample, and terms in front of ``front_sentences`` others.
     """
-    sample = shipped(sample)
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, ones, rows = np.zeros(DIM, np.int32), np.zeros(DIM, np.int32), [0, 0]
         for b in batches:
             for label, text in zip(b.column(0).to_pylist(), b.column(1)):
-                grams = np.unique(gram_hashes([text.as_py().encode()])[0])
+                grams = np.unique(np.concatenate([np.unique(g) for g, _ in gram_runs([text.as_py().encode()])]))
                 both[grams] += 1
                 rows[label > 0] += 1
                 if label > 0:
@@ -184,7 +215,7 @@ def fit(sample: DataFrame, penalty: float, front_sentences: int = FRONT_SENTENCE
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(both[k], pa.int64()), pa.array(ones[k], pa.int64())], names=["gram", "n", "ones"])
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([sum(rows)], pa.int64()), pa.array([rows[1]], pa.int64())], names=["gram", "n", "ones"])
 
-    counted = sample.mapInArrow(count, "gram int, n long, ones long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).where("n >= 3 or gram < 0").toArrow()
+    counted = mapped(sample, count, "gram int, n long, ones long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).where("n >= 3 or gram < 0").toArrow()
     gram, n, ones = (counted.column(c).to_numpy().astype(np.float64) for c in ("gram", "n", "ones"))
     total, positive = (float(x[gram < 0].sum()) for x in (n, ones))
     if not 0 < positive < total:
@@ -204,7 +235,7 @@ def fit(sample: DataFrame, penalty: float, front_sentences: int = FRONT_SENTENCE
             packed = [shared.value.features([t.encode()])[1].astype(np.int16).tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary()), pa.array([_sentence(t) for t in texts])], names=["label", "x", "sentence"])
 
-    got = sample.mapInArrow(features, "label int, x binary, sentence string").toArrow().to_pylist()
+    got = mapped(sample, features, "label int, x binary, sentence string").toArrow().to_pylist()
     got.sort(key=lambda r: (r["sentence"], r["label"], r["x"]))
     cols = [np.frombuffer(r["x"], np.int16).astype(np.int64) for r in got]
     rows = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
@@ -223,7 +254,7 @@ def fit(sample: DataFrame, penalty: float, front_sentences: int = FRONT_SENTENCE
                     yield pa.RecordBatch.from_arrays([pa.array([p[i] for p, _ in part], pa.binary()) for i in (0, 1)] + [pa.array([n for _, n in part], pa.int64())], names=["a", "b", "n"])
 
     # Equal pairs count by weight, and those without a difference in features by weight alone: they add nothing else.
-    real = sample.mapInArrow(swapped, "a binary, b binary, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow().to_pylist()
+    real = mapped(sample, swapped, "a binary, b binary, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow().to_pylist()
     real.sort(key=lambda r: (r["a"], r["b"]))
     others = [r["sentence"] for r in got if r["sentence"]]
     step = max(1, len(others) // front_sentences) if front_sentences else len(others) + 1
@@ -253,7 +284,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     The model is fitted to about ``sample_rows`` labelled texts whose id is not held out, ``penalty`` weighing the
     counterfactual term. Its pairs are all swaps of identity terms in the sample, and terms put in front of about
     ``front_sentences`` sentences without one. One row per input row; a null text counts as empty, null ids as the empty text in held_out.
-    Without labels of both kinds all scores are the share of label 1 (0.5 without any label). Only the text is an input.
+    Without labels of both kinds all scores are the share of label 1 (0.5 without any label). Only the text is an input;
+    equal texts have equal scores, whatever stands beside them. An empty table gives no rows.
     """
     model = fit(labelled_sample(docs, labels, label_col, modulus, held_out, sample_rows, id_col, text_col), penalty, front_sentences)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -266,6 +298,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 q = np.full(part.num_rows, shared.value) if isinstance(shared.value, float) else shared.value.score([t.as_py().encode() for t in part.column(1)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.round(q.astype(np.float64), 6))], names=["key", "score"])
 
-    base = shipped(docs).select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    scored = base.mapInArrow(run, f"key {kind}, score double")
+    base = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
+    scored = mapped(base, run, f"key {kind}, score double")
     return scored.select(F.col("key").alias(id_col), (crc_bucket("key", modulus) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
