@@ -2,9 +2,11 @@
 
 import hashlib
 import itertools
+import math
 import random
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, decontaminate, html, jaccard, lines, pii, quality, spotsigs, toxicity, warc
@@ -31,11 +33,30 @@ def test_warc(spark, tmp_path):
     assert warc.archived(pages.limit(0)).count() == 0
 
 
+def test_warc_repeated_keys(spark):
+    """A row for each page, whatever keys repeat or are null."""
+    a, b, c = "a" * 1100, "b" * 1200, "c" * 1300
+    rows = [(5, a), (9, a), (5, b), (None, a), (None, c), (None, c), (7, b), (7, b)]
+    pages = spark.createDataFrame([(k, "u", h) for k, h in rows], "page_id long, url string, html string")
+    got = sorted((str(r.record_key), r.payload_bytes, r.record_type, r.refers_to) for r in warc.archived(pages).collect())
+    assert got == sorted([("5", 1100, "revisit", 9), ("9", 1100, "response", None), ("5", 1200, "revisit", 7), ("None", 1100, "revisit", 9), ("None", 1300, "response", None), ("None", 1300, "response", None), ("7", 1200, "response", None), ("7", 1200, "response", None)])
+
+
 def test_warc_bodies(spark):
+    """Archives are gzip members, one a record, that any reader can seek to."""
+    import glob
+    import gzip
+
     path = fresh_path(spark, "test")
-    pages = spark.createDataFrame([(1, "u", "a\r\n\r\nb"), (2, "v", "")], "page_id long, url string, html string")
+    long = "é" * (9 << 20)
+    pages = spark.createDataFrame([(1, "u", "a\r\n\r\nb"), (2, "v", ""), (3, "w", long)], "page_id long, url string, html string").coalesce(1)
     warc.write_archive(warc.responses(pages, "page_id", "url", "html"), path)
-    assert {(r.record_key, bytes(r.body)) for r in warc.read_archive(spark, path, bodies=True).collect()} == {("1", b"a\r\n\r\nb"), ("2", b"")}
+    files = warc._archives(spark, path).withColumn("left_out", F.lit(None).cast("array<long>"))
+    assert {(r.record_key, bytes(r.body)) for r in warc._records(files, True).collect()} == {("1", b"a\r\n\r\nb"), ("2", b""), ("3", long.encode())}
+    whole = b"".join(open(f, "rb").read() for f in glob.glob(path.removeprefix("file:") + "/part*"))
+    assert gzip.decompress(whole).count(b"WARC/1.1") == 3 and whole.count(b"\x1f\x8b\x08") >= 3
+    record = next(warc.parse(whole[whole.index(b"\x1f\x8b\x08", 10) :]))
+    assert record[0]["record-key"] == "2"
 
 
 def brute_hits(run, items, window):
@@ -63,13 +84,25 @@ def test_decontaminate(spark):
     item = "one two three four five six seven eight nine ten eleven"
     d = docs_of(spark, [(1, f"Intro words here. {item.upper()}! And more text follows in this place for long."), (2, None), (3, ""), (3, ""), (4, "clean text"), (None, "five words only")])
     b = spark.createDataFrame([(7, item), (8, None), (9, "five words only"), (None, "clean text")], "item_id long, text string")
-    for block in (10, 200_000):
+    assert decontaminate.decontaminate(d.limit(0), b).count() == 0
+    for block in (3, 10, 200_000):
         got = {(r.doc_id, r.n_words): r for r in decontaminate.decontaminate(d, b, min_span_words=3, block_words=block, keep=("key",)).collect()}
         assert got[1, 23].n_hit == 11 and got[1, 23].items == ["7"] and "SEVEN" not in got[1, 23].clean_text and not got[1, 23].drop
         assert got[None, 3].items == ["9"] and got[None, 3].drop and got[2, 0].clean_text is None and got[4, 2].n_hit == 0
     assert decontaminate.decontaminate(d, b.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
+def test_long_item_in_parts(spark):
+    """An item of more words than a block holds has every window in one of its parts."""
+    item = " ".join(f"w{i}" for i in range(100))
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    parts = [run for block in decontaminate.blocks(b, "item_id", "text", 30, 10) for _, run in block]
+    windows = {tuple(p[i : i + 10]) for p in parts for i in range(len(p) - 9)}
+    assert max(map(len, parts)) == 30 and len(windows) == 91
+    got = decontaminate.decontaminate(docs_of(spark, [(1, item), (2, "w1 w2 w3")]), b, block_words=30, columns=("n_hit", "spans")).collect()
+    assert {(r.doc_id, r.n_hit, len(r.spans)) for r in got} == {(1, 100, 1), (2, 0, 0)}
+
+
 def test_bpe_tree_is_exact():
     codec = bpe.load(bpe.default_vocabulary())
     r = random.Random(3)
@@ -139,6 +172,49 @@ def test_pii_settles(spark):
     assert len(got["********"]) == 8 and got["'!!??!!'"][0] == got["'!!??!!'"][-1] == "'"
 
 
+def test_pii_coreference(spark):
+    """All mentions of a person in a text agree, whole or in part; names outside the list are found by what stands beside them."""
+    texts = [
+        (1, "Anna Schmidt came. Later Anna said hello and Schmidt left. SCHMIDT's coat."),
+        (2, "Mrs Weber spoke. Weber went."),
+        (3, "Zoltan Kovacs wrote to Priya Raman. Then Priya answered Kovacs."),
+        (4, "The The The The and Of Of Of; by The The."),
+        (5, "Later Schmidt left, and Weber too."),
+    ]
+    got = {r.doc_id: r for r in pii.replace_pii(docs_of(spark, texts)).collect()}
+    for i, gone in ((1, "anna schmidt"), (2, "weber"), (3, "zoltan kovacs priya raman")):
+        assert not any(g in got[i].text.lower() for g in gone.split()), got[i].text
+    words = got[1].text.replace(".", "").replace("'s", "").split()
+    assert words[0] == words[4] and words[1] == words[8] and words[1].upper() == words[10] and got[1].entity_count == 4
+    words = got[3].text.replace(".", "").split()
+    assert words[4] == words[7] and words[1] == words[9]
+    assert got[4].text == texts[3][1] and got[5].text == texts[4][1]
+    # No two people share a name, whatever list it comes from.
+    names = [("GIVEN-female-latin", n) for n in pii.GIVEN_NAMES["female", "latin"]] + [("GIVEN-male-latin", n) for n in pii.GIVEN_NAMES["male", "latin"]]
+    e = spark.createDataFrame([("GIVEN-latin", t.lower(), k, t) for k, t in names], "space string, canon string, kind string, text string")
+    tried = e.join(pii.clashes(e, "k"), ["space", "canon"], "left").select("kind", "text", F.coalesce("attempt", F.lit(0)).alias("attempt"))
+    forms = [r[0].lower() for r in tried.select(pii.surrogates(F.array(F.struct("kind", "text", "attempt")), "k")[0]).collect()]
+    assert len(set(forms)) == len(names) and not set(forms) & {t.lower() for _, t in names}
+
+
+def test_pii_kinds(spark):
+    """What is found, what is left alone, and that a surrogate has its original's type: canonical forms are gone."""
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nMIIEow+abc/DEF=\nxyz\n-----END RSA PRIVATE KEY-----"
+    long_mail = "a" * 90 + ".b@corp.org"
+    found = {"key": pem, "mail": long_mail, "v6": "2001:DB8::8a2e:370:7334", "full": "2001:db8:0:0:0:ff00:42:8329", "street": "221 Baker Street", "haus": "Hauptstraße 12", "rue": "12 rue de Rivoli", "card": "4845168114407329", "iban": "DE89 3704 0044 0532 0130 00"}
+    texts = [(i, f"see {v} there") for i, v in enumerate(found.values())] + [(90, "order 9807915762804490 of 12::30 and std::sort, 999.1.1.1 :: x"), (91, "a" * 300_000 + " 4845168114407329 " + "b@" * 1000)]
+    got = {r.doc_id: r for r in pii.replace_pii(docs_of(spark, texts)).collect()}
+    for i, (k, v) in enumerate(found.items()):
+        assert got[i].entity_count == 1 and v not in got[i].text, (k, got[i].text)
+        put = got[i].text[4:-6]
+        for kind, pattern in pii.PATTERNS.items():
+            if regex.fullmatch(pattern, v):
+                assert regex.fullmatch(pattern, put), (kind, put)
+                break
+    assert got[0].text.startswith("see -----BEGIN RSA PRIVATE KEY-----\n") and "MIIEow" not in got[0].text and got[4].text.endswith(" Street there")
+    assert got[90].text == texts[-2][1] and got[90].entity_count == 0 and got[91].entity_count == 1
+
+
 def test_pii_long_secret(spark):
     value = "eyJh" + "bGci0iJ9.Zx_" * 400
     text = f"before token={value} after, password: ******** end"
@@ -215,7 +291,24 @@ def test_spotsigs(spark):
         edited = t[: len(t) - half] + ahead[:half]
         assert compared[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and compared[i].n_chars == len(t)
         assert compared[i].near_next == spotsigs.likeness(spotsigs.signatures(t), spotsigs.signatures(ahead))
+        prints = [spotsigs.printed(spotsigs.signatures(x)) for x in (t, edited)]
+        assert [compared[i].fingerprint, compared[i].edited_fingerprint] == prints
+        a, b = (set(p[k : k + 16] for k in range(0, len(p), 16)) for p in prints)
+        assert compared[i].near_edited == len(a & b) / len(a | b) and compared[i].component_id == got[i]
     assert spotsigs.compare_with_edited(docs_of(spark, [(1, None), (None, "x"), (1, "y")])).count() == 3
+    assert spotsigs.compare_with_edited(docs_of(spark, []).limit(0)).count() == 0
+    named = docs_of(spark, rows).withColumn("doc_id", F.concat(F.lit("a,b "), F.lpad(F.col("doc_id").cast("string"), 3, "0")))
+    by_name = {int(r.doc_id[-3:]): r for r in spotsigs.compare_with_edited(named, rows_per_part=7).collect()}
+    assert all(by_name[i].near_next == r.near_next and by_name[i].edited_sha256 == r.edited_sha256 for i, r in compared.items())
+
+
+def test_spotsigs_signatures():
+    """Anchors are common words and the beginning, whatever the length of a text."""
+    words = [f"w{i}" for i in range(40)]
+    for n in (23, 24, 25, 26):
+        assert len(spotsigs.signatures(" ".join(words[:n]))) == 2
+        assert len(spotsigs.signatures("the " + " the ".join(words[:n]))) == n + 1
+    assert len(spotsigs.signatures("")) == len(spotsigs.signatures("the")) == 1 and (spotsigs.signatures("A  b") == spotsigs.signatures("a b")).all()
 
 
 def test_html(spark):
@@ -255,6 +348,125 @@ def test_html_siblings():
     assert (got.count("alpha"), got.count("beta"), got.count("gamma")) == (12, 10, 5) and "Link" not in got
 
 
+def plain_density(node, ratio):
+    """Characters, link characters, tags and link tags of a nested (tag, parts) tree, and its composite text density."""
+    skipped = ("b",)
+
+    def counts(n, in_link):
+        tag, parts = n
+        in_link = in_link or tag == "a"
+        c = sum(len(p) for p in parts if isinstance(p, str))
+        total = [c, c * in_link, 0, 0]
+        for p in parts:
+            if not isinstance(p, str):
+                sub = counts(p, in_link)
+                total = [x + y for x, y in zip(total, sub)]
+                total[2] += p[0] not in skipped
+                total[3] += p[0] == "a"
+        return total
+
+    c, lc, t, lt = counts(node, False)
+    if ratio is None:
+        return lc / max(1, c)
+    t, lt = max(1, t), max(1, lt)
+    if not c or c <= lc:
+        return 0.0
+    base = math.log(c / max(1, c - lc) * lc + ratio * c + math.e)
+    return c / t * math.log(c / max(1, lc) * t / lt + 1e-9) / math.log(base) if base > 1 else c / t * math.log(c / max(1, lc) * t / lt + 1e-9, 1 + 1e-9)
+
+
+def test_html_density():
+    """Densities and density sums of random trees equal those of a second, plain implementation."""
+    r = random.Random(8)
+
+    def grown(depth):
+        parts = []
+        for _ in range(r.randrange(1, 4)):
+            kind = r.random()
+            if depth and kind < 0.6:
+                parts.append(grown(depth - 1))
+            elif kind < 0.8:
+                parts.append(("p", ["x" * r.randrange(1, 60), ("a", ["l" * r.randrange(1, 20)]), ("b", ["y"])][: r.randrange(1, 4)]))
+            else:
+                parts.append(("p", ["z" * r.randrange(1, 200)]))
+        return (r.choice(["div", "section"]), parts)
+
+    def shown(n):
+        return n if isinstance(n, str) else f"<{n[0]}>{''.join(map(shown, n[1]))}</{n[0]}>"
+
+    for _ in range(60):
+        body = ("body", grown(3)[1])
+        root = html.tree(shown(body))
+        nodes = html.weighed(root)
+        ratio = plain_density(body, None)
+        got = [x for x in nodes if x.tag in ("body", "div", "section", "p")]
+
+        def flat(n):
+            return [n, *(y for p in n[1] if not isinstance(p, str) for y in flat(p))]
+
+        want = [n for n in flat(body) if n[0] in ("body", "div", "section", "p")]
+        assert sorted((x.tag, round(x.density, 6)) for x in got) == sorted((n[0], round(plain_density(n, ratio), 6)) for n in want)
+        sums = [(n[0], round(sum(plain_density(p, ratio) for p in n[1]) if n[0] != "p" else plain_density(n, ratio), 6)) for n in want]
+        assert sorted((x.tag, round(x.total, 6)) for x in got) == sorted(sums)
+
+
+def test_html_names():
+    """A name weighs: the article may be in a part named as a notice if nothing else on the page is like one."""
+    report = "".join(f"<p>Sentence {i} of the report of the court tells at some length what was said there.</p>" for i in range(30))
+    got = html.main_text(f"<body><h1>Report</h1><ul><li><a href=x>Link</a></li></ul><section class=legal>{report}</section>")
+    assert got.count("Sentence") == 30 and "Link" not in got
+    got = html.main_text(f"<body><article>{paragraphs('alpha', 8)}</article><div class=comments>{paragraphs('beta', 20)}</div>")
+    assert got.count("alpha") == 8 and "beta" not in got
+
+
+def test_html_edges(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>" + "long " * 400_000), (1, "u", "<p>a b"), (1, "u", "<p>a b")], "page_id long, url string, html string")
+    got = sorted(r.n_chars for r in html.extract_main_text(pages).collect())
+    assert got == [3, 3, 5 * 400_000 - 1] and html.extract_main_text(pages.limit(0)).count() == 0
+    assert len(html.main_text("<div>" * 5000 + "deep text" + "</div>" * 5000)) == 9
+
+
+def test_scores_stand_alone(spark):
+    """A text's score and features are the same whatever stands beside it, in any order and batch."""
+    r = random.Random(12)
+    texts = ["".join(r.choice("abcdef  .\n") for _ in range(r.randrange(0, 3000))) for _ in range(60)] + ["", "é" * 900, "x" * 601]
+    whole, bags = quality.passages([t.encode() for t in texts])
+    at = 0
+    for t, n in zip(texts, bags):
+        alone, one = quality.passages([t.encode()])
+        assert one[0] == n and (alone == whole[at : at + n]).all()
+        at += n
+    grams, of = toxicity.gram_hashes([t.encode() for t in texts])
+    for i, t in enumerate(texts):
+        assert sorted(grams[of == i]) == sorted(toxicity.gram_hashes([t.encode()])[0])
+    docs = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t) for i, t in enumerate(texts)]
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    for f in (quality.score_quality, toxicity.score_toxicity):
+        one = {x.doc_id: x.score for x in f(docs_of(spark, docs).coalesce(1), labels).collect()}
+        two = {x.doc_id: x.score for x in f(docs_of(spark, docs[::-1]).repartition(7), labels).collect()}
+        assert one == two and all(one[i] == one[100 + i] for i in range(len(texts)))
+        assert f(docs_of(spark, docs).limit(0), labels).count() == 0
+
+
+def test_quality_long_text(monkeypatch):
+    """Blocks of a long text give what all its passages at once do."""
+    r = random.Random(13)
+    texts = [" ".join(r.choice(["aa", "b", "cc%", "é"]) for _ in range(r.randrange(900, 4000))).encode() for _ in range(4)]
+    x, bags = quality.passages(texts)
+    model = quality.Model().fit(x, bags, quality.np.array([0, 1, 0, 1], quality.np.float32), rounds=3)
+    at_once = model.score(texts)
+    monkeypatch.setattr(quality, "BLOCK", 3)
+    assert all((quality.np.concatenate(list(quality.blocks_of(t))) == quality.passages([t])[0]).all() for t in texts)
+    assert (abs(model.score(texts) - at_once) <= 2e-6).all()
+
+
+def test_toxicity_long_text(monkeypatch):
+    texts = [("ab cd ef " * 50).encode(), b"", b"xyz" * 99]
+    want = [set(toxicity.gram_hashes([t])[0].tolist()) for t in texts]
+    monkeypatch.setattr(toxicity, "CHUNK", 7)
+    assert [set(toxicity.gram_hashes([t])[0].tolist()) for t in texts] == want
+
+
 @pytest.mark.parametrize("op", ["quality", "toxicity"])
 def test_classifiers(spark, op):
     r = random.Random(4)
@@ -309,3 +521,75 @@ def test_pipeline(spark):
     rows = kept.select("doc_id", "n_tokens").collect()
     assert 0 < len(rows) < docs.count() and len({r.doc_id for r in rows}) == len(rows)
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "quality classifier" and len(corpus_pipeline.STAGES) == 5
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def staged(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], COLUMNS)
+
+
+def told(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+
+def test_stage_quality(spark, tmp_path):
+    """The stage keeps the rows that a plain run of the model keeps, nulls and repeats among them."""
+    import corpus_pipeline
+
+    r = random.Random(21)
+    good = lambda: " ".join(f"w{r.randrange(50)}" for _ in range(60))
+    rows = [(i, "%%% &&& " * 60 if i % 3 == 0 else good(), "s") for i in range(240)] + [(None, good(), None), (None, "%%% &&& " * 60, None), (1, "%%% &&& " * 60, "s"), (7, None, "s")]
+    spark.createDataFrame([(i, int(i % 3 != 0), None) for i in range(240)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    d = staged(spark, rows)
+    kept = corpus_pipeline.quality(spark, d, str(tmp_path))
+    labels = spark.read.parquet(str(tmp_path / "labels.parquet"))
+    scores = sorted(((x.doc_id, x.score) for x in quality.score_quality(d, labels).collect()), key=str)
+    assert kept.columns == d.columns and kept.count() == sum(s >= 0.3 for _, s in scores)
+    got = told(kept)
+    assert (1, "%%% &&& " * 60) not in got and (None, "%%% &&& " * 60) not in got and any(i is None for i, _ in got)
+    assert corpus_pipeline.quality(spark, d.limit(0), str(tmp_path)).count() == 0
+
+
+def test_stage_lines(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"boiler\nown {i}", f"s{i}") for i in range(12)] + [(None, "boiler", None), (20, None, "s1"), (3, "boiler\nagain", "s3")]
+    want = [(i, t if t is None or i == 0 else "\n".join(x for x in t.split("\n") if x != "boiler")) for i, t, _ in rows]
+    assert told(corpus_pipeline.line_dedup(spark, staged(spark, rows), "")) == sorted(want, key=str)
+    assert corpus_pipeline.line_dedup(spark, staged(spark, rows).limit(0), "").count() == 0
+
+
+def test_stage_near_duplicates(spark):
+    """One row of each group of rows that plain sets link, judged by row."""
+    import corpus_pipeline
+
+    texts = near_copies(5, 90)
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    rows += [(0, texts[0], "s"), (0, "an own text of the repeated id that is like none of the others here", "s"), (None, texts[5], "s"), (None, "some text without an id that stands here twice for sure", "s"), (None, "some text without an id that stands here twice for sure", "s"), (200, None, "s"), (201, "", "s"), (201, "", "s")]
+    by_text = {t: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for _, t, _ in rows if t}
+    groups = brute_groups(by_text, 80, 100)
+    best = {}
+    for i, t, _ in rows:
+        if t:
+            best[groups[t]] = min(best.get(groups[t], (True, 0)), (i is None, i if i is not None else 0))
+    kept = told(corpus_pipeline.near_duplicates(spark, staged(spark, rows), ""))
+    assert len(kept) == len(best) + 3 and sorted((i is None, i or 0) for i, t in kept if t) == sorted(best.values())
+    assert len({groups[t] for _, t in kept if t}) == len(best)
+    assert corpus_pipeline.near_duplicates(spark, staged(spark, rows).limit(0), "").count() == 0
+
+
+def test_stage_decontamination_and_bpe(spark, tmp_path):
+    import corpus_pipeline
+
+    item = " ".join(f"b{i}" for i in range(14))
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    mine = " ".join(f"m{i}" for i in range(40))
+    rows = [(1, f"{mine} {item} end", "s"), (1, f"few words {item}", "s"), (None, mine, None), (3, None, "s"), (4, "", "s")]
+    kept = corpus_pipeline.benchmark_decontamination(spark, staged(spark, rows), str(tmp_path))
+    assert told(kept) == sorted([(1, f"{mine}  end"), (None, mine), (3, None), (4, "")], key=str)
+    assert {r.doc_id: r.n_chars for r in kept.collect()}[4] == 0
+    out = corpus_pipeline.bpe(spark, kept, "").collect()
+    codec = bpe.load(bpe.default_vocabulary())
+    assert sorted(r.n_tokens for r in out) == sorted(len(codec.library.encode(t or "", add_special_tokens=False).ids) for _, t in told(kept))
