@@ -7,64 +7,131 @@ from pyspark.sql import functions as F
 
 from lectern.sources.books import number_words, roman
 
-#: Rewrites of speech-recognition slips, in order: (pattern, replacement). General ones; none supplies content.
-SLIPS = (
-    (r"\bи\s+у\s*ван(?:на|ов)\b|\bи\s+уанна\b|\bилана\b|\bгуана\b|\bатеана\b", "иоанна"),
-    (r"\b(?:ивангел|евангел)[а-я]*\s+(?:от\s+)?", "евангелие от "),
-    (r"\bот\s+от\b", "от"),
-    (r"\bот\s+яна\b", "от иоанна"),
-    (r"\bматвея\b", "матфея"),
-    (r"\bпослани(?:и|я|ю|ем)\b", "послание"),
-    (r"\bпосланник(?:ом|а)\b|\bпостанет\b", "послание"),
-    (r"\bперв(?:ый|ым|ому|ом)\s+послание\b", "1 послание"),
-    (r"\bвтор(?:ой|ым|ому|ом|ого)\s+послание\b", "2 послание"),
-    (r"\bтреть(?:ем|ему|им|его)\s+послание\b", "3 послание"),
-    (r"\bиоанну\b", "иоанна"),
-    (r"\bкаринфена\b|\bкаримфинам\b|\bкоринфян\b", "коринфянам"),
-    (r"\bримляном\b", "римлянам"),
-    (r"\bфилиппи(?:ца|тс)\b", "филиппийцам"),
-    (r"\bфес[ао]?л?о?ник[а-я]*\b|\bфеселоник[а-я]*\b|\bфесолоник[а-я]*\b|\bфес\s+с?\s*алоник[а-я]*\b", "фессалоникийцам"),
-    (r"\bпар[а]?липомин[а-я]*\b", "паралипоменон"),
-    (r"\b(?:первая|первую|1)\s+книг[ау]\s+паралипоменон\b", "1 паралипоменон"),
-    (r"\b(?:вторая|вторую|2)\s+книг[ау]\s+паралипоменон\b", "2 паралипоменон"),
-    (r"\bисаи\b|\bи-с-а-и\b", "исаия"),
-    (r"\bагея\b", "аггея"),
-    (r"\bмалахи\b", "малахия"),
-    (r"\bдеяни[ея]\s+апостола\b", "деяния апостолов"),
-    (r"\bпритчет\b", "притчи"),
-    (r"\bиисуса\s+навин[а]?\b", "иисус навин"),
-    (r"\bсолма\b|\bпсалма\b|\bпсалме\b|\bпсалом\b", "псалом"),
-    (r"\bглав(?:у|ы|е|ой)\b|\bглавоз\b|\bагла\b", "глава"),
-    (r"\bпервоглава\b", "первая глава"),
-    (r"\bпервостих\b", "первый стих"),
-    (r"\bстих(?:а|и|е|ов|ии|ами|ах)\b|\bстивы\b|\bсих\b|\bстихи[ие]\b", "стих"),
-    (r"\bиз\s+тихо?\b", "стих"),
-    (r"\bиз\s+(?:стихи|стих|их)\b(?!\s*\d)", "стих"),
-    (r"\bиоанн\s+во?\s+([123])\s+послание\b", "$1 послание иоанна"),
-    (r"\bпет[её]?р\s+во?\s+([12])\s+послание\b", "$1 послание петра"),
-    (r"\b([123])\s+послание\W+апостол\s+и\s+иоанна\b", "$1 послание иоанна"),
-    (r"\b(\d+)-?тестих\b", "$1 стих"),
-    (r"\bпод\s+(\d+)", "по $1"),
-    (r"\bконца\s+главы\b", "конца глава"),
-)
-#: Slips that show only after number words are digits.
-LATE_SLIPS = (
-    (r"\b(\d+)\s+(?:голова|лас|рюмке)\b", "$1 глава"),
-    (r"\b(\d+)\s+из\s+них\b", "$1 стих"),
-    (r"\b([12])\s+послание\s+(?:апостола\s+павл[аы]\s+)(?:фессалоникийцам\s+)?фессалоникийцам\b", "$1 фессалоникийцам"),
-)
-
-
-def _each(text: Column, rules) -> Column:
-    for pattern, replacement in rules:
-        text = F.regexp_replace(text, F.lit(f"(?U){pattern}"), F.lit(replacement))
-    return text
+#: The words that references are read by, with the endings that their stems take in speech.
+KEYWORDS = {
+    "глава": ("глав", "а у ы е ой"),
+    "стих": ("стих", "а и е ов ии ие ами ах"),
+    "псалом": ("псал", "ом ма ме"),
+    "послание": ("послани", "е и я ю ем"),
+}
+#: Single words as the recogniser mishears them, and what was said; a word and its meaning each line.
+MISHEARD = """
+агея аггея
+агла глава
+атеана иоанна
+главоз глава
+гуана иоанна
+илана иоанна
+иоанну иоанна
+исаи исаия
+каримфинам коринфянам
+каринфена коринфянам
+коринфян коринфянам
+малахи малахия
+матвея матфея
+первоглава 1 глава
+первостих 1 стих
+послаником послание
+посланника послание
+посланником послание
+постанет послание
+притчет притчи
+римляном римлянам
+сих стих
+солма псалом
+стивы стих
+тихо стих
+филиппитс филиппийцам
+филиппица филиппийцам
+"""
+#: Beginnings of words that are misheard in many forms, and what was said.
+BEGINNINGS = """
+парлипомин паралипоменон
+паралипомин паралипоменон
+фесалоник фессалоникийцам
+феселоник фессалоникийцам
+фесолоник фессалоникийцам
+фессалоник фессалоникийцам
+"""
+#: Phrases as they are misheard, once words are spelt out and number words are digits; N is a number that
+#: stays. What was said stands behind the bar.
+PHRASES = """
+и у ванна | иоанна
+и у ванов | иоанна
+и уванна | иоанна
+и уванов | иоанна
+и уанна | иоанна
+и с а и | исаия
+от от | от
+от яна | от иоанна
+деяние апостола | деяния апостолов
+деяния апостола | деяния апостолов
+иисуса навина | иисус навин
+иисуса навин | иисус навин
+из стих | стих
+из тих | стих
+N из их | N стих
+первом послание | 1 послание
+втором послание | 2 послание
+третьем послание | 3 послание
+N тестих | N стих
+N голова | N глава
+N лас | N глава
+N рюмке | N глава
+N из них | N стих
+под N | по N
+иоанн в N послание | N послание иоанна
+иоанн во N послание | N послание иоанна
+петр в N послание | N послание петра
+петр во N послание | N послание петра
+петер в N послание | N послание петра
+петер во N послание | N послание петра
+фессалоникийцам фессалоникийцам | фессалоникийцам
+N послание апостола павла фессалоникийцам | N фессалоникийцам
+N послание апостола павлы фессалоникийцам | N фессалоникийцам
+N послание апостол и иоанна | N послание иоанна
+N книга паралипоменон | N паралипоменон
+N книгу паралипоменон | N паралипоменон
+"""
+
+
+def bound(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), F.lit(1))
+
+
+def _words() -> dict[str, str]:
+    """Single words and what they stand for: forms of the keywords, and misheard words."""
+    forms = {stem + e: word for word, (stem, endings) in KEYWORDS.items() for e in endings.split()}
+    return forms | dict(line.split(None, 1) for line in MISHEARD.strip().splitlines())
+
+
+def _phrases() -> list[tuple[str, str]]:
+    """Phrases as patterns of whole words, with their replacements."""
+    pairs = (line.split(" | ") for line in PHRASES.strip().splitlines())
+    return [(rf"(?<![0-9а-яa-z]){heard.replace('N', '([0-9]+)')}(?![0-9а-яa-z])", said.replace("N", "$1")) for heard, said in pairs]
+
+
+def _spelt(words: Column) -> Column:
+    """A token array with each word as what it stands for."""
+    table = F.create_map(*(F.lit(x) for pair in sorted(_words().items()) for x in pair))
+
+    def one(w: Column) -> Column:
+        begins = w
+        for line in BEGINNINGS.strip().splitlines():
+            heard, said = line.split()
+            begins = F.when(w.startswith(heard), said).otherwise(begins)
+        return F.coalesce(F.try_element_at(table, w), begins)
+
+    return F.split(F.array_join(F.transform(words, one), " "), " ")
 
 
 def normalize_quote(text: Column) -> Column:
-    """Lower case, ё as е, everything but letters (а-я, a-z) and digits a single space. Null stays null."""
+    """Lower case, ё as е, everything but letters (а-я, a-z) and digits a single space; and "страх господи" in the form of
+    the verse tables. Null stays null."""
     low = F.translate(F.lower(text), "ё", "е")
-    return F.trim(F.regexp_replace(F.regexp_replace(low, "[^а-яa-z0-9]+", " "), " +", " "))
+    plain = F.regexp_replace(low, "[^а-яa-z0-9]+", " ")
+    return F.trim(F.regexp_replace(plain, "(?<![0-9а-яa-z])страх господи(?![0-9а-яa-z])", "страх господень"))
 
 
 def fold_numbers(words: Column) -> Column:
@@ -73,40 +140,60 @@ def fold_numbers(words: Column) -> Column:
     Digits that stand there already never merge. One left fold: the state is what is out and the number being built.
     """
     lexicon = F.create_map(*(F.lit(x) for pair in sorted(number_words().items()) for x in pair))
+    valued = F.transform(words, lambda w: F.struct(w.alias("word"), F.try_element_at(lexicon, w).alias("value")))
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("int").alias("held"), F.lit(0).alias("floor"))
     done = lambda s: F.when(s["held"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(s["held"].cast("string"))))
     state = lambda out, held, floor: F.struct(out.alias("out"), held.cast("int").alias("held"), floor.cast("int").alias("floor"))
 
-    def step(s: Column, word: Column) -> Column:
-        value = F.try_element_at(lexicon, word)
+    def step(s: Column, w: Column) -> Column:
+        value = w["value"]
         # `floor`: numbers below it may still be added to the one held.
         joins = s["held"].isNotNull() & (value < s["floor"])
         room = F.when(value >= 100, 100).when(value >= 20, 10).otherwise(0)
         return (
-            F.when(value.isNull(), state(F.concat(done(s), F.array(word)), F.lit(None), F.lit(0)))
+            F.when(value.isNull(), state(F.concat(done(s), F.array(w["word"])), F.lit(None), F.lit(0)))
             .when(joins, state(s["out"], s["held"] + value, F.when(value >= 20, 10).otherwise(0)))
             .otherwise(state(done(s), value, room))
         )
 
-    return F.aggregate(words, start, step, done)
+    return F.aggregate(valued, start, step, done)
+
+
+def _roman_chapters(text: Column) -> Column:
+    """Roman numerals up to 20 before a word for chapter as digits."""
+    out = text
+    for n in range(20, 0, -1):
+        out = F.regexp_replace(out, F.lit(rf"(?<![0-9а-яa-z]){roman(n)}\s*,?\s+глав[аеуы](?![0-9а-яa-z])"), F.lit(f"{n} глава"))
+    return F.when(text.rlike("[ivx]"), out).otherwise(text)
+
+
+def _coordinates(text: Column) -> Column:
+    """Written forms in words: 5:3-9, 5:48-6:4, 43-44-х, 8-й."""
+    n, gap = r"(\d+)", r"\s*"
+    forms = (
+        (rf"{n}{gap}:{gap}{n}{gap}-{gap}{n}{gap}:{gap}{n}", "$1 глава $2 стих по $3 глава $4 стих"),
+        (rf"{n}{gap}:{gap}{n}{gap}-{gap}{n}", "$1 глава $2 $3 стих"),
+        (rf"{n}{gap}:{gap}{n}", "$1 глава $2 стих"),
+        (rf"{n}{gap}-{gap}{n}{gap}-?{gap}х(?![0-9а-яa-z])", "$1 $2 стих"),
+        (rf"{n}-?(?:й|я|ю|е|го|му|м)(?![0-9а-яa-z])", "$1"),
+    )
+    out = text
+    for pattern, words in forms:
+        out = F.regexp_replace(out, pattern, words)
+    return F.when(text.rlike(r"\d"), out).otherwise(text)
 
 
 def normalize_reference(text: Column) -> Column:
-    """A transcript in the form that reference rules read: lower case, digits for number words, "глава" and "стих" spelt
-    out for colons, single spaces, nothing but letters and digits."""
-    t = F.translate(F.lower(text), "ё–", "е-")
-    t = _each(t, SLIPS)
-    for n in range(39, 0, -1):
-        t = F.regexp_replace(t, F.lit(rf"(?U)\b{roman(n)}\s*,?\s+глав[аеуы]\b"), F.lit(f"{n} глава")) if n <= 20 else t
-    t = F.regexp_replace(t, F.lit(r"(?U)\b(иоанна)\s+(\d)(\d{2})\b"), F.lit("$1 $2 $3"))
-    t = F.regexp_replace(t, r"(\d+)\s*:\s*(\d+)\s*-\s*(\d+)\s*:\s*(\d+)", "$1 глава $2 стих по $3 глава $4 стих")
-    t = F.regexp_replace(t, r"(\d+)\s*:\s*(\d+)\s*-\s*(\d+)", "$1 глава $2 $3 стих")
-    t = F.regexp_replace(t, r"(\d+)\s*:\s*(\d+)", "$1 глава $2 стих")
-    t = F.regexp_replace(t, F.lit(r"(?U)(\d+)\s*-\s*(\d+)\s*-?\s*х\b"), F.lit("$1 $2 стих"))
-    t = F.regexp_replace(t, F.lit(r"(?U)(\d+)-?(?:й|я|ю|е|го|му|м)\b"), F.lit("$1"))
+    """A transcript in the form that reference rules read: lower case, keywords and misheard words spelt out, digits for
+    number words, "глава" and "стих" for colons, single spaces, nothing but letters and digits. Null stays null."""
+    t = bound(bound(F.translate(F.lower(text), "ё–", "е-"), _roman_chapters), _coordinates)
     t = F.trim(F.regexp_replace(t, "[^0-9а-яa-z]+", " "))
-    t = F.array_join(fold_numbers(F.split(t, " ")), " ")
-    return _each(t, LATE_SLIPS)
+    t = F.array_join(fold_numbers(_spelt(F.split(t, " "))), " ")
+    for heard, said in _phrases():
+        t = F.regexp_replace(t, heard, said)
+    # A gospel is "from" its author, and the three digits after John's name are chapter and verse.
+    t = F.regexp_replace(t, "(?<![0-9а-яa-z])(?:ивангел|евангел)[а-я]* (?:от )?", "евангелие от ")
+    return F.regexp_replace(t, r"(?<![0-9а-яa-z])иоанна (\d)(\d{2})(?!\d)", "иоанна $1 $2")
 
 
 def reference_text(book: Column, chapter: Column, first: Column, last: Column, end_chapter: Column) -> Column:
@@ -121,6 +208,20 @@ def verse_id(book_no: Column, chapter: Column, verse: Column) -> Column:
     return F.when(good, F.concat(F.lpad(book_no.cast("string"), 2, "0"), F.lpad(chapter.cast("string"), 3, "0"), F.lpad(verse.cast("string"), 3, "0")))
 
 
+def verse_id_problem(book: Column, book_no: Column, chapter: Column, verse: Column) -> Column:
+    """Why ``verse_id`` gives none, or an empty text: a book that has no number, then numbers that are missing or below 1."""
+    named = F.trim(F.coalesce(book, F.lit("")))
+    unknown = F.concat(F.lit("unknown_book:"), F.when(named == "", "empty").otherwise(named))
+    good = F.coalesce((chapter > 0) & (verse > 0), F.lit(False))
+    return F.when(book_no.isNull(), unknown).when(~good, "invalid_chapter_or_verse").otherwise("")
+
+
 def verse_count(first: Column, last: Column, end_chapter: Column) -> Column:
     """Verses to show: one for a reference over chapters or one that is no range."""
     return F.when(end_chapter.isNotNull() | first.isNull() | last.isNull() | (last < first), 1).otherwise(last - first + 1)
+
+
+def value_range(values: Column) -> Column:
+    """Least and greatest of the positive ones among some numbers, as (first, last); null if there are none."""
+    some = F.filter(values, lambda v: v > 0)
+    return F.when(F.size(some) > 0, F.struct(F.array_min(some).alias("first"), F.array_max(some).alias("last")))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher, get_close_matches
+from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,15 +18,26 @@ LONGEST = 4
 
 def variants(spark: SparkSession) -> DataFrame:
     """Normalised spoken names and the book of each: variant, book. A few hundred rows, whatever the input."""
-    named = aliases_table(spark).withColumn("variant", normalize_reference(F.col("alias")))
+    named = aliases_table(spark).select("book", normalize_reference(F.col("alias")).alias("variant"))
     forms = F.array("variant", F.replace("variant", F.lit("послание к "), F.lit("послание ")), F.replace("variant", F.lit("книга "), F.lit("")))
     out = named.select(F.explode(forms).alias("variant"), "book").where((F.col("variant") != "") & ~F.col("variant").isin(*GENERIC))
     return out.groupBy("variant").agg(F.max_by("book", F.struct(F.length("book"), "book")).alias("book"))
 
 
+_known: dict[str, list[tuple[str, str]]] = {}
+
+
+def known_names(spark: SparkSession) -> list[tuple[str, str]]:
+    """The rows of ``variants``, sorted: a dimension of fixed size, made once in an application."""
+    app = spark.sparkContext.applicationId
+    if app not in _known:
+        _known[app] = sorted((r["variant"], r["book"]) for r in variants(spark).collect())
+    return _known[app]
+
+
 def grams(texts: DataFrame, longest: int = LONGEST) -> DataFrame:
     """Word n-grams with character spans: the key utt_id, gram, start, end (the end is exclusive). ``texts``: utt_id, norm."""
-    words = texts.where("norm <> ''").select("utt_id", F.split("norm", " ").alias("w"))
+    words = texts.select("utt_id", F.split("norm", " ").alias("w"))
     starts = F.transform("w", lambda _, i: F.aggregate(F.slice("w", F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x) + 1))
     placed = words.withColumn("s", starts)
     many = F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w"))), lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct(F.array_join(F.slice("w", i, n), " ").alias("gram"), F.element_at("s", i).alias("start"))))))
@@ -42,33 +54,66 @@ def looked_at(gram: Column) -> Column:
     return ~gram.isin(*GENERIC) & ~gram.rlike(r"(?U)\b(глава|стих|псалом|пророка|паророка|парарока)\b") & ~gram.rlike(r"^([123] )?послание \d+$")
 
 
+def _letters(words: list[str], alphabet: str) -> np.ndarray:
+    """How often each character of the alphabet, or any other, stands in each word."""
+    out = np.zeros((len(words), len(alphabet) + 1), np.int16)
+    place = {c: i for i, c in enumerate(alphabet)}
+    for row, w in zip(out, words):
+        for c in w:
+            row[place.get(c, -1)] += 1
+    return out
+
+
 def best_similar(known: list[str]):
     """Arrow UDF: the known name most like a gram and their Ratcliff-Obershelp ratio, if at least CUTOFF.
 
-    Spark has no such similarity; the UDF gets distinct n-grams only, whose length and letters leave a match open.
+    Spark has no such similarity. It is counted for pairs alone whose letters leave it open: two texts share no more than the
+    lesser count of each character, which bounds the ratio; that is a matter of arrays. Of equal ratios the last name wins.
     """
+    alphabet = "".join(sorted(set("".join(known))))
 
     @F.pandas_udf("struct<variant: string, ratio: double>")
     def similar(grams: pd.Series) -> pd.DataFrame:
-        rows = []
-        for g in grams:
-            near = get_close_matches(g, known, n=1, cutoff=CUTOFF)
-            rows.append((near[0], SequenceMatcher(None, g, near[0]).ratio()) if near else (None, None))
+        names, sizes = _letters(known, alphabet)[:, :-1], np.array([len(k) for k in known])
+        rows: list[tuple] = []
+        for at in range(0, len(grams), 2048):
+            some = list(grams[at : at + 2048])
+            counts = _letters(some, alphabet)[:, :-1]
+            shared = np.zeros((len(some), len(known)), np.int32)
+            for c in range(len(alphabet)):
+                shared += np.minimum(counts[:, c, None], names[None, :, c])
+            open_to = 2 * shared >= CUTOFF * (np.array([len(g) for g in some])[:, None] + sizes[None, :]) - 1e-9
+            for g, row in zip(some, open_to):
+                best = (0.0, "")
+                matcher = SequenceMatcher()
+                matcher.set_seq2(g)
+                for i in np.flatnonzero(row):
+                    matcher.set_seq1(known[i])
+                    ratio = matcher.ratio()
+                    if ratio >= CUTOFF:
+                        best = max(best, (ratio, known[i]))
+                rows.append((best[1], SequenceMatcher(None, g, best[1]).ratio()) if best[1] else (None, None))
         return pd.DataFrame(rows, columns=["variant", "ratio"])
 
     return similar
 
 
+def exact_candidates(every: DataFrame, table: DataFrame) -> DataFrame:
+    """N-grams that are a name: utt_id, book, score, start, end, spoken. ``table``: variant, book, of a bounded number of rows."""
+    score = F.when(looked_at(F.col("gram")), 1.0).otherwise(alias_score(F.col("gram")))
+    return every.join(F.broadcast(table), F.col("gram") == F.col("variant")).select("utt_id", "book", score.alias("score"), "start", "end", F.col("gram").alias("spoken"))
+
+
 def book_candidates(texts: DataFrame) -> DataFrame:
     """Candidates of each text: utt_id, book, score, start, end, spoken. ``texts``: utt_id, norm.
 
     Of a book and span the best score stays. A candidate around the exact name of another book goes.
     """
     spark = texts.sparkSession
-    table = variants(spark).cache()
-    known = sorted(r["variant"] for r in table.collect())  # a dimension of fixed size
-    every = grams(texts)
-    exact = every.join(F.broadcast(table), F.col("gram") == F.col("variant")).select("utt_id", "book", F.when(looked_at(F.col("gram")), 1.0).otherwise(alias_score(F.col("gram"))).alias("score"), "start", "end", F.col("gram").alias("spoken"))
+    names = known_names(spark)
+    table, known = spark.createDataFrame(names, "variant string, book string"), [v for v, _ in names]
+    every = grams(texts).where("gram <> ''")
+    exact = exact_candidates(every, table)
     longest = max(map(len, known), default=0)
     # Names have no digit but 1 to 5, so all others are alike to similarity, and n-grams with them are looked at once. A
     # native upper bound of the ratio goes first: letters, up to three spaces and one digit are all that a name can share.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import normalize_reference, reference_text
-from lectern.operators.names import book_candidates, family_kept, with_bonus
+from lectern.operators.names import book_candidates, family, family_kept, with_bonus
 from lectern.operators.references import TAIL, reference_candidates
 
 #: Groups of books that hints in a text speak for or against.
@@ -20,10 +20,14 @@ MARGIN = 18.0
 
 
 def normalized(utterances: DataFrame) -> DataFrame:
-    """``utterances`` (utt_id, text) with norm. Kept, as several branches of a plan need it."""
-    # Texts are few bytes and much work, so partitions are by cores, and by the key that all joins of the plan are on.
-    n = max(utterances.sparkSession.sparkContext.defaultParallelism, utterances.rdd.getNumPartitions())
-    return utterances.select("utt_id", "text").repartition(n, "utt_id").withColumn("norm", normalize_reference(F.coalesce("text", F.lit("")))).persist()
+    """``utterances`` (utt_id, text) as utt_id, norm, dealt by the key that all joins of a plan are on.
+
+    Normal forms are made before texts are dealt, so that the branches of a plan read one exchange instead of making them
+    again. Texts are few bytes and much work, so there are at least as many parts as cores.
+    """
+    spark = utterances.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return utterances.select("utt_id", normalize_reference(F.coalesce("text", F.lit(""))).alias("norm")).repartition(n, "utt_id")
 
 
 def _proximity() -> Column:
@@ -32,15 +36,17 @@ def _proximity() -> Column:
 
 def _pairs(texts: DataFrame, named: DataFrame, sizes: DataFrame) -> DataFrame:
     """Each named book with each of its reference candidates (rs, re, rscore: the reference's span and score)."""
-    refs = reference_candidates(texts, named, sizes).withColumnsRenamed({"start": "rs", "end": "re", "score": "rscore"})
-    return named.join(refs, ["utt_id", "book"]).join(texts.select("utt_id", "norm"), "utt_id")
+    facts = [c for c in named.columns if c not in ("utt_id", "book")]
+    grouped = named.groupBy("utt_id", "book").agg(F.collect_list(F.struct(*facts)).alias("mentions"))
+    refs = reference_candidates(texts, grouped, sizes, ("mentions",)).withColumnsRenamed({"start": "rs", "end": "re", "score": "rscore"})
+    return refs.select(*(c for c in refs.columns if c != "mentions"), F.explode("mentions").alias("m")).select("*", "m.*").drop("m")
 
 
 def parse_references(utterances: DataFrame, sizes: DataFrame) -> DataFrame:
     """The best reference of each text that has one: utt_id, ref, book, chapter, start_verse, end_verse, end_chapter,
     confidence. ``utterances``: utt_id (unique), text. ``sizes``: see ``chapter_sizes``."""
     texts = normalized(utterances)
-    named = with_bonus(family_kept(book_candidates(texts))).persist()
+    named = with_bonus(family_kept(book_candidates(texts)))
     pairs = _pairs(texts, named, sizes)
     before = F.substring(F.col("norm"), F.greatest(F.lit(1), F.col("start") - 39), F.least(F.lit(40), F.col("start")))
     score = (
@@ -98,8 +104,6 @@ def resolve_candidates(utterances: DataFrame, sizes: DataFrame, limit: int = 5)
     """The ``limit`` best references of each text: utt_id, rank, ref, book, chapter, start_verse, end_verse, end_chapter,
     score, reasons."""
     texts = normalized(utterances)
-    from lectern.operators.names import family
-
     named = with_bonus(_confusable(book_candidates(texts), texts).withColumn("family", family(F.col("book"))))
     pairs = _pairs(texts, named, sizes).withColumn("hints", context_reasons(F.col("book"), F.col("norm")))
     ranged, said = F.col("d").isNotNull() | (F.col("e") > F.col("v")), F.col("norm").rlike(r"(?U)\bпо\b|\bс\b")
@@ -134,13 +138,15 @@ def best_with_margin(candidates: DataFrame, margin: float = MARGIN) -> DataFrame
 def verse_texts(refs: DataFrame, verses: DataFrame) -> DataFrame:
     """The words of references: adds verse_text. Verses of a range are numbered, over chapters with the chapter too.
 
-    An equi-join on the book with a range on chapter and verse. ``refs``: ref_id, book, chapter, start_verse, end_verse,
-    end_chapter.
+    A reference is a row for each of its chapters, joined on book and chapter, so that it meets those chapters' verses alone.
+    ``refs``: ref_id, book, chapter, start_verse, end_verse, end_chapter.
     """
-    place = lambda c, v: c * 1000 + v
-    r = refs.withColumn("a", place(F.col("chapter"), F.col("start_verse"))).withColumn("z", place(F.coalesce("end_chapter", "chapter"), F.col("end_verse")))
-    v = verses.select(F.col("book").alias("vb"), place(F.col("chapter"), F.col("verse")).alias("at"), F.col("chapter").alias("vc"), "verse", F.col("text").alias("words"))
-    met = r.join(v, (F.col("book") == F.col("vb")) & F.col("at").between(F.col("a"), F.col("z")))
-    told = F.when(F.col("end_chapter").isNotNull(), F.concat("vc", F.lit(":"), "verse", F.lit(". "), "words")).when(F.col("a") < F.col("z"), F.concat("verse", F.lit(". "), "words")).otherwise(F.col("words"))
-    text = met.groupBy("ref_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", told.alias("t")))), lambda x: x["t"]), " ").alias("verse_text"))
+    far = F.coalesce("end_chapter", "chapter")
+    per = refs.where(far >= F.col("chapter")).select("ref_id", "book", "chapter", "start_verse", "end_verse", "end_chapter", F.explode(F.sequence(F.col("chapter"), far)).alias("vc"))
+    first, last = F.when(F.col("vc") == F.col("chapter"), F.col("start_verse")).otherwise(1), F.when(F.col("vc") == F.coalesce("end_chapter", "chapter"), F.col("end_verse")).otherwise(1 << 30)
+    per = per.withColumn("a", first).withColumn("z", last)
+    v = verses.select(F.col("book"), F.col("chapter").alias("vc"), "verse", F.col("text").alias("words"))
+    met = per.join(v, ["book", "vc"]).where(F.col("verse").between(F.col("a"), F.col("z")))
+    told = F.when(F.col("end_chapter").isNotNull(), F.concat("vc", F.lit(":"), "verse", F.lit(". "), "words")).when(F.col("start_verse") < F.col("end_verse"), F.concat("verse", F.lit(". "), "words")).otherwise(F.col("words"))
+    text = met.groupBy("ref_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("vc", "verse", told.alias("t")))), lambda x: x["t"]), " ").alias("verse_text"))
     return refs.join(text, "ref_id", "left")

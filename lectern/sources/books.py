@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The 66 books in canon order, each with further spoken names ("|"): forms a rule below doesn't give.
 BOOKS = """
@@ -149,3 +150,11 @@ def aliases_table(spark: SparkSession) -> DataFrame:
 
 def numbers_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(number_words().items()), "word string, value int")
+
+
+def overlaid(spark: SparkSession, more: DataFrame) -> DataFrame:
+    """The spoken names with those of a shared dictionary (alias, book) on top: names of books that the canon lacks are left out,
+    and a name that is there already goes to the book that the dictionary says."""
+    own, known = aliases_table(spark), [b for _, b in books()]
+    told = more.select(F.lower(F.trim("alias")).alias("alias"), "book").where((F.col("alias") != "") & F.col("book").isin(*known)).dropDuplicates(["alias"])
+    return own.join(F.broadcast(told.select("alias")), "alias", "left_anti").unionByName(told)
