@@ -9,10 +9,31 @@ from pyspark.sql import functions as F
 EVENT = "ts STRING, event STRING, text STRING, partial STRING, vosk_text STRING, payload STRUCT<text: STRING, ref: STRING, book: STRING, chapter: INT, start_verse: INT, end_verse: INT, source: STRING, attempts: ARRAY<STRUCT<text: STRING, ref: STRING, source: STRING, matched: BOOLEAN>>>"
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Non-blank lines with their place: path, line_no, line. Whole files are read, as line ends differ by editor."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r\n|[\n\r  \u0085\u000b\u000c]")).alias("line_no", "line"))
-    return files.where(F.trim("line") != "")
+def find_logs(spark: SparkSession, path: str) -> list[str]:
+    """The log files that a path means: the file itself; the events.jsonl in a folder; or that of each of its folders."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(path)
+    store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    own = hadoop.Path(path.rstrip("/") + "/events.jsonl")
+    if store.exists(where) and not store.getFileStatus(where).isDirectory():
+        return [path]
+    if store.exists(own):
+        return [own.toString()]
+    return sorted(x.getPath().toString() for x in store.globStatus(hadoop.Path(path.rstrip("/") + "/*/events.jsonl")) or [])
+
+
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Non-blank lines with their place: path, line_no, line. ``line_no`` grows with the place of the line in its file.
+
+    Files are read in splits, without a shuffle: a line's number is made of where its split begins, of the row's number in
+    its task, and, as editors end lines by other characters too, of its number among the parts of what the reader took for a
+    line. A task reads fewer rows than a split has bytes, so numbers grow from split to split of a file.
+    """
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), (F.col("_metadata.file_block_start") + row).alias("at"), "value")
+    parts = F.split("value", "[\r\u001c-\u001e\u0085\u2028\u2029\u000b\u000c]")
+    lines = read.select("path", "at", F.posexplode(parts).alias("part", "line"))
+    return lines.select("path", (F.col("at") * 1024 + F.least("part", F.lit(1023))).alias("line_no"), "line").where(F.trim("line") != "")
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -48,3 +69,22 @@ def most_common(values: DataFrame, top: int = 30) -> DataFrame:
 def has_json(text: Column) -> Column:
     """Whether a text is valid JSON."""
     return F.try_parse_json(text).isNotNull()
+
+
+def summary(lines: DataFrame, top: int = 30) -> DataFrame:
+    """The report over some logs: what, value, n, rank. Rows "logs" and "events" count files and lines; the others are the
+    ``top`` values of each kind of ``counted_values``."""
+    counts = lines.groupBy().agg(F.countDistinct("path").alias("logs"), F.count("*").alias("events"))
+    totals = counts.select(F.explode(F.array(*(F.struct(F.lit(c).alias("what"), F.col(c).alias("n")) for c in ("logs", "events")))).alias("x")).select("x.what", F.lit("").alias("value"), "x.n", F.lit(1).alias("rank"))
+    return totals.unionByName(most_common(counted_values(parse_lines(lines)), top).select(F.col("kind").alias("what"), "value", "n", "rank"))
+
+
+def event_lines(events: DataFrame) -> DataFrame:
+    """Events as lines of a log: one column, value. ``events``: ts, event and whatever else; nulls are left out."""
+    first = [c for c in ("ts", "event") if c in events.columns]
+    return events.select(F.to_json(F.struct(*first, *(c for c in events.columns if c not in first))).alias("value"))
+
+
+def append_log(events: DataFrame, path: str) -> None:
+    """Append events to a folder of JSON lines that ``read_lines`` reads."""
+    event_lines(events).write.mode("append").text(path)

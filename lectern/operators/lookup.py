@@ -43,3 +43,10 @@ def suggestions(queries: DataFrame, top: int = 6) -> DataFrame:
     typed = queries.withColumn("p", F.lower(F.ltrim("typed"))).where((F.col("p") != "") & ~F.col("p").rlike(r"\D\s*\d"))
     met = typed.join(F.broadcast(books_table(queries.sparkSession)), F.lower("book").startswith(F.col("p")))
     return met.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("book_no"))).where(F.col("r") <= top).select("query_id", "book_no", "book")
+
+
+def vocabulary_report(phrases: DataFrame, words: list[str]) -> DataFrame:
+    """One row on the recogniser's phrases: size, missing_words (how many words its dictionary lacks), and for each of
+    ``words`` whether it is one of them, as columns has_0, has_1, ..."""
+    has = [F.coalesce(F.bool_or(F.col("phrase") == w), F.lit(False)).alias(f"has_{i}") for i, w in enumerate(words)]
+    return phrases.agg(F.countDistinct("phrase").alias("size"), *has).withColumn("missing_words", F.lit(len(UNKNOWN_TO_RECOGNISER)).cast("long"))

@@ -12,22 +12,41 @@ from pyspark.sql.types import DoubleType
 SHORT, SHORTEST = 20, 5
 
 
-def contained(queries: DataFrame, windows: DataFrame, width: int = 4) -> DataFrame:
-    """Query and window pairs where one text holds the other: query_id, window_id, score (110 equal, 100 contained).
+def _holding(parts: DataFrame, wholes: DataFrame, width: int) -> DataFrame:
+    """All pairs of which the one text holds the other, at any character: part_id, part, whole_id, whole.
 
-    ``queries``: query_id, q. ``windows``: window_id, norm. Texts meet under the first ``width`` words of the shorter one,
-    so nothing is compared with everything: a contained text's beginning is an n-gram of the other.
+    ``parts``: part_id, part. ``wholes``: whole_id, whole. A held text may begin and end inside a word of the other, so its
+    words but the first and last stand there as they are: texts meet under a run of up to ``width`` of these. A text without
+    such words is looked up by its first characters among those of the other. Both sides send hashes and ids; texts are joined
+    to the pairs that meet.
     """
-    def starts(df: DataFrame, key: str, text: str) -> DataFrame:
-        return df.where(F.length(text) >= SHORTEST).select(F.col(key), F.col(text), F.split(text, " ").alias("w"))
+    words = parts.where(F.length("part") >= SHORTEST).select("part_id", "part", F.split("part", " ").alias("w"))
+    inner = words.withColumn("size", F.least(F.lit(width), F.size("w") - 2))
+    keyed = inner.where("size > 0").select("part_id", "size", F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.col("size")), " ")).alias("k"))
+    held = wholes.where(F.length("whole") >= SHORTEST)
+    run = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct(n.alias("size"), F.xxhash64(F.array_join(F.slice("w", i, n), " ")).alias("k")))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(width), F.size("w"))), run))
+    places = held.select("whole_id", F.split("whole", " ").alias("w")).select("whole_id", F.explode(F.array_distinct(runs)).alias("r")).select("whole_id", "r.size", "r.k")
+    met = keyed.join(places, ["size", "k"]).select("part_id", "whole_id")
+    short = inner.where("size <= 0").select("part_id", F.substring("part", 1, SHORTEST).alias("k"))
+    bits = F.transform(F.sequence(F.lit(1), F.length("whole") - SHORTEST + 1), lambda i: F.substring(F.col("whole"), i, F.lit(SHORTEST)))
+    met = met.unionByName(short.join(held.select("whole_id", F.explode(F.array_distinct(bits)).alias("k")), "k").select("part_id", "whole_id"))
+    return met.distinct().join(parts, "part_id").join(wholes, "whole_id").where(F.col("whole").contains(F.col("part")))
+
+
+def contained(queries: DataFrame, windows: DataFrame, width: int = 3) -> DataFrame:
+    """Windows that hold a query: query_id, window_id, score (110 where they are equal, else 100).
+
+    ``queries``: query_id, q. ``windows``: window_id, norm. Queries of under SHORTEST characters hold nowhere.
+    """
+    met = _holding(queries.select(F.col("query_id").alias("part_id"), F.col("q").alias("part")), windows.select(F.col("window_id").alias("whole_id"), F.col("norm").alias("whole")), width)
+    return met.select(F.col("part_id").alias("query_id"), F.col("whole_id").alias("window_id"), F.when(F.col("part") == F.col("whole"), 110.0).otherwise(100.0).alias("score"))
+
 
-    q, v = starts(queries, "query_id", "q"), starts(windows, "window_id", "norm")
-    head = lambda w: F.array_join(F.slice(w, 1, width), " ")
-    runs = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - width + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(width)), " ")))
-    in_window = q.select("query_id", "q", head("w").alias("k")).join(v.select("window_id", "norm", F.explode(runs("w")).alias("k")), "k").where(F.col("norm").contains(F.col("q")) & (F.length("q") >= SHORT))
-    in_query = v.select("window_id", "norm", head("w").alias("k")).join(q.select("query_id", "q", F.explode(runs("w")).alias("k")), "k").where(F.col("q").contains(F.col("norm")))
-    both = in_window.select("query_id", "window_id", "q", "norm").unionByName(in_query.select("query_id", "window_id", "q", "norm")).distinct()
-    return both.select("query_id", "window_id", F.when(F.col("q") == F.col("norm"), 110.0).otherwise(100.0).alias("score"))
+def embedded(queries: DataFrame, windows: DataFrame, width: int = 3) -> DataFrame:
+    """Windows that a query holds: query_id, window_id, q, norm. Windows of under SHORTEST characters are held nowhere."""
+    met = _holding(windows.select(F.col("window_id").alias("part_id"), F.col("norm").alias("part")), queries.select(F.col("query_id").alias("whole_id"), F.col("q").alias("whole")), width)
+    return met.select(F.col("whole_id").alias("query_id"), F.col("part_id").alias("window_id"), F.col("whole").alias("q"), F.col("part").alias("norm"))
 
 
 @F.pandas_udf(DoubleType())
@@ -47,12 +66,31 @@ def similarity(query: pd.Series, window: pd.Series) -> pd.Series:
 
 def similar(queries: DataFrame, windows: DataFrame, least: float = 45.0, shingle: int = 3) -> DataFrame:
     """Pairs that share a run of ``shingle`` words, with their similarity of at least ``least``: query_id, window_id, score.
-    Sharing a run is an approximation that keeps the comparison from being every query with every window."""
-    runs = lambda t: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split(t, " ")) - shingle + 1, F.lit(1))), lambda i: F.array_join(F.slice(F.split(t, " "), i, F.lit(shingle)), " "))))
-    q = queries.where(F.length("q") >= SHORT).select("query_id", "q", runs(F.col("q")).alias("k"))
-    v = windows.select("window_id", "norm", runs(F.col("norm")).alias("k"))
-    pairs = q.join(v, "k").select("query_id", "window_id", "q", "norm").distinct()
-    return pairs.withColumn("score", similarity("q", "norm")).where(F.col("score") >= least).select("query_id", "window_id", "score")
+
+    Sharing a run is an approximation that keeps the comparison from being every query with every window. Hashes and ids
+    meet; texts are joined to the pairs.
+    """
+    def runs(text):
+        w = F.split(text, " ")
+        return F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - shingle + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(shingle)), " ")))))
+
+    long = queries.where(F.length("q") >= SHORT)
+    pairs = long.select("query_id", runs("q").alias("k")).join(windows.select("window_id", runs("norm").alias("k")), "k").select("query_id", "window_id").distinct()
+    texts = pairs.join(long.select("query_id", "q"), "query_id").join(windows.select("window_id", "norm"), "window_id")
+    return texts.withColumn("score", similarity("q", "norm")).where(F.col("score") >= least).select("query_id", "window_id", "score")
+
+
+def search_quotes(queries: DataFrame, windows: DataFrame, top: int = 5) -> DataFrame:
+    """The best windows of each query: query_id, rank, window_id, score.
+
+    A window that equals the query scores 110, one that holds it 100. Of the others, a query of under SHORT characters finds
+    those that it holds and is like by 80 at least, a longer one those that it is like by 45 (see ``similar``).
+    """
+    sure = contained(queries, windows)
+    brief = embedded(queries.where(F.length("q").between(SHORTEST, SHORT - 1)), windows)
+    brief = brief.withColumn("score", similarity("q", "norm")).where("score >= 80").select("query_id", "window_id", "score")
+    other = brief.unionByName(similar(queries, windows)).join(sure.select("query_id", "window_id"), ["query_id", "window_id"], "left_anti")
+    return best_windows(sure.unionByName(other), windows, top)
 
 
 def best_windows(scored: DataFrame, windows: DataFrame, top: int = 5) -> DataFrame:
