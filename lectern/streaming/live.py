@@ -1,67 +1,116 @@
 """Live sessions: fragments of speech in, references out, with the state that a session carries.
 
-State of a session: its last fragments, and the last book and chapter recognised. Fragments are taken in the order of their
-number; parsing itself is the batch plan, so a stream finds what a batch run over the same fragments does.
+State of a session: its last fragments, the number of the newest, and the last book and chapter recognised. A micro-batch is
+the batch plan over the state's fragments and the new ones, so a stream finds what a batch over the same fragments does. The
+state is a small table beside the output; each micro-batch reads that of the one before and writes its own, under its number,
+so a batch that is run again after a failure reads and replaces the same tables.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lectern.operators.sessions import approvals, fragment_windows
+from lectern.operators.sessions import first_match, fragment_windows, jeremiah_as_nehemiah, same_place
+from lectern.plans.held import Held
 from lectern.plans.parse import parse_references
 
-OUT = "session string, seq long, attempt int, text string"
-STATE = "kept array<string>, last_seq long"
-
-
-def _windows(last: int):
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept, last_seq = (list(state.get[0]), state.get[1]) if state.exists else ([], -1)
-        rows = []
-        for x in pd.concat(list(batches)).sort_values("seq").itertuples():
-            text = (x.text or "").strip()
-            if not text or x.seq <= last_seq:
-                continue  # blank fragments are none, and one that was delivered twice counts once
-            kept, last_seq = [*kept, text][-last:], x.seq
-            tries = list(dict.fromkeys(" ".join(kept[-k:]) for k in range(1, len(kept) + 1)))
-            rows += [(key[0], x.seq, i, t) for i, t in enumerate(tries)]
-        state.update((kept, last_seq))
-        yield pd.DataFrame(rows, columns=["session", "seq", "attempt", "text"])
-
-    return run
-
-
-def live_attempts(fragments: DataFrame, last: int = 3) -> DataFrame:
-    """Streaming form of ``fragment_windows``: session, seq, attempt, text. ``fragments``: session string, seq long, text."""
-    return fragments.select("session", "seq", "text").groupBy("session").applyInPandasWithState(_windows(max(1, last)), OUT, STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def batch_attempts(fragments: DataFrame, last: int = 3) -> DataFrame:
-    """The same over a table at rest."""
-    return fragment_windows(fragments, last).select("session", "seq", F.posexplode("candidates").alias("attempt", "text"))
-
-
-def references_of(attempts: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The first attempt of each fragment that has a reference: session, seq, attempt, ref."""
-    keyed = attempts.withColumn("utt_id", F.concat_ws("|", "session", "seq", "attempt"))
-    found = parse_references(keyed.select("utt_id", "text"), sizes).select("utt_id", "ref")
-    return keyed.join(found, "utt_id").groupBy("session", "seq").agg(F.min(F.struct("attempt", "ref")).alias("a")).select("session", "seq", "a.attempt", "a.ref")
+FRAGMENT = "session string, seq long, text string, low boolean"
+STATE = "session string, last_seq long, kept array<string>, book string, chapter int"
+
+
+def live_fragments(spark: SparkSession, path: str, files_at_once: int = 100) -> DataFrame:
+    """Fragments that a recogniser drops as JSON lines into a folder, as a stream: session, seq, text, low (whether Jeremiah was
+    heard without confidence). Partial results and audio events are logged there too; they are no fragments."""
+    lines = spark.readStream.schema("event string, " + FRAGMENT).option("maxFilesPerTrigger", files_at_once).json(path)
+    return lines.where("coalesce(event, 'final') = 'final'").drop("event")
+
+
+def _parsed(texts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Distinct ``texts`` (text) with what was parsed: text, ref, book, chapter."""
+    found = parse_references(texts.select(F.col("text").alias("utt_id"), "text"), sizes)
+    return texts.join(found.select(F.col("utt_id").alias("text"), "ref", "book", "chapter"), "text", "left")
+
+
+def session_references(fragments: DataFrame, sizes: DataFrame, state: DataFrame | None = None, last: int = 3, held: Held | None = None) -> DataFrame:
+    """What each fragment of sessions refers to: session, seq, text, attempt (what was parsed), ref, book, chapter, blocked.
+
+    ``fragments``: session, seq, text, and maybe low; blank ones are none, of one that was delivered twice one counts, and
+    those up to the number in the ``state`` are old. Attempts are the fragment, then it with those before it (``last`` in
+    all); "там же" among them stands for the last book and chapter; Jeremiah may stand for Nehemiah.
+
+    The last book depends on what was parsed before, so this goes in rounds: each parses the texts that the contexts known so
+    far give, which settles at least the next "там же" of each session. Rounds end when no context changes. The result reads
+    tables of ``held``, which the caller may clear once it has written the result.
+    """
+    held = held or Held(fragments.sparkSession)
+    low = F.coalesce("low", F.lit(False)) if "low" in fragments.columns else F.lit(False)
+    new = fragments.select(F.col("session").cast("string").alias("session"), F.col("seq").cast("long").alias("seq"), F.trim(F.regexp_replace("text", F.lit(r"(?U)\s+"), F.lit(" "))).alias("text"), low.alias("low"), F.lit(True).alias("new")).where("text <> ''").dropDuplicates(["session", "seq"])
+    every = new
+    if state is not None:
+        new = new.join(state.select("session", "last_seq"), "session", "left").where("last_seq is null or seq > last_seq").drop("last_seq")
+        old = state.select("session", "last_seq", F.size("kept").alias("n"), F.posexplode("kept").alias("at", "text"))
+        old = old.select("session", (F.col("last_seq") - F.col("n") + F.col("at") + 1).alias("seq"), "text", F.lit(False).alias("low"), F.lit(False).alias("new"))
+        every = new.unionByName(old)
+    tries = held.write(fragment_windows(every, last).join(every.select("session", "seq", "text", "low", "new"), ["session", "seq"]).where("new").drop("new"))
+    if state is not None:
+        tries = tries.join(state.select("session", F.col("book").alias("old_book"), F.col("chapter").alias("old_chapter")), "session", "left")
+    else:
+        tries = tries.withColumn("old_book", F.lit(None).cast("string")).withColumn("old_chapter", F.lit(None).cast("int"))
+    context = tries.select("session", "seq", F.lit(None).cast("string").alias("last_book"), F.lit(None).cast("int").alias("last_chapter"))
+    known: DataFrame | None = None
+    while True:
+        x = tries.join(context, ["session", "seq"])
+        x = x.withColumn("c", F.when(F.col("last_book").isNull(), F.col("old_chapter")).otherwise(F.col("last_chapter"))).withColumn("b", F.coalesce("last_book", "old_book"))
+        put = same_place(F.col("candidates"), F.col("b"), F.col("c"))
+        placed = held.write(x.select("session", "seq", "low", F.posexplode(put).alias("at", "own")).withColumn("other", jeremiah_as_nehemiah(F.col("own"))))
+        texts = placed.select(F.explode(F.array_compact(F.array("own", "other"))).alias("text")).distinct()
+        texts = held.write(texts if known is None else texts.join(known.select("text"), "text", "left_anti"))
+        fresh = held.write(_parsed(texts, sizes))
+        known = fresh if known is None else held.write(known.unionByName(fresh))
+        parsed = F.struct("text", "ref", "book", "chapter")
+        both = placed.join(known.select(F.col("text").alias("own"), parsed.alias("own_parsed")), "own").join(known.select(F.col("text").alias("other"), parsed.alias("other_parsed")), "other", "left")
+        # Nehemiah goes before Jeremiah if it parses, and Jeremiah doesn't or was heard without confidence.
+        better = F.coalesce((F.col("other_parsed.book") == "Неемия") & (F.col("own_parsed.ref").isNull() | F.col("low")), F.lit(False))
+        both = both.withColumn("attempts", F.when(better, F.array("other_parsed", "own_parsed")).otherwise(F.array("own_parsed")))
+        tried = both.groupBy("session", "seq").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "attempts"))), lambda a: a["attempts"])).alias("attempts"))
+        result = held.write(tried.select("session", "seq", first_match(F.col("attempts")).alias("m")))
+        before = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+        found = F.when(F.col("m.hit.ref").isNotNull(), F.struct(F.col("m.hit.book").alias("b"), F.col("m.hit.chapter").alias("c")))
+        now = held.write(result.withColumn("l", F.last(found, ignorenulls=True).over(before)).select("session", "seq", F.col("l.b").alias("last_book"), F.col("l.c").alias("last_chapter")))
+        changed = now.join(context.withColumnsRenamed({"last_book": "b", "last_chapter": "c"}), ["session", "seq"]).where("not (last_book <=> b and last_chapter <=> c)")
+        if changed.isEmpty():
+            out = tries.select("session", "seq", "text").join(result, ["session", "seq"])
+            return out.select("session", "seq", "text", F.col("m.hit.text").alias("attempt"), F.col("m.hit.ref").alias("ref"), F.col("m.hit.book").alias("book"), F.col("m.hit.chapter").alias("chapter"), F.col("m.blocked").alias("blocked"))
+        context = now
+
+
+def next_state(state: DataFrame | None, references: DataFrame, last: int = 3) -> DataFrame:
+    """The state after the fragments of ``references`` (see ``session_references``)."""
+    rows = references.select("session", "seq", "text", "book", "chapter")
+    own = rows.groupBy("session").agg(F.max("seq").alias("last_seq"), F.transform(F.sort_array(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]).alias("texts"), F.max_by(F.struct("book", "chapter"), F.when(F.col("book").isNotNull(), F.col("seq"))).alias("p"))
+    if state is None:
+        return own.select("session", "last_seq", F.slice("texts", -F.least(F.lit(last), F.size("texts")), F.lit(last)).alias("kept"), F.col("p.book").alias("book"), F.col("p.chapter").alias("chapter"))
+    old = state.withColumnsRenamed({"last_seq": "old_seq", "book": "old_book", "chapter": "old_chapter"})
+    both = old.join(own, "session", "full_outer")
+    texts = F.concat(F.coalesce("kept", F.array().cast("array<string>")), F.coalesce("texts", F.array().cast("array<string>")))
+    chapter = F.when(F.col("p.book").isNull(), F.col("old_chapter")).otherwise(F.col("p.chapter"))
+    kept = F.slice(F.col("t"), -F.least(F.lit(last), F.size("t")), F.lit(last))
+    return both.withColumn("t", texts).select("session", F.coalesce("last_seq", "old_seq").alias("last_seq"), kept.alias("kept"), F.coalesce("p.book", "old_book").alias("book"), chapter.alias("chapter"))
 
 
 def publish(fragments: DataFrame, sizes: DataFrame, path: str, checkpoint: str, last: int = 3):
-    """Start the stream that appends the references of live fragments to ``path``. Each micro-batch runs the batch plan and
-    writes under its own number, so that a batch run again replaces what it wrote."""
+    """Start the stream that writes what live fragments refer to under ``path``/references, and the sessions' state under
+    ``path``/state, each micro-batch under its number."""
+    spark = fragments.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        references_of(batch, sizes).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return live_attempts(fragments, last).writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).start()
-
-
-__all__ = ["approvals", "batch_attempts", "live_attempts", "publish", "references_of"]
+        state = spark.read.schema(STATE).parquet(f"{path}/state/batch={number - 1}") if number else None
+        held = Held(spark)
+        found = session_references(batch, sizes, state, last, held)
+        found.write.mode("overwrite").parquet(f"{path}/references/batch={number}")
+        done = spark.read.schema(found.schema).parquet(f"{path}/references/batch={number}")
+        next_state(state, done, last).select("session", "last_seq", "kept", "book", "chapter").write.mode("overwrite").parquet(f"{path}/state/batch={number}")
+        held.clear()
+
+    return fragments.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).start()
