@@ -22,14 +22,14 @@ def _holding(parts: DataFrame, wholes: DataFrame, width: int) -> DataFrame:
     """
     words = parts.where(F.length("part") >= SHORTEST).select("part_id", "part", F.split("part", " ").alias("w"))
     inner = words.withColumn("size", F.least(F.lit(width), F.size("w") - 2))
-    keyed = inner.where("size > 0").select("part_id", "size", F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.col("size")), " ")).alias("k"))
+    keyed = inner.where("size > 0").select("part_id", F.xxhash64("size", F.array_join(F.slice("w", F.lit(2), F.col("size")), " ")).alias("k"))
     held = wholes.where(F.length("whole") >= SHORTEST)
-    run = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct(n.alias("size"), F.xxhash64(F.array_join(F.slice("w", i, n), " ")).alias("k")))
+    run = lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(n, F.array_join(F.slice("w", i, n), " ")))
     runs = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(width), F.size("w"))), run))
-    places = held.select("whole_id", F.split("whole", " ").alias("w")).select("whole_id", F.explode(F.array_distinct(runs)).alias("r")).select("whole_id", "r.size", "r.k")
-    met = keyed.join(places, ["size", "k"]).select("part_id", "whole_id")
+    places = held.select("whole_id", F.split("whole", " ").alias("w")).select("whole_id", F.explode(F.array_distinct(runs)).alias("k"))
+    met = keyed.join(places, "k").select("part_id", "whole_id")
     short = inner.where("size <= 0").select("part_id", F.substring("part", 1, SHORTEST).alias("k"))
-    bits = F.transform(F.sequence(F.lit(1), F.length("whole") - SHORTEST + 1), lambda i: F.substring(F.col("whole"), i, F.lit(SHORTEST)))
+    bits = F.regexp_extract_all("whole", F.lit(f"(?=(.{{{SHORTEST}}}))"), F.lit(1))
     met = met.unionByName(short.join(held.select("whole_id", F.explode(F.array_distinct(bits)).alias("k")), "k").select("part_id", "whole_id"))
     return met.distinct().join(parts, "part_id").join(wholes, "whole_id").where(F.col("whole").contains(F.col("part")))
 
