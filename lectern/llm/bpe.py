@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with tree concatenation of long texts.
 
 A text of up to ``piece_chars`` characters is encoded at once. A longer one is cut into pieces that executors encode
-separately; neighbouring pieces are then joined, two and two, until one encoding is left: tasks join FAN neighbours
-each, and one task of a text joins those. A join re-encodes a window around the seam that grows until both sides agree with
+separately; neighbouring pieces are then joined, two and two, until one encoding is left: a task joins up to FAN
+pieces of a text, and of a longer text another task joins what comes out of those. A join re-encodes a window around the seam that grows until both sides agree with
 it exactly:
 
 * Pre-tokens come from a left-to-right scan without look-behind. So the left side's pre-tokens hold but for the last one
@@ -292,14 +292,21 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     short = mapped(base.where(F.length("body") <= piece_chars), at_once, out)
     held = f"mark string, key {id_type}, copies long, no int, piece string, ids array<int>, chars array<int>, counts array<int>"
 
-    pieces = mapped(base.where(F.length("body") > piece_chars), cut, f"mark string, key {id_type}, no int, piece string")
-    # Rows that are equal in id and text are one, with a count, before anything is gathered by text.
-    once = pieces.groupBy("mark", "no").agg(F.first("key").alias("key"), F.first("piece").alias("piece"), F.count("*").alias("copies"))
-    encoded = mapped(once.select("mark", "key", "copies", "no", "piece"), each, held)
-    runs = encoded.groupBy("mark", F.floor(F.col("no") / FAN)).applyInArrow(inner, held)
-    done = runs.groupBy("mark").applyInArrow(last, out + ", copies long")
-    long = done.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copy", "copies")
-    return short.unionByName(long).withColumnRenamed("key", id_col)
+    def long(some: DataFrame, rounds: int) -> DataFrame:
+        pieces = mapped(some, cut, f"mark string, key {id_type}, no int, piece string")
+        # Rows that are equal in id and text are one, with a count, before anything is gathered by text.
+        once = pieces.groupBy("mark", "no").agg(F.first("key").alias("key"), F.first("piece").alias("piece"), F.count("*").alias("copies"))
+        encoded = mapped(once.select("mark", "key", "copies", "no", "piece"), each, held)
+        if rounds > 1:
+            encoded = encoded.groupBy("mark", F.floor(F.col("no") / FAN)).applyInArrow(inner, held)
+        done = encoded.groupBy("mark").applyInArrow(last, out + ", copies long")
+        return done.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copy", "copies")
+
+    # One task joins the pieces of a text if they are few, so that they are dealt once.
+    size = F.length("body")
+    few = long(base.where((size > piece_chars) & (size <= piece_chars * FAN)), 1)
+    many = long(base.where(size > piece_chars * FAN), 2)
+    return short.unionByName(few).unionByName(many).withColumnRenamed("key", id_col)
 
 
 def decode_documents(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:

@@ -114,12 +114,14 @@ def test_bpe_tree_is_exact():
         assert codec.whole(text) == want == tree.ids.tolist() and codec.decode(want) == text
 
 
-def test_bpe_documents(spark):
+def test_bpe_documents(spark, monkeypatch):
     texts = {1: "ab" * 300, 2: None, 3: "", 4: "x <|endoftext|> yß" * 60}
+    texts[5] = "ab c " * 300
     d = docs_of(spark, [*texts.items(), (1, texts[1]), (None, "n")])
+    monkeypatch.setattr(bpe, "FAN", 20)  # so that one of the texts takes two rounds
     got = bpe.encode_documents(d, columns=("n_tokens", "ids", "decoded"), piece_chars=64).collect()
     codec = bpe.load(bpe.default_vocabulary())
-    assert sorted(str(r.doc_id) for r in got) == ["1", "1", "2", "3", "4", "None"]
+    assert sorted(str(r.doc_id) for r in got) == ["1", "1", "2", "3", "4", "5", "None"]
     assert all(r.decoded == (texts.get(r.doc_id, "n") or "") and r.ids == codec.library.encode(r.decoded, add_special_tokens=False).ids for r in got)
     assert {r.decoded for r in bpe.decode_documents(spark.createDataFrame([(1, [39, None]), (2, None)], "doc_id long, ids array<int>")).collect()} == {"H", ""}
 
