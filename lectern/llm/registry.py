@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lectern.llm.bpe import encode_documents
 from lectern.llm.common import table
 from lectern.llm.decontaminate import decontaminate
+from lectern.llm.filters import audit_filters
 from lectern.llm.html import extract_main_text
 from lectern.llm.jaccard import link_documents
 from lectern.llm.lines import drop_boilerplate
@@ -63,6 +64,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_decontaminate": op2_decontaminate,
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_spotsigs": op9_spotsigs,
     "op10_toxicity": op10_toxicity,
+    "op12_filters": op12_filters,
 }
 
 OP1_SQL = """
@@ -131,8 +137,40 @@ SELECT d.doc_id, CAST(coalesce(line_count, 0) AS BIGINT) AS line_count, CAST(coa
 FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
 """
 
+OP12_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), f AS (
+  SELECT part, doc_id, len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b,
+         100 * (length(body) - length(regexp_replace(body, '[A-Z]', '', 'g'))) > 5 * length(body) AS c, regexp_matches(body, '[#$%&*|]') AS d,
+         coalesce(min(doc_id) OVER (PARTITION BY body) < doc_id, false) AS e
+  FROM d
+), l AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id
+), g AS (
+  SELECT part, [a, b, c, d, e] AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM f LEFT JOIN l USING (doc_id)
+), n AS (
+  SELECT part, fails, good, toxic, count(*) AS n FROM g GROUP BY ALL
+), x AS (SELECT unnest([1, 2, 3, 4, 5]) AS i), o AS (
+  SELECT [p.i, q.i, r.i, s.i, t.i] AS filters FROM x p, x q, x r, x s, x t WHERE len(list_distinct([p.i, q.i, r.i, s.i, t.i])) = 5
+), st AS (
+  SELECT array_to_string(list_transform(filters, lambda y: 'ABCDE'[y]), '') AS filter_order, step, filters[step] AS i, filters[1:step - 1] AS earlier FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+), r AS (
+  SELECT part, filter_order, step, i, n, good, toxic, fails[i] AS fail, len(list_filter(earlier, lambda y: fails[y])) > 0 AS gone, len(list_filter(fails, lambda y: y)) = 1 AS alone FROM n, st
+), agg AS (
+  SELECT part, filter_order, step, i, sum(n) FILTER (WHERE NOT gone AND NOT fail) AS kept, sum(n) FILTER (WHERE NOT gone AND fail) AS removed, sum(n) FILTER (WHERE gone AND fail) AS redundant,
+         sum(n) FILTER (WHERE fail AND alone) AS unique_fails, sum(n) FILTER (WHERE NOT gone AND fail AND good) AS good_lost, sum(n) FILTER (WHERE NOT gone AND fail AND toxic) AS toxic_lost
+  FROM r GROUP BY part, filter_order, step, i
+)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+       CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(coalesce(sum(removed) OVER (PARTITION BY part, i), 0) AS BIGINT) AS shapley
+FROM agg
+"""
+
 ORACLES: dict[str, str] = {
     "op1_warc": OP1_SQL,
     "op2_decontaminate": OP2_SQL,
     "op4_lines": OP4_SQL,
+    "op12_filters": OP12_SQL,
 }
