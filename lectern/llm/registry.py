@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.bpe import encode_documents
 from lectern.llm.common import table
+from lectern.llm.ctw import score_texts
 from lectern.llm.decontaminate import decontaminate
 from lectern.llm.filters import audit_filters
 from lectern.llm.html import extract_main_text
@@ -68,6 +69,10 @@ def op12_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_decontaminate": op2_decontaminate,
@@ -80,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_spotsigs": op9_spotsigs,
     "op10_toxicity": op10_toxicity,
     "op12_filters": op12_filters,
+    "op13_ctw": op13_ctw,
 }
 
 OP1_SQL = """
