@@ -19,6 +19,7 @@ from lectern.llm.pii import replace_pii
 from lectern.llm.quality import score_quality
 from lectern.llm.spotsigs import compare_with_edited
 from lectern.llm.toxicity import score_toxicity
+from lectern.llm.turns import damaged, repair
 from lectern.llm.warc import archived
 
 
@@ -65,6 +66,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair(damaged(conversations), ids=conversations)
+
+
 def op12_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_spotsigs": op9_spotsigs,
     "op10_toxicity": op10_toxicity,
+    "op11_turns": op11_turns,
     "op12_filters": op12_filters,
     "op13_ctw": op13_ctw,
 }
@@ -143,6 +150,52 @@ SELECT d.doc_id, CAST(coalesce(line_count, 0) AS BIGINT) AS line_count, CAST(coa
 FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
 """
 
+OP11_SQL = """
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc
+), raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS body,
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                         lambda c, x: xor(c >> 8, crc[CAST(xor(c, x) & 255 AS INT) + 1])), 4294967295) % 20 AS kind
+  FROM conversations, crc
+), d AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(body, '[.!?]', '', 'g') ELSE body END AS body,
+         unnest(CASE kind WHEN 3 THEN [1, 2] ELSE [1] END) AS time
+  FROM raw WHERE kind <> 0
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, body, time) AS i, regexp_replace(body, '[\\x20\\x09-\\x0D]+$', '') AS core, role[1] AS initial FROM d
+), f AS (
+  SELECT *, CASE WHEN core = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, body ORDER BY i) > 1 THEN 'duplicate' WHEN core[-1] NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+         count(*) OVER (PARTITION BY conv_id) AS total, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair
+  FROM o
+), m(q, letters, r, fee, lines) AS (VALUES
+  (0, '', 0, 0, ''), (1, '', 1, 0, ''), (2, '', 2, 0, ''), (3, '', 3, 0, ''), (0, 'I', 2, 3, 'user:\n'), (1, 'I', 2, 3, 'user:\n'), (2, 'I', 3, 3, 'assistant:\n'), (3, 'I', 2, 3, 'user:\n'),
+  (0, 'II', 3, 6, 'user:\nassistant:\n'), (1, 'II', 3, 6, 'user:\nassistant:\n')
+), e(q, letter, r, wants) AS (VALUES
+  (0, 'D', 0, ''), (1, 'D', 1, ''), (2, 'D', 2, ''), (3, 'D', 3, ''), (0, 'R', 2, 'user'), (1, 'R', 2, 'user'), (2, 'R', 3, 'assistant'), (3, 'R', 2, 'user'),
+  (0, 'K', 1, 's'), (0, 'K', 2, 'u'), (1, 'K', 2, 'u'), (2, 'K', 3, 'a'), (3, 'K', 2, 'u')
+), p AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 0 AS q, 0 AS cost, '' AS audit, '' AS lines, total FROM f
+  UNION ALL
+  SELECT conv_id, i, q, cost, audit, lines, total FROM (
+    SELECT p.conv_id, f.i, e.r AS q, p.total, p.cost + m.fee + CASE e.letter WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN e.letter <> 'D' AND f.fault IS NOT NULL THEN 3 ELSE 0 END AS cost, p.audit || m.letters || e.letter AS audit,
+           p.lines || m.lines || CASE e.letter WHEN 'D' THEN '' WHEN 'R' THEN e.wants || ':' || f.body || chr(10) ELSE f.role || ':' || f.body || chr(10) END AS lines
+    FROM p JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1 JOIN m ON m.q = p.q JOIN e ON e.q = m.r
+    WHERE (e.letter = 'D' OR f.fault IS NULL OR f.fault = 'truncated') AND (e.letter <> 'K' OR e.wants = f.initial)
+  ) QUALIFY row_number() OVER (PARTITION BY conv_id, q ORDER BY cost, audit) = 1
+), best AS (
+  SELECT conv_id, cost + fee AS cost, audit || letters AS audit, p.lines || m.lines AS lines FROM p JOIN m ON m.q = p.q
+  WHERE i = total AND m.r IN (0, 3) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost + fee, audit || letters) = 1
+), g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+         count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY conv_id
+)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+       CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(left(lines, greatest(length(lines) - 1, 0)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
 OP12_SQL = """
 WITH d AS (
   SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
@@ -178,5 +231,6 @@ ORACLES: dict[str, str] = {
     "op1_warc": OP1_SQL,
     "op2_decontaminate": OP2_SQL,
     "op4_lines": OP4_SQL,
+    "op11_turns": OP11_SQL,
     "op12_filters": OP12_SQL,
 }
