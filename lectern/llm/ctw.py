@@ -33,8 +33,8 @@ LOW, MID = 3, 1
 MARK = b"\xff"
 #: Bytes of text in a block: what one task counts and scores at once.
 BLOCK_BYTES = 32 << 20
-#: Positions that are looked at together.
-SLICE = 1 << 20
+#: Positions that are looked at together, so that they stay in a core's cache; and codes that are sorted together.
+SLICE, SORTED = 1 << 17, 1 << 20
 #: Elements of a row of a block's counts.
 ROW = 1 << 16
 #: The end of a text as a token.
@@ -55,16 +55,19 @@ class Texts:
         """(number of the text, code) for every byte and end mark; a code has the nearest context byte on top, and the byte
         itself at the bottom."""
         raw = np.frombuffer(b"".join(MARK * DEPTH + t + MARK for t in self.texts), np.uint8)
-        ends = np.cumsum(self.sizes + DEPTH)
-        for a in range(DEPTH, len(raw), SLICE):
-            part = raw[a - DEPTH : a + SLICE].astype(U)
+        starts = np.r_[0, np.cumsum(self.sizes + DEPTH)]
+        for a in range(0, len(raw) - DEPTH, SLICE):
+            part = raw[a : a + DEPTH + SLICE].astype(U)
             n = len(part) - DEPTH
             code = part[DEPTH:].copy()
             for k in range(1, DEPTH + 1):
                 code |= part[DEPTH - k : DEPTH - k + n] << U(8 * (DEPTH - k + 1))
-            at = np.arange(a, a + n)
-            number = np.searchsorted(ends, at, "right")
-            inside = at - (ends[number] - self.sizes[number] - DEPTH) >= DEPTH
+            # The byte of place i stands at a + DEPTH + i; marks before a text are no bytes of it.
+            at = starts[(first := np.searchsorted(starts, a + DEPTH, "right") - 1) : np.searchsorted(starts, a + DEPTH + n, "left")] - a - DEPTH
+            number = np.repeat(np.arange(first, first + len(at)), np.diff(np.r_[np.maximum(at, 0), n]))
+            marks = (at[:, None] + np.arange(DEPTH)).ravel()
+            inside = np.ones(n, bool)
+            inside[marks[(marks >= 0) & (marks < n)]] = False
             yield number[inside], code[inside]
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
@@ -86,65 +89,103 @@ class Counts:
     """Distinct codes of a block with their counts in training; those of other texts count 0."""
 
     def __init__(self) -> None:
+        self.raw: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+        self.waiting = 0
         self.codes: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
-        self.held = 0
 
     def add(self, codes: np.ndarray, train: np.ndarray) -> None:
-        for of, learnt in ((train, 1), (~train, 0)):
-            if of.any():
-                some, n = np.unique(codes[of], return_counts=True)
+        self.raw[0].append(codes[~train])
+        self.raw[1].append(codes[train])
+        self.waiting += len(codes)
+        if self.waiting >= SORTED:
+            self.sort()
+
+    def sort(self) -> None:
+        for learnt, raw in enumerate(self.raw):
+            if raw:
+                some, n = np.unique(np.concatenate(raw), return_counts=True)
                 self.codes.append(some)
                 self.counts.append(n * learnt)
-                self.held += len(some)
-        if self.held > 4 * SLICE:
-            self.whole()
+                raw.clear()
+        self.waiting = 0
+        if sum(map(len, self.codes)) > 4 * SORTED:
+            codes, counts = _merged(self.codes, self.counts)
+            self.codes, self.counts = [codes], [counts]
 
     def whole(self) -> tuple[np.ndarray, np.ndarray]:
-        codes, counts = _merged(self.codes, self.counts)
-        self.codes, self.counts, self.held = [codes], [counts], len(codes)
-        return codes, counts
-
-
-def _blocks(id_type: pa.DataType):
-    """mapInArrow: texts (key, train, body) dealt into blocks, each with its counts: rows of texts, and rows of codes."""
-    schema = pa.schema([("block", pa.int64()), ("key", id_type), ("held_out", pa.bool_()), ("body", pa.binary()), ("kind", pa.int8()), ("code", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
-
-    def counted(block: int, kind: int, counts: Counts) -> Iterator[pa.RecordBatch]:
-        codes, n = counts.whole()
-        for a in range(0, len(codes), ROW):
-            row = {"block": block, "key": None, "held_out": None, "body": None, "kind": kind, "code": codes[a : a + ROW].view(np.int64), "n": n[a : a + ROW]}
-            yield pa.RecordBatch.from_pylist([row], schema=schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        block, size = TaskContext.get().partitionId() << 24, 0
-        grams, words = Counts(), Counts()
-        for batch in batches:
-            bodies, held = batch["body"].to_pylist(), np.array(batch["held_out"].to_pylist(), bool)
-            a = 0
-            while a < len(bodies):
-                z = a
-                while z < len(bodies) and size < BLOCK_BYTES:
-                    size += len(bodies[z]) + 1
-                    z += 1
-                texts = Texts(bodies[a:z])
-                for number, code in texts.codes():
-                    grams.add(code, ~held[a:z][number])
-                number, code = texts.words()
-                words.add(code, ~held[a:z][number])
-                none = pa.nulls(z - a)
-                yield pa.RecordBatch.from_arrays([pa.array([block] * (z - a), pa.int64()), batch["key"][a:z], batch["held_out"][a:z], pa.array(bodies[a:z], pa.binary()), none.cast(pa.int8()), none.cast(schema.field("code").type), none.cast(schema.field("n").type)], schema=schema)
-                a = z
-                if size >= BLOCK_BYTES:
-                    yield from counted(block, 0, grams)
-                    yield from counted(block, 1, words)
-                    block, size, grams, words = block + 1, 0, Counts(), Counts()
-        yield from counted(block, 0, grams)
-        yield from counted(block, 1, words)
+        self.sort()
+        return _merged(self.codes, self.counts)
 
-    return run
+
+class Values:
+    """Values by code. Most codes are found at one place of a table of hashes, the others by bisection."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        order = np.argsort(codes)
+        self.codes, self.values = codes[order], values[order]
+        bits = max(4, (4 * len(codes)).bit_length())
+        self.shift = U(64 - bits)
+        self.place = np.zeros(1 << bits, np.int32)
+        self.place[self._slot(self.codes)] = np.arange(len(codes))
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return codes * U(0x9E3779B97F4A7C15) >> self.shift
+
+    def __getitem__(self, codes: np.ndarray) -> np.ndarray:
+        at = self.place[self._slot(codes)]
+        other = np.flatnonzero(self.codes[at] != codes)
+        at[other] = np.searchsorted(self.codes, codes[other])
+        return self.values[at]
+
+
+def packed(batch: pa.RecordBatch) -> bytes:
+    """A batch as one compressed cell."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(cells: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
+    for cell in cells:
+        yield from pa.ipc.open_stream(cell.as_buffer())
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow: texts (key, held_out, body) dealt into blocks. Rows of a block: its texts, many in a cell; and rows of its
+    codes (kind 0) and words (kind 1) with their counts."""
+    from pyspark import TaskContext
+
+    schema = pa.schema([("block", pa.int64()), ("texts", pa.binary()), ("kind", pa.int8()), ("code", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
+    row = lambda **x: pa.RecordBatch.from_pylist([dict.fromkeys(schema.names) | x], schema=schema)
+    block, size, counts = TaskContext.get().partitionId() << 24, 0, (Counts(), Counts())
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        for kind, of in enumerate(counts):
+            codes, n = of.whole()
+            for a in range(0, len(codes), ROW):
+                yield row(block=block, kind=kind, code=codes[a : a + ROW].view(np.int64), n=n[a : a + ROW])
+
+    for batch in batches:
+        bodies, train = batch["body"].to_pylist(), ~np.array(batch["held_out"].to_pylist(), bool)
+        a = 0
+        while a < len(bodies):
+            z = a
+            while z < len(bodies) and size < BLOCK_BYTES:
+                size += len(bodies[z]) + 1
+                z += 1
+            texts = Texts(bodies[a:z])
+            for number, code in texts.codes():
+                counts[0].add(code, train[a:z][number])
+            number, code = texts.words()
+            counts[1].add(code, train[a:z][number])
+            yield row(block=block, texts=packed(batch.slice(a, z - a)))
+            a = z
+            if size >= BLOCK_BYTES:
+                yield from counted()
+                block, size, counts = block + 1, 0, (Counts(), Counts())
+    yield from counted()
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -323,24 +364,21 @@ def _scored(id_type: pa.DataType, train_tokens: int, distinct: int):
         kinds = []
         for kind in (0, 1):
             some = values.filter(pa.compute.equal(values["kind"], kind))
-            code, value = _ints(some, "code"), _reals(some, "value")
-            order = np.argsort(code)
-            kinds.append((code[order], value[order]))
+            kinds.append(Values(_ints(some, "code"), _reals(some, "value")))
         del values
-        (grams, gram_values), (words, word_counts) = kinds
+        grams, words = kinds
         out = []
-        for batch in texts.to_batches(max_chunksize=4096):
-            bodies = batch["body"].to_pylist()
-            some = Texts(bodies)
-            score = np.zeros(len(bodies))
+        for batch in unpacked(texts["texts"]):
+            some = Texts(batch["body"].to_pylist())
+            score = np.zeros(batch.num_rows)
             for number, code in some.codes():
-                score += np.bincount(number, gram_values[np.searchsorted(grams, code)], len(bodies))
+                score += np.bincount(number, grams[code], batch.num_rows)
             number, code = some.words()
-            c = word_counts[np.searchsorted(words, code)]
-            total = lambda x=None: np.bincount(number, x, len(bodies))  # noqa: B023, E731
-            n = total()
-            base = total(np.log10(c + 1)) - n * np.log10(train_tokens + distinct + 1)
-            arrays = [batch["key"], batch["held_out"], n, total(c > 0).astype(np.int64), base, score, -score / np.log10(2) / some.sizes]
+            c = words[code]
+            n = np.bincount(number, minlength=batch.num_rows)
+            base = np.bincount(number, np.log10(c + 1), batch.num_rows) - n * np.log10(train_tokens + distinct + 1)
+            known = np.bincount(number, c > 0, batch.num_rows).astype(np.int64)
+            arrays = [batch["key"], batch["held_out"], n, known, base, score, -score / np.log10(2) / some.sizes]
             out.append(pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(arrays, types)], names))
         return pa.Table.from_batches(out, pa.schema(list(zip(names, types))))
 
@@ -365,7 +403,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType
     id_type, id_name = to_arrow_type(kind), kind.simpleString()
     base = docs.select(F.col(id_col).alias("key"), (crc_bucket(f"`{id_col}`", modulus) == held_out).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
-    table = scratch.write(mapped(base, _blocks(id_type), f"block long, key {id_name}, held_out boolean, body binary, kind byte, code array<long>, n array<long>"), "ctw-blocks")
+    table = scratch.write(mapped(base, _blocks, "block long, texts binary, kind byte, code array<long>, n array<long>"), "ctw-blocks")
     listed = table.where("kind is not null").select("block", "kind", F.explode(F.arrays_zip("code", "n")).alias("x")).select("block", "kind", "x.code", "x.n")
     counts = scratch.write(listed.groupBy("kind", "code").agg(F.sum("n").alias("n")), "ctw-counts")
     words = counts.where("kind = 1")
@@ -373,6 +411,6 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     grams = code_values(counts.where("kind = 0").select("code", "n"), scratch)
     values = grams.withColumn("kind", F.lit(0).cast("byte")).unionByName(words.select("code", F.col("n").cast("double").alias("value"), "kind"))
     told = scratch.write(listed.select("block", "kind", "code").join(values, ["kind", "code"]), "ctw-told")
-    texts = table.where("kind is null").select("block", "key", "held_out", "body")
+    texts = table.where("kind is null").select("block", "texts")
     found = shipped(texts).groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda a, b: _scored(id_type, total["tokens"], total["distinct"])(a, b), f"key {id_name}, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
     return found.select(F.col("key").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total["tokens"]).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")
