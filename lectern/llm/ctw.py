@@ -152,8 +152,8 @@ def unpacked(cells: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
         yield from pa.ipc.open_stream(cell.as_buffer())
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow: texts (key, held_out, body) dealt into blocks. Rows of a block: its texts, many in a cell; and rows of its
+def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Texts (key, held_out, body) dealt into blocks. Rows of a block: its texts, many in a cell; and rows of its
     codes (kind 0) and words (kind 1) with their counts."""
     from pyspark import TaskContext
 
@@ -172,7 +172,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = 0
         while a < len(bodies):
             z = a
-            while z < len(bodies) and size < BLOCK_BYTES:
+            while z < len(bodies) and size < block_bytes:
                 size += len(bodies[z]) + 1
                 z += 1
             texts = Texts(bodies[a:z])
@@ -182,7 +182,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts[1].add(code, train[a:z][number])
             yield row(block=block, texts=packed(batch.slice(a, z - a)))
             a = z
-            if size >= BLOCK_BYTES:
+            if size >= block_bytes:
                 yield from counted()
                 block, size, counts = block + 1, 0, (Counts(), Counts())
     yield from counted()
@@ -385,7 +385,7 @@ def _scored(id_type: pa.DataType, train_tokens: int, distinct: int):
     return run
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held_out: int = 2, scratch: Scratch | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held_out: int = 2, block_bytes: int = BLOCK_BYTES, scratch: Scratch | None = None) -> DataFrame:
     """Log10 probabilities of all texts under a context tree that learns from those whose id's crc32 modulo ``modulus`` is
     not ``held_out``.
 
@@ -403,7 +403,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType
     id_type, id_name = to_arrow_type(kind), kind.simpleString()
     base = docs.select(F.col(id_col).alias("key"), (crc_bucket(f"`{id_col}`", modulus) == held_out).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
-    table = scratch.write(mapped(base, _blocks, "block long, texts binary, kind byte, code array<long>, n array<long>"), "ctw-blocks")
+    table = scratch.write(mapped(base, lambda batches: _blocks(batches, block_bytes), "block long, texts binary, kind byte, code array<long>, n array<long>"), "ctw-blocks")
     listed = table.where("kind is not null").select("block", "kind", F.explode(F.arrays_zip("code", "n")).alias("x")).select("block", "kind", "x.code", "x.n")
     counts = scratch.write(listed.groupBy("kind", "code").agg(F.sum("n").alias("n")), "ctw-counts")
     words = counts.where("kind = 1")
