@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,17 +20,30 @@ KEYWORDS = {
 MISHEARD = """
 агея аггея
 агла глава
+атмосфея матфея
 атеана иоанна
 главоз глава
+главус глава
 гуана иоанна
 илана иоанна
+ивреем евреям
+изход исход
 иоанну иоанна
+иоф иов
+истих стих
 исаи исаия
 каримфинам коринфянам
 каринфена коринфянам
 коринфян коринфянам
 малахи малахия
 матвея матфея
+мотфей матфей
+ниемии неемии
+ниэмии неемии
+переми иеремия
+перемию иеремия
+перемия иеремия
+ремью иеремия
 первоглава 1 глава
 первостих 1 стих
 послаником послание
@@ -38,6 +53,8 @@ MISHEARD = """
 притчет притчи
 римляном римлянам
 сих стих
+стив стих
+тестих стих
 солма псалом
 стивы стих
 тихо стих
@@ -46,6 +63,11 @@ MISHEARD = """
 """
 #: Beginnings of words that are misheard in many forms, and what was said.
 BEGINNINGS = """
+еклисиаст екклесиаст
+еклисяст екклесиаст
+икресяст екклесиаст
+иклисиаст екклесиаст
+клесяст екклесиаст
 парлипомин паралипоменон
 паралипомин паралипоменон
 фесалоник фессалоникийцам
@@ -53,9 +75,54 @@ BEGINNINGS = """
 фесолоник фессалоникийцам
 фессалоник фессалоникийцам
 """
-#: Phrases as they are misheard, once words are spelt out and number words are digits; N is a number that
-#: stays. What was said stands behind the bar.
+#: Phrases as they are misheard, once words are spelt out and number words are digits; N is a number, and a
+#: word may have any ending where it ends in *. What was said stands behind the bar: N there is the phrase's first number,
+#: N3 its third.
 PHRASES = """
+таразакон* 1 глава 22 стих | второзаконие 11 глава 22 стих
+таразакон* | второзаконие
+второзакон* стае глава | второзаконие 6 глава
+второзакон* стая глава | второзаконие 6 глава
+2 законе | второзаконие
+N мега царств | N книга царств
+и лова | иова
+и екклесиаст | екклесиаст
+книга ио | книга иова
+книги ио | книги иова
+тремя я | иеремия
+и иеремия | иеремия
+паророка и языки | пророка иезекииля
+про рокас афоний | пророка софонии
+про рокас афония | пророка софонии
+про рокас афонии | пророка софонии
+пророк астафония | пророка софонии
+пророк астафонии | пророка софонии
+астафония | пророка софонии
+астафонии | пророка софонии
+иван гелятматфея | евангелие от матфея
+иван гелятматфеа | евангелие от матфея
+иван гелиатриан* | евангелие от иоанна
+от фея | матфея
+евангелие под иоанна | евангелие от иоанна
+под иуанна | от иоанна
+идея боссов | деяния апостолов
+диаметр опослов | деяния апостолов
+1 темофея | 1 тимофею
+1 темофею | 1 тимофею
+2 темофея | 2 тимофею
+2 темофею | 2 тимофею
+и вся на | ефесянам
+вся на | ефесянам
+антрите огова | 3 глава
+достая глава | 6 глава
+вашей сестой стих | 6 стих
+вашей стой стих | 6 стих
+открыть при N глава | открыть притчи N глава
+откройте при N глава | откройте притчи N глава
+открываем при N глава | открываем притчи N глава
+откроем при N глава | откроем притчи N глава
+с 29 подлит с 3 стих | с 27 по 33 стих
+с N года 20 месяц | с N по 21 стих
 и у ванна | иоанна
 и у ванов | иоанна
 и уванна | иоанна
@@ -92,6 +159,8 @@ N послание апостола павлы фессалоникийцам |
 N послание апостол и иоанна | N послание иоанна
 N книга паралипоменон | N паралипоменон
 N книгу паралипоменон | N паралипоменон
+N глава N N стих N давайте | N глава N4 N3 стих давайте
+N глава N N стих N прочитаем | N глава N4 N3 стих прочитаем
 """
 
 
@@ -106,10 +175,26 @@ def _words() -> dict[str, str]:
     return forms | dict(line.split(None, 1) for line in MISHEARD.strip().splitlines())
 
 
+_APART, _ENDS = "(?<![0-9а-яa-z])", "(?![0-9а-яa-z])"
+
+
 def _phrases() -> list[tuple[str, str]]:
-    """Phrases as patterns of whole words, with their replacements."""
+    """Phrases as patterns, with their replacements."""
     pairs = (line.split(" | ") for line in PHRASES.strip().splitlines())
-    return [(rf"(?<![0-9а-яa-z]){heard.replace('N', '([0-9]+)')}(?![0-9а-яa-z])", said.replace("N", "$1")) for heard, said in pairs]
+    return [(heard.replace("*", "[а-я]*").replace("N", "([0-9]+)"), re.sub("N([0-9]?)", lambda m: "$" + (m[1] or "1"), said)) for heard, said in pairs]
+
+
+def _as_said(text: Column) -> Column:
+    """A text with misheard phrases as what was said, one phrase after the other. One pattern of all of them tells whether a
+    text has any; most have none."""
+
+    def replaced(t: Column) -> Column:
+        out = t
+        for heard, said in _phrases():
+            out = F.regexp_replace(out, f"{_APART}(?:{heard}){_ENDS}", said)
+        return F.when(t.rlike(f"{_APART}(?:{'|'.join(h for h, _ in _phrases())}){_ENDS}"), out).otherwise(t)
+
+    return bound(text, replaced)
 
 
 def _spelt(words: Column) -> Column:
@@ -189,8 +274,7 @@ def normalize_reference(text: Column) -> Column:
     t = bound(bound(F.translate(F.lower(text), "ё–", "е-"), _roman_chapters), _coordinates)
     t = F.trim(F.regexp_replace(t, "[^0-9а-яa-z]+", " "))
     t = F.array_join(fold_numbers(_spelt(F.split(t, " "))), " ")
-    for heard, said in _phrases():
-        t = F.regexp_replace(t, heard, said)
+    t = _as_said(t)
     # A gospel is "from" its author, and the three digits after John's name are chapter and verse.
     t = F.regexp_replace(t, "(?<![0-9а-яa-z])(?:ивангел|евангел)[а-я]* (?:от )?", "евангелие от ")
     return F.regexp_replace(t, r"(?<![0-9а-яa-z])иоанна (\d)(\d{2})(?!\d)", "иоанна $1 $2")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import normalize_reference
+from lectern.ship import shipped
 from lectern.sources.books import GENERIC, aliases_table
 
 CUTOFF = 0.78
@@ -64,12 +65,24 @@ def _letters(words: list[str], alphabet: str) -> np.ndarray:
     return out
 
 
+def common_length(places: dict[str, int], size: int, text: str) -> int:
+    """Length of the longest common subsequence of a text and a name of ``size`` characters, whose ``places`` are the bits at
+    which it has each character."""
+    rows = whole = (1 << size) - 1
+    for c in text:
+        here = rows & places.get(c, 0)
+        rows = (rows + here | rows - here) & whole
+    return size - rows.bit_count()
+
+
 def best_similar(known: list[str]):
     """Arrow UDF: the known name most like a gram and their Ratcliff-Obershelp ratio, if at least CUTOFF.
 
-    Spark has no such similarity. It is counted for pairs alone whose letters leave it open: two texts share no more than the
-    lesser count of each character, which bounds the ratio; that is a matter of arrays. Of equal ratios the last name wins.
+    Spark has no such similarity. It is counted for pairs alone that two bounds leave open: two texts share no more than the
+    lesser count of each character (a matter of arrays), and no more than their longest common subsequence, as matching blocks
+    are one. Of equal ratios the last name wins.
     """
+    where = [{c: sum(1 << i for i, x in enumerate(k) if x == c) for c in set(k)} for k in known]
     alphabet = "".join(sorted(set("".join(known))))
 
     @F.pandas_udf("struct<variant: string, ratio: double>")
@@ -88,6 +101,8 @@ def best_similar(known: list[str]):
                 matcher = SequenceMatcher()
                 matcher.set_seq2(g)
                 for i in np.flatnonzero(row):
+                    if 2 * common_length(where[i], len(known[i]), g) < CUTOFF * (len(g) + len(known[i])) - 1e-9:
+                        continue
                     matcher.set_seq1(known[i])
                     ratio = matcher.ratio()
                     if ratio >= CUTOFF:
@@ -95,7 +110,8 @@ def best_similar(known: list[str]):
                 rows.append((best[1], SequenceMatcher(None, g, best[1]).ratio()) if best[1] else (None, None))
         return pd.DataFrame(rows, columns=["variant", "ratio"])
 
-    return similar
+    # Nondeterministic to the optimiser: it would count a filter of the result on every row in front of the aggregation.
+    return similar.asNondeterministic()
 
 
 def exact_candidates(every: DataFrame, table: DataFrame) -> DataFrame:
@@ -117,13 +133,13 @@ def book_candidates(texts: DataFrame) -> DataFrame:
     longest = max(map(len, known), default=0)
     # Names have no digit but 1 to 5, so all others are alike to similarity, and n-grams with them are looked at once. A
     # native upper bound of the ratio goes first: letters, up to three spaces and one digit are all that a name can share.
-    every = every.withColumn("like", F.regexp_replace("gram", "[06-9]", "0"))
+    every = every.withColumn("like", F.translate("gram", "6789", "0000"))
     share = F.regexp_count("like", F.lit("[а-яa-z]")) + F.least(F.regexp_count("like", F.lit(" ")), F.lit(3)) + F.least(F.regexp_count("like", F.lit("[1-5]")), F.lit(1))
-    open_to = every.where(looked_at(F.col("gram")) & F.col("gram").rlike("[а-я]")).select("like").distinct()
-    open_to = open_to.where(F.length("like").between(2, int(longest * (2 - CUTOFF) / CUTOFF) + 1) & (2 * share >= CUTOFF * (F.length("like") + share)))
-    fuzzy = open_to.join(F.broadcast(table.select(F.col("variant").alias("like"))), "like", "left_anti").repartition(texts.sparkSession.sparkContext.defaultParallelism * 4, "like").withColumn("m", best_similar(known)("like")).where("m.variant is not null")
+    # Whether similarity looks at an n-gram doesn't depend on these digits either, so tests come behind the aggregation.
+    open_to = every.select("like").distinct().where(looked_at(F.col("like")) & F.col("like").rlike("[а-я]") & F.length("like").between(2, int(longest * (2 - CUTOFF) / CUTOFF) + 1) & (2 * share >= CUTOFF * (F.length("like") + share)))
+    fuzzy = shipped(open_to).join(F.broadcast(table.select(F.col("variant").alias("like"))), "like", "left_anti").repartition(texts.sparkSession.sparkContext.defaultParallelism * 4, "like").withColumn("m", best_similar(known)("like")).where("m.variant is not null")
     fuzzy = fuzzy.select("like", "m.ratio", F.col("m.variant").alias("variant")).join(F.broadcast(table), "variant").select("like", "ratio", "book")
-    near = every.where(looked_at(F.col("gram"))).join(fuzzy, "like").select("utt_id", "book", F.col("ratio").alias("score"), "start", "end", F.col("gram").alias("spoken"))
+    near = every.join(fuzzy, "like").select("utt_id", "book", F.col("ratio").alias("score"), "start", "end", F.col("gram").alias("spoken"))
     best = Window.partitionBy("utt_id", "book", "start", "end").orderBy(F.desc("score"), "spoken")
     found = exact.unionByName(near).withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
     return shadowed_out(found)
@@ -131,8 +147,9 @@ def book_candidates(texts: DataFrame) -> DataFrame:
 
 def shadowed_out(found: DataFrame) -> DataFrame:
     """Without inexact candidates whose span holds an exact one of another book."""
-    sure = found.where("score >= 0.999").select(F.col("utt_id").alias("u"), F.col("book").alias("b"), F.col("start").alias("s"), F.col("end").alias("e"))
-    return found.join(sure, (F.col("utt_id") == F.col("u")) & (F.col("book") != F.col("b")) & (F.col("score") < 0.999) & (F.col("start") <= F.col("s")) & (F.col("end") >= F.col("e")), "left_anti")
+    sure = F.collect_list(F.when(F.col("score") >= 0.999, F.struct("book", "start", "end"))).over(Window.partitionBy("utt_id"))
+    inside = lambda s: (s["book"] != F.col("book")) & (F.col("start") <= s["start"]) & (F.col("end") >= s["end"])
+    return found.withColumn("sure", sure).where((F.col("score") >= 0.999) | ~F.exists("sure", inside)).drop("sure")
 
 
 def family(book: Column) -> Column:
@@ -142,10 +159,10 @@ def family(book: Column) -> Column:
 
 def family_kept(found: DataFrame) -> DataFrame:
     """If a text says the number of a book, the others of its family go."""
-    said = found.where(F.col("book").rlike(r"^[1234]\s") & F.col("spoken").rlike(r"^[1234]\s")).withColumn("family", family(F.col("book")))
-    last = said.groupBy("utt_id", "family").agg(F.max_by("book", F.struct(-F.col("score"), "start", "end")).alias("only"))
+    said = F.col("book").rlike(r"^[1234]\s") & F.col("spoken").rlike(r"^[1234]\s")
     with_family = found.withColumn("family", family(F.col("book")))
-    return with_family.join(last, ["utt_id", "family"], "left").where(F.col("only").isNull() | (F.col("only") == F.col("book"))).drop("only")
+    only = F.max_by("book", F.when(said, F.struct(-F.col("score"), "start", "end"))).over(Window.partitionBy("utt_id", "family"))
+    return with_family.withColumn("only", only).where(F.col("only").isNull() | (F.col("only") == F.col("book"))).drop("only")
 
 
 def with_bonus(found: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from lectern.ship import shipped
+
 SHORT, SHORTEST = 20, 5
 
 
@@ -77,7 +79,7 @@ def similar(queries: DataFrame, windows: DataFrame, least: float = 45.0, shingle
     long = queries.where(F.length("q") >= SHORT)
     pairs = long.select("query_id", runs("q").alias("k")).join(windows.select("window_id", runs("norm").alias("k")), "k").select("query_id", "window_id").distinct()
     texts = pairs.join(long.select("query_id", "q"), "query_id").join(windows.select("window_id", "norm"), "window_id")
-    return texts.withColumn("score", similarity("q", "norm")).where(F.col("score") >= least).select("query_id", "window_id", "score")
+    return shipped(texts).withColumn("score", similarity("q", "norm")).where(F.col("score") >= least).select("query_id", "window_id", "score")
 
 
 def search_quotes(queries: DataFrame, windows: DataFrame, top: int = 5) -> DataFrame:
@@ -88,7 +90,7 @@ def search_quotes(queries: DataFrame, windows: DataFrame, top: int = 5) -> DataF
     """
     sure = contained(queries, windows)
     brief = embedded(queries.where(F.length("q").between(SHORTEST, SHORT - 1)), windows)
-    brief = brief.withColumn("score", similarity("q", "norm")).where("score >= 80").select("query_id", "window_id", "score")
+    brief = shipped(brief).withColumn("score", similarity("q", "norm")).where("score >= 80").select("query_id", "window_id", "score")
     other = brief.unionByName(similar(queries, windows)).join(sure.select("query_id", "window_id"), ["query_id", "window_id"], "left_anti")
     return best_windows(sure.unionByName(other), windows, top)
 

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from lectern.functions import payloads
 from lectern.functions.text import fold_numbers, normalize_quote, normalize_reference, reference_text, value_range, verse_count, verse_id, verse_id_problem
-from lectern.operators import logs, lookup, names, search, sessions
-from lectern.operators.references import compact_range, reference_numbers
+from lectern.operators import logs, lookup, names, readings, search, sessions
+from lectern.operators.references import compact_range, reference_candidates, reference_numbers
 from lectern.plans import parse
 from lectern.plans.parse import best_with_margin, parse_references, resolve_candidates, verse_texts
+from lectern.ship import shipped
 from lectern.sources import canon
 from lectern.sources.books import ONE_CHAPTER, books, number_words, overlaid, roman, spoken_names
 from lectern.streaming.live import session_references
@@ -40,6 +41,23 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def _drawn(spark: SparkSession, sf_dir: str, values: list[tuple], schema: str) -> DataFrame:
+    """Events, each with one of some values by its number: event_id and the columns of ``schema``."""
+    dimension = spark.createDataFrame([(i, *v) for i, v in enumerate(values)], f"i long, {schema}")
+    return _t(spark, sf_dir, "events").select("event_id", (F.col("event_id") % len(values)).alias("i")).join(F.broadcast(dimension), "i").drop("i")
+
+
+def _drawn_sql(values: list[tuple], columns: str, select: str | None = None, where: str = "") -> str:
+    """What ``_drawn`` gives, as SQL with some columns."""
+    return f"SELECT event_id, {select or columns} FROM events JOIN ({_values((i, *v) for i, v in enumerate(values))}) AS t(i, {columns}) ON event_id % {len(values)} = i {where}"
+
+
+def _values(rows) -> str:
+    """Rows of texts as SQL VALUES."""
+    one = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+    return "VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
+
+
 _ONE = ", ".join(str(n) for n, b in books() if b in ONE_CHAPTER)
 _BOOKS_SQL = "books(book_no, book) AS (VALUES " + ", ".join(f"({n}, '{b}')" for n, b in books()) + ")"
 _SPOKEN_SQL = f"""WITH {_BOOKS_SQL}, u AS (
@@ -54,7 +72,9 @@ def _spoken(spark: SparkSession, sf_dir: str, text: Callable[..., Column]) -> Da
     no = (F.col("event_id") % 66 + 1).cast("int")
     c = F.when(no.isin(*(n for n, b in books() if b in ONE_CHAPTER)), 1).otherwise(F.col("user_id") % 50 + 1).cast("string")
     v, e = F.col("event_id") % 20 + 1, F.col("event_id") % 20 + 1 + F.col("user_id") % 5
-    return _t(spark, sf_dir, "events").select(F.col("event_id").alias("utt_id"), text(F.element_at(names, no), c, v.cast("string"), e.cast("string")).alias("text"))
+    # The table is one file: dealt, so that all cores have a share of the texts.
+    dealt = _t(spark, sf_dir, "events").repartition(spark.sparkContext.defaultParallelism)
+    return dealt.select(F.col("event_id").alias("utt_id"), text(F.element_at(names, no), c, v.cast("string"), e.cast("string")).alias("text"))
 
 
 def _sizes(spark: SparkSession) -> DataFrame:
@@ -89,9 +109,9 @@ def q01(spark, sf_dir):
 _NORMAL = [(1, "Матфей 5:48-6:4", "матфей 5 глава 48 стих по 6 глава 4 стих"), (2, "Второзаконие. Двадцатую главу с 10 по 15 стих.", "второзаконие 20 глава с 10 по 15 стих"), (3, "Псалом сто тридцать два.", "псалом 132"), (4, "Лука 6 глава 43-44-х", "лука 6 глава 43 44 стих"), (5, "Первое послание Иоанна, вторая глава, с 8 по 9 стих", "1 послание иоанна 2 глава с 8 по 9 стих"), (6, "Книга Иов, тридцать четвёртая глава", "книга иов 34 глава"), (7, "", "")]
 
 
-@query("q02_normalize_reference", "SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), '{w}')" for i, _, w in _NORMAL) + ") AS t(id, norm)")
+@query("q02_normalize_reference", _drawn_sql([(w,) for _, _, w in _NORMAL], "norm"))
 def q02(spark, sf_dir):
-    return spark.createDataFrame([(i, t) for i, t, _ in _NORMAL], "id long, text string").select("id", normalize_reference(F.col("text")).alias("norm"))
+    return _drawn(spark, sf_dir, [(t,) for _, t, _ in _NORMAL], "text string").select("event_id", normalize_reference(F.col("text")).alias("norm"))
 
 
 def _number_phrase(n: int) -> str:
@@ -100,16 +120,16 @@ def _number_phrase(n: int) -> str:
     return " ".join(words[p] for p in parts if p)
 
 
-@query("q03_number_words_fold", "SELECT CAST(n AS BIGINT) AS n, 'глава ' || n || ' стих' AS folded FROM range(1, 200) AS t(n)")
+@query("q03_number_words_fold", "SELECT event_id, 'глава ' || (1 + event_id % 199) || ' стих' AS folded FROM events")
 def q03(spark, sf_dir):
-    said = spark.createDataFrame([(n, f"глава {_number_phrase(n)} стих") for n in range(1, 200)], "n long, said string")
-    return said.select("n", F.array_join(fold_numbers(F.split("said", " ")), " ").alias("folded"))
+    said = _drawn(spark, sf_dir, [(f"глава {_number_phrase(n)} стих",) for n in range(1, 200)], "said string")
+    return said.select("event_id", F.array_join(fold_numbers(F.split("said", " ")), " ").alias("folded"))
 
 
-@query("q04_roman_numerals", "SELECT CAST(n AS BIGINT) AS n, 'иоанна ' || n || ' глава' AS norm FROM range(1, 21) AS t(n)")
+@query("q04_roman_numerals", "SELECT event_id, 'иоанна ' || (1 + event_id % 20) || ' глава' AS norm FROM events")
 def q04(spark, sf_dir):
-    said = spark.createDataFrame([(n, f"Иоанна {roman(n).upper()}, глава") for n in range(1, 21)], "n long, text string")
-    return said.select("n", normalize_reference(F.col("text")).alias("norm"))
+    said = _drawn(spark, sf_dir, [(f"Иоанна {roman(n).upper()}, глава",) for n in range(1, 21)], "text string")
+    return said.select("event_id", normalize_reference(F.col("text")).alias("norm"))
 
 
 @query("q05_parse_explicit", f"{_SPOKEN_SQL} {_LONE}")
@@ -222,11 +242,14 @@ def q27(spark, sf_dir):
     return sessions.carried_forward(p).select(F.col("session").alias("conv_id"), F.col("seq").alias("turn"), "last_ref")
 
 
-@query("q28_same_place_expand", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'там же 5 стих|Наум 1 глава 5 стих'), (2, 'привет'), (3, 'и там же стих 7|Наум 1 глава и стих 7'), (4, 'там же 5 стих')) AS t(id, tried)")
+_PLACED = [("там же 5 стих", "Наум", 1, "там же 5 стих|Наум 1 глава 5 стих"), ("привет", "Наум", 1, "привет"), ("и там же стих 7", "Наум", 1, "и там же стих 7|Наум 1 глава и стих 7"), ("там же 5 стих", None, None, "там же 5 стих")]
+
+
+@query("q28_same_place_expand", _drawn_sql([(t,) for *_, t in _PLACED], "tried"))
 def q28(spark, sf_dir):
-    x = spark.createDataFrame([(1, "там же 5 стих", "Наум", 1), (2, "привет", "Наум", 1), (3, "и там же стих 7", "Наум", 1), (4, "там же 5 стих", None, None)], "id long, text string, book string, chapter int")
+    x = _drawn(spark, sf_dir, [v[:3] for v in _PLACED], "text string, book string, chapter int")
     tried = sessions.same_place(F.array("text"), F.col("book"), F.col("chapter"))
-    return x.select("id", F.regexp_replace(F.array_join(tried, "|"), " +", " ").alias("tried"))
+    return x.select("event_id", F.regexp_replace(F.array_join(tried, "|"), " +", " ").alias("tried"))
 
 
 _GUARDED = [
@@ -242,10 +265,10 @@ _GUARDED = [
 ]
 
 
-@query("q29_stale_context_guard", "SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), {repr(r) if r else 'CAST(NULL AS VARCHAR)'}, {str(b).lower()})" for i, _, r, b in _GUARDED) + ") AS t(id, ref, blocked)")
+@query("q29_stale_context_guard", _drawn_sql([(r, b) for _, _, r, b in _GUARDED], "ref, blocked"))
 def q29(spark, sf_dir):
-    x = spark.createDataFrame([(i, a) for i, a, _, _ in _GUARDED], "id long, attempts array<struct<text: string, ref: string>>")
-    return x.select("id", sessions.first_match(F.col("attempts")).alias("m")).select("id", "m.hit.ref", "m.blocked")
+    x = _drawn(spark, sf_dir, [(a,) for _, a, _, _ in _GUARDED], "attempts array<struct<text: string, ref: string>>")
+    return x.select("event_id", sessions.first_match(F.col("attempts")).alias("m")).select("event_id", "m.hit.ref", "m.blocked")
 
 
 @query("q30_consecutive_dedupe", "SELECT event_id, user_id, event_type FROM events QUALIFY lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS DISTINCT FROM event_type OR row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1")
@@ -324,11 +347,6 @@ def q39(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", sessions.low_confidence(words).alias("low"))
 
 
-def _values(rows) -> str:
-    """Rows of texts as SQL VALUES."""
-    return "VALUES " + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
-
-
 _PHRASES_SQL = f"""names(phrase) AS ({_values((n,) for n, _ in spoken_names())}), more(phrase) AS ({_values((w,) for w in [*lookup.KEYWORDS, *number_words()])}), missing(word) AS ({_values((w,) for w in lookup.UNKNOWN_TO_RECOGNISER)}),
 said AS (SELECT lower(phrase) AS phrase FROM names UNION SELECT phrase FROM more),
 phrases AS (SELECT phrase FROM said WHERE phrase <> '' AND NOT regexp_matches(phrase, '[0-9]') AND NOT EXISTS (SELECT 1 FROM missing WHERE list_contains(string_split(phrase, ' '), word)) UNION SELECT '[unk]')"""
@@ -342,10 +360,10 @@ def q40(spark, sf_dir):
 _TYPED = [(1, "и"), (2, "1 "), (3, "Ма"), (4, "иоанн 3"), (5, ""), (6, "пс")]
 
 
-@query("q41_prefix_suggestions", f"WITH {_BOOKS_SQL}, q(query_id, p) AS (VALUES (1, 'и'), (2, '1 '), (3, 'ма'), (6, 'пс')) SELECT CAST(query_id AS BIGINT) AS query_id, CAST(book_no AS BIGINT) AS book_no, book FROM q JOIN books ON starts_with(lower(book), p) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY book_no) <= 6")
+@query("q41_prefix_suggestions", f"WITH {_BOOKS_SQL}, q(i, p) AS (VALUES (0, 'и'), (1, '1 '), (2, 'ма'), (5, 'пс')) SELECT event_id, CAST(book_no AS BIGINT) AS book_no, book FROM events JOIN q ON event_id % 6 = i JOIN books ON starts_with(lower(book), p) QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY book_no) <= 6")
 def q41(spark, sf_dir):
-    x = lookup.suggestions(spark.createDataFrame(_TYPED, "query_id long, typed string"))
-    return x.select("query_id", F.col("book_no").cast("long").alias("book_no"), "book")
+    x = lookup.suggestions(_drawn(spark, sf_dir, [(t,) for _, t in _TYPED], "typed string").withColumnRenamed("event_id", "query_id"))
+    return x.select(F.col("query_id").alias("event_id"), F.col("book_no").cast("long").alias("book_no"), "book")
 
 
 @query("q42_latest_slide", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
@@ -364,10 +382,13 @@ def q43(spark, sf_dir):
     return verse_texts(refs, canon.formula_verses(spark)).select(F.col("ref_id").alias("utt_id"), "verse_text")
 
 
-@query("q44_number_prefix_lookup", "SELECT * FROM (VALUES ('детри', '29'), ('двад', '2,20'), ('17', '17'), ('сор', '40'), ('xx', '')) AS t(token, numbers)")
+_HEARD = [("детри", "29"), ("двад", "2,20"), ("17", "17"), ("сор", "40"), ("xx", "")]
+
+
+@query("q44_number_prefix_lookup", _drawn_sql(_HEARD, "token, numbers"))
 def q44(spark, sf_dir):
-    x = spark.createDataFrame([("детри",), ("двад",), ("17",), ("сор",), ("xx",)], "token string")
-    return x.select("token", F.array_join(F.transform(lookup.number_values(F.col("token")), lambda v: v.cast("string")), ",").alias("numbers"))
+    x = _drawn(spark, sf_dir, [(t,) for t, _ in _HEARD], "token string")
+    return x.select("event_id", "token", F.array_join(F.transform(lookup.number_values(F.col("token")), lambda v: v.cast("string")), ",").alias("numbers"))
 
 
 @query("q48_reference_text", "SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 3 = 0 THEN 'Марк ' || l_linenumber || ':2-' || (l_linenumber + 1) || ':4' WHEN l_partkey % 2 = 0 THEN 'Марк ' || l_linenumber || ':2' ELSE 'Марк ' || l_linenumber || ':2-4' END AS ref FROM lineitem")
@@ -393,10 +414,11 @@ def q11(spark, sf_dir):
 _SHORT = [(1, "Псалом сто тридцать два.", "Псалтирь 132:1-3"), (2, "Псалом 124", "Псалтирь 124:1-5"), (3, "Псалом 124 3 стих", "Псалтирь 124:3"), (4, "Псалом 23", "Псалтирь 23:1"), (5, "Псалом 200", None), (6, "Наум 2 5", "Наум 2:5")]
 
 
-@query("q13_short_chapter_expand", f"SELECT CAST(id AS BIGINT) AS utt_id, ref FROM ({_values((i, r) for i, _, r in _SHORT if r)}) AS t(id, ref)")
+@query("q13_short_chapter_expand", _drawn_sql([(r,) for _, _, r in _SHORT], "ref", where="WHERE ref IS NOT NULL"))
 def q13(spark, sf_dir):
     sizes = spark.createDataFrame(list(canon.golden_sizes().items()), "book string, sizes map<int, int>")
-    return parse_references(spark.createDataFrame([(i, t) for i, t, _ in _SHORT], "utt_id long, text string"), sizes).select("utt_id", "ref")
+    said = _drawn(spark, sf_dir, [(t,) for _, t, _ in _SHORT], "text string")
+    return parse_references(said.withColumnRenamed("event_id", "utt_id"), sizes).select(F.col("utt_id").alias("event_id"), "ref")
 
 
 @query("q15_book_exact_candidates", """WITH n AS (SELECT n_nationkey AS k, lower(n_name) AS name FROM nation WHERE n_name IS NOT NULL), t AS (SELECT event_id, a.name AS first, b.name AS second FROM events JOIN n a ON a.k = event_id % 25 JOIN n b ON b.k = user_id % 25),
@@ -419,10 +441,11 @@ def _misheard() -> list[tuple[str, str | None, float | None]]:
     return [(w, *((near[w][0], round(SequenceMatcher(None, w, near[w][0]).ratio(), 6)) if near[w] else (None, None))) for w in said]
 
 
-@query("q16_book_fuzzy_candidates", "SELECT said, book, CAST(ratio AS DOUBLE) AS ratio FROM (" + _values(r for r in _misheard() if r[1]) + ") AS t(said, book, ratio)")
+@query("q16_book_fuzzy_candidates", _drawn_sql(_misheard(), "said, book, ratio", "said, book, CAST(ratio AS DOUBLE) AS ratio", "WHERE book IS NOT NULL"))
 def q16(spark, sf_dir):
-    x = spark.createDataFrame([(w,) for w, _, _ in _misheard()], "said string").withColumn("m", names.best_similar(sorted({b.lower() for _, b in books()}))("said"))
-    return x.where("m.variant is not null").select("said", F.col("m.variant").alias("book"), F.round("m.ratio", 6).alias("ratio"))
+    x = _drawn(spark, sf_dir, [(w,) for w, _, _ in _misheard()], "said string")
+    near = shipped(x.select("said").distinct()).withColumn("m", names.best_similar(sorted({b.lower() for _, b in books()}))("said")).where("m.variant is not null")
+    return x.join(near, "said").select("event_id", "said", F.col("m.variant").alias("book"), F.round("m.ratio", 6).alias("ratio"))
 
 
 _SPANS = "p_partkey % 50 AS utt_id, p_brand AS book, CASE WHEN p_size % 3 = 0 THEN 1.0 ELSE 0.9 END AS score, p_partkey % 17 AS start, p_partkey % 17 + p_size % 9 + 1 AS e"
@@ -566,9 +589,9 @@ def q55(spark, sf_dir):
 _TARGETS = [("auto", "auto"), ("", "auto"), (" localhost ", "http://localhost:8091"), ("box:9000/", "http://box:9000"), ("https://box/x/", "https://box/x"), ("AUTO", "AUTO")]
 
 
-@query("q56_target_url", f"SELECT * FROM ({_values(_TARGETS)}) AS t(said, url)")
+@query("q56_target_url", _drawn_sql(_TARGETS, "said, url"))
 def q56(spark, sf_dir):
-    return spark.createDataFrame([(a,) for a, _ in _TARGETS], "said string").select("said", payloads.target_url(F.col("said")).alias("url"))
+    return _drawn(spark, sf_dir, [(a,) for a, _ in _TARGETS], "said string").select("event_id", "said", payloads.target_url(F.col("said")).alias("url"))
 
 
 @query("q57_target_failover", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'a' WHEN event_id % 3 = 1 THEN 'b' END AS url, event_id % 3 < 2 AS ok,
@@ -599,10 +622,10 @@ def q59(spark, sf_dir):
 _SETTINGS = [("A=1", "A", "1"), ("  export B = \"two words\"", "B", "two words"), ("# C=3", None, None), ("", None, None), ("D='x=y'", "D", "x=y"), ("no equals", None, None), ("=v", None, None), ("E=", "E", "")]
 
 
-@query("q60_settings", f"SELECT * FROM ({_values((n, v) for _, n, v in _SETTINGS if n)}) AS t(name, value)")
+@query("q60_settings", _drawn_sql([(n, v) for _, n, v in _SETTINGS], "name, setting", "name, setting AS value", "WHERE name IS NOT NULL"))
 def q60(spark, sf_dir):
-    x = spark.createDataFrame([(t,) for t, _, _ in _SETTINGS], "line string").select(payloads.setting_line(F.col("line")).alias("s"))
-    return x.where("s is not null").select("s.name", "s.value")
+    x = _drawn(spark, sf_dir, [(t,) for t, _, _ in _SETTINGS], "line string").select("event_id", payloads.setting_line(F.col("line")).alias("s"))
+    return x.where("s is not null").select("event_id", "s.name", "s.value")
 
 
 @query("q61_value_range", "SELECT user_id, min(v) AS first, max(v) AS last FROM (SELECT user_id, event_id % 40 - 20 AS v FROM events) WHERE v > 0 GROUP BY user_id")
@@ -625,11 +648,10 @@ def q62(spark, sf_dir):
 _FRAGMENTS = [("Матфей 5 глава", True, False, False), ("5 глава", False, False, False), ("от Марка", False, True, False), ("Левита", False, True, False), ("книга Бытие и еще много слов", False, False, False), (" Там  же ", False, False, True), ("там же 5 стих", False, False, False), ("", False, False, False), ("Псалом 5", True, False, False)]
 
 
-@query("q63_context_guards", "SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), {str(a).lower()}, {str(b).lower()}, {str(c).lower()})" for i, (_, a, b, c) in enumerate(_FRAGMENTS)) + ") AS t(id, explicit, book_only, same_place)")
+@query("q63_context_guards", _drawn_sql([f[1:] for f in _FRAGMENTS], "explicit, book_only, same_place"))
 def q63(spark, sf_dir):
-    x = spark.createDataFrame([(i, f[0]) for i, f in enumerate(_FRAGMENTS)], "id long, text string")
     t = F.col("text")
-    return x.select("id", sessions.likely_explicit(t).alias("explicit"), sessions.likely_book_only(t).alias("book_only"), sessions.same_place_only(t).alias("same_place"))
+    return _drawn(spark, sf_dir, [f[:1] for f in _FRAGMENTS], "text string").select("event_id", sessions.likely_explicit(t).alias("explicit"), sessions.likely_book_only(t).alias("book_only"), sessions.same_place_only(t).alias("same_place"))
 
 
 @query("q64_status_dedupe", "SELECT event_id FROM (SELECT event_id, event_type || user_id % 2 AS status, lag(event_type || user_id % 2) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE status IS DISTINCT FROM before")
@@ -715,3 +737,91 @@ def q72(spark, sf_dir):
 def q73(spark, sf_dir):
     more = spark.createDataFrame([("Марочка", "Марк"), ("лукич", "Лука"), ("марк", "Марк"), ("x", "Tobit")], "alias string, book string")
     return overlaid(spark, more)
+
+
+#: Words as they may be heard: number words cut short or run together, digits, and others.
+_GARBLED = ["двад", "трид", "сор", "пят", "чет", "перв", "детри", "7", "3", "двадца", "не", "восьм", "слово"]
+_NUMBERS_SQL = f"""number_word(word, value) AS ({_values(sorted(number_words().items()))}), hint(word, value) AS ({_values((w, v) for w, vs in readings.NUMBER_HINTS.items() for v in vs)}),
+heard(k, token) AS ({_values(enumerate(_GARBLED))}),
+meant AS (SELECT k, value FROM heard JOIN number_word ON length(token) >= 3 AND (starts_with(word, token) OR starts_with(token, word)) UNION SELECT k, value FROM heard JOIN hint ON length(token) >= 2 AND (starts_with(word, token) OR starts_with(token, word)) UNION SELECT k, value FROM heard JOIN number_word ON word = token UNION SELECT k, CAST(token AS INT) FROM heard WHERE regexp_matches(token, '^[0-9]+$'))"""
+
+
+def _heard_sql(places: str) -> str:
+    """The lattice over words of events, as SQL: r(event_id, place, value, next). ``places``: SELECT event_id, place, k."""
+    return f"""WITH {_NUMBERS_SQL}, w AS ({places}),
+v AS (SELECT event_id, place, value FROM w JOIN meant USING (k) WHERE value BETWEEN 1 AND 150),
+r AS (SELECT event_id, place, value, place + 1 AS next FROM v UNION SELECT a.event_id, a.place, CASE WHEN a.value < 10 THEN 10 * a.value ELSE a.value END + b.value, a.place + 2
+      FROM v a JOIN v b ON a.event_id = b.event_id AND b.place = a.place + 1 WHERE b.value BETWEEN 1 AND 9 AND (a.value IN (20, 30, 40, 50) OR a.value BETWEEN 2 AND 5))"""
+
+
+_DEALT = [f"event_id // {13**i} % 13" for i in range(3)] + ["user_id % 13"]
+
+
+def _garbled(k: int) -> Column:
+    """A heard word of an event."""
+    return F.element_at(F.array(*map(F.lit, _GARBLED)), (F.expr(_DEALT[k].replace("//", "div")) + 1).cast("int"))
+
+
+def _listed(pairs: Column) -> Column:
+    return F.array_join(F.array_sort(F.transform(pairs, lambda p: F.concat(p["first"].cast("string"), F.lit("-"), p["last"].cast("string")))), ",")
+
+
+@query("q74_fuzzy_readings", _heard_sql(" UNION ALL ".join(f"SELECT event_id, {i} AS place, {_DEALT[i]} AS k FROM events" for i in range(2))) + " SELECT event_id, coalesce(string_agg(value || '@' || next, ',' ORDER BY next, value), '') AS readings FROM (SELECT DISTINCT event_id FROM events) LEFT JOIN (SELECT * FROM r WHERE place = 0) USING (event_id) GROUP BY event_id")
+def q74(spark, sf_dir):
+    lattice = readings.phrase_readings(readings.token_values(F.array(_garbled(0), _garbled(1))))
+    order = F.array_sort(F.transform(F.get(lattice, 0), lambda r: F.struct(r["next"].alias("n"), r["value"].alias("v"))))
+    return _t(spark, sf_dir, "events").select("event_id", F.array_join(F.transform(order, lambda r: F.concat(r["v"].cast("string"), F.lit("@"), r["n"].cast("string"))), ",").alias("readings"))
+
+
+@query("q75_fuzzy_range", _heard_sql(" UNION ALL ".join(f"SELECT event_id, {i} AS place, {_DEALT[i]} AS k FROM events" for i in range(4))) + """,
+p AS (SELECT DISTINCT a.event_id, a.value AS first, b.value AS last FROM r a JOIN r b ON b.event_id = a.event_id AND b.place = a.next AND b.next = 4 LEFT JOIN w ON w.event_id = a.event_id AND w.place = a.place - 1
+      WHERE a.next < 4 AND (w.k IS NULL OR w.k <> 10) AND NOT EXISTS (SELECT 1 FROM r o WHERE o.event_id = a.event_id AND o.place = a.place - 1 AND o.next = a.next AND o.value > a.value)),
+c AS (SELECT DISTINCT event_id, first, CASE WHEN last < 10 AND first >= 10 AND first // 10 * 10 + last BETWEEN first + 1 AND 40 THEN first // 10 * 10 + last ELSE last END AS last FROM p)
+SELECT event_id, string_agg(first || '-' || last, ',' ORDER BY first || '-' || last) AS ranges FROM c WHERE first < last AND last <= 40 GROUP BY event_id""")
+def q75(spark, sf_dir):
+    tokens = F.array(*(_garbled(i) for i in range(4)), F.lit("стих"))
+    x = _t(spark, sf_dir, "events").select("event_id", tokens.alias("w")).withColumn("lattice", readings.phrase_readings(readings.token_values(F.col("w"))))
+    x = x.select("event_id", _listed(readings.carried(readings.ranges_before_verse(F.col("w"), F.col("lattice")), F.lit(40))).alias("ranges"))
+    return x.where("ranges <> ''")
+
+
+@query("q76_through_range", _heard_sql("SELECT event_id, 0 AS place, " + _DEALT[0] + " AS k FROM events UNION ALL SELECT event_id, 1, " + _DEALT[1] + " FROM events UNION ALL SELECT event_id, 3, " + _DEALT[2] + " FROM events UNION ALL SELECT event_id, 4, " + _DEALT[3] + " FROM events") + """,
+p AS (SELECT DISTINCT a.event_id, a.value AS first, b.value AS last FROM r a JOIN r b ON b.event_id = a.event_id AND b.place = 3 JOIN events e ON e.event_id = a.event_id WHERE a.next = 2 AND b.next = 5 OR a.next = 2 AND b.next = 5 - e.user_id % 2 AND e.user_id % 2 = 0)
+SELECT event_id, string_agg(first || '-' || last, ',' ORDER BY first || '-' || last) AS ranges FROM p WHERE first < last AND last <= 40 GROUP BY event_id""")
+def q76(spark, sf_dir):
+    end = F.when(F.col("user_id") % 2 == 0, F.array(F.lit("стих"))).otherwise(F.array().cast("array<string>"))
+    tokens = F.concat(F.array(_garbled(0), _garbled(1), F.lit("по"), _garbled(2), _garbled(3)), end)
+    x = _t(spark, sf_dir, "events").select("event_id", tokens.alias("w")).withColumn("lattice", readings.phrase_readings(readings.token_values(F.col("w"))))
+    x = x.select("event_id", _listed(readings.rising(readings.ranges_around_through(F.col("w"), F.col("lattice")), F.lit(40))).alias("ranges"))
+    return x.where("ranges <> ''")
+
+
+_NEAR_SQL = "1 + event_id % 50 AS c, 1 + user_id % 35 AS v, 1 + user_id % 35 + event_id % 6 AS e, event_id % 7 AS kind"
+
+
+@query("q77_keyword_inference", f"""WITH x AS (SELECT event_id, {_NEAR_SQL} FROM events)
+SELECT event_id, CAST(CASE kind WHEN 2 THEN v WHEN 5 THEN e ELSE c END AS BIGINT) AS chapter, CAST(CASE kind WHEN 2 THEN 1 ELSE v END AS BIGINT) AS first,
+CAST(CASE kind WHEN 0 THEN e WHEN 1 THEN CASE WHEN e + 10 <= 40 THEN e + 10 ELSE v END WHEN 2 THEN 1 WHEN 6 THEN e ELSE v END AS BIGINT) AS last,
+CASE WHEN kind = 2 THEN 2 WHEN kind IN (3, 5) THEN 3 ELSE 1 END AS kind FROM x WHERE kind <> 4""")
+def q77(spark, sf_dir):
+    x = _t(spark, sf_dir, "events").select("event_id", *(F.expr(p) for p in _NEAR_SQL.split(", ")))
+    c, v, e, far = F.col("c").cast("string"), F.col("v").cast("string"), F.col("e").cast("string"), (F.col("e") + 10).cast("string")
+    said = F.element_at(F.array(
+        _say("с", v, "по", e, "стих слово", c, "глава"), _say(c, "глава слово", v, "и", far, "стих"), _say("стих", v, "слово"), _say(c, "по", v), _say("стих 0 и еще 0 стих", c, "глава"),
+        _say(e, "и", v, "слово 200 глава"), _say("стих", e, "и", v, "стих слово", c, "глава"),
+    ), (F.col("kind") + 1).cast("int"))
+    sizes = F.map_from_entries(F.transform(F.sequence(F.lit(1), F.lit(50)), lambda i: F.struct(i, F.lit(40))))
+    x = x.select("event_id", said.alias("norm"), sizes.alias("sizes"))
+    found = x.select("event_id", readings.inferred(F.col("norm"), F.lit("Псалтирь"), reference_numbers(F.col("norm"), F.lit("Псалтирь")), F.col("sizes")).alias("y")).where("y is not null")
+    return found.select("event_id", *(F.col(f"y.{n}").cast("long").alias(n) for n in ("chapter", "first", "last")), "y.kind")
+
+
+@query("q78_best_of_book", f"""{_SPOKEN_SQL} SELECT utt_id, CAST(c AS BIGINT) AS chapter, CAST(v AS BIGINT) AS start_verse, CAST(CASE WHEN utt_id % 3 = 0 THEN v ELSE e END AS BIGINT) AS end_verse,
+CAST(CASE WHEN utt_id % 3 = 0 THEN 1 ELSE e - v + 1 END AS BIGINT) AS n_verses FROM u WHERE utt_id % 3 < 2 OR e > v""")
+def q78(spark, sf_dir):
+    kind = F.col("event_id") % 3
+    said = _spoken(spark, sf_dir, lambda b, c, v, e: F.when(kind == 0, _say(c, "глава", v, "стих и", c, "глава", v, "по", e, "стих")).when(kind == 1, _say(c, "глава слово с", v, "по", e, "стих")).when(v != e, _say(c, "глава", v, "по", v, "стих и", c, "глава", v, "по", e, "стих")))
+    book = F.element_at(F.array(*(F.lit(b) for _, b in books())), (F.col("utt_id") % 66 + 1).cast("int"))
+    texts = said.where("text is not null").select("utt_id", F.col("text").alias("norm"))
+    found = readings.best_of_book(reference_candidates(texts, texts.select("utt_id", book.alias("book")), _sizes(spark)))
+    return found.select("utt_id", F.col("c").cast("long").alias("chapter"), F.col("v").cast("long").alias("start_verse"), F.col("e").cast("long").alias("end_verse"), F.col("n_verses").cast("long").alias("n_verses"))

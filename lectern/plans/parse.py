@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import normalize_reference, reference_text
 from lectern.operators.names import book_candidates, family, family_kept, with_bonus
-from lectern.operators.references import TAIL, reference_candidates
+from lectern.operators.references import INFERRED, TAIL, reference_candidates
 
 #: Groups of books that hints in a text speak for or against.
 GOSPELS = ("Матфей", "Марк", "Лука", "Иоанн")
@@ -56,7 +56,9 @@ def parse_references(utterances: DataFrame, sizes: DataFrame) -> DataFrame:
         + F.when(F.col("end") <= F.col("rs"), 0.2).otherwise(0.0)
         + F.when(F.col("d").isNotNull(), 0.9).when(F.col("e") > F.col("v"), 0.7).otherwise(0.0)
     )
-    order = Window.partitionBy("utt_id").orderBy(F.desc("total"), F.desc("score"), "start", "end", "book", "ord", "rs")
+    # What is inferred speaks for the book named best, and only if nothing else was found.
+    guessed = F.col("ord") >= INFERRED
+    order = Window.partitionBy("utt_id").orderBy(guessed, F.desc(F.when(guessed, F.col("score")).otherwise(F.col("total"))), F.desc("score"), "start", "end", "book", "ord", "rs")
     best = pairs.withColumn("total", score).withColumn("r", F.row_number().over(order)).where("r = 1").join(F.broadcast(sizes), "book")
     n = F.try_element_at("sizes", F.col("c"))
     to_end = F.col("d").isNull() & (F.col("v") == F.col("e")) & F.col("norm").rlike("(?U)" + TAIL)
@@ -105,7 +107,7 @@ def resolve_candidates(utterances: DataFrame, sizes: DataFrame, limit: int = 5)
     score, reasons."""
     texts = normalized(utterances)
     named = with_bonus(_confusable(book_candidates(texts), texts).withColumn("family", family(F.col("book"))))
-    pairs = _pairs(texts, named, sizes).withColumn("hints", context_reasons(F.col("book"), F.col("norm")))
+    pairs = _pairs(texts, named, sizes).where(F.col("ord") < INFERRED).withColumn("hints", context_reasons(F.col("book"), F.col("norm")))
     ranged, said = F.col("d").isNotNull() | (F.col("e") > F.col("v")), F.col("norm").rlike(r"(?U)\bпо\b|\bс\b")
     spoken = F.transform(F.regexp_extract_all("norm", F.lit(r"\b\d{1,6}\b"), F.lit(0)), lambda x: x.cast("int"))
     one, two = F.try_element_at(spoken, F.lit(1)), F.try_element_at(spoken, F.lit(2))
