@@ -11,7 +11,9 @@ that links connect. Steps, none of which meets a whole group or all pairs of one
 4. Overlaps of set and leader are counted exactly. Linked stars make first groups.
 5. A list whose sets all are in one group is skipped. The others are cut into blocks of entries of like size and position.
    A block is skipped as a whole where too little follows the shared token for any of its entries to link; it isn't even
-   opened then. Up to ``LEADERS`` sets of such a list lead the next turn.
+   opened then. Up to ``LEADERS`` sets of such a list lead the next turn. Entries carry 128 parities of their set's tokens:
+   where those of two sets differ, a token is in one of them alone, which bounds the overlap; pairs that this rules out never
+   become rows.
 6. What is left are pairs across groups, again of block with block. Where both sets of a pair were counted against a
    common, highly similar leader R, the pair's overlap follows from what each differs from R by, without either set:
    |S and T| = |R| - |(R - S) or (R - T)| + |(S - R) and (T - R)|. For less similar leaders it is bounded,
@@ -98,6 +100,21 @@ def _in_part(tokens: np.ndarray, part: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(29)) ^ np.uint64(part << 40)).view(np.int64)
 
 
+#: The parities of a set, as two long columns, and which bits of a token say where it counts (not those of its bucket).
+BITS, BITS_FROM = ("b1", "b2"), 40
+
+
+def _parities(tokens: np.ndarray) -> np.ndarray:
+    """Of each of 128 places, whether an odd number of a set's tokens falls there; as two whole numbers."""
+    odd = np.bincount((tokens >> np.uint64(BITS_FROM) & np.uint64(127)).astype(np.int64), minlength=128) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
+def _apart(x1, x2, y1, y2):
+    """At least how many tokens are in one of two sets alone, by their parities."""
+    return F.bit_count(x1.bitwiseXOR(y1)) + F.bit_count(x2.bitwiseXOR(y2))
+
+
 def _mark(tokens: np.ndarray) -> tuple[int, int]:
     import hashlib
 
@@ -106,7 +123,7 @@ def _mark(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def described(docs: DataFrame, sets: Sets, shared: Broadcast, num: int, den: int, columns: dict[str, str], part_of: Callable[[int], int] | None = None) -> DataFrame:
-    """Of each row the set's size n, its class (c1, c2: 128 bits of its hash) and its prefix in the global order.
+    """Of each row the set's size n, its class (c1, c2: 128 bits of its hash), its parities and its prefix in the global order.
 
     ``docs``: ``columns`` (name to type), then body. An empty set has class 0, 0 and no prefix. keys are what the prefix
     is indexed under: itself, or, in partitions by size (``part_of``), its tokens in the set's part and those in the next.
@@ -118,13 +135,14 @@ def described(docs: DataFrame, sets: Sets, shared: Broadcast, num: int, den: int
             for part in _batches(x):
                 got = sets(part.column(len(names)))
                 marks = [_mark(s) if len(s) else (0, 0) for s in got]
+                odd = np.array([_parities(s) for s in got], np.int64).reshape(-1, 2)
                 heads = [_ordered(s, shared.value)[: len(s) - -(-num * len(s) // den) + 1] if len(s) else s for s in got]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[: len(names)], pa.array([len(s) for s in got], pa.int32()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array([h.view(np.int64) for h in heads], pa.list_(pa.int64())), *([pa.array([np.concatenate([_in_part(h, part_of(len(s)) + i) for i in (0, 1)]) for s, h in zip(got, heads)], pa.list_(pa.int64()))] if part_of else [])],
-                    names=[*names, "n", "c1", "c2", "prefix", *(["keys"] if part_of else [])],
+                    [*part.columns[: len(names)], pa.array([len(s) for s in got], pa.int32()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array(odd[:, 0]), pa.array(odd[:, 1]), pa.array([h.view(np.int64) for h in heads], pa.list_(pa.int64())), *([pa.array([np.concatenate([_in_part(h, part_of(len(s)) + i) for i in (0, 1)]) for s, h in zip(got, heads)], pa.list_(pa.int64()))] if part_of else [])],
+                    names=[*names, "n", "c1", "c2", *BITS, "prefix", *(["keys"] if part_of else [])],
                 )
 
-    return mapped(docs, run, ", ".join([*(f"{k} {v}" for k, v in columns.items()), "n int, c1 long, c2 long, prefix array<long>", *(["keys array<long>"] if part_of else [])]))
+    return mapped(docs, run, ", ".join([*(f"{k} {v}" for k, v in columns.items()), "n int, c1 long, c2 long, b1 long, b2 long, prefix array<long>", *(["keys array<long>"] if part_of else [])]))
 
 
 def _full_sets(docs: DataFrame, sets: Sets, reps: DataFrame, scratch: Scratch) -> DataFrame:
@@ -251,37 +269,38 @@ def _maybe_among(rows: DataFrame, hashes: DataFrame, scratch: Scratch) -> DataFr
 
 
 def _entries(classes: DataFrame, repeated: DataFrame, times: int, scratch: Scratch) -> DataFrame:
-    """The index keys that may occur more than once, with their place: token, c, n, pos. ``classes``: c1, n and the keys,
-    a prefix ``times`` over."""
+    """The index keys that may occur more than once, with their place: token, c, n, pos, b1, b2. ``classes``: c1, n, the
+    parities and the keys, a prefix ``times`` over."""
     bits = scratch.broadcast(_bit_set(repeated.select(F.col("token").alias("h"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             for part in _batches(x, 1024):
-                lists = part.column(2)
+                lists = part.column(4)
                 sizes = lists.value_lengths().to_numpy()
                 tokens, ends = lists.flatten().to_numpy(), np.cumsum(sizes)
                 row = np.repeat(np.arange(part.num_rows), sizes)
                 pos = (np.arange(len(tokens)) - np.repeat(np.r_[0, ends[:-1]], sizes)) % np.maximum(1, np.repeat(sizes // times, sizes))
                 hit = np.flatnonzero(_in_bits(tokens, bits.value))
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[hit]), pa.array(part.column(0).to_numpy()[row[hit]]), pa.array(part.column(1).to_numpy()[row[hit]]), pa.array(pos[hit], pa.int32())], names=["token", "c", "n", "pos"])
+                own = [pa.array(part.column(i).to_numpy()[row[hit]]) for i in range(4)]
+                yield pa.RecordBatch.from_arrays([pa.array(tokens[hit]), *own[:2], pa.array(pos[hit], pa.int32()), *own[2:]], names=["token", "c", "n", "pos", *BITS])
 
-    return mapped(classes, run, "token long, c long, n int, pos int")
+    return mapped(classes, run, "token long, c long, n int, pos int, b1 long, b2 long")
 
 
 def _blocks(entries: DataFrame, num: int, den: int) -> DataFrame:
     """Index lists as blocks of up to BLOCK entries of like size: token, n0, n1 (least and greatest size), p0 (least position)
-    and the entries (arrays c, n, pos, g). ``entries``: token, c, n, pos, g.
+    and the entries (arrays c, n, pos, g, b1, b2). ``entries``: token, c, n, pos, g, b1, b2.
 
     g0 and g1 are the least and greatest group. Each task makes blocks of what it has of a list, so a long list may be dealt
     to many tasks.
     """
     level = F.floor(F.log(F.col("n").cast("double")) / np.log(den / num)).cast("int")
-    ordered = entries.select("token", "c", "n", "pos", "g").withColumn("level", level).sortWithinPartitions("token", "level", "g", "pos", "c").drop("level")
+    ordered = entries.select("token", "c", "n", "pos", "g", *BITS).withColumn("level", level).sortWithinPartitions("token", "level", "g", "pos", "c").drop("level")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            token, c, n, pos, g = (v.to_numpy() for v in x.columns)
+            token, c, n, pos, g, b1, b2 = (v.to_numpy() for v in x.columns)
             if not len(token):
                 continue
             start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
@@ -290,11 +309,11 @@ def _blocks(entries: DataFrame, num: int, den: int) -> DataFrame:
             offsets = pa.array(np.r_[at, len(token)], pa.int32())
             each = lambda f, v: pa.array(f.reduceat(v, at))  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays(
-                [pa.array(token[at]), each(np.minimum, n), each(np.maximum, n), each(np.minimum, pos), each(np.minimum, g), each(np.maximum, g), *(pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (c, n, pos, g))],
-                names=["token", "n0", "n1", "p0", "g0", "g1", "c", "n", "pos", "g"],
+                [pa.array(token[at]), each(np.minimum, n), each(np.maximum, n), each(np.minimum, pos), each(np.minimum, g), each(np.maximum, g), *(pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (c, n, pos, g, b1, b2))],
+                names=["token", "n0", "n1", "p0", "g0", "g1", "c", "n", "pos", "g", *BITS],
             )
 
-    return mapped(ordered, run, "token long, n0 int, n1 int, p0 int, g0 long, g1 long, c array<long>, n array<int>, pos array<int>, g array<long>")
+    return mapped(ordered, run, "token long, n0 int, n1 int, p0 int, g0 long, g1 long, c array<long>, n array<int>, pos array<int>, g array<long>, b1 array<long>, b2 array<long>")
 
 
 def _opened(blocks: DataFrame, names: dict[str, str], *more: str, where: Callable | None = None) -> DataFrame:
@@ -315,14 +334,14 @@ def linked_groups(docs: DataFrame, sets: Sets, num: int, den: int, id_type: str,
     counts = token_counts(docs.select("body"), sets)
     rows = scratch.write(described(docs.select("key", "t", *tag, "body"), sets, scratch.broadcast(counts), num, den, {"key": id_type, "t": "long"} | dict.fromkeys(tag, "long"), part_of), "sets")
     keys = "keys" if part_of else "prefix"
-    classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.min("key").alias("least"), F.min(F.struct("key", "t")).alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), *([F.first("keys").alias("keys")] if part_of else []))
+    classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.min("key").alias("least"), F.min(F.struct("key", "t")).alias("rep"), F.first("n").alias("n"), *(F.first(b).alias(b) for b in BITS), F.first("prefix").alias("prefix"), *([F.first("keys").alias("keys")] if part_of else []))
     classes = scratch.write(classes, "classes")
     members = scratch.write(rows.select("key", "n", "c1", "c2", *tag), "members")
     scratch.drop(rows)
     lists = classes.select(F.col("c1").alias("c"), F.explode(keys).alias("token")).groupBy("token").agg(F.min("c").alias("head"), F.count("*").alias("size")).where("size > 1").select("token", "head")
     repeated = scratch.write(lists, "repeated")
-    entries = scratch.write(_entries(classes.select("c1", "n", keys), repeated, 2 if part_of else 1, scratch), "entries")
-    heads = entries.select("token", F.col("c").alias("head"), F.col("n").alias("head_n"), F.col("pos").alias("head_pos"))
+    entries = scratch.write(_entries(classes.select("c1", "n", *BITS, keys), repeated, 2 if part_of else 1, scratch), "entries")
+    heads = entries.select("token", F.col("c").alias("head"), F.col("n").alias("head_n"), F.col("pos").alias("head_pos"), *(F.col(b).alias(f"head_{b}") for b in BITS))
     lists = scratch.write(repeated.join(heads, ["token", "head"]), "lists")
     told = scratch.write(entries.join(lists, "token"), "entries-told")
     scratch.drop(repeated, lists, entries)
@@ -333,6 +352,10 @@ def linked_groups(docs: DataFrame, sets: Sets, num: int, den: int, id_type: str,
         tokens: one of them is the first."""
         return (den * n1 >= num * m0) & (den * m1 >= num * n0) & ((num + den) * F.least(n1 - p0, m1 - q0) >= num * (n0 + m0))
 
+    def alike(n, m, *bits):
+        """Whether parities allow a link of sets of sizes n and m: b1 and b2 of the one, then of the other."""
+        return (num + den) * (n + m - _apart(*bits)) >= 2 * num * (n + m)
+
     link = (num + den) * F.col("shared") >= num * (F.col("nx") + F.col("ny"))
 
     def as_pairs(met: DataFrame) -> DataFrame:
@@ -349,16 +372,17 @@ def linked_groups(docs: DataFrame, sets: Sets, num: int, den: int, id_type: str,
         # groups, up to LEADERS drawn anew each turn, so that a set meets many leaders of a group that one doesn't hold together.
         if groups is None:
             y, ny, py = F.col("head").alias("y"), F.col("head_n").alias("ny"), F.col("head_pos")
-            stars = as_pairs(told.where("c <> head").where(feasible(F.col("n"), F.col("n"), F.col("pos"), F.col("head_n"), F.col("head_n"), py)).select("c", "n", y, ny))
+            stars = as_pairs(told.where("c <> head").where(feasible(F.col("n"), F.col("n"), F.col("pos"), F.col("head_n"), F.col("head_n"), py)).where(alike(F.col("n"), F.col("head_n"), *(F.col(c) for c in ("b1", "b2", "head_b1", "head_b2")))).select("c", "n", y, ny))
             stars = scratch.write(stars, "stars")
         else:
             blocks = _mixed_blocks(told, groups, num, den, scratch)
-            drawn = _opened(blocks, {"y": "c", "ny": "n", "py": "pos", "gy": "g"}, "token").withColumn("part", F.pmod(F.xxhash64("y", F.lit(turn)), F.lit(LEADERS)))
-            drawn = drawn.groupBy("token", "part").agg(F.min(F.struct(F.xxhash64("y", F.lit(turn)).alias("h"), "y", "ny", "py", "gy")).alias("m"))
-            heads = scratch.write(drawn.select("token", "m.y", "m.ny", "m.py", "m.gy"), "heads")
-            near = blocks.withColumnsRenamed({"c": "cs", "n": "ns", "pos": "ps", "g": "gs"}).join(heads, "token").where("g0 <> gy or g1 <> gy")
+            drawn = _opened(blocks, {"y": "c", "ny": "n", "py": "pos", "gy": "g", "y1": "b1", "y2": "b2"}, "token").withColumn("part", F.pmod(F.xxhash64("y", F.lit(turn)), F.lit(LEADERS)))
+            drawn = drawn.groupBy("token", "part").agg(F.min(F.struct(F.xxhash64("y", F.lit(turn)).alias("h"), "y", "ny", "py", "gy", "y1", "y2")).alias("m"))
+            heads = scratch.write(drawn.select("token", "m.y", "m.ny", "m.py", "m.gy", "m.y1", "m.y2"), "heads")
+            near = blocks.withColumnsRenamed({"c": "cs", "n": "ns", "pos": "ps", "g": "gs", "b1": "s1", "b2": "s2"}).join(heads, "token").where("g0 <> gy or g1 <> gy")
             near = near.where(feasible(F.col("n0"), F.col("n1"), F.col("p0"), F.col("ny"), F.col("ny"), F.col("py")))
-            met = _opened(near, {"c": "cs", "n": "ns", "pos": "ps", "g": "gs"}, "y", "ny", where=lambda e: (e["g"] != F.col("gy")) & feasible(e["n"], e["n"], e["pos"], F.col("ny"), F.col("ny"), F.col("py")))
+            may = lambda e: feasible(e["n"], e["n"], e["pos"], F.col("ny"), F.col("ny"), F.col("py")) & alike(e["n"], F.col("ny"), e["b1"], e["b2"], F.col("y1"), F.col("y2"))
+            met = _opened(near, {"c": "cs", "n": "ns", "pos": "ps", "g": "gs", "b1": "s1", "b2": "s2"}, "y", "ny", where=lambda e: (e["g"] != F.col("gy")) & may(e))
             stars = scratch.write(as_pairs(met).join(counted.select("x", "y"), ["x", "y"], "left_anti"), "stars")
             scratch.drop(blocks, heads)
         new = _counted(_open_pairs(stars, classes, num, den, scratch), docs, classes, sets, packed, scratch, "star-overlaps")
@@ -377,12 +401,12 @@ def linked_groups(docs: DataFrame, sets: Sets, num: int, den: int, id_type: str,
     # Pairs across groups that share a token, block by block; lists of one group are skipped as a whole.
     blocks = _mixed_blocks(told, groups, num, den, scratch)
     scratch.drop(told, groups)
-    a, b = (blocks.select("token", *(F.col(k).alias(k + side) for k in ("n0", "n1", "p0", "g0", "g1", "c", "n", "pos", "g"))) for side in "ab")
+    a, b = (blocks.select("token", *(F.col(k).alias(k + side) for k in ("n0", "n1", "p0", "g0", "g1", "c", "n", "pos", "g", *BITS))) for side in "ab")
     near = a.join(b, "token").where("not (g0a = g1a and g0b = g1b and g0a = g0b)").where(feasible(F.col("n0a"), F.col("n1a"), F.col("p0a"), F.col("n0b"), F.col("n1b"), F.col("p0b")))
     # An entry of the one block with all of the other that it may link with, and then a row for each of these.
-    other = F.arrays_zip(F.col("cb").alias("c"), F.col("nb").alias("n"), F.col("posb").alias("pos"), F.col("gb").alias("g"))
-    fits = lambda e, o: (o["g"] != e["g"]) & (e["c"] > o["c"]) & feasible(e["n"], e["n"], e["pos"], o["n"], o["n"], o["pos"])
-    one = F.arrays_zip(F.col("ca").alias("c"), F.col("na").alias("n"), F.col("posa").alias("pos"), F.col("ga").alias("g"))
+    other = F.arrays_zip(F.col("cb").alias("c"), F.col("nb").alias("n"), F.col("posb").alias("pos"), F.col("gb").alias("g"), F.col("b1b").alias("b1"), F.col("b2b").alias("b2"))
+    fits = lambda e, o: (o["g"] != e["g"]) & (e["c"] > o["c"]) & feasible(e["n"], e["n"], e["pos"], o["n"], o["n"], o["pos"]) & alike(e["n"], o["n"], e["b1"], e["b2"], o["b1"], o["b2"])
+    one = F.arrays_zip(F.col("ca").alias("c"), F.col("na").alias("n"), F.col("posa").alias("pos"), F.col("ga").alias("g"), F.col("b1a").alias("b1"), F.col("b2a").alias("b2"))
     met = F.flatten(F.transform(one, lambda e: F.transform(F.filter(other, lambda o: fits(e, o)), lambda o: F.struct(e["c"].alias("cx"), e["n"].alias("nx"), o["c"].alias("cy"), o["n"].alias("ny")))))
     across = near.select(F.explode(met).alias("e")).select("e.*")
     across = across.select(F.col("cx").alias("x"), F.col("cy").alias("y"), "nx", "ny").distinct()
@@ -417,7 +441,7 @@ def linked_groups(docs: DataFrame, sets: Sets, num: int, den: int, id_type: str,
 
 def _mixed_blocks(told: DataFrame, groups: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     """The blocks of the lists that hold several groups."""
-    grouped = told.select("token", "c", "n", "pos").join(groups.withColumnRenamed("node", "c"), "c", "left").select("token", "c", "n", "pos", F.coalesce("root", "c").alias("g"))
+    grouped = told.select("token", "c", "n", "pos", *BITS).join(groups.withColumnRenamed("node", "c"), "c", "left").select("token", "c", "n", "pos", F.coalesce("root", "c").alias("g"), *BITS)
     grouped = scratch.write(grouped, "grouped")
     mixed = scratch.write(grouped.groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a <> b").select("token"), "mixed")
     blocks = scratch.write(_blocks(grouped.join(mixed, "token"), num, den), "blocks")
