@@ -1,4 +1,4 @@
-"""Training-data operators: ten large-scale corpus operations on DataFrames.
+"""Training-data operators: thirteen large-scale corpus operations on DataFrames.
 
 Nothing outside this subpackage imports it; ``registry`` holds its queries.
 """
