@@ -6,10 +6,14 @@ its children, and is the own density where it holds text alone. The block with t
 article, whatever its element; the smallest density on the path from it to the body is the threshold. Of every block that
 reaches it, the one with the greatest sum in it is kept whole.
 
-Parts whose element, role or style says that they are never article text (menus, forms, scripts, what is hidden, ...) go. A
-class or an id only weighs: parts named as comments, notices, adverts and the like are weighed apart, and count for nothing
-beside the rest unless the greatest density sum in such a part, times NAMED_WEIGHT, is more than that of the whole rest; then
-the article is in that part, and its name is disregarded.
+Parts whose element, role or style says that they are never article text (menus, controls, scripts, what is hidden, ...) go.
+A class or an id, and being a form, only weigh: parts named as comments, notices, adverts and the like, and forms, are weighed
+apart, and count for nothing beside the rest unless the greatest density sum in such a part, times NAMED_WEIGHT, is more than
+that of the whole rest; then the article is in that part (as where one form holds the whole page), and its name is
+disregarded. The header of an article is no header of the page: it stays.
+
+A page takes time in proportion to its length and the depth of what it closes: end tags without a beginning are told by
+counts of open elements, and all named parts are weighed in one pass.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,10 +32,13 @@ from lectern.llm.common import mapped
 
 #: Elements of HTML by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math canvas object audio video".split())
-NEVER = RAW | frozenset("head nav header footer aside form button select option input dialog menu datalist fieldset label legend optgroup output progress meter".split())
+RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg canvas object audio video".split())
+NEVER = RAW | frozenset("head nav header footer aside button select option input dialog menu datalist label legend optgroup output progress meter annotation annotation-xml".split())
+#: Elements that only weigh, like a name does, and those whose header is the story's own.
+WEIGHS, STORY = frozenset({"form", "fieldset"}), frozenset({"article", "main"})
 BLOCK = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"br", "html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "option", "summary", "figcaption", "li", "dd", "dt"} | {"li", "dd", "dt"}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that end when one like them begins, and what they end at.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"}), "tfoot": ({"tr", "td", "th", "tbody"}, {"table"})}
 #: Words in class, id and role that name parts which are no article text.
@@ -40,6 +48,8 @@ NAMED = re.compile(
 )
 #: What the density sum of a part named by NAMED counts for.
 NAMED_WEIGHT = 0.05
+#: Those of them that name the head of a story where they stand in one.
+STORY_HEAD = frozenset({"header", "masthead"})
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 
 _MARKUP = re.compile(r"<!--(?:.*?-->|.*)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -48,30 +58,41 @@ _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 _SPACE = re.compile(r"\s+")
 
 
+#: What a beginning element ends: the tags, and where the search for them stops.
+ENDING = [({"p"}, {"div", "article", "section", "main", "td", "li", "blockquote", "body", "button"}), *SIBLINGS.values()]
+_ENDS = frozenset().union(*(tags | stop for tags, stop in ENDING))
+_SIBLING_AT = {tag: i for i, tag in enumerate(SIBLINGS, 1)}
+
+
 class Node:
-    __slots__ = ("tag", "parent", "parts", "out", "chars", "links", "tags", "link_tags", "density", "total", "keep", "block", "best", "named", "skip")
+    __slots__ = ("tag", "parent", "parts", "out", "chars", "links", "tags", "link_tags", "density", "total", "keep", "block", "best", "named", "skip", "linked", "ends", "story")
 
     def __init__(self, tag: str, parent: Node | None, out: bool = False, named: bool = False):
+        #: For each of ENDING the outermost open element that it would end from here, or None; and whether this is in a story.
+        self.ends: tuple[Node | None, ...] = parent.ends if parent else (None,) * len(ENDING)
+        if tag in _ENDS:
+            self.ends = tuple(None if tag in stop else (x or self) if tag in tags else x for (tags, stop), x in zip(ENDING, self.ends))
+        self.story = tag in STORY or parent is not None and parent.story
         self.tag, self.parent, self.out, self.named, self.skip = tag, parent, out, named, False
         self.parts: list[Node | str] = []
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
-        self.keep = False
+        self.keep = self.linked = False
         #: Whether the node is a block or holds one, and the block with the greatest density sum in it.
         self.block = False
         self.best: Node | None = None
 
 
-def _kind(tag: str, attrs: str) -> tuple[bool, bool]:
-    """Whether an element is never article text, and whether its name says so."""
-    if tag in NEVER:
+def _kind(tag: str, attrs: str, story: bool = False) -> tuple[bool, bool]:
+    """Whether an element is never article text, and whether its name says so. ``story``: it stands in an article."""
+    if tag in NEVER and not (story and tag == "header"):
         return True, False
-    named = False
+    named = tag in WEIGHS
     if attrs and not attrs.isspace():
         for m in _ATTR.finditer(attrs):
             name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
-            if name in ("class", "id") and tag not in ("html", "body", "article", "main") and NAMED.search(value):
-                named = True
+            if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
+                named = named or any(not (story and w.strip(" \t\n\r\f\v_-").lower() in STORY_HEAD) for w in NAMED.findall(value))
             if name == "role" and value.strip().lower() in ROLES:
                 return True, False
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -83,14 +104,15 @@ def tree(page: str) -> Node:
     """Elements and text of a page; end tags may be missing and the page may break off anywhere."""
     root = at = Node("#root", None)
     pos, n = 0, len(page)
+    opened: Counter[str] = Counter()
 
-    def close(tags: set[str], stop: set[str], node: Node) -> Node:
-        found, up = None, node
-        while up.parent and up.tag not in stop:
-            if up.tag in tags:
-                found = up
-            up = up.parent
-        return found.parent if found else node
+    def up_to(node: Node) -> Node:
+        """``node``, which is open, with all that is open in it ended."""
+        x = at
+        while x is not node:
+            opened[x.tag] -= 1
+            x = x.parent
+        return node
 
     while pos < n:
         lt = page.find("<", pos)
@@ -111,24 +133,24 @@ def tree(page: str) -> Node:
             continue
         end, tag, attrs = (m[2], m[3].lower(), m[4]) if m.re is _MARKUP else (m[1], m[2].lower(), m[3])
         if end:
-            up = at
-            while up.parent and up.tag != tag:
-                up = up.parent
-            if up.parent:
-                at = up.parent
+            if opened[tag] > 0:
+                up = at
+                while up.tag != tag:
+                    up = up.parent
+                at = up_to(up.parent)
             elif tag in ("p", "br"):
                 at.parts.append(Node(tag, at))
             continue
         if tag in ("html", "body"):
             # A second one, or one inside an unfinished head, only goes on with the page.
-            at = root if tag == "html" or at.tag == "head" else at
-        if tag in CLOSES_P:
-            at = close({"p"}, {"div", "article", "section", "main", "td", "li", "blockquote", "body", "button"}, at)
-        if tag in SIBLINGS:
-            at = close(*SIBLINGS[tag], at)
-        if re.fullmatch("h[1-6]", at.tag) and re.fullmatch("h[1-6]", tag):
-            at = at.parent
-        node = Node(tag, at, *_kind(tag, attrs))
+            at = up_to(root) if tag == "html" or at.tag == "head" else at
+        if tag in CLOSES_P and at.ends[0]:
+            at = up_to(at.ends[0].parent)
+        if tag in SIBLINGS and at.ends[_SIBLING_AT[tag]]:
+            at = up_to(at.ends[_SIBLING_AT[tag]].parent)
+        if at.tag in HEADINGS and tag in HEADINGS:
+            at = up_to(at.parent)
+        node = Node(tag, at, *_kind(tag, attrs, at.story))
         at.parts.append(node)
         if tag in VOID or attrs.endswith("/") and tag in RAW:
             continue
@@ -137,6 +159,7 @@ def tree(page: str) -> Node:
             pos = shut.end() if shut else n
             continue
         at = node
+        opened[tag] += 1
     return root
 
 
@@ -174,66 +197,65 @@ def _boxed(root: Node) -> None:
         node.parts = parts
 
 
-def weigh(root: Node, ratio: float | None = None) -> list[Node]:
-    """Set density and density sum of all nodes under ``root``; those that are out or in a named part count for nothing.
-    Blocks must be marked (``_boxed``). ``ratio``: the body's share of link characters, if not that of ``root``."""
+def weigh(root: Node) -> list[Node]:
+    """Set density and density sum of all nodes under ``root``. A named part is weighed by itself: it counts for nothing in
+    what it stands in, nor do named parts in it. Nodes that are out count for nothing. Blocks must be marked (``_boxed``)."""
     nodes = _order(root)
-    linked = set()
     for node in nodes:
-        node.skip = node is not root and (node.out or node.named or node.parent.skip) or root.out
+        up = node.parent
+        node.skip = node.out or up is not None and up.skip
+        node.linked = node.tag == "a" or up is not None and up.linked and not node.named
         node.chars = node.links = node.tags = node.link_tags = 0
         node.density = node.total = 0.0
         node.best = None
-        if node.tag == "a" or node is not root and id(node.parent) in linked:
-            linked.add(id(node))
     for node in reversed(nodes):
         if node.skip:
             continue
         own = sum(len(_SPACE.sub(" ", html.unescape(t)).strip()) for t in node.parts if isinstance(t, str))
         node.chars += own
-        if id(node) in linked:
+        if node.linked:
             node.links += own
-        if node is not root:
+        if node.parent and not node.named:
             up = node.parent
             up.chars += node.chars
             up.links += node.links
             up.tags += node.tags + (node.tag not in VOID and node.tag not in ("#run", "b", "i", "em", "strong", "span", "u", "sub", "sup", "small", "mark", "code", "abbr", "cite", "q", "font"))
             up.link_tags += node.link_tags + (node.tag == "a")
-    ratio = _link_share(nodes) if ratio is None else ratio
+    body = next((x for x in nodes if x.tag == "body"), root)
+    ratio = body.links / max(1, body.chars)
     for node in reversed(nodes):
+        if node.skip:
+            continue
         c, lc, t, lt = node.chars, node.links, max(1, node.tags), max(1, node.link_tags)
         if c:
             base = math.log(c / max(1, c - lc) * lc + ratio * c + math.e)
             node.density = max(0.0, c / t * math.log(c / max(1, lc) * t / lt + 1e-9, max(base, 1 + 1e-9))) if c > lc else 0.0
-        if not node.block or node.skip:
+        if not node.block:
             continue
-        inside = [x for x in node.parts if isinstance(x, Node) and x.block and not x.skip and x.chars]
+        inside = [x for x in node.parts if isinstance(x, Node) and x.block and not (x.skip or x.named) and x.chars]
         node.total = sum(x.density for x in inside) if inside else node.density
         node.best = max([*(x.best for x in inside), node], key=lambda x: x.total)
     return nodes
 
 
-def _link_share(nodes: list[Node]) -> float:
-    body = next((x for x in nodes if x.tag == "body"), nodes[0])
-    return body.links / max(1, body.chars)
-
-
 def weighed(root: Node) -> list[Node]:
-    """``weigh``, after the name of the part that has the article, if a named one does, is disregarded."""
+    """``weigh``, after the name of the part that has the article, if a named one does, is disregarded; the other named parts
+    are to be skipped then."""
     _boxed(root)
+    for x in _order(root):
+        x.block = x.block or x.named
     nodes = weigh(root)
-    ratio = _link_share(nodes)
+    parts = [x for x in nodes if x.named and not x.skip]
     most, chosen = root.best.total if root.best.chars > root.best.links else 0.0, None
-    # Each named part by itself; named parts in it are parts of their own.
-    for part in [x for x in nodes if x.named and not any(y.out for y in _upward(x))]:
-        part.block = True
-        weigh(part, ratio)
+    for part in parts:
         if part.best.chars > part.best.links and NAMED_WEIGHT * part.best.total > most:
             most, chosen = NAMED_WEIGHT * part.best.total, part
-    if any(x.named for x in nodes):
-        for x in _upward(chosen) if chosen else ():
+    if chosen:
+        for x in _upward(chosen):
             x.named = False
         nodes = weigh(root)
+    for x in nodes:
+        x.skip = x.skip or x.named or x.parent is not None and x.parent.skip
     return nodes
 
 

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 
 import pytest
 import regex
@@ -421,6 +422,25 @@ def test_html_names():
     assert got.count("alpha") == 8 and "beta" not in got
 
 
+def test_html_whole_page_forms():
+    """A form that holds the page weighs only; one beside the article goes. An article keeps its own header and formulas."""
+    story = "<p>Some words of a story that is told here at length, and more of it.</p>" * 3
+    got = html.main_text(f'<body><form id="aspnetForm"><input value=v><div>{story}</div><label>Find</label><select><option>one</select></form>')
+    assert got.count("story") == 3 and "Find" not in got and "one" not in got
+    assert html.main_text(f"<body><header><h1>Site</h1></header><article><header><h1>Title</h1><p>Lead.</p></header>{story}</article>").startswith("Title Lead. Some")
+    got = html.main_text(f"<body><article><div class=entry-header><h1>Title</h1></div>{story}</article><form><p>Sign up for our letter</p></form>")
+    assert got.startswith("Title Some") and "letter" not in got
+    got = html.main_text("<body><p>Here <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>TeX</annotation></math> is a sentence of some length.")
+    assert got == "Here x=1 is a sentence of some length."
+
+
+def test_html_linear():
+    """Deep pages take time in proportion to their size, whatever begins or ends without its counterpart."""
+    pages = ["<div>" * 5000 + "</b>" * 20000 + "text", "<div class=menu>" * 5000 + "text", "<p><button>" + "<dl>" * 5000 + "x", "<li><ul>" + "<b>" * 3000 + "<li>" * 3000 + "y"]
+    began = time.process_time()
+    assert [html.main_text(x) for x in pages] == ["text", "text", "", "y"] and time.process_time() - began < 4
+
+
 def test_html_edges(spark):
     pages = spark.createDataFrame([(1, "u", "<p>" + "long " * 400_000), (1, "u", "<p>a b"), (1, "u", "<p>a b")], "page_id long, url string, html string")
     got = sorted(r.n_chars for r in html.extract_main_text(pages).collect())
