@@ -88,3 +88,60 @@ def event_lines(events: DataFrame) -> DataFrame:
 def append_log(events: DataFrame, path: str) -> None:
     """Append events to a folder of JSON lines that ``read_lines`` reads."""
     event_lines(events).write.mode("append").text(path)
+
+
+#: Fixed value: the fields of EVENT by name.
+FIELDS = ("ts", "event", "text", "partial", "vosk_text", "payload")
+
+
+def log_bodies(lines: DataFrame) -> DataFrame:
+    """Lines with whatever they say: adds body (VARIANT; null where a line is no JSON object) and event (invalid_json there)."""
+    found = lines.withColumn("body", F.when(F.trim("line").startswith("{"), F.try_parse_json("line")))
+    return found.withColumn("event", F.when(F.col("body").isNull(), F.lit("invalid_json")).otherwise(F.try_variant_get("body", "$.event", "string")))
+
+
+def other_fields(bodies: DataFrame) -> DataFrame:
+    """The fields of events that EVENT has no name for, one row each: path, line_no, event, field, type, value (VARIANT)."""
+    fields = F.map_filter(F.col("body").try_cast("map<string, variant>"), lambda k, _: ~k.isin(*FIELDS))
+    x = bodies.select("path", "line_no", "event", F.explode(fields).alias("field", "value"))
+    return x.select("path", "line_no", "event", "field", F.schema_of_variant("value").alias("type"), "value")
+
+
+def restated(bodies: DataFrame, **changes: Column) -> DataFrame:
+    """Bodies as lines of a log (one column, value), with some top-level fields set; all others, known or not, stay as they
+    were, and so does a line that is no JSON object."""
+    kept = F.map_filter(F.col("body").try_cast("map<string, variant>"), lambda k, _: ~k.isin(*changes) if changes else F.lit(True))
+    new = [x for name, value in changes.items() for x in (F.lit(name), value.cast("variant"))]
+    return bodies.select(F.coalesce(F.to_json(F.map_concat(kept, F.create_map(*new)) if new else kept), F.col("line")).alias("value"))
+
+
+def heavy_hitters(values: DataFrame, top: int = 30, tracked: int = 8192) -> DataFrame:
+    """What ``most_common`` gives, without shuffling every value: kind, value, n, rank.
+
+    A mergeable sketch of each kind's frequent values (by their hashes, so that long texts cost no more) names at most
+    ``tracked`` candidates; only rows of these are counted, exactly. A value that a sketch doesn't name occurs in at most a
+    share of 7 / ``tracked`` of its kind's rows (twice the sketch's error), so a kind is settled if its last value on the
+    list occurs more often than that, or if its candidates are all its rows. The other kinds are counted in full. ``kind``
+    should have few values: ``tracked`` hashes of each are broadcast.
+    """
+    keyed = values.withColumn("h", F.xxhash64("value"))
+    sketch = keyed.groupBy("kind").agg(F.expr(f"approx_top_k(h, {tracked}, {tracked})").alias("s"), F.count("*").alias("total"))
+    named = sketch.select("kind", F.explode("s.item").alias("h"))
+    counted = keyed.join(F.broadcast(named), ["kind", "h"], "left_semi").groupBy("kind", "value").agg(F.count("*").alias("n"), F.min(F.struct("path", "line_no")).alias("first"))
+    by_kind = Window.partitionBy("kind")
+    ranked = counted.withColumn("rank", F.row_number().over(by_kind.orderBy(F.desc("n"), "first", "value"))).withColumn("covered", F.sum("n").over(by_kind)).where(F.col("rank") <= top)
+    judged = ranked.groupBy("kind").agg(F.max("covered").alias("covered"), F.min(F.when(F.col("rank") == top, F.col("n"))).alias("least"))
+    settled = sketch.join(judged, "kind").where((F.col("covered") == F.col("total")) | (F.col("least") * tracked > F.col("total") * 7)).select("kind")
+    sure = ranked.join(F.broadcast(settled), "kind", "left_semi").select("kind", "value", "n", "rank")
+    return sure.unionByName(most_common(values.join(F.broadcast(settled), "kind", "left_anti"), top))
+
+
+def session_files(lines: DataFrame) -> DataFrame:
+    """What each log says of its session, one row each: path, began, ended (first and last ts), events, invalid, settings.
+
+    ``settings`` is the JSON object that the log's last event "session" gives beside ts and event, or an empty one.
+    """
+    x = log_bodies(lines).withColumn("ts", F.try_variant_get("body", "$.ts", "string"))
+    rest = F.map_filter(F.col("body").try_cast("map<string, variant>"), lambda k, _: ~k.isin("ts", "event"))
+    last = F.max_by(F.to_json(rest), F.when(F.col("event") == "session", F.col("line_no")))
+    return x.groupBy("path").agg(F.min("ts").alias("began"), F.max("ts").alias("ended"), F.count("*").alias("events"), F.count_if(F.col("event") == "invalid_json").alias("invalid"), F.coalesce(last, F.lit("{}")).alias("settings"))

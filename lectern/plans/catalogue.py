@@ -17,6 +17,7 @@ from lectern.functions.text import fold_numbers, normalize_quote, normalize_refe
 from lectern.operators import logs, lookup, names, readings, search, sessions
 from lectern.operators.references import compact_range, reference_candidates, reference_numbers
 from lectern.plans import parse
+from lectern.plans.override import overridden
 from lectern.plans.parse import best_with_margin, parse_references, resolve_candidates, verse_texts
 from lectern.ship import shipped
 from lectern.sources import canon
@@ -825,3 +826,46 @@ def q78(spark, sf_dir):
     texts = said.where("text is not null").select("utt_id", F.col("text").alias("norm"))
     found = readings.best_of_book(reference_candidates(texts, texts.select("utt_id", book.alias("book")), _sizes(spark)))
     return found.select("utt_id", F.col("c").cast("long").alias("chapter"), F.col("v").cast("long").alias("start_verse"), F.col("e").cast("long").alias("end_verse"), F.col("n_verses").cast("long").alias("n_verses"))
+
+
+@query("q79_heavy_hitters", """WITH w AS (SELECT lang AS kind, unnest(string_split(text, ' ')) AS value, doc_id FROM documents)
+SELECT kind, value, count(*) AS n, row_number() OVER (PARTITION BY kind ORDER BY count(*) DESC, min(doc_id), value) AS rank FROM w WHERE value <> '' GROUP BY kind, value QUALIFY rank <= 30""")
+def q79(spark, sf_dir):
+    words = _t(spark, sf_dir, "documents").select(F.col("lang").alias("kind"), F.explode(F.split("text", " ")).alias("value"), F.lit("").alias("path"), F.col("doc_id").alias("line_no")).where("value <> ''")
+    return logs.heavy_hitters(words).select("kind", "value", "n", F.col("rank").cast("long").alias("rank"))
+
+
+def _wide_log(spark, sf_dir):
+    """A log a user of events, with fields of its own: a model in session events, and chunk or conf in others."""
+    e = F.col("event_id")
+    kind = F.when(e % 7 == 0, "session").otherwise("final_raw")
+    line = F.to_json(F.struct(F.concat(F.lit("t"), (e + 10_000_000).cast("string")).alias("ts"), kind.alias("event"), F.when(e % 7 == 0, F.concat(F.lit("m"), (e % 5).cast("string"))).alias("model"), F.when(e % 3 == 1, e).alias("chunk"), F.when(e % 3 == 2, F.array(F.lit(True), F.lit(False))).alias("conf")))
+    return _t(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("path"), e.alias("line_no"), F.when(e % 11 == 0, F.substring(line, 1, 15)).otherwise(line).alias("line"))
+
+
+@query("q80_log_other_fields", """WITH e AS (SELECT event_id AS e, event_id % 7 = 0 AS s FROM events WHERE event_id % 11 <> 0), f AS (SELECT s, 'model' AS field, 'STRING' AS type FROM e WHERE s UNION ALL SELECT s, 'chunk', 'BIGINT' FROM e WHERE e % 3 = 1 UNION ALL SELECT s, 'conf', 'ARRAY<BOOLEAN>' FROM e WHERE e % 3 = 2)
+SELECT CASE WHEN s THEN 'session' ELSE 'final_raw' END AS event, field, type, count(*) AS n FROM f GROUP BY ALL""")
+def q80(spark, sf_dir):
+    return logs.other_fields(logs.log_bodies(_wide_log(spark, sf_dir))).groupBy("event", "field", "type").agg(F.count("*").alias("n"))
+
+
+@query("q81_session_files", """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS path, event_id AS e, event_id % 11 = 0 AS bad, event_id % 7 = 0 AND event_id % 11 <> 0 AS s FROM events)
+SELECT path, 't' || min(e + 10000000) FILTER (NOT bad) AS began, 't' || max(e + 10000000) FILTER (NOT bad) AS ended, count(*) AS events, count(*) FILTER (bad) AS invalid,
+coalesce(arg_max('{' || CASE e % 3 WHEN 1 THEN '"chunk":' || e || ',' WHEN 2 THEN '"conf":[true,false],' ELSE '' END || '"model":"m' || (e % 5) || '"}', e) FILTER (s), '{}') AS settings FROM e GROUP BY path""")
+def q81(spark, sf_dir):
+    return logs.session_files(_wide_log(spark, sf_dir))
+
+
+@query("q82_manual_override", f"""WITH {_BOOKS_SQL}, a AS (SELECT user_id, event_id, CASE event_id % 4 WHEN 0 THEN 'submit' WHEN 1 THEN 'manual' WHEN 2 THEN 'approve' ELSE 'manual' END AS action, CASE WHEN event_id % 8 = 3 THEN NULL WHEN event_id % 4 = 0 THEN 'r' || event_id ELSE book || ' 1:' || (1 + event_id % 20) END AS ref, event_id % 7 <> 0 AS ok,
+CASE event_id % 4 WHEN 0 THEN 'heard ' || event_id END AS heard, CASE WHEN event_id % 8 = 3 THEN 'просто слова' ELSE book || ' 1 глава ' || (1 + event_id % 20) || ' стих' END AS said FROM events JOIN books ON book_no = 1 + event_id % 66),
+m AS (SELECT *, CASE WHEN action = 'submit' OR action = 'manual' THEN ref WHEN ok THEN '' END AS change, CASE WHEN action = 'submit' THEN heard WHEN action = 'approve' AND ok THEN '' END AS hears FROM a),
+s AS (SELECT *, nullif(last_value(change IGNORE NULLS) OVER w, '') AS slot, coalesce(last_value(hears IGNORE NULLS) OVER w, '') AS held FROM m WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT user_id, event_id, action, CASE WHEN action = 'approve' THEN slot ELSE ref END AS ref, CASE WHEN action = 'approve' THEN CASE WHEN slot IS NULL THEN 'no_pending_candidate' WHEN NOT ok THEN 'callback_failed' ELSE 'approved' END WHEN ref IS NULL THEN 'reference_not_found' ELSE 'pending' END AS outcome,
+CASE WHEN action = 'manual' AND ref IS NOT NULL THEN 'operator:manual' END AS source, CASE WHEN action = 'submit' THEN heard WHEN action = 'manual' AND ref IS NOT NULL THEN held END AS asr, CASE WHEN action = 'manual' AND ref IS NOT NULL THEN said END AS detected_text FROM s""")
+def q82(spark, sf_dir):
+    e = F.col("event_id")
+    book = F.element_at(F.array(*(F.lit(b) for _, b in books())), (e % 66 + 1).cast("int"))
+    said = F.when(e % 8 == 3, "просто слова").otherwise(_say(book, "1 глава", (e % 20 + 1).cast("string"), "стих"))
+    action = F.when(e % 4 == 0, "submit").when(e % 4 == 2, "approve").otherwise("manual")
+    a = _t(spark, sf_dir, "events").select(F.col("user_id").alias("session"), e.alias("seq"), action.alias("action"), F.when(e % 4 == 0, F.concat(F.lit("r"), e.cast("string"))).alias("ref"), (e % 7 != 0).alias("callback_ok"), F.when(action == "manual", said).alias("text"), F.when(e % 4 == 0, F.concat(F.lit("heard "), e.cast("string"))).alias("asr"))
+    return overridden(a, _sizes(spark)).withColumnsRenamed({"session": "user_id", "seq": "event_id"})
