@@ -2,8 +2,9 @@
 
 State of a session: its last fragments, the number of the newest, and the last book and chapter recognised. A micro-batch is
 the batch plan over the state's fragments and the new ones, so a stream finds what a batch over the same fragments does. The
-state is a small table beside the output; each micro-batch reads that of the one before and writes its own, under its number,
-so a batch that is run again after a failure reads and replaces the same tables.
+state lies in buckets of sessions beside the output: a micro-batch reads and writes those of its own sessions, under its
+number, and an index of which micro-batch wrote each bucket last. A batch that is run again after a failure reads the index of
+the one before and replaces its own tables; what two batches have superseded is removed.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from lectern.plans.parse import parse_references
 
 FRAGMENT = "session string, seq long, text string, low boolean"
 STATE = "session string, last_seq long, kept array<string>, book string, chapter int"
+INDEX = "bucket int, batch long"
+BUCKETS = 256
 
 
 def live_fragments(spark: SparkSession, path: str, files_at_once: int = 100) -> DataFrame:
@@ -26,6 +29,17 @@ def live_fragments(spark: SparkSession, path: str, files_at_once: int = 100) ->
     return lines.where("coalesce(event, 'final') = 'final'").drop("event")
 
 
+def live_bodies(spark: SparkSession, path: str, files_at_once: int = 100) -> DataFrame:
+    """Fragments like ``live_fragments``, with every line that is none: also body (the line) and error, which is null for
+    fragments, else not_json, or the field that is missing or of the wrong kind."""
+    lines = spark.readStream.option("maxFilesPerTrigger", files_at_once).text(path).where("trim(value) <> ''")
+    v = lines.select(F.col("value").alias("body"), F.when(F.trim("value").startswith("{"), F.try_parse_json("value")).alias("v"))
+    get = lambda name, kind: F.try_variant_get("v", f"$.{name}", kind)
+    fields = v.select("body", F.col("v").isNull().alias("bad"), F.coalesce(get("event", "string"), F.lit("final")).alias("event"), get("session", "string").alias("session"), get("seq", "long").alias("seq"), get("text", "string").alias("text"), get("low", "boolean").alias("low"))
+    missing = F.coalesce(*(F.when(F.col(c).isNull(), c) for c in ("session", "seq", "text")))
+    return fields.where("bad or event = 'final'").withColumn("error", F.when(F.col("bad"), "not_json").otherwise(missing)).select("session", "seq", "text", "low", "body", "error")
+
+
 def _parsed(texts: DataFrame, sizes: DataFrame) -> DataFrame:
     """Distinct ``texts`` (text) with what was parsed: text, ref, book, chapter."""
     found = parse_references(texts.select(F.col("text").alias("utt_id"), "text"), sizes)
@@ -99,18 +113,62 @@ def next_state(state: DataFrame | None, references: DataFrame, last: int = 3) ->
     return both.withColumn("t", texts).select("session", F.coalesce("last_seq", "old_seq").alias("last_seq"), kept.alias("kept"), F.coalesce("p.book", "old_book").alias("book"), chapter.alias("chapter"))
 
 
-def publish(fragments: DataFrame, sizes: DataFrame, path: str, checkpoint: str, last: int = 3):
-    """Start the stream that writes what live fragments refer to under ``path``/references, and the sessions' state under
-    ``path``/state, each micro-batch under its number."""
+def _bucket(session: str, buckets: int):
+    return F.pmod(F.xxhash64(F.col(session).cast("string")), F.lit(buckets)).cast("int")
+
+
+def read_state(spark: SparkSession, path: str, number: int, buckets: list[int] | None = None) -> DataFrame:
+    """The sessions' state after a micro-batch, of some buckets or of all."""
+    index = spark.read.schema(INDEX).parquet(f"{path}/index/batch={number}").collect()
+    places = [f"{path}/state/batch={r.batch}/bucket={r.bucket}" for r in index if buckets is None or r.bucket in buckets]
+    return spark.read.schema(STATE).parquet(*places) if places else spark.createDataFrame([], STATE)
+
+
+def publish(fragments: DataFrame, sizes: DataFrame, path: str, checkpoint: str, last: int = 3, buckets: int = BUCKETS):
+    """Start the stream that writes what live fragments refer to under ``path``/references, each micro-batch under its number,
+    and the sessions' state (see ``read_state``). Lines with an error (see ``live_bodies``) go to ``path``/rejected.
+
+    ``buckets``, of which the driver knows the numbers, must stay what it was when the stream began.
+    """
     spark = fragments.sparkSession
 
+    def index(number: int) -> dict[int, int]:
+        return {r.bucket: r.batch for r in spark.read.schema(INDEX).parquet(f"{path}/index/batch={number}").collect()} if number >= 0 else {}
+
+    def at(place: str):
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{place}")
+        return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+    def remove(place: str) -> None:
+        store, where = at(place)
+        store.delete(where, True)
+
     def write(batch: DataFrame, number: int) -> None:
-        state = spark.read.schema(STATE).parquet(f"{path}/state/batch={number - 1}") if number else None
         held = Held(spark)
+        batch = held.write(batch)
+        if "error" in batch.columns:
+            batch.where("error is not null").select("body", "error").write.mode("overwrite").parquet(f"{path}/rejected/batch={number}")
+            batch = batch.where("error is null").drop("body", "error")
+        before = index(number - 1)
+        touched = {r.bucket for r in batch.select(_bucket("session", buckets).alias("bucket")).distinct().collect()}
+        state = read_state(spark, path, number - 1, sorted(touched)) if touched & before.keys() else None
         found = session_references(batch, sizes, state, last, held)
         found.write.mode("overwrite").parquet(f"{path}/references/batch={number}")
         done = spark.read.schema(found.schema).parquet(f"{path}/references/batch={number}")
-        next_state(state, done, last).select("session", "last_seq", "kept", "book", "chapter").write.mode("overwrite").parquet(f"{path}/state/batch={number}")
+        after = next_state(state, done, last).select("session", "last_seq", "kept", "book", "chapter").withColumn("bucket", _bucket("session", buckets))
+        after.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/state/batch={number}")
+        # Sessions of blank fragments alone leave no state.
+        kept = {r.bucket for r in spark.read.schema(STATE + ", bucket int").parquet(f"{path}/state/batch={number}").select("bucket").distinct().collect()}
+        now = before | {b: number for b in kept}
+        spark.createDataFrame(list(now.items()), INDEX).coalesce(1).write.mode("overwrite").parquet(f"{path}/index/batch={number}")
+        # The batch before is settled once this one runs: what it superseded is read by nobody.
+        # Its index goes last; where that is gone, a batch that is run again has nothing left to remove.
+        store, where = at(f"index/batch={number - 2}")
+        if number >= 2 and store.exists(where):
+            for b, written in index(number - 2).items():
+                if before[b] != written:
+                    remove(f"state/batch={written}/bucket={b}")
+            remove(f"index/batch={number - 2}")
         held.clear()
 
     return fragments.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).start()

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from lectern.operators import logs, lookup, search, sessions
 from lectern.plans import catalogue
 from lectern.sources.canon import chapter_sizes, formula_verses
-from lectern.streaming.live import live_fragments, publish, session_references
+from lectern.streaming import journal
+from lectern.streaming.live import live_bodies, live_fragments, publish, read_state, session_references
 
 SF = "/root/testdata/sf0.001"
 
@@ -133,6 +134,109 @@ def test_live_sessions(spark, tmp_path):
     assert {(r.session, r.seq): (r.ref, r.blocked) for r in streamed.collect()} == got and streamed.select("batch").distinct().count() == 3
 
 
+def test_live_state_restart(spark, tmp_path):
+    """After a failure a batch is run again with the same result; the state of sessions that a batch lacks isn't written; lines
+    that are no fragments are kept apart."""
+    sizes = chapter_sizes(formula_verses(spark))
+    out, buckets = str(tmp_path / "out"), 4
+    said = lambda s, i, t: json.dumps({"session": s, "seq": i, "text": t}, ensure_ascii=False)
+    files = [[said("a", 1, "Матфей 5 глава 3 стих"), said("b", 1, "Марк 2 глава 1 стих"), "broken {", '{"session": "a", "seq": "x", "text": "t"}', '{"event": "partial"}'], [said("a", 2, "и там же 7 стих")], [said("b", 2, "и там же 4 стих"), "[1]"], [said("a", 3, "и там же 8 стих")]]
+
+    def deliver(k):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join(files[k]))
+        os.utime(tmp_path / "in" / f"{k}.json", (1000 + k, 1000 + k))
+
+    def run():
+        stream = publish(live_bodies(spark, str(tmp_path / "in"), 1), sizes, out, str(tmp_path / "checkpoint"), buckets=buckets)
+        try:
+            stream.processAllAvailable()
+        finally:
+            stream.stop()
+
+    for k in range(3):
+        deliver(k)
+    run()
+    state = lambda n: {(r.session, r.last_seq, tuple(r.kept), r.book, r.chapter) for r in read_state(spark, out, n).collect()}
+    third = state(2)
+    assert {r[:2] for r in third} == {("a", 2), ("b", 2)}
+    # The third batch's end is lost: a stream that begins anew runs it again.
+    os.remove(tmp_path / "checkpoint" / "commits" / "2")
+    for p in glob.glob(str(tmp_path / "checkpoint" / "commits" / ".2.crc")):
+        os.remove(p)
+    deliver(3)
+    run()
+    assert state(2) == third and {r[:2] for r in state(3)} == {("a", 3), ("b", 2)}
+    refs = {(r.session, r.seq): r.ref for r in spark.read.parquet(out + "/references").collect()}
+    assert refs == {("a", 1): "Матфей 5:3", ("b", 1): "Марк 2:1", ("a", 2): "Матфей 5:7", ("b", 2): "Марк 2:4", ("a", 3): "Матфей 5:8"}
+    assert sorted((r.batch, r.error) for r in spark.read.parquet(out + "/rejected").collect()) == [(0, "not_json"), (0, "seq"), (2, "not_json")]
+    written = {n: {os.path.basename(p) for p in glob.glob(f"{out}/state/batch={n}/bucket=*")} for n in range(4)}
+    assert len(written[3]) == 1 and written[3] == written[1] | written[3] and not (written[0] & written[3]) and len(os.listdir(out + "/index")) == 2
+
+
+def test_journal(spark, tmp_path, monkeypatch):
+    """A batch stands in the log once, whatever fails between its lines and its entry, and whoever comes second."""
+    path = str(tmp_path / "log")
+    events = lambda *xs: spark.createDataFrame([(f"t{x}", "final_raw", f"x{x}") for x in xs], "ts string, event string, text string")
+    lines = lambda: sorted((r.batch, json.loads(r.line)["text"]) for r in journal.read_journal(spark, path).collect())
+    assert lines() == [] and journal.append_batch(events(1, 2), path, 0) and lines() == [(0, "x1"), (0, "x2")]
+
+    def fails(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(journal, "_enter", fails)
+        with pytest.raises(RuntimeError):
+            journal.append_batch(events(3, 4), path, 1)
+    assert lines() == [(0, "x1"), (0, "x2")]
+    assert journal.append_batch(events(3, 4), path, 1) and not journal.append_batch(events(3, 4), path, 1)
+    assert journal.append_batch(events(3).limit(0), path, 2)
+    assert lines() == [(0, "x1"), (0, "x2"), (1, "x3"), (1, "x4")]
+    assert not journal._enter(spark, path, 1, "lines/batch=1/other") and len(lines()) == 4
+    journal.append_batch(spark.createDataFrame([("t0", "session", "m1", 16000)], "ts string, event string, model string, samplerate int"), path, 3)
+    journal.write_session(spark, path)
+    row = spark.read.json(path + "/session").first()
+    assert (row.began, row.ended, row.events, row.invalid, json.loads(row.settings)) == ("t0", "t4", 5, 0, {"model": "m1", "samplerate": 16000})
+
+
+def test_journal_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.json").write_text(json.dumps({"ts": f"t{k}", "event": "parsed"}))
+    source = spark.readStream.schema("ts string, event string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    for _ in range(2):
+        run = journal.journal(source, str(tmp_path / "log"), str(tmp_path / "checkpoint"))
+        run.processAllAvailable()
+        run.stop()
+    got = journal.read_journal(spark, str(tmp_path / "log"))
+    assert got.select("batch").distinct().count() == 3 and got.count() == 3
+
+
+def test_log_bodies(spark):
+    """Fields that the schema lacks survive reading and writing; damaged lines stay as they are."""
+    rows = [("l", 1, '{"ts": "a", "event": "parsed", "chunk": 7, "nested": {"x": [1, "z"]}}'), ("l", 2, "broken {"), ("l", 3, "[1]"), ("l", 4, '{"event": null, "odd key": null}'), ("l", 5, None)]
+    bodies = logs.log_bodies(spark.createDataFrame(rows, "path string, line_no long, line string"))
+    assert [r.event for r in bodies.orderBy("line_no").collect()] == ["parsed", "invalid_json", "invalid_json", None, "invalid_json"]
+    assert {(r.line_no, r.field, r.type) for r in logs.other_fields(bodies).collect()} == {(1, "chunk", "BIGINT"), (1, "nested", "OBJECT<x: ARRAY<VARIANT>>"), (4, "odd key", "VOID")}
+    got = [r.value for r in logs.restated(bodies.orderBy("line_no"), ts=F.lit("b")).collect()]
+    assert json.loads(got[0]) == {"ts": "b", "event": "parsed", "chunk": 7, "nested": {"x": [1, "z"]}} and got[1:3] == ["broken {", "[1]"] and json.loads(got[3])["ts"] == "b" and got[4] is None
+    assert json.loads(logs.restated(bodies.where("line_no = 1")).first().value) == json.loads(rows[0][2])
+
+
+@pytest.mark.parametrize("tracked", [16, 64, 8192])
+def test_heavy_hitters(spark, tracked):
+    """The list equals the full count: of values of all frequencies, of equal ones, and of more values than the sketch tracks."""
+    r = random.Random(4)
+    steep = [("steep", f"v{int(r.paretovariate(0.9))}") for _ in range(4000)]
+    rows = steep + [("even", f"w{i % 700}") for i in range(2100)] + [("few", x) for x in "aab"] + [("hot", "x")] * 3000 + [("hot", f"y{i}") for i in range(300)]
+    r.shuffle(rows)
+    values = spark.createDataFrame([(k, v, "p", i) for i, (k, v) in enumerate(rows)], "kind string, value string, path string, line_no long").repartition(6)
+    text = lambda d: sorted(map(tuple, d.select("kind", "value", "n", "rank").collect()))
+    for top in (1, 5):
+        assert text(logs.heavy_hitters(values, top, tracked)) == text(logs.most_common(values, top))
+    assert logs.heavy_hitters(values.limit(0)).count() == 0
+
+
 def test_nehemiah(spark):
     """Jeremiah is Nehemiah where only that parses, or where it was heard without confidence."""
     sizes = chapter_sizes(formula_verses(spark).where("not (book = 'Иеремия' and chapter > 10) and not (book = 'Неемия' and chapter > 20)"))
