@@ -36,6 +36,9 @@ BEFORE = "by from to with dear contact regards, sincerely, signed von Liebe Lieb
 BEHIND = "wrote writes said says told asked replied answered called lives works schrieb sagte wohnt écrit dit habite escribió dijo vive".split()
 #: Words that often begin a sentence before a name.
 STARTS = "The Then Later When While After Before But And So Yet Now Today Yesterday Tomorrow Here There Once If As Since Because Although However Meanwhile Still Only Even Also That This Dann Später Als Aber Und Heute Gestern Doch Puis Alors Mais Quand Hier Luego Entonces Pero Cuando Ayer Hoy Le La Les Der Die Das El Los Las".split()
+#: Words that begin, and words that end, names of places, bodies and offices that have the shape of a person's.
+PLACES = "New San Santa Red United Prime North South East West Northern Southern Eastern Western Great Central National International Royal White Black Foreign Supreme European American British French German Spanish Russian World Grand Upper Lower Old Big".split()
+BODIES = "York Angeles City Cross Nations States Kingdom Union Minister President Secretary Council Court House Bank University College School Institute Company Corporation Party Times Post Street River Lake Valley Island Islands Republic Ocean Sea Airport Station Hospital Church Museum Department Ministry Agency Association League Club".split()
 #: What streets are called, behind and before their names.
 STREETS = "Street St Avenue Ave Road Rd Lane Ln Boulevard Blvd Drive Court Way".split()
 ROADS = "rue avenue boulevard Calle Avenida Plaza Rue Avenue Boulevard".split()
@@ -43,8 +46,11 @@ ROADS = "rue avenue boulevard Calle Avenida Plaza Rue Avenue Boulevard".split()
 _ALL_GIVEN = "|".join(n for names in GIVEN_NAMES.values() for n in names)
 _ALL_TITLES = "|".join(t for titles in TITLES.values() for t in titles)
 _NAME = r"\p{Lu}[\p{L}'-]+"
-_SHAPE = lambda n: rf"(?!(?:{'|'.join(STARTS)})(?!\p{{L}}))(?<w{n}>\p{{Lu}}\p{{Ll}}+) (?!\k<w{n}>(?!\p{{L}}))\p{{Lu}}\p{{Ll}}+"
+_SHAPE = lambda n: rf"(?!(?:{'|'.join(STARTS + PLACES)})(?!\p{{L}}))(?<w{n}>\p{{Lu}}\p{{Ll}}+) (?!(?:\k<w{n}>|{'|'.join(BODIES)})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}+"
 _LABEL = r"\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}"
+#: What tokens of known services begin with, and a user's name and password in a URL.
+_TOKEN = r"(?:sk-(?:[a-z]{2,8}-)?|gh[pousr]_|xox[abprs]-)"
+_LOGIN = r"://[^\s/:@?#]{1,64}:[^\s/:@?#]{1,128}@"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _GROUPS = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}"
 _KEY_EDGE = lambda word: rf"-----{word} (?:[A-Z0-9]+ ){{0,3}}PRIVATE KEY-----"
@@ -52,7 +58,7 @@ _KEY_EDGE = lambda word: rf"-----{word} (?:[A-Z0-9]+ ){{0,3}}PRIVATE KEY-----"
 PATTERNS = {
     "KEY": _KEY_EDGE("BEGIN") + r"[^-]++" + _KEY_EDGE("END"),
     "EMAIL": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,24}",
-    "SECRET": rf"\b(?:AKIA|ASIA)[0-9A-Z]{{16}}\b|(?i:{_LABEL})[\"']?[^\s\"']{{6,}}[\"']?|(?<![0-9A-Za-z])[0-9a-f]{{40}}(?![0-9A-Za-z])",
+    "SECRET": rf"\b(?:AKIA|ASIA)[0-9A-Z]{{16}}\b|(?<![0-9A-Za-z]){_TOKEN}[0-9A-Za-z]{{20,}}(?![0-9A-Za-z])|{_LOGIN}|(?i:{_LABEL})[\"']?[^\s\"']{{6,}}[\"']?|(?<![0-9A-Za-z])[0-9a-f]{{40}}(?![0-9A-Za-z])",
     "IBAN": r"\b[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,4})?\b(?=\W|$)(?<=\d[ 0-9A-Z]{0,8})",
     "IPV6": rf"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}|(?=[0-9A-Fa-f:]*\d)(?=[0-9:]*[A-Fa-f]|(?:[0-9A-Fa-f]*:){{3}}|\d{{4}}:){_GROUPS}::(?:{_GROUPS})?|::(?=[0-9A-Fa-f:]*\d){_GROUPS})(?![0-9A-Za-z:])",
     "IP": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
@@ -77,7 +83,7 @@ GROWING = ("EMAIL", "SECRET", "KEY", "ADDRESS", "PHONE")
 def _may_match(body: Column) -> Column:
     """A quick test that every text with a match of ANY passes: each pattern needs a digit, one of these words or a name."""
     low = F.lower(body)
-    words = [low.contains(w) for w in ("@", "passw", "pwd", "secret", "token", "key", "akia", "asia")]
+    words = [low.contains(w) for w in ("@", "passw", "pwd", "secret", "token", "key", "akia", "asia", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox")]
     hexed = r"(?<![0-9A-Za-z])(?=[0-9a-f])[0-9a-f]{40}|::"
     found = body.rlike("[0-9]") | body.rlike(hexed) | body.rlike(PATTERNS["NAME"])
     for w in words:
@@ -114,7 +120,7 @@ def _parts(match: Column) -> Column:
 
     gap = F.struct(F.lit("").alias("kind"), F.lit(" ").alias("text"))
     named = F.slice(F.flatten(F.transform(F.transform(F.split(match, " "), word), lambda x: F.array(gap, x))), F.lit(2), F.length(match))
-    lead = F.when(kind == "KEY", F.regexp_extract(match, "^" + _KEY_EDGE("BEGIN"), 0)).when(kind == "SECRET", F.regexp_extract(match, rf"(?i)^({_LABEL}|AKIA|ASIA)", 1)).otherwise("")
+    lead = F.when(kind == "KEY", F.regexp_extract(match, "^" + _KEY_EDGE("BEGIN"), 0)).when(kind == "SECRET", F.regexp_extract(match, rf"^((?i:{_LABEL})|AKIA|ASIA|{_TOKEN}|://)", 1)).otherwise("")
     tail = F.when(kind == "KEY", F.regexp_extract(match, _KEY_EDGE("END") + "$", 0)).otherwise("")
     rest = F.substring(match, F.length(lead) + 1, F.length(match) - F.length(lead) - F.length(tail))
     plain = lambda x: F.struct(F.lit("").alias("kind"), x.alias("text"))

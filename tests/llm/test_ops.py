@@ -218,6 +218,18 @@ def test_pii_kinds(spark):
     assert got[90].text == texts[-2][1] and got[90].entity_count == 0 and got[91].entity_count == 1
 
 
+def test_pii_tokens_and_places(spark):
+    """Tokens of services and logins in URLs are secrets; names of places, bodies and offices are nobody's."""
+    token, login = "4f9Kd83hfJ2mQx7Lp0Zt", "https://ann:pa55.w-rd@host/x"
+    plain = ["They flew from New York to Los Angeles by Red Cross plane.", "The United Nations said no. Prime Minister said yes.", "A task-oriented risk-averse desk-" + "a" * 30, "see http://host:8080/a:b@c"]
+    texts = [(1, f"use sk-{token} or ghp_{token}{token} now"), (2, f"at {login} today"), (3, "A letter from Zoltan Kovacs came.")] + list(enumerate(plain, 4))
+    got = {r.doc_id: r for r in pii.replace_pii(docs_of(spark, texts)).collect()}
+    assert got[1].entity_count == 2 and token not in got[1].text and "use sk-" in got[1].text and " or ghp_" in got[1].text
+    assert got[2].text.startswith("at https://") and got[2].text.endswith("@host/x today") and "ann" not in got[2].text and "pa55" not in got[2].text
+    assert "Zoltan" not in got[3].text and "Kovacs" not in got[3].text
+    assert [(got[i].text, got[i].entity_count) for i in range(4, 8)] == [(t, 0) for t in plain]
+
+
 def test_pii_long_secret(spark):
     value = "eyJh" + "bGci0iJ9.Zx_" * 400
     text = f"before token={value} after, password: ******** end"
