@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import payloads
 from lectern.functions.text import fold_numbers, normalize_quote, normalize_reference, reference_text, value_range, verse_count, verse_id, verse_id_problem
-from lectern.operators import logs, lookup, names, readings, search, sessions
+from lectern.operators import likeness, logs, lookup, names, readings, search, sessions
 from lectern.operators.references import compact_range, reference_candidates, reference_numbers
 from lectern.plans import parse
 from lectern.plans.override import overridden
@@ -869,3 +869,10 @@ def q82(spark, sf_dir):
     action = F.when(e % 4 == 0, "submit").when(e % 4 == 2, "approve").otherwise("manual")
     a = _t(spark, sf_dir, "events").select(F.col("user_id").alias("session"), e.alias("seq"), action.alias("action"), F.when(e % 4 == 0, F.concat(F.lit("r"), e.cast("string"))).alias("ref"), (e % 7 != 0).alias("callback_ok"), F.when(action == "manual", said).alias("text"), F.when(e % 4 == 0, F.concat(F.lit("heard "), e.cast("string"))).alias("asr"))
     return overridden(a, _sizes(spark)).withColumnsRenamed({"session": "user_id", "seq": "event_id"})
+
+
+@query("q83_similar_complete")
+def q83(spark, sf_dir):
+    q = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), normalize_quote(F.col("text")).alias("q"))
+    lines = _line_verses(spark, sf_dir).select((F.col("chapter") * 100000 + F.col("verse")).alias("window_id"), normalize_quote(F.col("text")).alias("norm"))
+    return likeness.similar_all(q, lines, 80.0)

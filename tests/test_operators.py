@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import logs, lookup, search, sessions
+from lectern.operators import likeness, logs, lookup, search, sessions
 from lectern.plans import catalogue
 from lectern.sources.canon import chapter_sizes, formula_verses
 from lectern.streaming import journal
@@ -105,6 +105,26 @@ def test_similar_recall(spark):
     assert best[500] == (1, 110.0) and best[501] == (3, 100.0)
 
 
+@pytest.mark.parametrize("least", [45.0, 80.0])
+def test_similar_all_equals_brute_force(spark, least, monkeypatch):
+    """All pairs at or over the limit, and their scores, are what comparing all with all finds: with misheard, moved, long,
+    repeated and short texts, over many blocks."""
+    monkeypatch.setattr(likeness, "UNITS", 40)
+    r = random.Random(9)
+    words = ["".join(r.choice("абвгдеиклмнорст") for _ in range(r.randrange(1, 8))) for _ in range(60)]
+    verses = {i: " ".join(r.choice(words) for _ in range(r.choice((1, 3, 4, 7, 9, 14, 60)))) for i in range(60)}
+    verses |= {70: verses[0], 71: "", 72: None, 73: "ааааааааааааааааааааааааа", 74: " ".join(["да"] * 30), 75: "😀" * 24}
+    heard = {i: " ".join(w if r.random() > 0.15 else "".join(r.sample(w, len(w))) for w in (verses[i] or "").split()) for i in range(0, 60, 2)}
+    heard |= {80: "начало " + (verses[5] or "") + " конец", 81: None, 82: "", 83: "а" * 30, 84: " ".join(["да"] * 28), 85: "😀" * 20, 86: verses[4]}
+    q = spark.createDataFrame(list(heard.items()), "query_id long, q string")
+    w = spark.createDataFrame(list(verses.items()) + [(3, verses[3])], "window_id long, norm string")
+    score = search.similarity.func
+    want = {(i, j): s for i, a in heard.items() for j, b in verses.items() if a and len(a) >= 20 and b for s in [score(pd.Series([a]), pd.Series([b]))[0]] if s >= least}
+    got = [(x.query_id, x.window_id, x.score) for x in likeness.similar_all(q, w, least).collect()]
+    assert {(i, j): s for i, j, s in got} == want and len(got) == len(want) >= 20
+    assert likeness.similar_all(q.limit(0), w, least).count() == 0 and likeness.similar_all(q, w.limit(0), least).count() == 0
+
+
 SAID = [
     ("a", 1, "Матфей 5 глава 3 стих", 1, "Матфей 5:3"), ("a", 2, "и там же 7 стих", 1, "Матфей 5:7"), ("a", 3, "", 1, None), ("b", 1, "просто слова", 1, None),
     ("a", 4, "и еще там же 9 стих", 2, "Матфей 5:9"), ("b", 2, "там же", 2, None), ("a", 4, "и еще там же 9 стих", 2, "Матфей 5:9"),
