@@ -297,6 +297,7 @@ def replace_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("body"))
     base = base.withColumn("matches", F.when(_may_match(F.col("body")), F.regexp_extract_all("body", F.lit(ANY), F.lit(0))).otherwise(none))
     some = F.size("matches") > 0
+    plain: DataFrame | None = None
     mentions = base.where(some).select(F.explode("matches").alias("match")).groupBy("match").agg(F.count("*").alias("n"))
     flat = mentions.select(F.explode(_parts(F.col("match"))).alias("p")).where("p.kind <> ''")
     entities = flat.select(_space(F.col("p.kind")).alias("space"), canonical(F.col("p.kind"), F.col("p.text")).alias("canon"), F.col("p.kind").alias("kind"), F.col("p.text").alias("text"))
@@ -309,7 +310,10 @@ def replace_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         hit = base.where(some).select("body", F.explode(F.flatten(F.transform("matches", _parts))).alias("p")).where("p.kind <> ''")
         hit = hit.select(F.xxhash64("body").alias("t1"), F.xxhash64(F.lit(1), "body").alias("t2"), _space(F.col("p.kind")).alias("space"), canonical(F.col("p.kind"), F.col("p.text")).alias("canon")).join(again, ["space", "canon"])
         maps = hit.distinct().groupBy("t1", "t2").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "space", "canon"), "attempt"))).alias("attempts"))
-        source = base.withColumn("t1", F.xxhash64("body")).withColumn("t2", F.xxhash64(F.lit(1), "body")).join(maps, ["t1", "t2"], "left")
+        # Null texts, and those that the quick test rules out, stand in no map: they go by the join.
+        may = F.coalesce(_may_match(F.col("body")), F.lit(False))
+        plain = base.where(~may).select(F.col("key").alias(id_col), F.col("body").alias(text_col), F.lit(0).cast("long").alias("entity_count"))
+        source = base.where(may).withColumn("t1", F.xxhash64("body")).withColumn("t2", F.xxhash64(F.lit(1), "body")).join(maps, ["t1", "t2"], "left")
         attempt = lambda p: F.coalesce(F.try_element_at(F.col("attempts"), name(p)), F.lit(0))
 
     def replaced(parts: Column) -> Column:
@@ -326,4 +330,5 @@ def replace_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     between = F.transform("gaps", lambda g: F.when(F.exists(g, lambda p: p["kind"] != ""), replaced(g)).otherwise(F.array_join(F.transform(g, lambda p: p["text"]), "")))
     woven = F.array_join(F.flatten(F.zip_with(between, new, lambda a, b: F.array(a, b))), "")
     count = F.size(F.filter("parts", lambda m: F.exists(m, lambda p: p["kind"] != ""))) + F.size(F.filter(F.flatten("gaps"), lambda p: p["kind"] != ""))
-    return split.select(F.col("key").alias(id_col), F.when(some, woven).otherwise(F.col("body")).alias(text_col), F.when(some, count).otherwise(0).cast("long").alias("entity_count"))
+    out = split.select(F.col("key").alias(id_col), F.when(some, woven).otherwise(F.col("body")).alias(text_col), F.when(some, count).otherwise(0).cast("long").alias("entity_count"))
+    return out if plain is None else out.unionByName(plain)

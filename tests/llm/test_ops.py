@@ -175,6 +175,22 @@ def test_pii_settles(spark):
     assert len(got["********"]) == 8 and got["'!!??!!'"][0] == got["'!!??!!'"][-1] == "'"
 
 
+def test_pii_clashing_texts(spark):
+    """Where entities clash, every row stays: null, empty and plain texts as they are, equal texts alike, entities distinct."""
+    mails = [(i, f"write to a{i}@x.org") for i in range(60)]
+    rest = [(100, None), (None, None), (101, ""), (102, "nothing here"), (100, None), (103, "only 7 words"), (104, mails[3][1]), (None, mails[3][1])]
+    d = docs_of(spark, mails + rest)
+    got = pii.replace_pii(d, key="k").collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(i) for i, _ in mails + rest)
+    text = {r.doc_id: r.text for r in got if r.doc_id is not None}
+    assert [text[i] for i in (100, 101, 102, 103)] == [None, "", "nothing here", "only 7 words"] and text[104] == text[3]
+    new = {text[i].split()[-1] for i, _ in mails}
+    assert len(new) == 60 and not new & {t.split()[-1] for _, t in mails}
+    assert sum(r.entity_count for r in got) == 62
+    e = spark.createDataFrame([("EMAIL", f"a{i}@x.org", "EMAIL", f"a{i}@x.org") for i in range(60)], "space string, canon string, kind string, text string")
+    assert pii.clashes(e, "k").count() > 0
+
+
 def test_pii_coreference(spark):
     """All mentions of a person in a text agree, whole or in part; names outside the list are found by what stands beside them."""
     texts = [
