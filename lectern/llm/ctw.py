@@ -35,8 +35,9 @@ MARK = b"\xff"
 BLOCK_BYTES = 32 << 20
 #: Positions that are looked at together, so that they stay in a core's cache; and codes that are sorted together.
 SLICE, SORTED = 1 << 17, 1 << 20
-#: Elements of a row of a block's counts.
-ROW = 1 << 16
+#: Elements of a row of a block's counts, and rows that are sent together. Spark's Parquet reader takes 4,096 rows at once, so
+#: what a task holds of them is bounded by the row, not by how large a file's row groups are.
+ROW, ROWS = 1 << 9, 1 << 7
 #: The end of a text as a token.
 END = np.uint64(0x5EED0F7E77)
 LOG2, LOG_PI = np.log(2), np.log(np.pi)
@@ -77,12 +78,18 @@ class Texts:
         return np.r_[number, np.arange(len(ends))], np.r_[hashes, np.full(len(ends), END)]
 
 
-def _merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes in order, and the sum of each one's counts."""
-    if not codes:
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    every, where = np.unique(np.concatenate(codes), return_inverse=True)
-    return every, np.bincount(where, np.concatenate(counts), len(every)).astype(np.int64)
+def _merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct codes of sorted runs and the sum of each one's counts, in order, as parts of about SORTED codes: a range of
+    codes after the other, so that only one range is sorted at a time."""
+    longest = max(codes, key=len, default=np.zeros(0, U))
+    parts = min(len(longest), -(-sum(map(len, codes)) // SORTED))
+    cuts = longest[np.arange(1, parts) * len(longest) // parts] if parts > 1 else longest[:0]
+    bounds = [np.r_[0, np.searchsorted(c, cuts), len(c)] for c in codes]
+    for i in range(len(cuts) + 1):
+        here = [slice(b[i], b[i + 1]) for b in bounds]
+        if codes and (some := np.concatenate([c[h] for c, h in zip(codes, here)])).size:
+            every, where = np.unique(some, return_inverse=True)
+            yield every, np.bincount(where, np.concatenate([n[h] for n, h in zip(counts, here)]), len(every)).astype(np.int32)
 
 
 class Counts:
@@ -93,6 +100,7 @@ class Counts:
         self.waiting = 0
         self.codes: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
+        self.most = 4 * SORTED
 
     def add(self, codes: np.ndarray, train: np.ndarray) -> None:
         self.raw[0].append(codes[~train])
@@ -106,14 +114,17 @@ class Counts:
             if raw:
                 some, n = np.unique(np.concatenate(raw), return_counts=True)
                 self.codes.append(some)
-                self.counts.append(n * learnt)
+                self.counts.append((n * learnt).astype(np.int32))
                 raw.clear()
         self.waiting = 0
-        if sum(map(len, self.codes)) > 4 * SORTED:
-            codes, counts = _merged(self.codes, self.counts)
-            self.codes, self.counts = [codes], [counts]
-
-    def whole(self) -> tuple[np.ndarray, np.ndarray]:
+        if sum(map(len, self.codes)) > self.most:
+            parts = list(_merged(self.codes, self.counts))
+            self.codes, self.counts = [np.concatenate([c for c, _ in parts])], [np.concatenate([n for _, n in parts])]
+            # Merged again when as much has come as is there, so that all merging is linear but for a logarithm.
+            self.most = max(4 * SORTED, 2 * len(self.codes[0]))
+
+    def whole(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All codes in order with their counts, in parts."""
         self.sort()
         return _merged(self.codes, self.counts)
 
@@ -163,9 +174,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.
 
     def counted() -> Iterator[pa.RecordBatch]:
         for kind, of in enumerate(counts):
-            codes, n = of.whole()
-            for a in range(0, len(codes), ROW):
-                yield row(block=block, kind=kind, code=codes[a : a + ROW].view(np.int64), n=n[a : a + ROW])
+            for codes, n in of.whole():
+                for a in range(0, len(codes), ROW * ROWS):
+                    some, k = codes[a : a + ROW * ROWS].view(np.int64), n[a : a + ROW * ROWS].astype(np.int64)
+                    ends = np.r_[np.arange(0, len(some), ROW), len(some)].astype(np.int32)
+                    size = len(ends) - 1
+                    lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (some, k)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(size, block)), pa.nulls(size, pa.binary()), pa.array(np.full(size, kind, np.int8)), *lists], schema=schema)
 
     for batch in batches:
         bodies, train = batch["body"].to_pylist(), ~np.array(batch["held_out"].to_pylist(), bool)
@@ -251,7 +266,7 @@ def leaves(codes: np.ndarray, counts: np.ndarray):
     return key, np.bincount(place, n * ~one, len(key)), np.bincount(place, n * one, len(key)), place, one
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], by: str = "root", least: int = 1 << 19) -> Iterator[pa.Table]:
+def _whole_groups(batches: Iterator[pa.RecordBatch], by: str = "root", least: int = 1 << 18) -> Iterator[pa.Table]:
     """The rows of a sorted partition in parts of at least ``least`` rows that end where a group ends."""
     held, rows = [], 0
     for batch in batches:
