@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from lectern.functions import payloads
 from lectern.functions.text import fold_numbers, normalize_quote, normalize_reference, reference_text, value_range, verse_count, verse_id, verse_id_problem
 from lectern.operators import likeness, logs, lookup, names, readings, search, sessions
-from lectern.operators.references import compact_range, reference_candidates, reference_numbers
+from lectern.operators.references import compact_range, reference_numbers
 from lectern.plans import parse
 from lectern.plans.override import overridden
-from lectern.plans.parse import best_with_margin, parse_references, resolve_candidates, verse_texts
+from lectern.plans.held import Held
+from lectern.plans.parse import best_in_book, best_with_margin, once_per, parse_references, resolve_candidates, verse_texts
 from lectern.ship import shipped
 from lectern.sources import canon
 from lectern.sources.books import ONE_CHAPTER, books, number_words, overlaid, roman, spoken_names
@@ -792,9 +793,8 @@ SELECT event_id, string_agg(first || '-' || last, ',' ORDER BY first || '-' || l
 def q76(spark, sf_dir):
     end = F.when(F.col("user_id") % 2 == 0, F.array(F.lit("стих"))).otherwise(F.array().cast("array<string>"))
     tokens = F.concat(F.array(_garbled(0), _garbled(1), F.lit("по"), _garbled(2), _garbled(3)), end)
-    x = _t(spark, sf_dir, "events").select("event_id", tokens.alias("w")).withColumn("lattice", readings.phrase_readings(readings.token_values(F.col("w"))))
-    x = x.select("event_id", _listed(readings.rising(readings.ranges_around_through(F.col("w"), F.col("lattice")), F.lit(40))).alias("ranges"))
-    return x.where("ranges <> ''")
+    ranges = lambda x: x.withColumn("lattice", readings.phrase_readings(readings.token_values(F.col("w")))).select("utt_id", _listed(readings.rising(readings.ranges_around_through(F.col("w"), F.col("lattice")), F.lit(40))).alias("ranges")).where("ranges <> ''")
+    return once_per(_t(spark, sf_dir, "events").select("event_id", tokens.alias("w")), ["w"], ranges, Held(spark))
 
 
 _NEAR_SQL = "1 + event_id % 50 AS c, 1 + user_id % 35 AS v, 1 + user_id % 35 + event_id % 6 AS e, event_id % 7 AS kind"
@@ -812,8 +812,8 @@ def q77(spark, sf_dir):
         _say(e, "и", v, "слово 200 глава"), _say("стих", e, "и", v, "стих слово", c, "глава"),
     ), (F.col("kind") + 1).cast("int"))
     sizes = F.map_from_entries(F.transform(F.sequence(F.lit(1), F.lit(50)), lambda i: F.struct(i, F.lit(40))))
-    x = x.select("event_id", said.alias("norm"), sizes.alias("sizes"))
-    found = x.select("event_id", readings.inferred(F.col("norm"), F.lit("Псалтирь"), reference_numbers(F.col("norm"), F.lit("Псалтирь")), F.col("sizes")).alias("y")).where("y is not null")
+    guessed = lambda x: x.withColumn("sizes", sizes).select("utt_id", readings.inferred(F.col("norm"), F.lit("Псалтирь"), reference_numbers(F.col("norm"), F.lit("Псалтирь")), F.col("sizes")).alias("y")).where("y is not null")
+    found = once_per(x.select("event_id", said.alias("norm")), ["norm"], guessed, Held(spark))
     return found.select("event_id", *(F.col(f"y.{n}").cast("long").alias(n) for n in ("chapter", "first", "last")), "y.kind")
 
 
@@ -823,8 +823,7 @@ def q78(spark, sf_dir):
     kind = F.col("event_id") % 3
     said = _spoken(spark, sf_dir, lambda b, c, v, e: F.when(kind == 0, _say(c, "глава", v, "стих и", c, "глава", v, "по", e, "стих")).when(kind == 1, _say(c, "глава слово с", v, "по", e, "стих")).when(v != e, _say(c, "глава", v, "по", v, "стих и", c, "глава", v, "по", e, "стих")))
     book = F.element_at(F.array(*(F.lit(b) for _, b in books())), (F.col("utt_id") % 66 + 1).cast("int"))
-    texts = said.where("text is not null").select("utt_id", F.col("text").alias("norm"))
-    found = readings.best_of_book(reference_candidates(texts, texts.select("utt_id", book.alias("book")), _sizes(spark)))
+    found = best_in_book(said.where("text is not null").select("utt_id", F.col("text").alias("norm"), book.alias("book")), _sizes(spark))
     return found.select("utt_id", F.col("c").cast("long").alias("chapter"), F.col("v").cast("long").alias("start_verse"), F.col("e").cast("long").alias("end_verse"), F.col("n_verses").cast("long").alias("n_verses"))
 
 
