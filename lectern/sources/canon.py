@@ -54,16 +54,19 @@ def structure(verses: DataFrame) -> DataFrame:
 def verse_windows(verses: DataFrame, width: int) -> DataFrame:
     """Runs of up to ``width`` verses of a chapter from each verse on: book, chapter, first, last, text, norm, seq.
 
-    seq orders windows as the table does; those without a letter or digit are left out.
+    seq orders windows as the table does; those without a letter or digit are left out. A window has one if one of its verses
+    does, so that each verse is looked at once for that, and a window is normalised only where its normal form is asked for.
     """
     from lectern.functions.text import normalize_quote
 
+    said = F.translate(F.lower("text"), "ё", "е").rlike("[а-яa-z0-9]")
     span = Window.partitionBy("book", "chapter").orderBy("verse").rowsBetween(0, width - 1)
-    ahead = verses.withColumn("run", F.collect_list(F.struct("verse", "text")).over(span))
+    ahead = verses.withColumn("said", said).withColumn("run", F.collect_list(F.struct("verse", "text", "said")).over(span))
     sized = ahead.select("book", "chapter", F.col("verse").alias("first"), "run", F.explode(F.sequence(F.lit(1), F.size("run"))).alias("k"))
     part = F.slice("run", 1, F.col("k"))
-    out = sized.select("book", "chapter", "first", F.element_at(part, -1)["verse"].alias("last"), F.array_join(F.transform(part, lambda v: v["text"]), " ").alias("text"))
-    return out.withColumn("norm", normalize_quote(F.col("text"))).where("norm <> ''")
+    kept = sized.where(F.exists(part, lambda v: v["said"]))
+    out = kept.select("book", "chapter", "first", F.element_at(part, -1)["verse"].alias("last"), F.array_join(F.transform(part, lambda v: v["text"]), " ").alias("text"))
+    return out.withColumn("norm", normalize_quote(F.col("text")))
 
 
 def golden_sizes() -> dict[str, dict[int, int]]:

@@ -43,3 +43,12 @@ def test_verse_texts_are_made_once(spark):
     # 4 verses of the one reference and 2 of the other are gathered, not 50 times as many.
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "ref_id" not in plan.split("collect_list", 1)[1].split("LocalRelation", 1)[0].split("LogicalRDD", 1)[0]
+
+
+def test_windows_are_normalised_where_asked_for(spark):
+    from lectern.sources.canon import verse_windows
+
+    verses = spark.createDataFrame([("b", 1, 1, "Ёж, и"), ("b", 1, 2, "..."), ("b", 1, 3, None), ("b", 1, 4, "—"), ("b", 1, 5, "Z")], "book string, chapter int, verse int, text string")
+    out = verse_windows(verses, 2)
+    assert sorted((r.first, r.last, r.norm) for r in out.select("first", "last", "norm").collect()) == [(1, 1, "еж и"), (1, 2, "еж и"), (4, 5, "z"), (5, 5, "z")]
+    assert "regexp_replace" not in out.drop("norm")._jdf.queryExecution().optimizedPlan().toString()
