@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.operators.search import SHORT
+from lectern.operators.search import SHORT, common_subsequence
 from lectern.plans.held import Held
 from lectern.ship import shipped
 
@@ -72,16 +72,6 @@ def _counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return lengths, single.astype(np.int32), double.astype(np.int32)
 
 
-def _common_subsequence(places: dict[str, int], size: int, other: str) -> int:
-    """Length of the longest common subsequence of ``other`` and a text of ``size`` characters that stand at ``places``."""
-    full = (1 << size) - 1
-    row = full
-    for c in other:
-        met = row & places.get(c, 0)
-        row = ((row + met) | (row - met)) & full
-    return size - row.bit_count()
-
-
 def _bits(left: list[str], right: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Of left texts of up to WORD characters, the places of each class as bits; of right texts, the classes by place."""
     places = np.zeros((len(left), DOUBLE + 1), dtype=np.uint64)
@@ -135,7 +125,7 @@ def alike(left: list[str], right: list[str], least: float) -> list[tuple[int, in
                     places[a] = {}
                     for k, c in enumerate(left[a]):
                         places[a][c] = places[a].get(c, 0) | 1 << k
-                if _common_subsequence(places[a], len(left[a]), right[b]) < share * (len(left[a]) + len(right[b])) / 2 - 1e-6:
+                if common_subsequence(places[a], len(left[a]), right[b]) < share * (len(left[a]) + len(right[b])) / 2 - 1e-6:
                     continue
             if b != at:
                 matcher.set_seq2(right[b])

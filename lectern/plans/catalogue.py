@@ -221,13 +221,14 @@ SELECT item_id AS query_id, doc_id AS window_id, CASE WHEN q = norm THEN 110.0 E
 def q24(spark, sf_dir):
     q = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), normalize_quote(F.col("text")).alias("q"))
     d = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("window_id"), normalize_quote(F.col("text")).alias("norm"))
-    return search.contained(q, d)
+    return search.contained(q, Held(spark).write(d))
 
 
 @query("q25_quote_similarity_topk")
 def q25(spark, sf_dir):
     q = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), normalize_quote(F.col("text")).alias("q"))
-    lines = _line_verses(spark, sf_dir).select((F.col("chapter") * 100000 + F.col("verse")).alias("window_id"), normalize_quote(F.col("text")).alias("norm")).where("norm <> ''")
+    lines = _line_verses(spark, sf_dir).select((F.col("chapter") * 100000 + F.col("verse")).alias("window_id"), normalize_quote(F.col("text")).alias("norm"))
+    lines = Held(spark).write(lines).where("norm <> ''")
     return search.best_windows(search.similar(q, lines), lines, 5)
 
 
