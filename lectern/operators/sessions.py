@@ -27,13 +27,18 @@ def carried_forward(parsed: DataFrame) -> DataFrame:
 _AGAIN = r"(?iU)\bтам\s+же\b"
 
 
+def says_same_place(text: Column) -> Column:
+    """Whether a text has "там же" (in the same place)."""
+    return text.rlike(_AGAIN)
+
+
 def same_place(candidates: Column, book: Column, chapter: Column) -> Column:
     """Texts to try, each that says "там же" (in the same place) and more followed by one with the last book and chapter put in."""
 
     def both(text: Column) -> Column:
         rest = F.trim(F.regexp_replace(text, F.lit(_AGAIN), F.lit("")))
         put = F.concat_ws(" ", book, chapter.cast("string"), F.lit("глава"), rest)
-        return F.when(text.rlike(_AGAIN) & book.isNotNull() & chapter.isNotNull() & (rest != ""), F.array(text, put)).otherwise(F.array(text))
+        return F.when(says_same_place(text) & book.isNotNull() & chapter.isNotNull() & (rest != ""), F.array(text, put)).otherwise(F.array(text))
 
     return F.flatten(F.transform(candidates, both))
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.operators.sessions import first_match, fragment_windows, jeremiah_as_nehemiah, same_place
+from lectern.operators.sessions import first_match, fragment_windows, jeremiah_as_nehemiah, same_place, says_same_place
 from lectern.plans.held import Held
 from lectern.plans.parse import parse_references
 
@@ -46,6 +46,39 @@ def _parsed(texts: DataFrame, sizes: DataFrame) -> DataFrame:
     return texts.join(found.select(F.col("utt_id").alias("text"), "ref", "book", "chapter"), "text", "left")
 
 
+def _matched(rows: DataFrame, kept: list[str], sizes: DataFrame, known: DataFrame | None, held: Held) -> tuple[DataFrame, DataFrame | None]:
+    """The columns ``kept`` of ``rows`` with m (see ``first_match``) and found (whether any text matched), and all that has been
+    parsed: ``known`` and more. ``rows``: puts (the texts to try), low, and ``kept``.
+
+    Texts are tried in turn, and only for rows that none matched before. The later ones join several fragments, so nearly each
+    is another text, and most rows need none of them.
+    """
+    parsed = F.struct("text", "ref", "book", "chapter")
+    at, over = 0, []
+    now = rows.withColumn("attempts", F.array().cast("array<struct<text:string,ref:string,book:string,chapter:int>>"))
+    while True:
+        over.append(now.where(F.size("puts") <= at))
+        now = now.where(F.size("puts") > at).withColumn("own", F.get("puts", F.lit(at))).withColumn("other", jeremiah_as_nehemiah(F.col("own")))
+        texts = now.select(F.explode(F.array_compact(F.array("own", "other"))).alias("text")).distinct()
+        texts = held.write(texts if known is None else texts.join(known.select("text"), "text", "left_anti"))
+        if not texts.isEmpty():
+            fresh = held.write(_parsed(texts, sizes))
+            known = fresh if known is None else held.write(known.unionByName(fresh))
+        if known is None or now.isEmpty():
+            break
+        both = now.join(known.select(F.col("text").alias("own"), parsed.alias("own_parsed")), "own").join(known.select(F.col("text").alias("other"), parsed.alias("other_parsed")), "other", "left")
+        # Nehemiah goes before Jeremiah if it parses, and Jeremiah doesn't or was heard without confidence.
+        better = F.coalesce((F.col("other_parsed.book") == "Неемия") & (F.col("own_parsed.ref").isNull() | F.col("low")), F.lit(False))
+        tried = F.concat("attempts", F.when(better, F.array("other_parsed", "own_parsed")).otherwise(F.array("own_parsed")))
+        now = held.write(both.withColumn("attempts", tried).select(*kept, *(c for c in ("puts", "low") if c not in kept), "attempts", F.exists(tried, lambda a: a["ref"].isNotNull()).alias("found")))
+        over.append(now.where("found").drop("found"))
+        now, at = now.where("not found").drop("found"), at + 1
+    every = over[0].select(*kept, "attempts")
+    for x in over[1:]:
+        every = every.unionByName(x.select(*kept, "attempts"))
+    return every.select(*kept, first_match(F.col("attempts")).alias("m"), F.exists("attempts", lambda a: a["ref"].isNotNull()).alias("found")), known
+
+
 def session_references(fragments: DataFrame, sizes: DataFrame, state: DataFrame | None = None, last: int = 3, held: Held | None = None) -> DataFrame:
     """What each fragment of sessions refers to: session, seq, text, attempt (what was parsed), ref, book, chapter, blocked.
 
@@ -53,9 +86,10 @@ def session_references(fragments: DataFrame, sizes: DataFrame, state: DataFrame
     those up to the number in the ``state`` are old. Attempts are the fragment, then it with those before it (``last`` in
     all); "там же" among them stands for the last book and chapter; Jeremiah may stand for Nehemiah.
 
-    The last book depends on what was parsed before, so this goes in rounds: each parses the texts that the contexts known so
-    far give, which settles at least the next "там же" of each session. Rounds end when no context changes. The result reads
-    tables of ``held``, which the caller may clear once it has written the result.
+    The last book depends on what was parsed before, so this goes in rounds: the first leaves out fragments that hang on it,
+    each further one parses those of them whose context has changed, which settles at least the next "там же" of each session.
+    Rounds end when no context changes. The result reads tables of ``held``, which the caller may clear once it has written
+    the result.
     """
     held = held or Held(fragments.sparkSession)
     low = F.coalesce("low", F.lit(False)) if "low" in fragments.columns else F.lit(False)
@@ -66,37 +100,31 @@ def session_references(fragments: DataFrame, sizes: DataFrame, state: DataFrame
         old = state.select("session", "last_seq", F.size("kept").alias("n"), F.posexplode("kept").alias("at", "text"))
         old = old.select("session", (F.col("last_seq") - F.col("n") + F.col("at") + 1).alias("seq"), "text", F.lit(False).alias("low"), F.lit(False).alias("new"))
         every = new.unionByName(old)
-    tries = held.write(fragment_windows(every, last).join(every.select("session", "seq", "text", "low", "new"), ["session", "seq"]).where("new").drop("new"))
+    tries = fragment_windows(every, last).join(every.select("session", "seq", "text", "low", "new"), ["session", "seq"]).where("new").drop("new")
     if state is not None:
         tries = tries.join(state.select("session", F.col("book").alias("old_book"), F.col("chapter").alias("old_chapter")), "session", "left")
     else:
         tries = tries.withColumn("old_book", F.lit(None).cast("string")).withColumn("old_chapter", F.lit(None).cast("int"))
-    context = tries.select("session", "seq", F.lit(None).cast("string").alias("last_book"), F.lit(None).cast("int").alias("last_chapter"))
-    known: DataFrame | None = None
+    # First what no context changes: the texts before the first that says "there as well".
+    again = F.array_position(F.transform("candidates", says_same_place), True)
+    plain = F.when(again > 0, F.slice("candidates", F.lit(1), again.cast("int") - 1)).otherwise(F.col("candidates"))
+    tries = held.write(tries.withColumn("puts", plain).withColumn("open", again > 0).withColumn("b", F.lit(None).cast("string")).withColumn("c", F.lit(None).cast("int")))
+    kept = ["session", "seq", "text", "low", "candidates", "old_book", "old_chapter", "open", "b", "c"]
+    result, known = _matched(tries, kept, sizes, None, held)
+    # From here on open are those that hang on the context, whatever they find; the others are done.
+    result = held.write(result.withColumn("open", F.col("open") & ~F.col("found")))
+    before = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    hit = F.when(F.col("m.hit.ref").isNotNull(), F.struct(F.col("m.hit.book").alias("b"), F.col("m.hit.chapter").alias("c")))
+    first = True
     while True:
-        x = tries.join(context, ["session", "seq"])
-        x = x.withColumn("c", F.when(F.col("last_book").isNull(), F.col("old_chapter")).otherwise(F.col("last_chapter"))).withColumn("b", F.coalesce("last_book", "old_book"))
-        put = same_place(F.col("candidates"), F.col("b"), F.col("c"))
-        placed = held.write(x.select("session", "seq", "low", F.posexplode(put).alias("at", "own")).withColumn("other", jeremiah_as_nehemiah(F.col("own"))))
-        texts = placed.select(F.explode(F.array_compact(F.array("own", "other"))).alias("text")).distinct()
-        texts = held.write(texts if known is None else texts.join(known.select("text"), "text", "left_anti"))
-        fresh = held.write(_parsed(texts, sizes))
-        known = fresh if known is None else held.write(known.unionByName(fresh))
-        parsed = F.struct("text", "ref", "book", "chapter")
-        both = placed.join(known.select(F.col("text").alias("own"), parsed.alias("own_parsed")), "own").join(known.select(F.col("text").alias("other"), parsed.alias("other_parsed")), "other", "left")
-        # Nehemiah goes before Jeremiah if it parses, and Jeremiah doesn't or was heard without confidence.
-        better = F.coalesce((F.col("other_parsed.book") == "Неемия") & (F.col("own_parsed.ref").isNull() | F.col("low")), F.lit(False))
-        both = both.withColumn("attempts", F.when(better, F.array("other_parsed", "own_parsed")).otherwise(F.array("own_parsed")))
-        tried = both.groupBy("session", "seq").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "attempts"))), lambda a: a["attempts"])).alias("attempts"))
-        result = held.write(tried.select("session", "seq", first_match(F.col("attempts")).alias("m")))
-        before = Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-        found = F.when(F.col("m.hit.ref").isNotNull(), F.struct(F.col("m.hit.book").alias("b"), F.col("m.hit.chapter").alias("c")))
-        now = held.write(result.withColumn("l", F.last(found, ignorenulls=True).over(before)).select("session", "seq", F.col("l.b").alias("last_book"), F.col("l.c").alias("last_chapter")))
-        changed = now.join(context.withColumnsRenamed({"last_book": "b", "last_chapter": "c"}), ["session", "seq"]).where("not (last_book <=> b and last_chapter <=> c)")
+        x = result.withColumn("l", F.last(hit, ignorenulls=True).over(before)).where("open")
+        x = x.withColumn("now_b", F.coalesce("l.b", "old_book")).withColumn("now_c", F.when(F.col("l.b").isNull(), F.col("old_chapter")).otherwise(F.col("l.c")))
+        changed = held.write((x if first else x.where("not (b <=> now_b and c <=> now_c)")).select(*(c for c in kept if c not in ("b", "c")), F.col("now_b").alias("b"), F.col("now_c").alias("c")))
         if changed.isEmpty():
-            out = tries.select("session", "seq", "text").join(result, ["session", "seq"])
-            return out.select("session", "seq", "text", F.col("m.hit.text").alias("attempt"), F.col("m.hit.ref").alias("ref"), F.col("m.hit.book").alias("book"), F.col("m.hit.chapter").alias("chapter"), F.col("m.blocked").alias("blocked"))
-        context = now
+            return result.select("session", "seq", "text", F.col("m.hit.text").alias("attempt"), F.col("m.hit.ref").alias("ref"), F.col("m.hit.book").alias("book"), F.col("m.hit.chapter").alias("chapter"), F.col("m.blocked").alias("blocked"))
+        fresh, known = _matched(changed.withColumn("puts", same_place(F.col("candidates"), F.col("b"), F.col("c"))), kept, sizes, known, held)
+        result = held.write(result.join(changed.select("session", "seq"), ["session", "seq"], "left_anti").unionByName(fresh))
+        first = False
 
 
 def next_state(state: DataFrame | None, references: DataFrame, last: int = 3) -> DataFrame:

@@ -52,3 +52,50 @@ def test_windows_are_normalised_where_asked_for(spark):
     out = verse_windows(verses, 2)
     assert sorted((r.first, r.last, r.norm) for r in out.select("first", "last", "norm").collect()) == [(1, 1, "еж и"), (1, 2, "еж и"), (4, 5, "z"), (5, 5, "z")]
     assert "regexp_replace" not in out.drop("norm")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_quote_runs_and_similarity(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    from lectern.operators import search
+
+    draw = random.Random(7)
+    text = lambda n: " ".join(draw.choice(["бог", "любит", "мир", "и", "свет", "во", "тьме", "слово", "a", "vita"]) for _ in range(n))
+
+    def plainly(q, w):
+        words, ahead = q.split(), w.split()
+        best = SequenceMatcher(None, q, w).ratio()
+        for size in range(4, min(8, len(words), len(ahead)) + 1):
+            start = " ".join(ahead[:size])
+            best = max([best, *(SequenceMatcher(None, " ".join(words[i : i + size]), start).ratio() for i in range(len(words) - size + 1))])
+        return 100 * best
+
+    pairs = [(text(draw.randint(0, 40)), text(draw.randint(0, 60))) for _ in range(150)]
+    want = [plainly(q, w) for q, w in pairs]
+    assert [search._similarity(q, w) for q, w in pairs] == want
+    got = [search._similarity(q, w, 60.0) for q, w in pairs]
+    assert [x if x >= 60 else None for x in got] == [x if x >= 60 else None for x in want]
+    # Windows that are copies have one score.
+    q = spark.createDataFrame([(1, "свет во тьме светит и тьма")], "query_id long, q string")
+    w = spark.createDataFrame([(i, "свет во тьме светит и") for i in range(40)] + [(99, "свет")], "window_id long, norm string")
+    found = search.similar(q, w)
+    assert sorted(r.window_id for r in found.collect()) == list(range(40)) and len({r.score for r in found.collect()}) == 1
+    assert search.similar(q, w)._jdf.queryExecution().optimizedPlan().toString().count("lambda") == 0
+    # Of wholes only the lengths of run are looked at that parts have; the way of short parts is not gone without these.
+    plan = search.contained(q, w)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "array_join" not in plan
+
+
+def test_later_attempts_are_read_for_open_fragments_alone(spark, monkeypatch):
+    from lectern.streaming import live
+
+    read = []
+    parsed = live._parsed
+    monkeypatch.setattr(live, "_parsed", lambda texts, sizes: read.extend(r.text for r in texts.collect()) or parsed(texts, sizes))
+    said = ["Марк 3 глава 4 стих", "там же 5 стих", "слово", "там же 6 стих", "там же 7 стих"]
+    rows = [(f"s{n}", i, t) for n in range(3) for i, t in enumerate(said)]
+    got = {(r.session, r.seq): r.ref for r in live.session_references(spark.createDataFrame(rows, "session string, seq long, text string"), chapter_sizes(formula_verses(spark))).collect()}
+    assert {k: got[k] for k in got if k[1] in (0, 1, 3, 4)} == {(f"s{n}", i): f"Марк 3:{v}" for n in range(3) for i, v in ((0, 4), (1, 5), (3, 6), (4, 7))}
+    # Each text once, and none of several fragments for those that the first attempt settles.
+    assert len(read) == len(set(read)) and "Марк 3 глава 4 стих там же 5 стих" not in read
