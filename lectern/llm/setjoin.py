@@ -122,11 +122,10 @@ def _mark(tokens: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def described(docs: DataFrame, sets: Sets, shared: Broadcast, num: int, den: int, columns: dict[str, str], part_of: Callable[[int], int] | None = None) -> DataFrame:
+def described(docs: DataFrame, sets: Sets, shared: Broadcast, num: int, den: int, columns: dict[str, str]) -> DataFrame:
     """Of each row the set's size n, its class (c1, c2: 128 bits of its hash), its parities and its prefix in the global order.
 
-    ``docs``: ``columns`` (name to type), then body. An empty set has class 0, 0 and no prefix. keys are what the prefix
-    is indexed under: itself, or, in partitions by size (``part_of``), its tokens in the set's part and those in the next.
+    ``docs``: ``columns`` (name to type), then body. An empty set has class 0, 0 and no prefix.
     """
     names = list(columns)
 
@@ -138,11 +137,34 @@ def described(docs: DataFrame, sets: Sets, shared: Broadcast, num: int, den: int
                 odd = np.array([_parities(s) for s in got], np.int64).reshape(-1, 2)
                 heads = [_ordered(s, shared.value)[: len(s) - -(-num * len(s) // den) + 1] if len(s) else s for s in got]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[: len(names)], pa.array([len(s) for s in got], pa.int32()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array(odd[:, 0]), pa.array(odd[:, 1]), pa.array([h.view(np.int64) for h in heads], pa.list_(pa.int64())), *([pa.array([np.concatenate([_in_part(h, part_of(len(s)) + i) for i in (0, 1)]) for s, h in zip(got, heads)], pa.list_(pa.int64()))] if part_of else [])],
-                    names=[*names, "n", "c1", "c2", *BITS, "prefix", *(["keys"] if part_of else [])],
+                    [*part.columns[: len(names)], pa.array([len(s) for s in got], pa.int32()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array(odd[:, 0]), pa.array(odd[:, 1]), pa.array([h.view(np.int64) for h in heads], pa.list_(pa.int64()))],
+                    names=[*names, "n", "c1", "c2", *BITS, "prefix"],
                 )
 
-    return mapped(docs, run, ", ".join([*(f"{k} {v}" for k, v in columns.items()), "n int, c1 long, c2 long, b1 long, b2 long, prefix array<long>", *(["keys array<long>"] if part_of else [])]))
+    return mapped(docs, run, ", ".join([*(f"{k} {v}" for k, v in columns.items()), "n int, c1 long, c2 long, b1 long, b2 long, prefix array<long>"]))
+
+
+def _keys(sizes: np.ndarray, prefixes: pa.Array, part_of: Callable[[int], int] | None) -> pa.Array:
+    """What prefixes are indexed under: themselves, or, in partitions by size, their tokens in the set's part and those in the
+    next. They are made where they are used, as they take twice the room of the prefixes."""
+    if part_of is None:
+        return prefixes
+    heads = [p.values.to_numpy() for p in prefixes]
+    return pa.array([np.concatenate([_in_part(h.view(np.uint64), part_of(n) + i) for i in (0, 1)]) for n, h in zip(sizes.tolist(), heads)], pa.list_(pa.int64()))
+
+
+def _keyed(classes: DataFrame, part_of: Callable[[int], int] | None) -> DataFrame:
+    """The keys of ``classes`` (c1, n, prefix): c, token."""
+    if part_of is None:
+        return classes.select(F.col("c1").alias("c"), F.explode("prefix").alias("token"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for part in _batches(x, 1024):
+                keys = _keys(part.column(1).to_numpy(), part.column(2), part_of)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), keys.value_lengths().to_numpy())), keys.flatten()], names=["c", "token"])
+
+    return mapped(classes.select("c1", "n", "prefix"), run, "c long, token long")
 
 
 def _full_sets(docs: DataFrame, sets: Sets, reps: DataFrame, scratch: Scratch) -> DataFrame:
@@ -268,15 +290,16 @@ def _maybe_among(rows: DataFrame, hashes: DataFrame, scratch: Scratch) -> DataFr
     return mapped(rows.select(*names, "h"), run, rows.select(*names).schema)
 
 
-def _entries(classes: DataFrame, repeated: DataFrame, times: int, scratch: Scratch) -> DataFrame:
+def _entries(classes: DataFrame, repeated: DataFrame, part_of: Callable[[int], int] | None, scratch: Scratch) -> DataFrame:
     """The index keys that may occur more than once, with their place: token, c, n, pos, b1, b2. ``classes``: c1, n, the
-    parities and the keys, a prefix ``times`` over."""
+    parities and the prefix."""
+    times = 2 if part_of else 1
     bits = scratch.broadcast(_bit_set(repeated.select(F.col("token").alias("h"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             for part in _batches(x, 1024):
-                lists = part.column(4)
+                lists = _keys(part.column(1).to_numpy(), part.column(4), part_of)
                 sizes = lists.value_lengths().to_numpy()
                 tokens, ends = lists.flatten().to_numpy(), np.cumsum(sizes)
                 row = np.repeat(np.arange(part.num_rows), sizes)
@@ -326,21 +349,20 @@ def _opened(blocks: DataFrame, names: dict[str, str], *more: str, where: Callabl
 def linked_groups(docs: DataFrame, sets: Sets, num: int, den: int, id_type: str, part_of: Callable[[int], int] | None = None, scratch: Scratch | None = None) -> DataFrame:
     """Groups of the sets of ``docs`` (key, body, and maybe tag, a long): one row per input row with key, n (set size), group
     (least non-null key of all rows that links reach; the own key for empty sets), links (exact ones that were counted), root
-    (the group's own mark, null for empty sets) and tag. ``part_of``: see ``described``. The result reads tables of ``scratch``, which the caller may clear once it has written the result.
+    (the group's own mark, null for empty sets) and tag. ``part_of``: see ``_keys``. The result reads tables of ``scratch``, which the caller may clear once it has written the result.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     tag = [c for c in docs.columns if c == "tag"]
     docs = docs.select("key", *tag, "body", F.xxhash64("body").alias("t"))
     counts = token_counts(docs.select("body"), sets)
-    rows = scratch.write(described(docs.select("key", "t", *tag, "body"), sets, scratch.broadcast(counts), num, den, {"key": id_type, "t": "long"} | dict.fromkeys(tag, "long"), part_of), "sets")
-    keys = "keys" if part_of else "prefix"
-    classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.min("key").alias("least"), F.min(F.struct("key", "t")).alias("rep"), F.first("n").alias("n"), *(F.first(b).alias(b) for b in BITS), F.first("prefix").alias("prefix"), *([F.first("keys").alias("keys")] if part_of else []))
+    rows = scratch.write(described(docs.select("key", "t", *tag, "body"), sets, scratch.broadcast(counts), num, den, {"key": id_type, "t": "long"} | dict.fromkeys(tag, "long")), "sets")
+    classes = rows.where("n > 0").groupBy("c1", "c2").agg(F.min("key").alias("least"), F.min(F.struct("key", "t")).alias("rep"), F.first("n").alias("n"), *(F.first(b).alias(b) for b in BITS), F.first("prefix").alias("prefix"))
     classes = scratch.write(classes, "classes")
     members = scratch.write(rows.select("key", "n", "c1", "c2", *tag), "members")
     scratch.drop(rows)
-    lists = classes.select(F.col("c1").alias("c"), F.explode(keys).alias("token")).groupBy("token").agg(F.min("c").alias("head"), F.count("*").alias("size")).where("size > 1").select("token", "head")
+    lists = _keyed(classes, part_of).groupBy("token").agg(F.min("c").alias("head"), F.count("*").alias("size")).where("size > 1").select("token", "head")
     repeated = scratch.write(lists, "repeated")
-    entries = scratch.write(_entries(classes.select("c1", "n", *BITS, keys), repeated, 2 if part_of else 1, scratch), "entries")
+    entries = scratch.write(_entries(classes.select("c1", "n", *BITS, "prefix"), repeated, part_of, scratch), "entries")
     heads = entries.select("token", F.col("c").alias("head"), F.col("n").alias("head_n"), F.col("pos").alias("head_pos"), *(F.col(b).alias(f"head_{b}") for b in BITS))
     lists = scratch.write(repeated.join(heads, ["token", "head"]), "lists")
     told = scratch.write(entries.join(lists, "token"), "entries-told")

@@ -36,8 +36,19 @@ COMMON = frozenset(
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def _hash(words: bytes) -> bytes:
-    return hashlib.blake2b(words, digest_size=8).digest()
+class _Hashes(dict):
+    """Hashes of signatures, kept until there are ``MOST`` of them: a text's edited form and its next one repeat most of them."""
+
+    MOST = 1 << 16
+
+    def __missing__(self, words: bytes) -> bytes:
+        if len(self) >= self.MOST:
+            self.clear()
+        self[words] = found = hashlib.blake2b(words, digest_size=8).digest()
+        return found
+
+
+_HASHES = _Hashes()
 
 
 def signatures(text: str) -> np.ndarray:
@@ -58,7 +69,7 @@ def signatures(text: str) -> np.ndarray:
             found.add(b" ".join([w, *(words[k] for k in content[at : at + CHAIN])]))
     if not anchored or not content:
         found.add(b"= " + b" ".join(words) if words else b"\0" + text.encode("utf-8", "surrogatepass"))
-    raw = b"".join(map(_hash, found))
+    raw = b"".join(map(_HASHES.__getitem__, found))
     return np.sort(np.frombuffer(raw, "<u8"))
 
 

@@ -35,3 +35,17 @@ def test_rows_of_counts_are_short(monkeypatch):
     sizes = [len(x) for b in out for x in b["code"].to_pylist() if x is not None]
     assert sum(sizes) > 100_000 and max(sizes) * 4096 <= 1 << 22
     assert {len(b["block"].unique()) for b in out} == {1} and len({b["block"][0].as_py() for b in out}) == 3
+
+
+def test_index_keys_are_not_written(spark, monkeypatch):
+    from lectern.llm import common, spotsigs
+
+    seen = []
+    kept = common.Scratch.write
+    monkeypatch.setattr(common.Scratch, "write", lambda self, df, label: seen.append((label, df.columns)) or kept(self, df, label))
+    rows = [(i, "the " + " the ".join(f"w{j} v{j}" for j in range(i % 4, 40 + i % 4))) for i in range(12)]
+    got = {r.doc_id: r.component_id for r in spotsigs.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict.fromkeys(range(12), 0)
+    # Keys for partitions take twice the room of the prefixes they are made of.
+    columns = dict(seen)
+    assert "prefix" in columns["sets"] and "prefix" in columns["classes"] and not any("keys" in c for c in columns.values())
