@@ -30,14 +30,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of some texts, in order, and after how many of them each text ends."""
+def word_hashes(texts: list[bytes], lower: np.ndarray = _LOWER, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of some texts, in order, and after how many of them each text ends. Bytes count as ``lower``
+    has them, and words are what those for which ``space`` holds separate; a line feed must be one of them."""
     raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     hashes, starts = [], []
     held, since = None, 0  # sum and start of the word that the last chunk ended in
     for a in range(0, len(raw), CHUNK):
-        part = _LOWER[raw[a : a + CHUNK]]
-        gap = _SPACE[part]
+        part = lower[raw[a : a + CHUNK]]
+        gap = space[part]
         edge = np.flatnonzero(np.diff(np.r_[True, gap, True]))
         first, after = edge[::2], edge[1::2]
         sums = np.r_[np.uint64(0), np.cumsum(_BYTES[part] * _UP[: len(part)])]

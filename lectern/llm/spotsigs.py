@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import Scratch, mapped, written
+from lectern.llm.jaccard import _mix, word_hashes
 from lectern.llm.setjoin import linked_groups
 
 CHAIN = 2
@@ -34,43 +35,53 @@ COMMON = frozenset(
 )
 #: All but letters, digits and what is not ASCII becomes a space; A-Z become a-z.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-
-
-class _Hashes(dict):
-    """Hashes of signatures, kept until there are ``MOST`` of them: a text's edited form and its next one repeat most of them."""
-
-    MOST = 1 << 16
-
-    def __missing__(self, words: bytes) -> bytes:
-        if len(self) >= self.MOST:
-            self.clear()
-        self[words] = found = hashlib.blake2b(words, digest_size=8).digest()
-        return found
-
-
-_HASHES = _Hashes()
+_WORDS = {"lower": np.frombuffer(_TABLE, np.uint8), "space": np.arange(256) == 32}
+_COMMON = np.sort(word_hashes(sorted(COMMON), **_WORDS)[0])
+#: What stands for the beginning of a text, and for a word that a chain at its end lacks.
+_BEGINNING, _LACKING = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+
+
+def _alone(text: bytes) -> np.uint64:
+    """The signature of a text as a whole: of its words, or without any of the text itself."""
+    words = text.translate(_TABLE).split()
+    return np.frombuffer(hashlib.blake2b(b"= " + b" ".join(words) if words else b"\0" + text, digest_size=8).digest(), np.uint64)[0]
+
+
+def signature_sets(texts: list[str]) -> list[np.ndarray]:
+    """Sorted distinct signature hashes of each text. A text without a common word has all its words as one signature
+    besides; one without content words has these alone, and one without words the text itself."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    words, ends = word_hashes(raw, **_WORDS)
+    common = _COMMON[np.minimum(np.searchsorted(_COMMON, words), len(_COMMON) - 1)] == words
+    starts = np.r_[0, ends[:-1]].astype(np.int64)
+    content = np.flatnonzero(~common)
+    upto = np.r_[0, np.cumsum(~common)]  # content words in front of each word
+    first, last = upto[starts], upto[ends]  # each text's own, as numbers of content words
+    # A chain begins at a common word, or in front of a text, and has the next content words of that text.
+    anchors = np.flatnonzero(common)
+    own = np.searchsorted(ends, anchors, side="right")
+    at, until, links = np.r_[first, upto[anchors]], np.r_[last, last[own]], np.r_[np.full(len(texts), _BEGINNING), words[anchors]]
+    owner = np.r_[np.arange(len(texts)), own]
+    chained = at < until
+    at, until, links, owner = at[chained], until[chained], links[chained], owner[chained]
+    for k in range(CHAIN):
+        there = at + k < until
+        following = np.full(len(at), _LACKING)
+        following[there] = words[content[at[there] + k]]
+        links = _mix(links * np.uint64(2 * k + 3) + following)
+    order = np.lexsort((links, owner))
+    links, owner = links[order], owner[order]
+    new = np.r_[True, (links[1:] != links[:-1]) | (owner[1:] != owner[:-1])][: len(links)]
+    links, owner = links[new], owner[new]
+    out = np.split(links, np.searchsorted(owner, np.arange(1, len(texts)))) if texts else []
+    for i in np.flatnonzero((last == first) | (last - first == ends - starts)).tolist():
+        out[i] = np.union1d(out[i], _alone(raw[i]))
+    return out
 
 
 def signatures(text: str) -> np.ndarray:
-    """Sorted distinct signature hashes. A text without a common word has all its words as one signature besides; one
-    without content words has these alone, and one without words the text itself."""
-    words = text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
-    content = [i for i, w in enumerate(words) if w not in COMMON]
-    found = {b" ".join([b"^", *(words[k] for k in content[:CHAIN])])} if content else set()
-    at, n = 0, len(content)
-    anchored = False
-    for i, w in enumerate(words):
-        if w in COMMON:
-            anchored = True
-            while at < n and content[at] <= i:
-                at += 1
-            if at == n:
-                break
-            found.add(b" ".join([w, *(words[k] for k in content[at : at + CHAIN])]))
-    if not anchored or not content:
-        found.add(b"= " + b" ".join(words) if words else b"\0" + text.encode("utf-8", "surrogatepass"))
-    raw = b"".join(map(_HASHES.__getitem__, found))
-    return np.sort(np.frombuffer(raw, "<u8"))
+    """The signatures of one text."""
+    return signature_sets([text])[0]
 
 
 def printed(marks: np.ndarray) -> str:
@@ -97,7 +108,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for x in batches:
             for at in range(0, x.num_rows, 256):
                 part = x.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([printed(signatures(t.as_py() or "")) for t in part.column(1)])], names=["key", "fingerprint"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([printed(m) for m in signature_sets([t.as_py() or "" for t in part.column(1)])])], names=["key", "fingerprint"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return mapped(docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("body")), run, f"key {kind}, fingerprint string").withColumnRenamed("key", id_col)
@@ -119,7 +130,7 @@ def _groups(base: DataFrame, id_type: str, num: int, den: int, scratch: Scratch)
         for x in batches:
             for at in range(0, x.num_rows, 256):
                 part = x.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([signatures(t.as_py()).tobytes() for t in part.column(2)], pa.binary())], names=["key", "tag", "body"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([m.tobytes() for m in signature_sets(part.column(2).to_pylist())], pa.binary())], names=["key", "tag", "body"])
 
     def sets(prints: pa.Array) -> list[np.ndarray]:
         return [np.frombuffer(p.as_py(), np.uint64) for p in prints]
@@ -180,33 +191,28 @@ def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         group_of = None
-        rows: list[tuple] = []
-        id_kind: list = []
-
-        def flush() -> pa.RecordBatch:
-            types = [id_kind[0], pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), id_kind[0]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "component_id"])
-
-        for x in batches:
-            id_kind[:] = [x.column(0).type]
-            for key, body, peek, group in zip(*x.columns):
-                text, ahead = body.as_py(), peek.as_py()
-                if text is None:  # what follows are the rows of this id and text
-                    group_of = group.as_py()
-                    continue
-                marks = signatures(text)
-                if held is not None:
-                    k, t, m, g = held
-                    half = len(t) // 2
-                    edited = t[: len(t) - half] + text[:half]
-                    e = signatures(edited)
-                    rows.append((k, len(t), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), printed(m), printed(e), likeness(m, e), likeness(m, marks), g))
-                    if len(rows) >= 256:
-                        yield flush()
-                        rows = []
-                held = None if ahead else (key.as_py(), text, marks, group_of)
-        if rows:
-            yield flush()
+        for whole in batches:
+            types = [whole.column(0).type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), whole.column(0).type]
+            for first in range(0, whole.num_rows, 256):
+                keys, texts, peeks, told = (c.to_pylist() for c in whole.slice(first, 256).columns)
+                marks = iter(signature_sets([t for t in texts if t is not None]))
+                pairs = []
+                for key, text, ahead, group in zip(keys, texts, peeks, told):
+                    if text is None:  # what follows are the rows of this id and text
+                        group_of = group
+                        continue
+                    now = (key, text, next(marks), group_of)
+                    if held is not None:
+                        pairs.append((held, now))
+                    held = None if ahead else now
+                halves = [(t, len(t) // 2, ahead) for (_, t, _, _), (_, ahead, _, _) in pairs]
+                edited = [t[: len(t) - half] + ahead[:half] for t, half, ahead in halves]
+                rows = [
+                    (k, len(t), hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest(), printed(m), printed(e), likeness(m, e), likeness(m, ahead), g)
+                    for ((k, t, m, g), (_, _, ahead, _)), x, e in zip(pairs, edited, signature_sets(edited))
+                ]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "component_id"])
 
     out = f"key {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, component_id {kind}"
     # Order: by range, the row from the next range last; so a task may have many ranges.
