@@ -14,7 +14,8 @@ that links connect. Steps, none of which meets a whole group or all pairs of one
    opened then. Up to ``LEADERS`` sets of such a list lead the next turn. Entries carry 128 parities of their set's tokens:
    where those of two sets differ, a token is in one of them alone, which bounds the overlap; pairs that this rules out never
    become rows.
-6. What is left are pairs across groups, again of block with block. Where both sets of a pair were counted against a
+6. What is left are pairs across groups, again of block with block. Near copies share many tokens; of these, entries carry
+   those that stand before their own one, and a pair that shares one of them has been met there and makes no row here. Where both sets of a pair were counted against a
    common, highly similar leader R, the pair's overlap follows from what each differs from R by, without either set:
    |S and T| = |R| - |(R - S) or (R - T)| + |(S - R) and (T - R)|. For less similar leaders it is bounded,
    |S and T| <= min(|S and R|, |T and R|) + min(|S - R|, |T - R|). Only pairs that this, the sizes, the positions and the
@@ -28,7 +29,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import Scratch, mapped
@@ -38,6 +39,8 @@ BUCKETS = 1 << 20
 TURNS, LEADERS = 3, 16
 #: Most entries of a block of an index list.
 BLOCK = 128
+#: How many of its set's earlier tokens an entry carries when pairs are made (twice as many where each has two keys).
+EARLIER = 8
 
 #: A set function: texts of an Arrow string array to one sorted array of distinct uint64 per text.
 Sets = Callable[[pa.Array], list[np.ndarray]]
@@ -313,17 +316,19 @@ def _entries(classes: DataFrame, repeated: DataFrame, part_of: Callable[[int], i
 
 def _blocks(entries: DataFrame, num: int, den: int) -> DataFrame:
     """Index lists as blocks of up to BLOCK entries of like size: token, n0, n1 (least and greatest size), p0 (least position)
-    and the entries (arrays c, n, pos, g, b1, b2). ``entries``: token, c, n, pos, g, b1, b2.
+    and the entries (arrays c, n, pos, g, b1, b2, and maybe earlier). ``entries``: token, c, n, pos, g, b1, b2, and maybe
+    earlier (array of tokens).
 
     g0 and g1 are the least and greatest group. Each task makes blocks of what it has of a list, so a long list may be dealt
     to many tasks.
     """
     level = F.floor(F.log(F.col("n").cast("double")) / np.log(den / num)).cast("int")
-    ordered = entries.select("token", "c", "n", "pos", "g", *BITS).withColumn("level", level).sortWithinPartitions("token", "level", "g", "pos", "c").drop("level")
+    earlier = [c for c in entries.columns if c == "earlier"]
+    ordered = entries.select("token", "c", "n", "pos", "g", *BITS, *earlier).withColumn("level", level).sortWithinPartitions("token", "level", "g", "pos", "c").drop("level")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            token, c, n, pos, g, b1, b2 = (v.to_numpy() for v in x.columns)
+            token, c, n, pos, g, b1, b2 = (v.to_numpy() for v in x.columns[:7])
             if not len(token):
                 continue
             start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
@@ -332,11 +337,12 @@ def _blocks(entries: DataFrame, num: int, den: int) -> DataFrame:
             offsets = pa.array(np.r_[at, len(token)], pa.int32())
             each = lambda f, v: pa.array(f.reduceat(v, at))  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays(
-                [pa.array(token[at]), each(np.minimum, n), each(np.maximum, n), each(np.minimum, pos), each(np.minimum, g), each(np.maximum, g), *(pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (c, n, pos, g, b1, b2))],
-                names=["token", "n0", "n1", "p0", "g0", "g1", "c", "n", "pos", "g", *BITS],
+                [pa.array(token[at]), each(np.minimum, n), each(np.maximum, n), each(np.minimum, pos), each(np.minimum, g), each(np.maximum, g), *(pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (c, n, pos, g, b1, b2)), *(pa.ListArray.from_arrays(offsets, v) for v in x.columns[7:])],
+                names=["token", "n0", "n1", "p0", "g0", "g1", "c", "n", "pos", "g", *BITS, *earlier],
             )
 
-    return mapped(ordered, run, "token long, n0 int, n1 int, p0 int, g0 long, g1 long, c array<long>, n array<int>, pos array<int>, g array<long>, b1 array<long>, b2 array<long>")
+    lists = "c array<long>, n array<int>, pos array<int>, g array<long>, b1 array<long>, b2 array<long>" + ", earlier array<array<long>>" * len(earlier)
+    return mapped(ordered, run, f"token long, n0 int, n1 int, p0 int, g0 long, g1 long, {lists}")
 
 
 def _opened(blocks: DataFrame, names: dict[str, str], *more: str, where: Callable | None = None) -> DataFrame:
@@ -421,17 +427,9 @@ def linked_groups(docs: DataFrame, sets: Sets, num: int, den: int, id_type: str,
         scratch.drop(groups)
         groups = components(counted.where(link).select("x", "y"), scratch)
     # Pairs across groups that share a token, block by block; lists of one group are skipped as a whole.
-    blocks = _mixed_blocks(told, groups, num, den, scratch)
+    blocks = _mixed_blocks(told, groups, num, den, scratch, EARLIER * (2 if part_of else 1))
     scratch.drop(told, groups)
-    a, b = (blocks.select("token", *(F.col(k).alias(k + side) for k in ("n0", "n1", "p0", "g0", "g1", "c", "n", "pos", "g", *BITS))) for side in "ab")
-    near = a.join(b, "token").where("not (g0a = g1a and g0b = g1b and g0a = g0b)").where(feasible(F.col("n0a"), F.col("n1a"), F.col("p0a"), F.col("n0b"), F.col("n1b"), F.col("p0b")))
-    # An entry of the one block with all of the other that it may link with, and then a row for each of these.
-    other = F.arrays_zip(F.col("cb").alias("c"), F.col("nb").alias("n"), F.col("posb").alias("pos"), F.col("gb").alias("g"), F.col("b1b").alias("b1"), F.col("b2b").alias("b2"))
-    fits = lambda e, o: (o["g"] != e["g"]) & (e["c"] > o["c"]) & feasible(e["n"], e["n"], e["pos"], o["n"], o["n"], o["pos"]) & alike(e["n"], o["n"], e["b1"], e["b2"], o["b1"], o["b2"])
-    one = F.arrays_zip(F.col("ca").alias("c"), F.col("na").alias("n"), F.col("posa").alias("pos"), F.col("ga").alias("g"), F.col("b1a").alias("b1"), F.col("b2a").alias("b2"))
-    met = F.flatten(F.transform(one, lambda e: F.transform(F.filter(other, lambda o: fits(e, o)), lambda o: F.struct(e["c"].alias("cx"), e["n"].alias("nx"), o["c"].alias("cy"), o["n"].alias("ny")))))
-    across = near.select(F.explode(met).alias("e")).select("e.*")
-    across = across.select(F.col("cx").alias("x"), F.col("cy").alias("y"), "nx", "ny").distinct()
+    across = _met(blocks, feasible, alike).distinct()
     across = scratch.write(across.join(counted.select("x", "y"), ["x", "y"], "left_anti"), "across")
     scratch.drop(blocks)
     # What is known of both sets' overlap with a common leader, the first one's nearest, gives or bounds their own.
@@ -461,16 +459,40 @@ def linked_groups(docs: DataFrame, sets: Sets, num: int, den: int, id_type: str,
     return out.select("key", "n", F.coalesce("group", "key").alias("group"), F.coalesce("links", F.lit(0)).alias("links"), "root", *tag)
 
 
-def _mixed_blocks(told: DataFrame, groups: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """The blocks of the lists that hold several groups."""
+def _earlier(entries: DataFrame, most: int) -> DataFrame:
+    """``entries`` (token, c, pos, ...) with earlier: of the tokens that the set has here, the last ``most`` in front of this
+    one. All sets have their tokens in one order (keys that a token has in two parts, by themselves)."""
+    before = Window.partitionBy("c").orderBy("pos", "token").rowsBetween(-most, -1)
+    return entries.withColumn("earlier", F.collect_list("token").over(before))
+
+
+def _mixed_blocks(told: DataFrame, groups: DataFrame, num: int, den: int, scratch: Scratch, earlier: int = 0) -> DataFrame:
+    """The blocks of the lists that hold several groups. ``earlier``: how many tokens of these lists an entry carries along."""
     grouped = told.select("token", "c", "n", "pos", *BITS).join(groups.withColumnRenamed("node", "c"), "c", "left").select("token", "c", "n", "pos", F.coalesce("root", "c").alias("g"), *BITS)
     grouped = scratch.write(grouped, "grouped")
     mixed = scratch.write(grouped.groupBy("token").agg(F.min("g").alias("a"), F.max("g").alias("b")).where("a <> b").select("token"), "mixed")
-    blocks = scratch.write(_blocks(grouped.join(mixed, "token"), num, den), "blocks")
+    entries = grouped.join(mixed, "token")
+    if earlier:
+        # Written, and joined anew: blocks are made where a list's entries are together.
+        entries = scratch.write(_earlier(entries, earlier), "entries-earlier").join(mixed, "token")
+    blocks = scratch.write(_blocks(entries, num, den), "blocks")
     scratch.drop(grouped, mixed)
     return blocks
 
 
+def _met(blocks: DataFrame, feasible: Callable, alike: Callable) -> DataFrame:
+    """Pairs of sets of different groups that share a token and may link: x > y, nx, ny. An entry carries only some of its
+    set's earlier tokens, so a pair may come more than once."""
+    a, b = (blocks.select("token", *(F.col(k).alias(k + side) for k in ("n0", "n1", "p0", "g0", "g1", "c", "n", "pos", "g", *BITS, "earlier"))) for side in "ab")
+    near = a.join(b, "token").where("not (g0a = g1a and g0b = g1b and g0a = g0b)").where(feasible(F.col("n0a"), F.col("n1a"), F.col("p0a"), F.col("n0b"), F.col("n1b"), F.col("p0b")))
+    # An entry of the one block with all of the other that it may link with, and then a row for each of these. A pair that
+    # shares an earlier token met in that token's list, at places that more may follow.
+    one, other = (F.arrays_zip(*(F.col(k + side).alias(k) for k in ("c", "n", "pos", "g", *BITS, "earlier"))) for side in "ab")
+    fits = lambda e, o: (o["g"] != e["g"]) & (e["c"] > o["c"]) & feasible(e["n"], e["n"], e["pos"], o["n"], o["n"], o["pos"]) & alike(e["n"], o["n"], e["b1"], e["b2"], o["b1"], o["b2"]) & ~F.arrays_overlap(e["earlier"], o["earlier"])
+    met = F.flatten(F.transform(one, lambda e: F.transform(F.filter(other, lambda o: fits(e, o)), lambda o: F.struct(e["c"].alias("x"), o["c"].alias("y"), e["n"].alias("nx"), o["n"].alias("ny")))))
+    return near.select(F.explode(met).alias("e")).select("e.*")
+
+
 def _open_pairs(pairs: DataFrame, classes: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     """``pairs`` (x, y, nx, ny) that their prefixes leave open. Of two prefixes, one ends no later in the global order: its
     set shares with the other what the prefixes share and at most all that it has behind its own."""

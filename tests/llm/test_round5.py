@@ -1,6 +1,8 @@
 import random
 
-from lectern.llm import spotsigs
+import pytest
+
+from lectern.llm import jaccard, setjoin, spotsigs
 
 
 def _plain(text):
@@ -23,3 +25,33 @@ def test_signatures_of_many_texts_at_once():
     got, want = [set(x.tolist()) for x in spotsigs.signature_sets(texts)], [_plain(t) for t in texts]
     assert all(len(a & b) == len(c & d) for a, c in zip(got, want) for b, d in zip(got, want))
     assert all((spotsigs.signatures(t) == sorted(s)).all() for t, s in zip(texts, got)) and spotsigs.signature_sets([]) == []
+
+
+@pytest.mark.parametrize("parts", [False, True])
+def test_pairs_of_near_copies_meet_once(spark, monkeypatch, parts):
+    """Copies that stay under the limit share many tokens; a pair of them makes one row, not one for each."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    texts = {i: " ".join(w for w in words if r.random() < 0.84) for i in range(20)}
+    texts |= {20 + i: texts[i].rpartition(" ")[0] for i in range(4)}
+    made = []
+    kept = setjoin._met
+
+    def met(*args):
+        out = kept(*args)
+        made.append((out.count(), out.distinct().count()))
+        return out
+
+    monkeypatch.setattr(setjoin, "_met", met)
+    docs = spark.createDataFrame(list(texts.items()), "key long, body string")
+    part_of = (lambda n: spotsigs.length_part(n, 80, 100)) if parts else None
+    found = setjoin.linked_groups(docs, lambda x: jaccard.shingle_sets(x, 1), 80, 100, "bigint", part_of)
+    got = {x.key: (x.group, x.links) for x in found.collect()}
+    sets = {k: set(t.split()) for k, t in texts.items()}
+    linked = {k: {j for j in sets if 100 * len(sets[j] & sets[k]) >= 80 * len(sets[j] | sets[k])} for k in sets}
+    group = dict(zip(sets, sets))
+    for _ in sets:
+        group = {k: min(group[j] for j in linked[k]) for k in sets}
+    assert {k: g for k, (g, _) in got.items()} == group and len(set(group.values())) > 3
+    rows, pairs = made[0]
+    assert pairs >= 20 and rows <= 1.2 * pairs
