@@ -28,10 +28,13 @@ UNITS, CHARACTERS = 1_000, 200_000
 BAND = 1.2
 #: Classes that characters and pairs of characters are counted in; sharing a class only raises a bound.
 SINGLE, DOUBLE = 32, 256
+#: Bits of a text that say how often characters stand in it (a multiple of 64), and most times that they tell.
+MARKS, LEVELS = 128, 12
 #: Pairs whose counts are compared at a time.
 STRIP = 50_000
-#: Characters whose places are the bits of one machine word.
-WORD = 64
+#: Characters whose places are the bits of one machine word; most words of a text whose pairs are looked at together, and how
+#: many pairs are.
+WORD, WORDS, TOGETHER = 64, 16, 4096
 
 
 def _runs(text: Column, starts: bool) -> Column:
@@ -72,26 +75,62 @@ def _counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return lengths, single.astype(np.int32), double.astype(np.int32)
 
 
-def _bits(left: list[str], right: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Of left texts of up to WORD characters, the places of each class as bits; of right texts, the classes by place."""
-    places = np.zeros((len(left), DOUBLE + 1), dtype=np.uint64)
-    for n, t in enumerate(left):
-        for k, c in enumerate(t):
-            places[n, ord(c) % DOUBLE] |= np.uint64(1 << k)
-    classes = np.full((max(map(len, right)), len(right)), DOUBLE, dtype=np.int64)
-    for n, t in enumerate(right):
-        classes[: len(t), n] = [ord(c) % DOUBLE for c in t]
-    return places.ravel(), classes
-
-
-def _common_subsequences(places: np.ndarray, classes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """At least the length of the longest common subsequence of each pair (i, j): the same recurrence for all pairs at once."""
-    base = i * (DOUBLE + 1)
-    row = np.full(len(i), 2**WORD - 1, dtype=np.uint64)
-    for column in classes:
-        met = row & places.take(base + column.take(j))
-        row = (row + met) | (row - met)
-    return WORD - np.bitwise_count(row).astype(np.int64)
+def _marked(*counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each side's texts (a column of counts each): MARKS bits, in rows of machine words, that say whether a class stands
+    in a text at least so often; and how many characters have no bit. Of two texts, the bits that both have and the lesser
+    rest are at least the characters that both have. Marks are those that tell the last side's texts apart best."""
+    levels = np.arange(1, LEVELS + 1)
+    held = [(c[:, None, :] >= levels[None, :, None]).reshape(SINGLE * LEVELS, -1) for c in counts]
+    share = held[-1].mean(1)
+    chosen = np.argsort(-share * (1 - share), kind="stable")[:MARKS]
+    out = []
+    for c, h in zip(counts, held):
+        bits = np.packbits(h[chosen], axis=0, bitorder="little")
+        words = np.ascontiguousarray(bits.T).view(np.uint64).T
+        out.append((np.ascontiguousarray(words), (c.sum(0, dtype=np.int32) - h[chosen].sum(0, dtype=np.int32)).astype(np.int32)))
+    return out
+
+
+def _reach(left: list[str], right: list[str], i: np.ndarray, j: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Whether the longest common subsequence of each pair (i, j) may have ``need`` characters: the bit-parallel recurrence
+    for many pairs at once, in as many machine words as the longest left text takes. Characters count by class, which only
+    lengthens it. A pair goes as soon as what is left of its right text is too short."""
+    n1, n2 = (np.array([len(t) for t in x], dtype=np.int64) for x in (left, right))
+    words = -(-int(n1.max()) // WORD)
+    classed = lambda x: np.frombuffer("".join(x).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64) % DOUBLE
+    at = lambda n: np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    places = np.zeros((words, len(left) * (DOUBLE + 1)), dtype=np.uint64)
+    k = at(n1)
+    np.bitwise_or.at(places, (k // WORD, np.repeat(np.arange(len(left)) * (DOUBLE + 1), n1) + classed(left)), np.uint64(1) << (k % WORD).astype(np.uint64))
+    classes = np.full((int(n2.max()), len(right)), DOUBLE, dtype=np.int64)
+    classes[at(n2), np.repeat(np.arange(len(right)), n2)] = classed(right)
+    out = np.zeros(len(i), dtype=bool)
+    for first in range(0, len(i), TOGETHER):
+        own = np.arange(first, min(first + TOGETHER, len(i)))
+        base, other, least = i[own] * (DOUBLE + 1), j[own], need[own]
+        row = np.full((words, len(own)), 2**WORD - 1, dtype=np.uint64)
+        for t, column in enumerate(classes, 1):
+            where = base + column.take(other)
+            carry = None
+            for r, p in zip(row, places):
+                met = r & p.take(where)
+                total = r + met
+                over = total < met
+                if carry is not None:
+                    total += carry
+                    over |= total < carry
+                carry = over.astype(np.uint64)
+                r -= met
+                r |= total
+            if t % 16 == 0 or t == len(classes):
+                common = words * WORD - np.bitwise_count(row).sum(0, dtype=np.int64)
+                may = common + np.maximum(n2[other] - t, 0) >= least
+                if not may.all():
+                    own, base, other, least, row = own[may], base[may], other[may], least[may], np.ascontiguousarray(row[:, may])
+                    if not len(own):
+                        break
+        out[own] = True
+    return out
 
 
 def alike(left: list[str], right: list[str], least: float) -> list[tuple[int, int, float]]:
@@ -99,41 +138,51 @@ def alike(left: list[str], right: list[str], least: float) -> list[tuple[int, in
     share = least / 100
     (n1, single1, double1), (n2, single2, double2) = _counts(left), _counts(right)
     single1, single2 = (x.T.astype(np.int16 if x.max(initial=0) < 1000 else np.int32) for x in (single1, single2))
+    (marks1, rest1), (marks2, rest2) = _marked(single1, single2)
+    half1, half2 = ((share * n / 2 - 1e-3).astype(np.float32) for n in (n1, n2))
     found: list[tuple[int, int, float]] = []
     matcher, at = SequenceMatcher(None), -1
-    short = n1.max() <= WORD
-    bits = _bits(left, right) if short else None
+    open_pairs = []
     size = max(1, STRIP // len(right))
     for first in range(0, len(left), size):
         rows = slice(first, first + size)
-        total = n1[rows, None] + n2[None, :]
-        common = np.zeros(total.shape, dtype=np.int32)
-        for c in range(SINGLE):
-            common += np.minimum(single1[c, rows][:, None], single2[c][None, :])
-        j, i = np.nonzero((common >= share * total / 2 - 1e-6).T)
+        most = np.minimum(rest1[rows, None], rest2[None, :])
+        for mine, other in zip(marks1[:, rows], marks2):
+            most += np.bitwise_count(mine[:, None] & other[None, :])
+        i, j = np.nonzero(most >= half1[rows, None] + half2[None, :])
         i += first
-        if short and len(i):
-            ok = _common_subsequences(*bits, i, j) >= share * (n1[i] + n2[j]) / 2 - 1e-6
-            i, j = i[ok], j[ok]
-        elif share > 2 / 3:
+        # What the marks leave open, by all classes.
+        common = np.zeros(len(i), dtype=np.int32)
+        for c in range(SINGLE):
+            common += np.minimum(single1[c].take(i), single2[c].take(j))
+        ok = common >= share * (n1[i] + n2[j]) / 2 - 1e-6
+        i, j = i[ok], j[ok]
+        if n1.max() > WORD and share > 2 / 3:
             ok = np.minimum(double1[i], double2[j]).sum(1) >= (1.5 * share - 1) * (n1[i] + n2[j]) - 1 - 1e-6
             i, j = i[ok], j[ok]
-        places: dict[int, dict[str, int]] = {}
-        for a, b in zip(i.tolist(), j.tolist()):
-            if not short:
-                if a not in places:
-                    places[a] = {}
-                    for k, c in enumerate(left[a]):
-                        places[a][c] = places[a].get(c, 0) | 1 << k
-                if common_subsequence(places[a], len(left[a]), right[b]) < share * (len(left[a]) + len(right[b])) / 2 - 1e-6:
-                    continue
-            if b != at:
-                matcher.set_seq2(right[b])
-                at = b
-            matcher.set_seq1(left[a])
-            score = 100 * matcher.ratio()
-            if score >= least:
-                found.append((a, b, score))
+        open_pairs.append((i, j))
+    i, j = (np.concatenate(x) for x in zip(*open_pairs))
+    together = n1.max() <= WORD * WORDS
+    if together and len(i):
+        ok = _reach(left, right, i, j, share * (n1[i] + n2[j]) / 2 - 1e-6)
+        i, j = i[ok], j[ok]
+    order = np.argsort(j, kind="stable")
+    places: dict[int, dict[str, int]] = {}
+    for a, b in zip(i[order].tolist(), j[order].tolist()):
+        if not together:
+            if a not in places:
+                places[a] = {}
+                for k, c in enumerate(left[a]):
+                    places[a][c] = places[a].get(c, 0) | 1 << k
+            if common_subsequence(places[a], len(left[a]), right[b]) < share * (len(left[a]) + len(right[b])) / 2 - 1e-6:
+                continue
+        if b != at:
+            matcher.set_seq2(right[b])
+            at = b
+        matcher.set_seq1(left[a])
+        score = 100 * matcher.ratio()
+        if score >= least:
+            found.append((a, b, score))
     return found
 
 

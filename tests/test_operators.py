@@ -299,3 +299,26 @@ print("FOUND", search_quotes(q, w).first().window_id)
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert [x for x in out.stdout.splitlines() if x.startswith("FOUND")] == ["FOUND Матфей 5:3", "FOUND 2"], out.stderr[-2000:]
+
+
+def test_common_subsequences_together():
+    """Pairs that may reach what they need are those whose longest common subsequence does, for texts of one and of many words."""
+    r = random.Random(4)
+    for most in (30, 64, 65, 200):
+        left = ["".join(r.choice("абвгде ") for _ in range(r.randrange(1, most + 1))) for _ in range(12)] + ["а" * most]
+        right = ["".join(c for c in r.choice(left) if r.random() < 0.8) or "ж" for _ in range(15)]
+        pairs = [(i, j) for i in range(len(left)) for j in range(len(right))]
+
+        def common(a, b):
+            row = [0] * (len(b) + 1)
+            for x in a:
+                row = [0, *(max(p + 1 if x == y else 0, q) for p, q, y in zip(row, row[1:], b))]
+                for k in range(1, len(row)):
+                    row[k] = max(row[k], row[k - 1])
+            return row[-1]
+
+        want = [common(left[i], right[j]) for i, j in pairs]
+        i, j = (np.array(x) for x in zip(*pairs))
+        for off in (0, 1):
+            got = likeness._reach(left, right, i, j, np.array(want) + off - 1e-6)
+            assert got.all() if not off else not got.any()
