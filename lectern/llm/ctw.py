@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -332,7 +333,7 @@ def _low_down(batches):
     """Codes (n not null) and what their nodes of depth LOW carry, to log10 of each code's probability."""
     for t in _whole_groups(batches):
         real = t["n"].is_valid()
-        codes, above = t.filter(real), t.filter(pa.compute.invert(real))
+        codes, above = t.filter(real), t.filter(pc.invert(real))
         code = _ints(codes, "code")
         key, a, b, place, one = leaves(code, _reals(codes, "n"))
         low, _, _, _, way = fold(key, a, b, block_probability(a, b), DEPTH - LOW)
@@ -378,7 +379,7 @@ def _scored(id_type: pa.DataType, train_tokens: int, distinct: int):
     def run(texts: pa.Table, values: pa.Table) -> pa.Table:
         kinds = []
         for kind in (0, 1):
-            some = values.filter(pa.compute.equal(values["kind"], kind))
+            some = values.filter(pc.equal(values["kind"], kind))
             kinds.append(Values(_ints(some, "code"), _reals(some, "value")))
         del values
         grams, words = kinds
