@@ -33,13 +33,14 @@ MARKS, LEVELS = 128, 12
 #: Pairs whose counts are compared at a time.
 STRIP = 50_000
 #: Characters whose places are the bits of one machine word; most words of a text whose pairs are looked at together, and how
-#: many pairs are.
-WORD, WORDS, TOGETHER = 64, 16, 4096
+#: many pairs are; how many classes their characters have, and after how many characters pairs are looked through.
+WORD, WORDS, TOGETHER, CLASSES, STEP = 64, 16, 4096, 128, 8
 
 
 def _runs(text: Column, starts: bool) -> Column:
     """A text's units: kind (0: the whole, else a run's words) and unit. Of runs either all, or those at its beginning."""
-    w = F.split(text, " ")
+    # Of runs at the beginning, words further on are left in one piece.
+    w = F.split(text, " ", MOST_RUN + 1 if starts else -1)
     whole = F.array(F.struct(F.lit(0).alias("kind"), text.alias("unit")))
     sizes = F.when(F.size(w) >= LEAST_RUN, F.sequence(F.lit(LEAST_RUN), F.least(F.lit(MOST_RUN), F.size(w)))).otherwise(F.array().cast("array<int>"))
 
@@ -91,23 +92,37 @@ def _marked(*counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _still(row: np.ndarray, left_size: np.ndarray, right_rest: np.ndarray) -> np.ndarray:
+    """Most characters that the common subsequence of each pair may come to, when so much of its right text is still to come.
+    Up to some place of the left text it lies in what was seen, and from there in what is to come; within a piece of places,
+    the first part is at most what the piece's end has, the second what both texts have left from its beginning."""
+    words, n = row.shape
+    piece = WORD if words > 2 else WORD // 4
+    ones = np.bitwise_count(row) if words > 2 else np.bitwise_count(row.view(np.uint16)).reshape(words, n, 4).transpose(0, 2, 1).reshape(-1, n)
+    most, seen = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32)
+    for k, x in enumerate(ones):
+        seen += piece - x
+        np.maximum(most, seen + np.minimum(np.maximum(left_size - k * piece, 0), right_rest), out=most)
+    return most
+
+
 def _reach(left: list[str], right: list[str], i: np.ndarray, j: np.ndarray, need: np.ndarray) -> np.ndarray:
     """Whether the longest common subsequence of each pair (i, j) may have ``need`` characters: the bit-parallel recurrence
     for many pairs at once, in as many machine words as the longest left text takes. Characters count by class, which only
-    lengthens it. A pair goes as soon as what is left of its right text is too short."""
-    n1, n2 = (np.array([len(t) for t in x], dtype=np.int64) for x in (left, right))
+    lengthens it. A pair goes as soon as what is left of its texts is too short."""
+    n1, n2 = (np.array([len(t) for t in x], dtype=np.int32) for x in (left, right))
     words = -(-int(n1.max()) // WORD)
-    classed = lambda x: np.frombuffer("".join(x).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64) % DOUBLE
+    classed = lambda x: np.frombuffer("".join(x).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64) % CLASSES
     at = lambda n: np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    places = np.zeros((words, len(left) * (DOUBLE + 1)), dtype=np.uint64)
+    places = np.zeros((words, len(left) * (CLASSES + 1)), dtype=np.uint64)
     k = at(n1)
-    np.bitwise_or.at(places, (k // WORD, np.repeat(np.arange(len(left)) * (DOUBLE + 1), n1) + classed(left)), np.uint64(1) << (k % WORD).astype(np.uint64))
-    classes = np.full((int(n2.max()), len(right)), DOUBLE, dtype=np.int64)
+    np.bitwise_or.at(places, (k // WORD, np.repeat(np.arange(len(left)) * (CLASSES + 1), n1) + classed(left)), np.uint64(1) << (k % WORD).astype(np.uint64))
+    classes = np.full((int(n2.max()), len(right)), CLASSES, dtype=np.int64)
     classes[at(n2), np.repeat(np.arange(len(right)), n2)] = classed(right)
     out = np.zeros(len(i), dtype=bool)
     for first in range(0, len(i), TOGETHER):
         own = np.arange(first, min(first + TOGETHER, len(i)))
-        base, other, least = i[own] * (DOUBLE + 1), j[own], need[own]
+        base, other, least, size, rest = i[own] * (CLASSES + 1), j[own], need[own], n1[i[own]], n2[j[own]]
         row = np.full((words, len(own)), 2**WORD - 1, dtype=np.uint64)
         for t, column in enumerate(classes, 1):
             where = base + column.take(other)
@@ -115,18 +130,17 @@ def _reach(left: list[str], right: list[str], i: np.ndarray, j: np.ndarray, need
             for r, p in zip(row, places):
                 met = r & p.take(where)
                 total = r + met
-                over = total < met
+                over = total < met if words > 1 else None
                 if carry is not None:
                     total += carry
                     over |= total < carry
-                carry = over.astype(np.uint64)
+                carry = over.astype(np.uint64) if words > 1 else None
                 r -= met
                 r |= total
-            if t % 16 == 0 or t == len(classes):
-                common = words * WORD - np.bitwise_count(row).sum(0, dtype=np.int64)
-                may = common + np.maximum(n2[other] - t, 0) >= least
+            if t % STEP == 0 or t == len(classes):
+                may = _still(row, size, np.maximum(rest - t, 0)) >= least
                 if not may.all():
-                    own, base, other, least, row = own[may], base[may], other[may], least[may], np.ascontiguousarray(row[:, may])
+                    own, base, other, least, size, rest, row = own[may], base[may], other[may], least[may], size[may], rest[may], np.ascontiguousarray(row[:, may])
                     if not len(own):
                         break
         out[own] = True
@@ -142,7 +156,7 @@ def alike(left: list[str], right: list[str], least: float) -> list[tuple[int, in
     half1, half2 = ((share * n / 2 - 1e-3).astype(np.float32) for n in (n1, n2))
     found: list[tuple[int, int, float]] = []
     matcher, at = SequenceMatcher(None), -1
-    open_pairs = []
+    open_pairs, together = [], n1.max() <= WORD * WORDS
     size = max(1, STRIP // len(right))
     for first in range(0, len(left), size):
         rows = slice(first, first + size)
@@ -151,18 +165,18 @@ def alike(left: list[str], right: list[str], least: float) -> list[tuple[int, in
             most += np.bitwise_count(mine[:, None] & other[None, :])
         i, j = np.nonzero(most >= half1[rows, None] + half2[None, :])
         i += first
-        # What the marks leave open, by all classes.
-        common = np.zeros(len(i), dtype=np.int32)
-        for c in range(SINGLE):
-            common += np.minimum(single1[c].take(i), single2[c].take(j))
-        ok = common >= share * (n1[i] + n2[j]) / 2 - 1e-6
-        i, j = i[ok], j[ok]
-        if n1.max() > WORD and share > 2 / 3:
-            ok = np.minimum(double1[i], double2[j]).sum(1) >= (1.5 * share - 1) * (n1[i] + n2[j]) - 1 - 1e-6
+        if n1.max() > WORD:
+            # What the marks leave open, by all classes. In short texts hardly a character is without a mark.
+            common = np.zeros(len(i), dtype=np.int32)
+            for c in range(SINGLE):
+                common += np.minimum(single1[c].take(i), single2[c].take(j))
+            ok = common >= share * (n1[i] + n2[j]) / 2 - 1e-6
             i, j = i[ok], j[ok]
+            if share > 2 / 3 and not together:
+                ok = np.minimum(double1[i], double2[j]).sum(1) >= (1.5 * share - 1) * (n1[i] + n2[j]) - 1 - 1e-6
+                i, j = i[ok], j[ok]
         open_pairs.append((i, j))
     i, j = (np.concatenate(x) for x in zip(*open_pairs))
-    together = n1.max() <= WORD * WORDS
     if together and len(i):
         ok = _reach(left, right, i, j, share * (n1[i] + n2[j]) / 2 - 1e-6)
         i, j = i[ok], j[ok]
@@ -197,6 +211,8 @@ def similar_all(queries: DataFrame, windows: DataFrame, least: float = 80.0) ->
     be aligned; from there downwards most of like length.
     """
     held = Held(queries.sparkSession)
+    # Written first: what texts are made by would else be worked out again for each of their runs.
+    queries, windows = held.write(queries.select("query_id", "q")), held.write(windows.select("window_id", "norm"))
     asked = held.write(queries.where(F.length("q") >= SHORT).select("query_id", F.explode(_runs(F.col("q"), False)).alias("u")).select("query_id", "u.*").distinct())
     given = held.write(windows.where("norm <> ''").select("window_id", F.explode(_runs(F.col("norm"), True)).alias("u")).select("window_id", "u.*").distinct())
     (left, bands1), (right, bands2) = _blocked(asked, held), _blocked(given, held)
