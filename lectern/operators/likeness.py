@@ -34,7 +34,7 @@ MARKS, LEVELS = 128, 12
 STRIP = 50_000
 #: Characters whose places are the bits of one machine word; most words of a text whose pairs are looked at together, and how
 #: many pairs are; how many classes their characters have, and after how many characters pairs are looked through.
-WORD, WORDS, TOGETHER, CLASSES, STEP = 64, 16, 4096, 128, 8
+WORD, WORDS, TOGETHER, CLASSES, STEP = 64, 16, 8192, 128, 12
 
 
 def _runs(text: Column, starts: bool) -> Column:
@@ -153,7 +153,12 @@ def alike(left: list[str], right: list[str], least: float) -> list[tuple[int, in
     (n1, single1, double1), (n2, single2, double2) = _counts(left), _counts(right)
     single1, single2 = (x.T.astype(np.int16 if x.max(initial=0) < 1000 else np.int32) for x in (single1, single2))
     (marks1, rest1), (marks2, rest2) = _marked(single1, single2)
-    half1, half2 = ((share * n / 2 - 1e-3).astype(np.float32) for n in (n1, n2))
+    # Marks and what has none are at most MARKS and a left text's length together.
+    small = np.uint8 if MARKS + n1.max() < 255 else np.int32
+    rest1, rest2 = (np.minimum(x, n1.max()).astype(small) for x in (rest1, rest2))
+    lengths, length = np.unique(n1, return_inverse=True)
+    least_of = np.ceil(share * (lengths[:, None] + n2) / 2 - 1e-6)
+    least_of = np.minimum(least_of, np.iinfo(small).max).astype(small)
     found: list[tuple[int, int, float]] = []
     matcher, at = SequenceMatcher(None), -1
     open_pairs, together = [], n1.max() <= WORD * WORDS
@@ -163,7 +168,7 @@ def alike(left: list[str], right: list[str], least: float) -> list[tuple[int, in
         most = np.minimum(rest1[rows, None], rest2[None, :])
         for mine, other in zip(marks1[:, rows], marks2):
             most += np.bitwise_count(mine[:, None] & other[None, :])
-        i, j = np.nonzero(most >= half1[rows, None] + half2[None, :])
+        i, j = np.nonzero(most >= least_of[length[rows]])
         i += first
         if n1.max() > WORD:
             # What the marks leave open, by all classes. In short texts hardly a character is without a mark.
