@@ -215,7 +215,7 @@ def normalize_quote(text: Column) -> Column:
     """Lower case, ё as е, everything but letters (а-я, a-z) and digits a single space; and "страх господи" in the form of
     the verse tables. Null stays null."""
     low = F.translate(F.lower(text), "ё", "е")
-    # All but а-я, a-z and 0-9, said as ranges: Java takes 30 times as long for a class that is negated and not of Latin alone.
+    # All but а-я, a-z and 0-9, said as ranges: the same class negated took 3 to 30 times as long where eight tasks matched at once.
     plain = F.regexp_replace(low, r"[\x00-/:-`{-\x{42f}\x{450}-\x{10ffff}]+", " ")
     # Few texts have these words, and looking for them is much less work than matching what stands around them.
     named = F.regexp_replace(plain, "(?<![0-9а-яa-z])страх господи(?![0-9а-яa-z])", "страх господень")
